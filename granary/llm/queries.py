@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, simhash
 
 QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
 }
 SQL = {
     "op4_quality_rules": quality.OP4_SQL,
