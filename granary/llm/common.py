@@ -206,3 +206,13 @@ def within_documents(first: np.ndarray, width: int) -> np.ndarray:
     np.add.at(ok, first[:-1], 1)
     np.add.at(ok, last, -1)
     return np.cumsum(ok[:-1]) > 0
+
+
+def row_slices(column: pa.Array, most: int = 1 << 22):
+    """Row ranges of at most about most bytes, so that a batch of long texts takes little memory; a longer text stands alone."""
+    _, offsets = string_buffer(column)
+    a, n = 0, len(column)
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
+        yield a, min(b, n)
+        a = b

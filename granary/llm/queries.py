@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality, simhash
+from . import bpe, packing, quality, simhash
 
 QUERIES = {
+    "op3_sum_of_squares_packing": packing.op3_sum_of_squares_packing,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 SQL = {
     "op4_quality_rules": quality.OP4_SQL,
