@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, simhash
+from . import bpe, packing, passages, quality, simhash
 
 QUERIES = {
+    "op1_substring_dedup": passages.op1_substring_dedup,
     "op3_sum_of_squares_packing": packing.op3_sum_of_squares_packing,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
