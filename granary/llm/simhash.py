@@ -31,13 +31,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import string_buffer, table, word_spans, written
+from .common import row_slices, string_buffer, table, word_spans, written
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Distinct fingerprints at one segment value beyond which members are linked by stars.
 DENSE = 32
-_CHUNK = 1 << 17
+#: Shingles and bytes of text handled at once in a task.
+_CHUNK, _SLICE = 1 << 16, 1 << 20
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> np.ndarray:
@@ -75,8 +76,10 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) ->
 
 def _map_fingerprints(batches):
     for batch in batches:
-        fp = fingerprints(*string_buffer(batch.column(1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+        for a, b in row_slices(batch.column(1), _SLICE):
+            part = batch.slice(a, b - a)
+            fp = fingerprints(*string_buffer(part.column(1)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
