@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, passages, quality, simhash
+from . import bpe, lines, packing, passages, quality, simhash
 
 QUERIES = {
     "op1_substring_dedup": passages.op1_substring_dedup,
     "op3_sum_of_squares_packing": packing.op3_sum_of_squares_packing,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_line_dedup": lines.op5_line_dedup,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 SQL = {
     "op4_quality_rules": quality.OP4_SQL,
+    "op5_line_dedup": lines.OP5_SQL,
 }
