@@ -102,8 +102,13 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return dealt.groupBy("packer").applyInArrow(_packer(window), f"id {kind}, start long, length long, crc long, tokens long, sequence long, offset long")
 
 
-def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packed(table(spark, sf_dir, "documents"))
+def pieces_of(docs: DataFrame) -> DataFrame:
+    """The pieces of documents under the names of the contract."""
+    out = packed(docs)
     return out.select(
         F.col("id").alias("doc_id"), "start", "length", F.col("crc").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), F.col("sequence").alias("sequence_id"), "offset"
     )
+
+
+def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_of(table(spark, sf_dir, "documents"))
