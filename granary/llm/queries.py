@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, packing, passages, quality, simhash
+from . import bpe, chat, html, lines, packing, passages, quality, simhash
 
 QUERIES = {
     "op1_substring_dedup": passages.op1_substring_dedup,
@@ -10,9 +10,12 @@ QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_html_extraction": html.op7_html_extraction,
+    "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 SQL = {
     "op4_quality_rules": quality.OP4_SQL,
     "op5_line_dedup": lines.OP5_SQL,
+    "op9_chat_formatting": chat.OP9_SQL,
 }
