@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html, lines, packing, passages, quality, simhash
+from . import bpe, chat, html, licenses, lines, packing, passages, quality, search, simhash
 
 QUERIES = {
     "op1_substring_dedup": passages.op1_substring_dedup,
+    "op2_bit_sliced_top_k": search.op2_bit_sliced_top_k,
     "op3_sum_of_squares_packing": packing.op3_sum_of_squares_packing,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_html_extraction": html.op7_html_extraction,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 SQL = {
+    "op2_bit_sliced_top_k": search.OP2_SQL,
     "op4_quality_rules": quality.OP4_SQL,
     "op5_line_dedup": lines.OP5_SQL,
+    "op8_license_scan": licenses.OP8_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
 }
