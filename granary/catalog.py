@@ -1,6 +1,10 @@
-"""Registry of the reference-style queries: key -> (callable, oracle SQL)."""
+"""All registered reference-style queries: importing the modules registers them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from granary.operators import aggregates, filters, joins, sets, sinks, windows  # noqa: F401
+from granary.functions import queries as functions_queries  # noqa: F401
+from granary.plans import forecast, gates, quality, radar, score, shopping, weekly  # noqa: F401
+from granary.registry import QUERIES, SQL  # noqa: F401
+from granary.sources import scans, web  # noqa: F401
+from granary.streaming import queue  # noqa: F401
