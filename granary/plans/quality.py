@@ -1 +1,184 @@
-"""To come."""
+"""Quality of dated offers: temporal plausibility, eligibility, probable duplicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.operators.graph import components, written
+from granary.registry import query, using
+from granary.sources.tables import LEDGER, ledger
+
+# Days and scores of the quality rules.
+FAR_WARNING, FAR_CRITICAL, AFTER_TOLERANCE, YEAR_MISMATCH, NEAR_PROVENANCE = 180, 300, 30, 300, 15
+POSSIBLE, PROBABLE = 3, 5
+YEAR_TOLERANCE, SUSPECT_GAP = 65, 365
+
+
+def id_date() -> Column:
+    return F.try_to_date(F.nullif(F.regexp_extract("id", r"(\d{4}-\d{2}-\d{2})$", 1), F.lit("")))
+
+
+def temporal(rows: DataFrame) -> DataFrame:
+    """Adds event_date, min_prov, gap, flags, status, severity, include, reprocess and review."""
+    rows = rows.withColumn("id_date", id_date()).withColumn("event_date", F.coalesce("inicio", "id_date", "fim"))
+    rows = rows.withColumn("min_prov", F.least("first_seen", "observed_at")).withColumn("max_prov", F.greatest("first_seen", "observed_at"))
+    rows = rows.withColumn("gap", F.datediff("min_prov", "event_date").cast("bigint"))
+    apart = lambda a, b: F.coalesce(F.abs(F.datediff(a, b)) > YEAR_MISMATCH, F.lit(False))
+    conflict = F.coalesce(F.col("fim") < F.col("inicio"), F.lit(False)) | apart("inicio", "id_date") | apart("inicio", "fim") | apart("id_date", "fim")
+    critical = F.coalesce((F.col("gap") > FAR_CRITICAL) & F.col("inicio").isNull(), F.lit(False))
+    far = F.coalesce(F.col("gap") > FAR_WARNING, F.lit(False)) & ~critical
+    review_far = F.coalesce((F.col("gap") > FAR_CRITICAL) & F.col("inicio").isNotNull(), F.lit(False))
+    after = F.coalesce(F.datediff("event_date", "max_prov") > AFTER_TOLERANCE, F.lit(False))
+    named = [("conflicting_event_dates", conflict), ("event_far_before_source", far), ("suspect_year", critical), ("event_after_source", after)]
+    missing = F.col("event_date").isNull()
+    status = (
+        F.when(missing, "missing_event_date").when(critical, "suspect_year").when(conflict, "conflicting_event_dates").when(after, "event_after_source").when(far, "event_far_before_source").otherwise("valid")
+    )
+    flags = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named]))
+    return (
+        rows.withColumn("flags", F.when(missing, F.array(F.lit("missing_event_date"))).when(F.size(flags) == 0, F.array(F.lit("valid"))).otherwise(flags))
+        .withColumn("status", status)
+        .withColumn("severity", F.when(status == "suspect_year", "critical").when(status == "valid", "ok").otherwise("warning"))
+        .withColumn("include", ~missing & ~critical)
+        .withColumn("reprocess", ~missing & critical)
+        .withColumn("review", ~missing & (conflict | critical | review_far | after))
+    )
+
+
+TEMPORAL = {
+    "ledger": LEDGER,
+    "t1": r"SELECT *, TRY_CAST(nullif(regexp_extract(id, '(\d{4}-\d{2}-\d{2})$', 1), '') AS DATE) AS id_date FROM ledger",
+    "t2": "SELECT *, coalesce(inicio, id_date, fim) AS event_date, least(first_seen, observed_at) AS min_prov, greatest(first_seen, observed_at) AS max_prov FROM t1",
+    "t3": f"""SELECT *, (min_prov - event_date)::BIGINT AS gap,
+       coalesce(fim < inicio, false) OR coalesce(abs(inicio - id_date) > {YEAR_MISMATCH}, false) OR coalesce(abs(inicio - fim) > {YEAR_MISMATCH}, false) OR coalesce(abs(id_date - fim) > {YEAR_MISMATCH}, false) AS conflict,
+       coalesce(event_date - max_prov > {AFTER_TOLERANCE}, false) AS late FROM t2""",
+    "t4": f"SELECT *, coalesce(gap > {FAR_CRITICAL} AND inicio IS NULL, false) AS crit, coalesce(gap > {FAR_WARNING} AND NOT (gap > {FAR_CRITICAL} AND inicio IS NULL), false) AS far FROM t3",
+    "temporal": f"""SELECT *, CASE WHEN event_date IS NULL THEN 'missing_event_date' WHEN crit THEN 'suspect_year' WHEN conflict THEN 'conflicting_event_dates' WHEN late THEN 'event_after_source'
+       WHEN far THEN 'event_far_before_source' ELSE 'valid' END AS status, event_date IS NOT NULL AND NOT crit AS include, event_date IS NOT NULL AND crit AS reprocess,
+       event_date IS NOT NULL AND (conflict OR crit OR late OR coalesce(gap > {FAR_CRITICAL} AND inicio IS NOT NULL, false)) AS review FROM t4""",
+}
+_SEVERITY = "CASE status WHEN 'suspect_year' THEN 'critical' WHEN 'valid' THEN 'ok' ELSE 'warning' END"
+
+
+@query("q_temporal_quality", using(TEMPORAL, f"""
+SELECT id, event_date, gap, status, {_SEVERITY} AS severity, include, reprocess, review,
+       array_to_string(CASE WHEN event_date IS NULL THEN ['missing_event_date'] WHEN NOT (conflict OR far OR crit OR late) THEN ['valid'] ELSE
+         list_filter([CASE WHEN conflict THEN 'conflicting_event_dates' END, CASE WHEN far THEN 'event_far_before_source' END, CASE WHEN crit THEN 'suspect_year' END, CASE WHEN late THEN 'event_after_source' END], lambda x: x IS NOT NULL) END, ',') AS flags
+FROM temporal"""))
+def temporal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal(ledger(spark, sf_dir)).select("id", "event_date", "gap", "status", "severity", "include", "reprocess", "review", F.array_join("flags", ",").alias("flags"))
+
+
+@query("q_suspect_year", using(TEMPORAL, f"""
+SELECT id, gap, floor(gap / 365.0::DOUBLE + 0.5)::BIGINT AS years,
+       (floor(gap / 365.0::DOUBLE + 0.5) >= 1 AND abs(gap - floor(gap / 365.0::DOUBLE + 0.5) * 365) <= {YEAR_TOLERANCE}) OR gap > {SUSPECT_GAP} AS suspect FROM temporal WHERE event_date IS NOT NULL"""))
+def suspect_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gap is near whole years, or over a year."""
+    years = F.floor(F.col("gap") / F.lit(365.0) + F.lit(0.5)).cast("bigint")
+    rows = temporal(ledger(spark, sf_dir)).filter("event_date IS NOT NULL")
+    return rows.select("id", "gap", years.alias("years"), (((years >= 1) & (F.abs(F.col("gap") - years * 365) <= YEAR_TOLERANCE)) | (F.col("gap") > SUSPECT_GAP)).alias("suspect"))
+
+
+@query("q_dedup_key", using(TEMPORAL, """
+WITH k AS (SELECT concat_ws('|', origem, destino, tipo, percentual::BIGINT, 'w' || (floor((event_date - DATE '1970-01-01') / 7.0::DOUBLE)::BIGINT)::VARCHAR) AS dedup_key FROM temporal WHERE event_date IS NOT NULL)
+SELECT dedup_key, count(*) AS n FROM k GROUP BY dedup_key HAVING count(*) > 1"""))
+def dedup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    week = F.concat(F.lit("w"), F.floor(F.unix_date("event_date") / F.lit(7.0)).cast("bigint").cast("string"))
+    rows = temporal(ledger(spark, sf_dir)).filter("event_date IS NOT NULL")
+    return rows.groupBy(F.concat_ws("|", "origem", "destino", "tipo", F.col("percentual").cast("bigint"), week).alias("dedup_key")).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+_PAIR_COLUMNS = ["id", "percentual", "first_seen", "observed_at", "fonte", "publico", "severity", "event_date"]
+
+
+def pairs(rows: DataFrame) -> DataFrame:
+    """(a, b, score) of two different rows of one block.
+
+    A block is a product on a route: it does not grow with the corpus, as rows a
+    product stay about the same.  Rows equal in id are one row.
+    """
+    t = temporal(rows).dropDuplicates(["id"]).select("produto", "origem", "destino", *_PAIR_COLUMNS)
+    a = t.select("produto", "origem", "destino", *[F.col(c).alias(f"a_{c}") for c in _PAIR_COLUMNS])
+    b = t.select("produto", "origem", "destino", *[F.col(c).alias(f"b_{c}") for c in _PAIR_COLUMNS])
+    both = a.join(b, ["produto", "origem", "destino"]).filter("a_id < b_id")
+    gap = F.abs(F.col("a_percentual") - F.col("b_percentual"))
+    near = F.least(*[F.abs(F.datediff(f"a_{x}", f"b_{y}")) for x in ("first_seen", "observed_at") for y in ("first_seen", "observed_at")])
+    points = [
+        F.when(gap == 0, 2).when(gap <= 5, 1).otherwise(0),
+        F.when(near <= NEAR_PROVENANCE, 2).otherwise(0),
+        (F.col("a_publico") == F.col("b_publico")).cast("int"),
+        ((F.col("a_publico") == F.col("b_publico")) & (F.col("a_fonte") == F.col("b_fonte"))).cast("int"),
+        F.when((F.col("a_severity") == "critical") != (F.col("b_severity") == "critical"), 3).otherwise(0),
+        F.coalesce((F.abs(F.datediff("a_event_date", "b_event_date")) > YEAR_MISMATCH).cast("int"), F.lit(0)),
+    ]
+    score = points[0]
+    for p in points[1:]:
+        score = score + p
+    return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), score.cast("bigint").alias("score"))
+
+
+PAIRS = {
+    **TEMPORAL,
+    "one": f"SELECT *, {_SEVERITY} AS severity FROM temporal QUALIFY row_number() OVER (PARTITION BY id) = 1",
+    "pairs": f"""SELECT a.id AS a, b.id AS b, (CASE WHEN a.percentual = b.percentual THEN 2 WHEN abs(a.percentual - b.percentual) <= 5 THEN 1 ELSE 0 END
+       + CASE WHEN least(abs(a.first_seen - b.first_seen), abs(a.first_seen - b.observed_at), abs(a.observed_at - b.first_seen), abs(a.observed_at - b.observed_at)) <= {NEAR_PROVENANCE} THEN 2 ELSE 0 END
+       + CASE WHEN a.publico = b.publico THEN 1 ELSE 0 END + CASE WHEN a.publico = b.publico AND a.fonte = b.fonte THEN 1 ELSE 0 END
+       + CASE WHEN (a.severity = 'critical') <> (b.severity = 'critical') THEN 3 ELSE 0 END
+       + CASE WHEN abs(a.event_date - b.event_date) > {YEAR_MISMATCH} THEN 1 ELSE 0 END)::BIGINT AS score
+       FROM one a JOIN one b ON a.produto = b.produto AND a.origem = b.origem AND a.destino = b.destino AND a.id < b.id""",
+}
+
+
+@query("q_pair_score", using(PAIRS, "SELECT a, b, score FROM pairs"))
+def pair_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(ledger(spark, sf_dir))
+
+
+@query("q_pair_block_join", using(PAIRS, "SELECT produto, a.origem, a.destino, count(*) AS pairs FROM pairs JOIN one a ON pairs.a = a.id GROUP BY ALL"))
+def pair_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs in each block, from the block sizes alone."""
+    n = F.count_distinct("id")
+    return ledger(spark, sf_dir).groupBy("produto", "origem", "destino").agg((n * (n - 1) / 2).cast("bigint").alias("pairs")).filter("pairs > 0")
+
+
+def clusters(rows: DataFrame) -> DataFrame:
+    """(id, root, n, score, status) of rows in clusters of two or more."""
+    edges = written(pairs(rows).filter(F.col("score") >= POSSIBLE))
+    roots = components(edges)
+    best = edges.join(roots.withColumnRenamed("id", "a"), "a").groupBy("root").agg(F.max("score").alias("score"))
+    size = roots.groupBy("root").agg(F.count("*").alias("n"))
+    status = F.when(F.col("score") >= PROBABLE, "probable_duplicate").otherwise("possible_duplicate")
+    return roots.join(size, "root").join(best, "root").select("id", "root", "n", "score", status.alias("status"))
+
+
+CLUSTERS = {
+    **PAIRS,
+    "edges": f"SELECT * FROM pairs WHERE score >= {POSSIBLE}",
+    "reach": "SELECT a AS id, b AS r FROM edges UNION SELECT b, a FROM edges UNION SELECT reach.id, CASE WHEN e.a = reach.r THEN e.b ELSE e.a END FROM reach JOIN edges e ON e.a = reach.r OR e.b = reach.r",
+    "roots": "SELECT id, least(id, min(r)) AS root FROM reach GROUP BY id",
+    "clusters": f"""SELECT id, root, count(*) OVER (PARTITION BY root) AS n, score, CASE WHEN score >= {PROBABLE} THEN 'probable_duplicate' ELSE 'possible_duplicate' END AS status
+       FROM roots JOIN (SELECT root, max(score) AS score FROM edges JOIN roots ON edges.a = roots.id GROUP BY root) USING (root)""",
+}
+
+
+@query("q_dup_clusters", using(CLUSTERS, "SELECT id, root, n, score, status FROM clusters"))
+def dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(ledger(spark, sf_dir))
+
+
+@query("q_eligibility", using(CLUSTERS, """
+SELECT CASE WHEN origem = destino THEN 'placeholder_program' WHEN include THEN 'eligible' WHEN c.status = 'probable_duplicate' THEN o.status || '+probable_duplicate' ELSE o.status END AS outcome,
+       count(*) AS n, count(*) FILTER (WHERE review) AS to_review
+FROM one o LEFT JOIN clusters c USING (id) GROUP BY 1"""))
+def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A probable duplicate is excluded only where its date is inadmissible too; a route onto itself stands for a placeholder."""
+    rows = temporal(ledger(spark, sf_dir)).dropDuplicates(["id"])
+    dup = clusters(ledger(spark, sf_dir)).select("id", F.col("status").alias("dup"))
+    outcome = (
+        F.when(F.col("origem") == F.col("destino"), F.lit("placeholder_program"))
+        .when(F.col("include"), F.lit("eligible"))
+        .when(F.col("dup") == "probable_duplicate", F.concat("status", F.lit("+probable_duplicate")))
+        .otherwise(F.col("status"))
+    )
+    return rows.join(dup, "id", "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"), F.count_if("review").alias("to_review"))
