@@ -1 +1,171 @@
-"""To come."""
+"""Radar: forecast and prediction of a series put together with its quality, its status, health and queues."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.operators.graph import written
+from granary.plans.forecast import FORECASTS, PREDICTIONS, eligible, forecasts, predictions
+from granary.plans.quality import temporal
+from granary.registry import query, using
+from granary.sources.tables import AS_OF, as_of, half_up, ledger
+
+OPPORTUNITY_DAYS = 30
+BLOCKED = ("dataset_incomplete", "data_quality_blocked", "duplicate_review", "insufficient_history", "no_prediction")
+
+
+def divergence(days: Column, overlap: Column) -> Column:
+    """compatible, warning, review, block by 14, 30 and 60 days; one step less where the windows overlap."""
+    step = F.when(days <= 14, 0).when(days <= 30, 1).when(days <= 60, 2).otherwise(3)
+    eased = F.when(overlap & (step > 0), step - 1).otherwise(step)
+    return F.when(days.isNull(), "none").otherwise(F.element_at(F.array(*map(F.lit, ("compatible", "warning", "review", "block"))), eased + 1))
+
+
+def radar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a series: full outer join of both engines and left join of the counts of critical rows."""
+    rows = eligible(spark, sf_dir)
+    f = forecasts(rows).select("scope", "route", "samples", "confidence", "typical", "window_start", "window_end", "block_reason", "requires_review")
+    p = predictions(rows)
+    crit = temporal(ledger(spark, sf_dir)).filter("origem <> destino AND severity = 'critical' AND gap > 2200")
+    crit = crit.select(F.explode(F.array(F.struct(F.lit("route").alias("scope"), F.concat("origem", F.lit("→"), "destino").alias("route")))).alias("s")).groupBy("s.scope", "s.route").agg(F.count("*").alias("critical"))
+    both = f.join(p, ["scope", "route"], "full_outer").join(crit, ["scope", "route"], "left").na.fill({"critical": 0})
+    return written(both)
+
+
+def with_status(both: DataFrame) -> DataFrame:
+    center = F.date_add("window_start", F.floor(F.datediff("window_end", "window_start") / 2).cast("int"))
+    days = F.abs(F.datediff(center, "central_date")).cast("bigint")
+    overlap = (F.col("window_start") <= F.col("p_end")) & (F.col("p_start") <= F.col("window_end"))
+    rows = both.withColumn("divergence_days", days).withColumn("divergence", divergence(days, F.coalesce(overlap, F.lit(False))))
+    ok = F.col("block_reason").isNull() & F.col("confidence").isNotNull()
+    short = (F.col("readiness") == "insufficient_history") | F.col("block_reason").like("historico_insuficiente%") | (F.col("confidence") == "em-formacao")
+    ahead = F.datediff(F.coalesce("p_start", "window_start"), as_of())
+    good = F.coalesce("p_confidence", "confidence").isin("alta", "media")
+    status = (
+        F.when(F.col("critical") > 0, "data_quality_blocked")
+        .when(F.coalesce(short, F.lit(False)), "insufficient_history")
+        .when(F.coalesce(F.col("requires_review"), F.lit(False)) | F.col("divergence").isin("review", "block"), "review_required")
+        .when(~ok, "no_prediction")
+        .when(good & ahead.between(0, OPPORTUNITY_DAYS) & F.coalesce(F.col("readiness") != "insufficient_history", F.lit(True)), "opportunity")
+        .otherwise("monitoring")
+    )
+    return rows.withColumn("status", status).withColumn("editorial_eligible", ok)
+
+
+RADAR = {
+    **FORECASTS,
+    **{k: v for k, v in PREDICTIONS.items() if k not in FORECASTS},
+    "crit": "SELECT 'route' AS scope, origem || '→' || destino AS route, count(*) AS critical FROM temporal WHERE origem <> destino AND status = 'suspect_year' AND gap > 2200 GROUP BY ALL",
+    "r1": """SELECT *, coalesce(critical, 0) AS crits, abs(window_start + ((window_end - window_start) // 2)::INTEGER - central_date)::BIGINT AS divergence_days,
+       coalesce(window_start <= p_end AND p_start <= window_end, false) AS overlap FROM forecast FULL JOIN prediction USING (scope, route) LEFT JOIN crit USING (scope, route)""",
+    "r2": "SELECT *, CASE WHEN divergence_days <= 14 THEN 0 WHEN divergence_days <= 30 THEN 1 WHEN divergence_days <= 60 THEN 2 ELSE 3 END AS step FROM r1",
+    "r3": "SELECT *, CASE WHEN divergence_days IS NULL THEN 'none' ELSE ['compatible', 'warning', 'review', 'block'][CASE WHEN overlap AND step > 0 THEN step - 1 ELSE step END + 1] END AS divergence, block_reason IS NULL AND confidence IS NOT NULL AS editorial_eligible FROM r2",
+    "radar": f"""SELECT *, CASE WHEN crits > 0 THEN 'data_quality_blocked'
+       WHEN coalesce(readiness = 'insufficient_history' OR block_reason LIKE 'historico_insuficiente%' OR confidence = 'em-formacao', false) THEN 'insufficient_history'
+       WHEN coalesce(requires_review, false) OR divergence IN ('review', 'block') THEN 'review_required' WHEN NOT editorial_eligible THEN 'no_prediction'
+       WHEN coalesce(p_confidence, confidence) IN ('alta', 'media') AND coalesce(p_start, window_start) - DATE '{AS_OF}' BETWEEN 0 AND {OPPORTUNITY_DAYS} AND coalesce(readiness <> 'insufficient_history', true) THEN 'opportunity' ELSE 'monitoring' END AS status FROM r3""",
+}
+
+
+@query("q_radar_status", using(RADAR, "SELECT scope, route, divergence_days, divergence, status, editorial_eligible FROM radar"))
+def radar_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only gaps of over 2,200 days count as open data-quality cases here, as nearly every synthetic route has lesser ones."""
+    return with_status(radar(spark, sf_dir)).select("scope", "route", "divergence_days", "divergence", "status", "editorial_eligible")
+
+
+@query("q_radar_health", using(RADAR, f"""
+SELECT count(*) AS series_total, count(*) FILTER (WHERE editorial_eligible) AS series_eligible, count(*) FILTER (WHERE status IN {BLOCKED}) AS series_blocked,
+       count(*) FILTER (WHERE divergence IN ('review', 'block')) AS divergences, sum(crits)::BIGINT AS critical_rows,
+       (max((crits > 0)::INT) + max((divergence IN ('review', 'block'))::INT))::BIGINT AS alerts FROM radar"""))
+def radar_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = F.col("divergence").isin("review", "block")
+    return with_status(radar(spark, sf_dir)).agg(
+        F.count("*").alias("series_total"), F.count_if("editorial_eligible").alias("series_eligible"), F.count_if(F.col("status").isin(*BLOCKED)).alias("series_blocked"), F.count_if(split).alias("divergences"),
+        F.sum("critical").alias("critical_rows"), (F.max((F.col("critical") > 0).cast("int")) + F.max(split.cast("int"))).cast("bigint").alias("alerts"),
+    )
+
+
+@query("q_radar_queues", using(RADAR, f"""
+WITH q AS (SELECT scope, route, unnest([CASE WHEN status = 'opportunity' AND editorial_eligible THEN 'opportunities' END,
+  CASE WHEN status = 'review_required' OR divergence IN ('review', 'block') THEN 'review' END, CASE WHEN status IN {BLOCKED} OR block_reason LIKE 'intervalo_extremo%' OR block_reason LIKE 'horizonte_excedido%' THEN 'blocked' END,
+  CASE WHEN crits > 0 THEN 'suspects' END, CASE WHEN status = 'insufficient_history' THEN 'insufficient' END, CASE WHEN status = 'no_prediction' THEN 'no_prediction' END]) AS queue FROM radar)
+SELECT queue, scope, route FROM q WHERE queue IS NOT NULL"""))
+def radar_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series can be in several queues; memberships are exploded."""
+    status, block = F.col("status"), F.coalesce("block_reason", F.lit(""))
+    member = [
+        ("opportunities", (status == "opportunity") & F.col("editorial_eligible")),
+        ("review", (status == "review_required") | F.col("divergence").isin("review", "block")),
+        ("blocked", status.isin(*BLOCKED) | block.like("intervalo_extremo%") | block.like("horizonte_excedido%")),
+        ("suspects", F.col("critical") > 0),
+        ("insufficient", status == "insufficient_history"),
+        ("no_prediction", status == "no_prediction"),
+    ]
+    return with_status(radar(spark, sf_dir)).select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in member]))).alias("queue"), "scope", "route")
+
+
+@query("q_full_outer_compose", using(RADAR, """
+SELECT scope, route, forecast.route IS NOT NULL AS in_forecast, prediction.route IS NOT NULL AS in_prediction, samples, n FROM forecast FULL JOIN (SELECT * FROM prediction WHERE readiness = 'ready_with_warnings') prediction USING (scope, route)"""))
+def full_outer_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = eligible(spark, sf_dir)
+    f = forecasts(rows).select("scope", "route", "samples", F.lit(True).alias("f"))
+    p = predictions(rows).select("scope", "route", "n", "readiness")
+    p = written(p).filter("readiness = 'ready_with_warnings'").select("scope", "route", "n", F.lit(True).alias("p"))
+    return f.join(p, ["scope", "route"], "full_outer").select("scope", "route", F.coalesce("f", F.lit(False)).alias("in_forecast"), F.coalesce("p", F.lit(False)).alias("in_prediction"), "samples", "n")
+
+
+@query("q_override_apply", using(FORECASTS, """
+WITH o AS (SELECT 'route' AS scope, a.n_name || '→' || b.n_name AS route, (a.n_nationkey + b.n_nationkey) % 3 = 0 AS muted, a.n_nationkey = b.n_regionkey AS pinned FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey)
+SELECT scope, route, confidence, coalesce(pinned, false) AS pinned, coalesce(muted, false) AS muted FROM forecast LEFT JOIN o USING (scope, route)"""))
+def override_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manual overrides by scope and route; here derived from nations that share a region."""
+    from granary.sources.tables import table
+
+    a, b = table(spark, sf_dir, "nation").alias("a"), table(spark, sf_dir, "nation").alias("b")
+    o = a.join(b, F.col("a.n_regionkey") == F.col("b.n_regionkey")).select(
+        F.lit("route").alias("scope"), F.concat("a.n_name", F.lit("→"), "b.n_name").alias("route"), ((F.col("a.n_nationkey") + F.col("b.n_nationkey")) % 3 == 0).alias("muted"), (F.col("a.n_nationkey") == F.col("b.n_regionkey")).alias("pinned")
+    )
+    f = forecasts(eligible(spark, sf_dir)).select("scope", "route", "confidence")
+    return f.join(o, ["scope", "route"], "left").select("scope", "route", "confidence", F.coalesce("pinned", F.lit(False)).alias("pinned"), F.coalesce("muted", F.lit(False)).alias("muted"))
+
+
+@query("q_radar_consistency", using(FORECASTS, """
+WITH p AS (SELECT upper(route) AS label, (typical + length(route) % 2)::BIGINT AS value FROM forecast WHERE length(route) % 5 <> 0)
+SELECT f.scope, f.route, CASE WHEN p.label IS NULL THEN 'missing' WHEN value <> typical THEN 'differing' ELSE 'equal' END AS state FROM forecast f LEFT JOIN p ON p.label = upper(f.route)"""))
+def radar_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published values (here some missing, some off by one) against the current forecast, by normalised label."""
+    f = forecasts(eligible(spark, sf_dir)).select("scope", "route", "typical")
+    p = f.filter(F.length("route") % 5 != 0).select(F.upper("route").alias("label"), (F.col("typical") + F.length("route") % 2).alias("value"))
+    state = F.when(F.col("label").isNull(), "missing").when(F.col("value") != F.col("typical"), "differing").otherwise("equal")
+    return f.join(p, F.upper("route") == F.col("label"), "left").select("scope", "route", state.alias("state"))
+
+
+@query("q_format_window", using(FORECASTS, """
+WITH m AS (SELECT scope, route, window_start AS a, window_end AS b, ['jan', 'fev', 'mar', 'abr', 'mai', 'jun', 'jul', 'ago', 'set', 'out', 'nov', 'dez'] AS n FROM forecast WHERE window_start IS NOT NULL)
+SELECT scope, route, CASE WHEN year(a) <> year(b) THEN day(a) || ' ' || n[month(a)] || ' ' || year(a) || ' a ' || day(b) || ' ' || n[month(b)] || ' ' || year(b)
+  WHEN month(a) <> month(b) THEN day(a) || ' ' || n[month(a)] || ' a ' || day(b) || ' ' || n[month(b)] ELSE day(a) || ' a ' || day(b) || ' ' || n[month(b)] END AS label FROM m"""))
+def format_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    months = F.array(*map(F.lit, ("jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez")))
+    a, b = F.col("window_start"), F.col("window_end")
+    name = lambda d: F.element_at(months, F.month(d))
+    date = lambda d: F.concat(F.dayofmonth(d), F.lit(" "), name(d))
+    to = F.lit(" a ")
+    label = (
+        F.when(F.year(a) != F.year(b), F.concat(date(a), F.lit(" "), F.year(a), to, date(b), F.lit(" "), F.year(b)))
+        .when(F.month(a) != F.month(b), F.concat(date(a), to, date(b)))
+        .otherwise(F.concat(F.dayofmonth(a), to, date(b)))
+    )
+    return forecasts(eligible(spark, sf_dir)).filter("samples >= 2").select("scope", "route", label.alias("label"))
+
+
+@query("q_interval_overlap", using(FORECASTS, """
+SELECT r.route, c.route AS cluster, (least(r.window_end, c.window_end) - greatest(r.window_start, c.window_start))::BIGINT AS days
+FROM forecast r JOIN forecast c ON c.scope = 'cluster' AND r.scope = 'route' AND c.route = '→' || string_split(r.route, '→')[2] AND r.window_start <= c.window_end AND c.window_start <= r.window_end"""))
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a route and its cluster that intersect: an equality on the target carries the range condition."""
+    f = written(forecasts(eligible(spark, sf_dir)))
+    r = f.filter("scope = 'route'").select("route", F.concat(F.lit("→"), F.element_at(F.split("route", "→"), 2)).alias("cluster"), F.col("window_start").alias("a"), F.col("window_end").alias("b"))
+    c = f.filter("scope = 'cluster'").select(F.col("route").alias("cluster"), F.col("window_start").alias("x"), F.col("window_end").alias("y"))
+    both = r.join(c, "cluster").filter("a <= y AND x <= b")
+    return both.select("route", "cluster", F.datediff(F.least("b", "y"), F.greatest("a", "x")).cast("bigint").alias("days"))

@@ -1 +1,227 @@
-"""To come."""
+"""Explainable composite score: components, shrinkage, redistribution, overrides, buckets, anomalies."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from granary.registry import query, using
+from granary.sources.tables import LEDGER, half_up, ledger, round_to, table
+
+# The weight vector and the bands.
+WEIGHTS = {"percentil": 0.45, "eficiencia": 0.30, "raridade": 0.15, "abrangencia": 0.10}
+SHRINK, MIN_SAMPLES = 5, 3
+RARITY = ((2, 0.85), (5, 0.65), (20, 0.45), (50, 0.25))
+RARITY_COMMON = 0.10
+REACH = {"BUILDING": 1.0, "AUTOMOBILE": 0.7, "MACHINERY": 0.5, "HOUSEHOLD": 0.3}
+BANDS = ((85, "Vale agir"), (70, "Vale olhar"), (55, "Só para casos específicos"), (40, "Esperaria"))
+LOWEST, UNCONFIRMED = "Evitaria", "Não confirmado"
+
+
+def midrank(rows: DataFrame, keys: list[str], value: str, out: str, n: str) -> DataFrame:
+    """Adds the mid-rank (below + half of the ties) / n of value within keys.
+
+    Ranks are summed over distinct values, so a group's rows are pre-aggregated and
+    never sorted in one task; only its distinct values are.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    up = Window.partitionBy(*keys).orderBy(value)
+    ranked = counts.select(*keys, value, ((F.sum("c").over(up) - F.col("c") * 0.5) / F.sum("c").over(Window.partitionBy(*keys))).alias(out), F.sum("c").over(Window.partitionBy(*keys)).alias(n))
+    return rows.join(ranked, [*keys, value], "left")
+
+
+@query("q_ecdf_midrank", using({"ledger": LEDGER}, """
+WITH c AS (SELECT origem, destino, percentual, count(*) AS c FROM ledger GROUP BY ALL)
+SELECT origem, destino, percentual, round((sum(c) OVER (PARTITION BY origem, destino ORDER BY percentual) - c * 0.5) / sum(c) OVER (PARTITION BY origem, destino), 9) AS midrank,
+       (sum(c) OVER (PARTITION BY origem, destino))::BIGINT AS n FROM c"""))
+def ecdf_midrank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger(spark, sf_dir).select("origem", "destino", "percentual")
+    return midrank(rows, ["origem", "destino"], "percentual", "midrank", "n").select("origem", "destino", "percentual", F.round("midrank", 9).alias("midrank"), "n").distinct()
+
+
+def cost(rows: DataFrame) -> DataFrame:
+    """Adds cpm: value a thousand units, whole cents; null for the last programme."""
+    return rows.withColumn("cpm", F.when(F.col("tier") < 3, F.floor(F.col("valor") / F.col("quantidade") * 100) / 100))
+
+
+def inverse_ecdf(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds 1 - mid-rank of value over all rows.
+
+    There is no key, so prefix sums go over ranges of values first (borders by an
+    approximate quantile, which only balances the ranges) and then within ranges:
+    no task sorts the whole table.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
+    borders = counts.agg(F.percentile_approx(value, [i / 128 for i in range(1, 128)], 10_000).alias("b"), F.sum("c").alias("total"))
+    ranged = counts.join(F.broadcast(borders)).withColumn("r", F.size(F.filter("b", lambda x: x < F.col(value)))).drop("b")
+    sums = ranged.groupBy("r").agg(F.sum("c").alias("s"))
+    sums = sums.select("r", (F.sum("s").over(Window.orderBy("r")) - F.col("s")).alias("before"))  # 128 rows
+    within = F.sum("c").over(Window.partitionBy("r").orderBy(value)) - F.col("c") * 0.5
+    ranked = ranged.join(F.broadcast(sums), "r").select(value, (1 - (F.col("before") + within) / F.col("total")).alias(out))
+    return rows.join(ranked, value, "left")
+
+
+COST = {"ledger": LEDGER, "cost": "SELECT *, CASE WHEN tier < 3 THEN floor(valor / quantidade * 100) / 100 END AS cpm FROM ledger"}
+EFFICIENCY = {
+    **COST,
+    "ec": "SELECT cpm, count(*) AS c FROM cost WHERE cpm IS NOT NULL GROUP BY cpm",
+    "eff": "SELECT cpm, 1 - (sum(c) OVER (ORDER BY cpm) - c * 0.5::DOUBLE) / sum(c) OVER () AS eficiencia FROM ec",
+}
+
+
+@query("q_efficiency", using(EFFICIENCY, "SELECT id, cpm, round(eficiencia, 9) AS eficiencia FROM cost LEFT JOIN eff USING (cpm)"))
+def efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inverse_ecdf(cost(ledger(spark, sf_dir)), "cpm", "eficiencia").select("id", "cpm", F.round("eficiencia", 9).alias("eficiencia"))
+
+
+def rarity(n: Column) -> Column:
+    out = None
+    for most, value in RARITY:
+        out = F.when(n <= most, value) if out is None else out.when(n <= most, value)
+    return out.otherwise(RARITY_COMMON)
+
+
+def reach(publico: Column) -> Column:
+    out = F.lit(None).cast("double")
+    for name, value in reversed(REACH.items()):
+        out = F.when(publico == name, value).otherwise(out)
+    return out
+
+
+def components(rows: DataFrame) -> DataFrame:
+    """Adds percentil (and base_n), eficiencia, raridade and abrangencia; the history of a row is its route and product kind."""
+    keys = ["origem", "destino", "tipo"]
+    rows = midrank(cost(rows), keys, "percentual", "percentil", "base_n")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("route_n"))
+    rows = inverse_ecdf(rows, "cpm", "eficiencia").join(sizes, keys)
+    return rows.withColumn("raridade", rarity(F.col("route_n"))).withColumn("abrangencia", reach(F.col("publico")))
+
+
+_RARITY = "CASE " + " ".join(f"WHEN route_n <= {m} THEN {v}::DOUBLE" for m, v in RARITY) + f" ELSE {RARITY_COMMON}::DOUBLE END"
+_REACH = "CASE publico " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in REACH.items()) + " END"
+_BAND = "CASE " + " ".join(f"WHEN bruto >= {m} THEN '{n}'" for m, n in BANDS) + f" ELSE '{LOWEST}' END"
+COMPONENTS = {
+    **EFFICIENCY,
+    "pc": "SELECT origem, destino, tipo, percentual, count(*) AS c FROM cost GROUP BY ALL",
+    "pr": "SELECT origem, destino, tipo, percentual, (sum(c) OVER (PARTITION BY origem, destino, tipo ORDER BY percentual) - c * 0.5::DOUBLE) / sum(c) OVER (PARTITION BY origem, destino, tipo) AS percentil, (sum(c) OVER (PARTITION BY origem, destino, tipo))::BIGINT AS base_n FROM pc",
+    "comp": f"SELECT cost.*, percentil, base_n, eficiencia, {_RARITY} AS raridade, {_REACH} AS abrangencia FROM (SELECT *, count(*) OVER (PARTITION BY origem, destino, tipo) AS route_n FROM cost) cost LEFT JOIN pr USING (origem, destino, tipo, percentual) LEFT JOIN eff USING (cpm)",
+    "sc1": f"""SELECT *, (percentil * base_n + 0.5 * {SHRINK}) / (base_n + {SHRINK}) AS p_used, CASE WHEN eficiencia IS NULL THEN 0 ELSE {WEIGHTS['eficiencia']} END AS we, CASE WHEN abrangencia IS NULL THEN 0 ELSE {WEIGHTS['abrangencia']} END AS wa FROM comp""",
+    "sc2": f"""SELECT *, floor((({WEIGHTS['percentil']}::DOUBLE * p_used + we::DOUBLE * coalesce(eficiencia, 0) + {WEIGHTS['raridade']}::DOUBLE * raridade + wa::DOUBLE * coalesce(abrangencia, 0))
+       / ({WEIGHTS['percentil']}::DOUBLE + we::DOUBLE + {WEIGHTS['raridade']}::DOUBLE + wa::DOUBLE)) * 100 + 0.5 + 1e-9)::BIGINT AS bruto FROM sc1""",
+    "score": f"""SELECT *, {_BAND} AS veredito_bruto, base_n < {MIN_SAMPLES} AS base_curta, CASE WHEN fonte = 'O' AND eficiencia IS NULL THEN 'conta_nao_calculavel' WHEN tier <> 1 THEN 'sem_tier1' END AS override FROM sc2""",
+}
+
+
+@query("q_score_components", using(COMPONENTS, "SELECT id, round(percentil, 9) AS percentil, base_n, round(eficiencia, 9) AS eficiencia, raridade, abrangencia FROM comp"))
+def score_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(ledger(spark, sf_dir)).select("id", F.round("percentil", 9).alias("percentil"), "base_n", F.round("eficiencia", 9).alias("eficiencia"), "raridade", "abrangencia")
+
+
+def shrunk(p: Column, n: Column) -> Column:
+    return (p * n + F.lit(0.5) * SHRINK) / (n + SHRINK)
+
+
+def weighted(values: dict[str, Column]) -> Column:
+    """Weighted mean over the components that are present: a missing one gives its weight to the others."""
+    parts = F.array(*[F.struct(F.lit(WEIGHTS[k]).alias("w"), v.cast("double").alias("v")) for k, v in values.items()])
+    there = F.filter(parts, lambda x: x["v"].isNotNull())
+    total = F.aggregate(there, F.lit(0.0), lambda a, x: a + x["w"])
+    return F.when(total > 0, F.aggregate(there, F.lit(0.0), lambda a, x: a + x["w"] * x["v"]) / total).otherwise(0.0)
+
+
+def band(score: Column) -> Column:
+    out = None
+    for low, name in BANDS:
+        out = F.when(score >= low, name) if out is None else out.when(score >= low, name)
+    return out.otherwise(LOWEST)
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """Adds bruto, veredito_bruto, override, veredito and base_curta; of two overrides the missing value comes first."""
+    values = {k: F.col(k) for k in WEIGHTS} | {"percentil": shrunk(F.col("percentil"), F.col("base_n"))}
+    # a tiny nudge keeps exact halves on one side whatever the order of summation
+    rows = rows.withColumn("bruto", F.floor(weighted(values) * 100 + F.lit(0.5) + F.lit(1e-9)).cast("bigint"))
+    no_value = (F.col("fonte") == "O") & F.col("eficiencia").isNull()
+    rows = rows.withColumn("veredito_bruto", band(F.col("bruto"))).withColumn("override", F.when(no_value, "conta_nao_calculavel").when(F.col("tier") != 1, "sem_tier1"))
+    return rows.withColumn("veredito", F.when(F.col("override").isNull(), F.col("veredito_bruto")).otherwise(UNCONFIRMED)).withColumn("base_curta", F.col("base_n") < MIN_SAMPLES)
+
+
+@query("q_score", using(COMPONENTS, f"SELECT id, bruto, veredito_bruto, override, CASE WHEN override IS NULL THEN veredito_bruto ELSE '{UNCONFIRMED}' END AS veredito, base_curta FROM score"))
+def score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On the staging ledger every row has a percentile, so open orders without a cost stand for rows without a value."""
+    return scored(components(ledger(spark, sf_dir))).select("id", "bruto", "veredito_bruto", "override", "veredito", "base_curta")
+
+
+@query("q_distribution", using(COMPONENTS, "SELECT 'veredito' AS kind, veredito_bruto AS value, count(*) AS n FROM score GROUP BY 2 UNION ALL SELECT 'override', coalesce(override, 'nenhum'), count(*) FROM score GROUP BY 2"))
+def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = lambda k, v: F.struct(F.lit(k).alias("kind"), v.alias("value"))
+    s = scored(components(ledger(spark, sf_dir)))
+    return s.select(F.explode(F.array(pair("veredito", F.col("veredito_bruto")), pair("override", F.coalesce("override", F.lit("nenhum"))))).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
+
+
+BUCKETS = {**COMPONENTS, "bk": "SELECT *, coalesce(override = 'conta_nao_calculavel', false) AS beco, bruto >= 70 AS alto, tier = 1 AS t1, origem IN ('NATION_1', 'NATION_2', 'NATION_3') OR destino IN ('NATION_1', 'NATION_2', 'NATION_3') AS alcance FROM score"}
+
+
+def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored(components(ledger(spark, sf_dir)))
+    dead, high, t1 = F.coalesce(F.col("override") == "conta_nao_calculavel", F.lit(False)), F.col("bruto") >= 70, F.col("tier") == 1
+    crawl = F.col("origem").isin("NATION_1", "NATION_2", "NATION_3") | F.col("destino").isin("NATION_1", "NATION_2", "NATION_3")
+    return s.withColumn("b1", ~dead & high & ~t1).withColumn("b2", dead).withColumn("b3", ~dead & ~high & ~t1).withColumn("b4", ~dead & high & crawl).withColumn("ready", ~dead & high & t1)
+
+
+@query("q_score_buckets", using(BUCKETS, """
+SELECT origem AS programa, count(*) AS n, count(*) FILTER (WHERE NOT beco AND alto AND NOT t1) AS b1, count(*) FILTER (WHERE beco) AS b2, count(*) FILTER (WHERE NOT beco AND NOT alto AND NOT t1) AS b3,
+       count(*) FILTER (WHERE NOT beco AND alto AND alcance) AS b4, count(*) FILTER (WHERE NOT beco AND alto AND t1) AS publishable FROM bk GROUP BY origem"""))
+def score_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bucketed(spark, sf_dir)
+    return b.groupBy(F.col("origem").alias("programa")).agg(F.count("*").alias("n"), *[F.count_if(k).alias(k) for k in ("b1", "b2", "b3", "b4")], F.count_if("ready").alias("publishable"))
+
+
+@query("q_anomalies", using(BUCKETS, """
+WITH ax AS (SELECT 'origem' AS eixo, origem AS programa, * FROM bk UNION ALL SELECT 'destino', destino, * FROM bk),
+g AS (SELECT eixo, programa, count(*) AS n, count(*) FILTER (WHERE beco) AS beco, count(*) FILTER (WHERE NOT beco) AS computavel, count(DISTINCT bruto) FILTER (WHERE NOT beco) AS distintos,
+             count(*) FILTER (WHERE NOT beco AND bruto >= 85) AS altos, count(*) FILTER (WHERE origem = destino AND tipo = '1-URGENT') AS self_loops FROM ax GROUP BY ALL)
+SELECT eixo, programa, n, beco, computavel, distintos, self_loops, n >= 5 AND (beco >= 0.9 * n OR (computavel >= 5 AND (distintos <= 1 OR altos >= 0.9 * computavel))) AS anomalous FROM g"""))
+def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both axes in one pass: each row is exploded to its origin and its target."""
+    axis = lambda k: F.struct(F.lit(k).alias("eixo"), F.col(k).alias("programa"))
+    b = _bucketed(spark, sf_dir).select(F.explode(F.array(axis("origem"), axis("destino"))).alias("x"), "b2", "bruto", (F.col("origem") == F.col("destino")).alias("loop"), "tipo")
+    live = ~F.col("b2")
+    g = b.groupBy("x.eixo", "x.programa").agg(
+        F.count("*").alias("n"), F.count_if("b2").alias("beco"), F.count_if(live).alias("computavel"), F.count_distinct(F.when(live, F.col("bruto"))).alias("distintos"),
+        F.count_if(live & (F.col("bruto") >= 85)).alias("altos"), F.count_if(F.col("loop") & (F.col("tipo") == "1-URGENT")).alias("self_loops"),
+    )
+    odd = (F.col("n") >= 5) & ((F.col("beco") >= 0.9 * F.col("n")) | ((F.col("computavel") >= 5) & ((F.col("distintos") <= 1) | (F.col("altos") >= 0.9 * F.col("computavel")))))
+    return g.select("eixo", "programa", "n", "beco", "computavel", "distintos", "self_loops", odd.alias("anomalous"))
+
+
+@query("q_score_single_side", using({"ledger": LEDGER}, """
+WITH l AS (SELECT *, count(percentual) OVER (PARTITION BY tipo, produto) AS n, rank() OVER (PARTITION BY tipo, produto ORDER BY percentual) - 1 AS below, count(*) OVER (PARTITION BY tipo, produto, percentual) AS ties FROM ledger)
+SELECT id, CASE WHEN n >= 3 THEN round((below + 0.5 * ties) / n, 9) ELSE 0.5 END AS percentil, CASE WHEN n >= 3 THEN n ELSE 0 END AS base_n FROM l"""))
+def score_single_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Population by kind and product; with fewer than three rows neutral: 0.5 on a base of 0."""
+    r = midrank(ledger(spark, sf_dir), ["tipo", "produto"], "percentual", "p", "n")
+    return r.select("id", F.when(F.col("n") >= 3, F.round("p", 9)).otherwise(0.5).alias("percentil"), F.when(F.col("n") >= 3, F.col("n")).otherwise(0).cast("bigint").alias("base_n"))
+
+
+# Weights of the eight criteria of the older score.
+CRITERIA = (20, 20, 15, 15, 10, 10, 5, 5)
+_CRIT = " + ".join(f"{w} * ((p_partkey * {i + 3}) % 11)" for i, w in enumerate(CRITERIA))
+
+
+@query("q_weighted_check", f"SELECT p_partkey, floor(({_CRIT}) / 10.0::DOUBLE + 0.5)::BIGINT AS score, abs(floor(({_CRIT}) / 10.0::DOUBLE + 0.5) - p_size * 2) <= 1 AS reconciles FROM part")
+def weighted_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted sum of eight marks (0 to 10) against a stated score, within one point."""
+    total = F.lit(0)
+    for i, w in enumerate(CRITERIA):
+        total = total + w * ((F.col("p_partkey") * (i + 3)) % 11)
+    s = half_up(total / 10)
+    return table(spark, sf_dir, "part").select("p_partkey", s.alias("score"), (F.abs(s - F.col("p_size") * 2) <= 1).alias("reconciles"))
+
+
+@query("q_automation_score", "SELECT p_partkey, floor((least(0.5, (p_size % 8) * 0.1::DOUBLE) * 0.3 + (p_partkey % 11) / 10.0::DOUBLE * 0.7) * 1e6 + 0.5) / 1e6 AS score, floor((least(0.5, (p_size % 8) * 0.1::DOUBLE) * 0.3 + (p_partkey % 11) / 10.0::DOUBLE * 0.7) * 1e6 + 0.5) / 1e6 < 0.85 AS needs_review FROM part")
+def automation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """min(0.5, anchors / 10) * 0.3 + track record * 0.7; automatic from 0.85."""
+    anchors, record = F.col("p_size") % 8, (F.col("p_partkey") % 11) / 10
+    s = round_to(F.least(F.lit(0.5), anchors * 0.1) * 0.3 + record * 0.7, 6)
+    return table(spark, sf_dir, "part").select("p_partkey", s.alias("score"), (s < 0.85).alias("needs_review"))
