@@ -1 +1,148 @@
-"""To come."""
+"""Queries that grade the scalar functions on the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from granary.functions import text as X
+from granary.registry import query
+from granary.sources.tables import table
+
+_FOLD = "trim(regexp_replace(translate(lower({}), '" + X.ACCENTED + "', '" + X.PLAIN + "'), '[^a-z0-9]+', ' ', 'g'))"
+_DOC = _FOLD.format("coalesce(text, '')")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query("q_normalize_text", f"SELECT doc_id, sha256({_DOC}) AS folded_sha256, length({_DOC}) AS n FROM documents")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).withColumn("f", X.folded(F.col("text"))).select("doc_id", F.sha2("f", 256).alias("folded_sha256"), F.length("f").cast("bigint").alias("n"))
+
+
+@query("q_slugify", "SELECT p_partkey, regexp_replace(" + _FOLD.format("p_brand || ' ' || p_name || ' ' || p_type") + ", ' ', '-', 'g') AS slug FROM part")
+def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", X.slug(F.concat_ws(" ", "p_brand", "p_name", "p_type")).alias("slug"))
+
+
+# Names of a programme and its code.
+ALIASES = {"AUTOMOBILE": "auto", "BUILDING": "casa", "FURNITURE": "casa", "HOUSEHOLD": "lar", "MACHINERY": "maq"}
+
+
+@query("q_alias_map", "SELECT c_custkey, CASE c_mktsegment " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALIASES.items()) + " ELSE lower(c_mktsegment) END AS code FROM customer")
+def alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    return table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(F.try_element_at(m, F.col("c_mktsegment")), F.lower("c_mktsegment")).alias("code"))
+
+
+@query("q_parse_br_number", """
+WITH t AS (SELECT p_partkey, p_retailprice, CASE p_partkey % 3 WHEN 0 THEN 'R$ ' || (floor(p_retailprice)::INTEGER // 1000) || '.' || lpad((floor(p_retailprice)::INTEGER % 1000)::VARCHAR, 3, '0') || ',50' WHEN 1 THEN (p_partkey // 100) || '.' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') ELSE (p_size::VARCHAR || '.84') END AS raw FROM part)
+SELECT p_partkey, raw, CASE p_partkey % 3 WHEN 0 THEN floor(p_retailprice)::INTEGER + 0.5::DOUBLE WHEN 1 THEN ((p_partkey // 100) || lpad((p_partkey % 1000)::VARCHAR, 3, '0'))::DOUBLE ELSE (p_size::VARCHAR || '.84')::DOUBLE END AS value FROM t JOIN part USING (p_partkey, p_retailprice)""")
+def parse_br_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices written in three ways, read back."""
+    k, price = F.col("p_partkey"), F.floor("p_retailprice").cast("int")
+    three = lambda x: F.lpad((x % 1000).cast("string"), 3, "0")
+    raw = (
+        F.when(k % 3 == 0, F.concat(F.lit("R$ "), F.floor(price / 1000), F.lit("."), three(price), F.lit(",50")))
+        .when(k % 3 == 1, F.concat(F.floor(k / 100), F.lit("."), three(k)))
+        .otherwise(F.concat("p_size", F.lit(".84")))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"), X.br_number(raw).alias("value"))
+
+
+@query("q_parse_dates", """
+WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN day(o_orderdate) || '/' || month(o_orderdate) || '/' || year(o_orderdate) WHEN 2 THEN '30/2/2001' ELSE 'na' END AS raw, o_orderdate FROM orders)
+SELECT o_orderkey, raw, CASE WHEN o_orderkey % 4 < 2 AND year(o_orderdate) BETWEEN 2000 AND 2100 THEN o_orderdate::DATE END AS parsed FROM t""")
+def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    raw = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.concat_ws("/", F.dayofmonth(d), F.month(d), F.year(d))).when(k == 2, "30/2/2001").otherwise("na")
+    return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"), X.date_of(raw).alias("parsed"))
+
+
+@query("q_date_functions", """
+SELECT o_orderkey, (DATE '2001-08-01' - o_orderdate::DATE)::BIGINT AS days, o_orderdate::DATE + 30 AS plus_30, isoyear(o_orderdate) || '-W' || lpad(weekofyear(o_orderdate)::VARCHAR, 2, '0') AS iso_week,
+       floor((o_orderdate::DATE - DATE '1970-01-01') / 7.0::DOUBLE)::BIGINT AS week_bucket FROM orders""")
+def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("o_orderdate").cast("date")
+    week = F.concat(F.extract(F.lit("YEAROFWEEK"), d), F.lit("-W"), F.lpad(F.weekofyear(d).cast("string"), 2, "0"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.datediff(F.lit("2001-08-01").cast("date"), d).cast("bigint").alias("days"), F.date_add(d, 30).alias("plus_30"), week.alias("iso_week"), F.floor(F.unix_date(d) / F.lit(7.0)).cast("bigint").alias("week_bucket"))
+
+
+@query("q_month_calendar", """
+SELECT o_orderkey, greatest(o_orderdate::DATE, DATE '1998-03-01') AS bar_start, least(o_orderdate::DATE + 30, last_day(DATE '1998-03-01')) AS bar_end
+FROM orders WHERE o_orderdate::DATE <= last_day(DATE '1998-03-01') AND o_orderdate::DATE + 30 >= DATE '1998-03-01'""")
+def month_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of a month, clipped to it."""
+    a = F.lit("1998-03-01").cast("date")
+    d = F.col("o_orderdate").cast("date")
+    rows = table(spark, sf_dir, "orders").filter((d <= F.last_day(a)) & (F.date_add(d, 30) >= a))
+    return rows.select("o_orderkey", F.greatest(d, a).alias("bar_start"), F.least(F.date_add(d, 30), F.last_day(a)).alias("bar_end"))
+
+
+_LINTS = {"urgency": X.URGENCY, "internal": X.INTERNAL, "jargon": X.JARGON, "emoji": X.EMOJI}
+
+
+@query("q_text_lints", "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(text, '')), '{r}') THEN '{k}' END" for k, r in _LINTS.items()) + "], lambda x: x IS NOT NULL), ',') AS lints FROM documents")
+def text_lints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = F.lower("text")
+    return docs(spark, sf_dir).select("doc_id", F.array_join(F.array_compact(F.array(*[F.when(low.rlike(r), F.lit(k)) for k, r in _LINTS.items()])), ",").alias("lints"))
+
+
+@query("q_promo_flag", f"SELECT doc_id, regexp_matches({_DOC}, '{X.PROMO}') AND length({_DOC}) > 40 AS promo FROM documents")
+def promo_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = X.folded(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", (f.rlike(X.PROMO) & (F.length(f) > 40)).alias("promo"))
+
+
+_WORDS = "list_filter(string_split(" + _FOLD.format("coalesce(text, '')") + ", ' '), lambda w: w <> '')"
+_TOKENS = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+dg AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 2)) AS i FROM d)),
+bg AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 2)) AS i FROM b)),
+bn AS (SELECT item_id, count(*) AS n FROM bg GROUP BY item_id)"""
+
+
+def overlaps(spark: SparkSession, sf_dir: str, n: int = 4) -> DataFrame:
+    """(doc_id, item_id, share): the share of an item's n-grams that a document holds, where there are any.
+
+    The items' n-grams are a small table; the documents' are filtered by an
+    equality join before anything is counted.
+    """
+    d = docs(spark, sf_dir).select("doc_id", F.explode(X.shingles(X.words(F.col("text")), n)).alias("g"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.shingles(X.words(F.coalesce("text", F.lit(""))), n)).alias("g"))
+    size = b.groupBy("item_id").agg(F.count("*").alias("n"))
+    return d.join(b, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("k")).join(size, "item_id").select("doc_id", "item_id", (F.col("k") / F.col("n")).alias("share"))
+
+
+@query("q_shingle_overlap", _TOKENS + "SELECT doc_id, item_id, count(*)::DOUBLE / any_value(n) AS share FROM dg JOIN bg USING (g) JOIN bn USING (item_id) GROUP BY doc_id, item_id")
+def shingle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(spark, sf_dir)
+
+
+def longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, run): the longest common run of four or more words.
+
+    Equal 4-grams on one diagonal (position in the document less position in the
+    item) that follow one another form a run: islands by row_number, no quadratic table.
+    """
+    d = docs(spark, sf_dir).select("doc_id", F.posexplode(X.grams(X.words(F.col("text")), 4)).alias("i", "g"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(X.grams(X.words(F.coalesce("text", F.lit(""))), 4)).alias("j", "g"))
+    hits = d.join(b, "g").select("doc_id", "item_id", "i", (F.col("i") - F.col("j")).alias("diagonal"))
+    order = Window.partitionBy("doc_id", "item_id", "diagonal").orderBy("i")
+    runs = hits.withColumn("island", F.col("i") - F.row_number().over(order)).groupBy("doc_id", "item_id", "diagonal", "island").agg((F.count("*") + 3).alias("run"))
+    return runs.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
+
+
+_RUNS = f"""
+d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+dw AS (SELECT doc_id, unnest(range(1, len(ws) - 2)) AS i, unnest(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) AS g FROM d),
+bw AS (SELECT item_id, unnest(range(1, len(ws) - 2)) AS j, unnest(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) AS g FROM b),
+h AS (SELECT doc_id, item_id, i, i - j AS diag, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS isl FROM dw JOIN bw USING (g)),
+runs AS (SELECT doc_id, item_id, max(k) AS run FROM (SELECT doc_id, item_id, count(*) + 3 AS k FROM h GROUP BY doc_id, item_id, diag, isl) GROUP BY ALL)"""
+
+
+@query("q_longest_run", f"WITH {_RUNS.strip()} SELECT doc_id, item_id, run FROM runs")
+def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longest_runs(spark, sf_dir)

@@ -1 +1,149 @@
-"""To come."""
+"""Gates over texts and evidence: rejection, flags, copies, confidence, thresholds, evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.functions import text as X
+from granary.functions.queries import _DOC, _RUNS, docs, longest_runs, overlaps, _TOKENS
+from granary.registry import query, using
+from granary.sources.tables import AS_OF, LEDGER, as_of, ledger, round_to, table
+
+# The ordered rules; those marked True need a text without the protecting vocabulary.
+RULES = (("produto_blog", r"\b(course|license|released)\b", False), ("cupom_varejo", r"(password|token|secret)", True), ("tarifa", r"(https?|www|@)", True))
+PROTECTED = r"(public|benchmark|test)"
+
+
+@query("q_rejection_gate", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(text, '')), '{r}')" + (f" AND NOT regexp_matches(lower(coalesce(text, '')), '{PROTECTED}')" if guard else "") + f" THEN '{n}'" for n, r, guard in RULES) + " ELSE 'passa' END AS outcome FROM documents")
+def rejection_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule that matches rejects; guarded rules spare texts with protecting words."""
+    low = F.lower("text")
+    out = None
+    for name, rule, guard in RULES:
+        hit = low.rlike(rule) & ~low.rlike(PROTECTED) if guard else low.rlike(rule)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return docs(spark, sf_dir).select("doc_id", out.otherwise("passa").alias("outcome"))
+
+
+_FLAGS = {
+    "percentual_teto": "percentual > 9",
+    "vigencia_bug_ano": "fim < first_seen - 180",
+    "sem_fonte": "fonte = 'P' AND tier = 3",
+    "self_loop": "origem = destino",
+    "sem_fim": "fim IS NULL AND inicio IS NULL",
+    "valor_extremo": "valor > 100000",
+    "visto_antes": "first_seen < inicio - 365",
+}
+
+
+@query("q_presurface_flags", using({"ledger": LEDGER}, "WITH f AS (SELECT unnest([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _FLAGS.items()) + "]) AS flag FROM ledger) SELECT flag, count(*) AS n FROM f WHERE flag IS NOT NULL GROUP BY flag"))
+def presurface_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven flags a row, exploded and counted (map-side before the shuffle)."""
+    conditions = {
+        "percentual_teto": F.col("percentual") > 9, "vigencia_bug_ano": F.col("fim") < F.date_sub("first_seen", 180), "sem_fonte": (F.col("fonte") == "P") & (F.col("tier") == 3),
+        "self_loop": F.col("origem") == F.col("destino"), "sem_fim": F.col("fim").isNull() & F.col("inicio").isNull(), "valor_extremo": F.col("valor") > 100000, "visto_antes": F.col("first_seen") < F.date_sub("inicio", 365),
+    }
+    flags = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in conditions.items()]))
+    return ledger(spark, sf_dir).select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+
+
+@query("q_anticopy", _TOKENS + f""", {_RUNS.strip().split("," + chr(10), 1)[1]}
+, o AS (SELECT doc_id, max(k::DOUBLE / n) AS share FROM (SELECT doc_id, item_id, count(*) AS k FROM dg JOIN bg USING (g) GROUP BY ALL) JOIN bn USING (item_id) GROUP BY doc_id),
+r AS (SELECT doc_id, max(run) AS run FROM runs GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(share, 0) AS share, coalesce(run, 0) AS run,
+       CASE WHEN length({_DOC}) < 40 THEN 'too_short' WHEN coalesce(share, 0) >= 0.35 THEN 'overlap' WHEN coalesce(run, 0) >= 8 THEN 'run' ELSE 'ok' END AS verdict
+FROM documents LEFT JOIN o USING (doc_id) LEFT JOIN r USING (doc_id)""")
+def anticopy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text is a copy of a benchmark item at 35 % of its 4-grams or at a run of eight words."""
+    o = overlaps(spark, sf_dir).groupBy("doc_id").agg(F.max("share").alias("share"))
+    r = longest_runs(spark, sf_dir).groupBy("doc_id").agg(F.max("run").alias("run"))
+    rows = docs(spark, sf_dir).select("doc_id", F.length(X.folded(F.col("text"))).alias("n")).join(o, "doc_id", "left").join(r, "doc_id", "left")
+    share, run = F.coalesce("share", F.lit(0.0)), F.coalesce("run", F.lit(0))
+    verdict = F.when(F.col("n") < 40, "too_short").when(share >= 0.35, "overlap").when(run >= 8, "run").otherwise("ok")
+    return rows.select("doc_id", share.alias("share"), run.alias("run"), verdict.alias("verdict"))
+
+
+# Weights of the five signals of evidence.
+SIGNALS = {"tier = 1": 0.35, "fim IS NOT NULL": 0.20, "inicio IS NOT NULL": 0.20, "fonte = 'F'": 0.15, "percentual > 0": 0.10}
+_CONF = "floor((" + " + ".join(f"CASE WHEN {c} THEN {w}::DOUBLE ELSE 0 END" for c, w in SIGNALS.items()) + ") * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE"
+CONFIDENCE = {
+    "ledger": LEDGER,
+    "scale": "SELECT produto, origem, count(DISTINCT percentual) AS faixas, min(percentual) AS lo, max(percentual) AS hi FROM ledger WHERE tier = 1 GROUP BY ALL",
+    "conf": f"""SELECT id, {_CONF} AS confidence, CASE WHEN faixas IS NULL THEN 'nao_verificavel' WHEN percentual < lo - 2 OR percentual > hi + 2 THEN 'refuta' WHEN faixas > 1 THEN 'corrobora_com_ajuste' ELSE 'corrobora_limpo' END AS outcome
+       FROM ledger LEFT JOIN scale USING (produto, origem)""",
+}
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, confidence, outcome): weighted signals, and agreement with the confirmed scale of the product within two points."""
+    rows = ledger(spark, sf_dir)
+    scale = rows.filter("tier = 1").groupBy("produto", "origem").agg(F.count_distinct("percentual").alias("faixas"), F.min("percentual").alias("lo"), F.max("percentual").alias("hi"))
+    score = F.lit(0.0)
+    for c, w in SIGNALS.items():
+        score = score + F.when(F.expr(c), F.lit(w)).otherwise(0.0)
+    pct = F.col("percentual")
+    outcome = F.when(F.col("faixas").isNull(), "nao_verificavel").when((pct < F.col("lo") - 2) | (pct > F.col("hi") + 2), "refuta").when(F.col("faixas") > 1, "corrobora_com_ajuste").otherwise("corrobora_limpo")
+    return rows.join(scale, ["produto", "origem"], "left").select("id", round_to(score, 4).alias("confidence"), outcome.alias("outcome"))
+
+
+@query("q_confidence", using(CONFIDENCE, "SELECT id, confidence, outcome FROM conf"))
+def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence(spark, sf_dir)
+
+
+@query("q_threshold_grid", using(CONFIDENCE, """
+WITH g AS (SELECT unnest([0.6, 0.7, 0.75, 0.8, 0.9]::DOUBLE[]) AS threshold, confidence, outcome FROM conf)
+SELECT threshold, count(*) FILTER (WHERE confidence >= threshold AND outcome LIKE 'corrobora%') AS confirmed, count(*) FILTER (WHERE outcome = 'refuta') AS refuted, count(*) FILTER (WHERE confidence < threshold AND outcome <> 'refuta') AS to_review FROM g GROUP BY threshold"""))
+def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by confidence and outcome first, so only those few rows meet the grid."""
+    c = evidence(spark, sf_dir).groupBy("confidence", "outcome").agg(F.count("*").alias("n"))
+    g = c.select(F.explode(F.array(*[F.lit(t) for t in (0.6, 0.7, 0.75, 0.8, 0.9)])).alias("threshold"), "*")
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    high, refuted = F.col("confidence") >= F.col("threshold"), F.col("outcome") == "refuta"
+    return g.groupBy("threshold").agg(n(high & F.col("outcome").like("corrobora%")).alias("confirmed"), n(refuted).alias("refuted"), n(~high & ~refuted).alias("to_review"))
+
+
+_STATE = "CASE WHEN tier = 3 OR fim IS NULL THEN 'indeterminada' WHEN fim < DATE '{0}' - 30 THEN 'historica' WHEN fim < DATE '{0}' THEN 'encerrada' WHEN fim <= DATE '{0}' + 3 THEN 'ultimos_dias' WHEN tier = 1 THEN 'ativa' ELSE 'detectada' END"
+
+
+def state(day) -> object:
+    """State from a reliable last day, at a day."""
+    fim = F.col("fim")
+    return (
+        F.when((F.col("tier") == 3) | fim.isNull(), "indeterminada").when(fim < F.date_sub(day, 30), "historica").when(fim < day, "encerrada").when(fim <= F.date_add(day, 3), "ultimos_dias").when(F.col("tier") == 1, "ativa").otherwise("detectada")
+    )
+
+
+@query("q_state_fsm", using({"ledger": LEDGER}, f"SELECT id, {_STATE.format(AS_OF)} AS state, {_STATE.format('2000-01-01')} AS state_before FROM ledger"))
+def state_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger(spark, sf_dir).select("id", state(as_of()).alias("state"), state(F.lit("2000-01-01").cast("date")).alias("state_before"))
+
+
+@query("q_revalidation", using({"ledger": LEDGER}, f"""
+WITH live AS (SELECT produto, origem, max(fim) AS fim, max(tier) AS tier FROM ledger WHERE fonte <> 'F' GROUP BY ALL),
+items AS (SELECT DISTINCT produto, origem FROM ledger WHERE percentual = 10)
+SELECT produto, origem, CASE WHEN live.produto IS NULL THEN 'sem_match_vivo' WHEN fim < DATE '2000-06-01' THEN 'vencida' WHEN fim IS NULL OR tier = 3 THEN 'estado_nao_vivo' ELSE 'ok' END AS reason FROM items LEFT JOIN live USING (produto, origem)"""))
+def revalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger(spark, sf_dir)
+    live = rows.filter("fonte <> 'F'").groupBy("produto", "origem").agg(F.max("fim").alias("fim"), F.max("tier").alias("tier"))
+    items = rows.filter("percentual = 10").select("produto", "origem").distinct()
+    reason = F.when(F.col("tier").isNull(), "sem_match_vivo").when(F.col("fim") < F.lit("2000-06-01").cast("date"), "vencida").when(F.col("fim").isNull() | (F.col("tier") == 3), "estado_nao_vivo").otherwise("ok")
+    return items.join(live, ["produto", "origem"], "left").select("produto", "origem", reason.alias("reason"))
+
+
+@query("q_gold_eval", f"""
+WITH p AS (SELECT doc_id, length({_DOC}) < 300 OR NOT regexp_matches({_DOC}, '[aeiou]') AS rejected FROM documents), j AS (SELECT rejected, quality = 0 AS bad, toxic = 1 AS toxic FROM labels JOIN p USING (doc_id))
+SELECT field, count(*) AS n, count(*) FILTER (WHERE rejected AND truth) AS tp, count(*) FILTER (WHERE rejected AND NOT truth) AS fp, count(*) FILTER (WHERE NOT rejected AND truth) AS fn,
+       round(count(*) FILTER (WHERE rejected AND truth) / nullif(count(*) FILTER (WHERE rejected), 0)::DOUBLE, 6) AS precision, round(count(*) FILTER (WHERE rejected AND truth) / nullif(count(*) FILTER (WHERE truth), 0)::DOUBLE, 6) AS recall
+FROM (SELECT 'quality' AS field, rejected, bad AS truth FROM j UNION ALL SELECT 'toxic', rejected, toxic FROM j) GROUP BY field""")
+def gold_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule against labelled rows: counts of hits and misses, precision and recall a field."""
+    f = X.folded(F.col("text"))
+    p = docs(spark, sf_dir).select("doc_id", ((F.length(f) < 300) | ~f.rlike("[aeiou]")).alias("rejected"))
+    pair = lambda k, c: F.struct(F.lit(k).alias("field"), c.alias("truth"))
+    j = table(spark, sf_dir, "labels").join(p, "doc_id").select("rejected", F.explode(F.array(pair("quality", F.col("quality") == 0), pair("toxic", F.col("toxic") == 1))).alias("x")).select("rejected", "x.field", "x.truth")
+    hit, false, miss = [F.count_if(c) for c in (F.col("rejected") & F.col("truth"), F.col("rejected") & ~F.col("truth"), ~F.col("rejected") & F.col("truth"))]
+    return j.groupBy("field").agg(
+        F.count("*").alias("n"), hit.alias("tp"), false.alias("fp"), miss.alias("fn"), F.round(F.try_divide(hit, F.count_if("rejected")), 6).alias("precision"), F.round(F.try_divide(hit, F.count_if("truth")), 6).alias("recall"),
+    )

@@ -1 +1,37 @@
-"""To come."""
+"""Scans, readers and completeness checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.registry import query
+from granary.sources.tables import table
+
+
+def json_documents(spark: SparkSession, folder: str, schema, start: str, end: str, day: str = "date") -> DataFrame:
+    """One multi-line JSON document a file, of days from start to end, in order."""
+    rows = spark.read.schema(schema).json(folder, multiLine=True)
+    return rows.filter(F.col(day).between(start, end)).orderBy(day)
+
+
+def commented_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """CSV with a header and comment lines that begin with #."""
+    return spark.read.schema(schema).csv(path, header=True, comment="#")
+
+
+@query("q_scan_project", "SELECT l_orderkey, l_extendedprice FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' AND l_quantity < 5")
+def scan_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters and columns reach the Parquet scan."""
+    return table(spark, sf_dir, "lineitem").filter("l_shipdate >= TIMESTAMP_NTZ '2000-01-01' AND l_quantity < 5").select("l_orderkey", "l_extendedprice")
+
+
+@query("q_dataset_complete", """
+SELECT 'lineitem' AS name, count(*) AS rows, count(DISTINCT l_orderkey) <= (SELECT count(*) FROM orders) AS complete FROM lineitem
+UNION ALL SELECT 'orders', count(*), count(DISTINCT o_orderkey) = count(*) FROM orders""")
+def dataset_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row counts against what another table says there should be."""
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    keys = l.agg(F.count("*").alias("rows"), F.count_distinct("l_orderkey").alias("keys")).join(F.broadcast(o.agg(F.count("*").alias("o"))))
+    whole = o.agg(F.lit("orders").alias("name"), F.count("*").alias("rows"), (F.count_distinct("o_orderkey") == F.count("*")).alias("complete"))
+    return keys.select(F.lit("lineitem").alias("name"), "rows", (F.col("keys") <= F.col("o")).alias("complete")).union(whole)

@@ -1 +1,137 @@
-"""To come."""
+"""Pages and sitemaps: discovery of addresses, page metadata, offers and products in markup."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.functions import text as X
+from granary.registry import query
+from granary.sources.tables import table
+
+ASSETS = r"\.(jpg|jpeg|png|gif|css|js|svg|pdf)$"
+
+
+def sitemap_entries(xml: Column) -> Column:
+    """array<struct<loc, lastmod>> of a urlset or index; CDATA marks go and references are decoded."""
+    parts = F.filter(F.split(xml, r"<(?:url|sitemap)>"), lambda x: x.rlike("<loc>"))
+    loc = lambda x: X.unescaped(F.trim(F.regexp_replace(F.regexp_extract(x, r"(?s)<loc>(.*?)</loc>", 1), r"<!\[CDATA\[|\]\]>", "")))
+    return F.transform(parts, lambda x: F.struct(loc(x).alias("loc"), F.try_to_date(F.left(F.regexp_extract(x, r"<lastmod>([^<]*)</lastmod>", 1), F.lit(10))).alias("lastmod")))
+
+
+def robots_rule(path: str) -> str:
+    """A robots.txt path rule as a regular expression."""
+    import re
+
+    return "^" + "".join(".*" if c == "*" else "$" if c == "$" and i == len(path) - 1 else re.escape(c) for i, c in enumerate(path))
+
+
+def allowed(path: Column, disallow: list[str]) -> Column:
+    ok = F.lit(True)
+    for rule in disallow:
+        if rule:
+            ok = ok & ~path.rlike(robots_rule(rule))
+    return ok
+
+
+@query("q_sitemap_backfill", r"""
+SELECT DISTINCT sha256(lower(url)) AS key, url AS loc, DATE '2024-01-01' - (page_id % 900)::INTEGER AS lastmod FROM pages
+WHERE NOT regexp_matches(lower(url), '\.(jpg|jpeg|png|gif|css|js|svg|pdf)$') AND DATE '2024-01-01' - (page_id % 900)::INTEGER >= DATE '2022-07-01' AND length(url) % 7 <> 0""")
+def sitemap_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of sitemaps (written from the pages' addresses) that are no assets, new enough and not yet known."""
+    p = table(spark, sf_dir, "pages")
+    day = F.date_sub(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 900).cast("int"))
+    url = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    xml = F.concat(F.lit("<urlset><url><loc>"), url, F.lit("</loc><lastmod>"), day.cast("string"), F.lit("</lastmod></url><url><loc>"), url, F.lit(".png</loc></url></urlset>"))
+    found = p.select(F.explode(sitemap_entries(xml)).alias("e")).select("e.*").filter(~F.lower("loc").rlike(ASSETS) & (F.col("lastmod") >= F.lit("2022-07-01").cast("date")))
+    known = p.filter(F.length("url") % 7 == 0).select(F.sha2(F.lower("url"), 256).alias("key"))
+    return found.select(F.sha2(F.lower("loc"), 256).alias("key"), "loc", "lastmod").distinct().join(known, "key", "left_anti")
+
+
+@query("q_url_discovery", r"""
+SELECT DISTINCT url AS loc, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages
+WHERE regexp_matches(url, '^https?://[^/?#]+/(en|fr)/') AND NOT regexp_matches(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '^/en/1.*')""")
+def url_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Included language paths, without those that a robots rule forbids."""
+    u = F.col("url")
+    path = F.regexp_extract(u, r"^https?://[^/?#]+([^?#]*)", 1)
+    rows = table(spark, sf_dir, "pages").filter(u.rlike(r"^https?://[^/?#]+/(en|fr)/") & allowed(path, ["/en/1*", ""]))
+    return rows.select(u.alias("loc"), F.regexp_extract(u, r"^https?://([^/?#]+)", 1).alias("host")).distinct()
+
+
+def meta(html: Column, name: str) -> Column:
+    """The content of a meta element by name or property, either order of attributes."""
+    a = F.regexp_extract(html, rf"""(?i)<meta[^>]+(?:name|property)=["']{name}["'][^>]*content=["']([^"']*)["']""", 1)
+    b = F.regexp_extract(html, rf"""(?i)<meta[^>]+content=["']([^"']*)["'][^>]*(?:name|property)=["']{name}["']""", 1)
+    return X.unescaped(F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))))
+
+
+def canonical(html: Column) -> Column:
+    return F.nullif(F.regexp_extract(html, r"""(?i)<link[^>]+rel=["']canonical["'][^>]*href=["']([^"']*)["']""", 1), F.lit(""))
+
+
+def percentage(slug: Column, text: Column) -> Column:
+    """(value, source): a percentage of 1 to 100 in the address, else in the text."""
+    of = lambda c, p: F.filter(F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(1)), lambda x: x.try_cast("int")), lambda v: v.between(1, 100))
+    a, b = F.get(of(slug, r"(\d{1,3})-?(?:por-cento|pct|%)"), F.lit(0)), F.get(of(text, r"(\d{1,3}) ?%"), F.lit(0))
+    return F.when(a.isNotNull(), F.struct(a.alias("value"), F.lit("slug").alias("source"))).when(b.isNotNull(), F.struct(b.alias("value"), F.lit("text").alias("source")))
+
+
+_TITLE = "trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"
+
+
+@query("q_page_meta", rf"""
+SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(html, '<html[^>]*lang="([a-z]+)"', 1) AS lang, {_TITLE} AS title,
+       regexp_extract(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '([^/]*)/?$', 1) AS slug, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages""")
+def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, u = F.col("html"), F.col("url")
+    path = F.regexp_extract(u, r"^https?://[^/?#]+([^?#]*)", 1)
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.regexp_extract(u, r"^https?://([^/?#]+)", 1).alias("host"), F.regexp_extract(h, r'<html[^>]*lang="([a-z]+)"', 1).alias("lang"), F.trim(F.regexp_extract(h, "<title>([^<]*)</title>", 1)).alias("title"),
+        F.regexp_extract(path, "([^/]*)/?$", 1).alias("slug"), F.regexp_count(h, F.lit("<p>")).cast("bigint").alias("paragraphs"),
+    )
+
+
+@query("q_url_host", r"SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*) AS n, count(*) FILTER (WHERE regexp_matches(url, '^https?://[^/?#]+/[a-z]+/[0-9]+')) AS collectable FROM pages GROUP BY 1")
+def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").groupBy(F.parse_url("url", F.lit("HOST")).alias("host")).agg(F.count("*").alias("n"), F.count_if(F.col("url").rlike(r"^https?://[^/?#]+/[a-z]+/[0-9]+")).alias("collectable"))
+
+
+_PLAIN = "regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+for _mark, _raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_mark}', '{_raw}')"
+_PLAIN = rf"trim(regexp_replace({_PLAIN}, '[ \t\r\n]+', ' ', 'g'))"
+
+
+@query("q_html_text", f"SELECT page_id, length({_PLAIN}) AS n, sha256({_PLAIN}) AS text_sha256 FROM pages")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", X.tag_free(F.col("html")).alias("t"))
+    return rows.select("page_id", F.length("t").cast("bigint").alias("n"), F.sha2("t", 256).alias("text_sha256"))
+
+
+@query("q_offer_extract", rf"""
+WITH t AS (SELECT page_id, {_PLAIN} AS t FROM pages), n AS (SELECT page_id, t, TRY_CAST(nullif(regexp_extract(t, '(\d{{1,6}})', 1), '') AS DOUBLE) AS price, TRY_CAST(nullif(regexp_extract(t, '(\d{{4,}})', 1), '') AS BIGINT) AS points FROM t)
+SELECT page_id, CASE WHEN price < 10 AND points >= 1000 THEN NULL ELSE price END AS price, points, CASE WHEN regexp_matches(lower(t), '(sold out|esgotado|ausverkauft|agotado)') THEN 'unavailable' WHEN price IS NOT NULL THEN 'available' ELSE 'unknown' END AS availability FROM n""")
+def offer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price from product markup, else meta, else text; a price under 10 next to 1,000 points or more is no price."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "html", X.tag_free(F.col("html")).alias("t"))
+    rows = rows.select("page_id", "t", F.coalesce(F.get_json_object(json_ld(F.col("html")), "$.offers.price").try_cast("double"), meta(F.col("html"), "product:price:amount").try_cast("double"), F.nullif(F.regexp_extract("t", r"(\d{1,6})", 1), F.lit("")).try_cast("double")).alias("price"), F.nullif(F.regexp_extract("t", r"(\d{4,})", 1), F.lit("")).try_cast("bigint").alias("points"))
+    price = F.col("price")
+    stock = F.when(F.lower("t").rlike("(sold out|esgotado|ausverkauft|agotado)"), "unavailable").when(price.isNotNull(), "available").otherwise("unknown")
+    return rows.select("page_id", F.when(~F.coalesce((price < 10) & (F.col("points") >= 1000), F.lit(False)), price).alias("price"), "points", stock.alias("availability"))
+
+
+def json_ld(html: Column) -> Column:
+    """The first JSON-LD object of type Product (also within @graph), as JSON."""
+    blocks = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    graph = lambda b: F.coalesce(F.from_json(F.get_json_object(b, "$.@graph"), "array<string>"), F.array(b))
+    return F.get(F.filter(F.flatten(F.transform(blocks, graph)), lambda o: F.get_json_object(o, "$.@type") == "Product"), F.lit(0))
+
+
+def points_in(text: Column, patterns: list[str]) -> Column:
+    """The first pattern whose number is 100 or more."""
+    def number(p: str) -> Column:
+        n = F.regexp_replace(F.regexp_extract(text, p, 1), r"\.", "").try_cast("bigint")
+        return F.when(n >= 100, n)
+
+    return F.coalesce(*[number(p) for p in patterns])
