@@ -1,0 +1,144 @@
+"""Operators without a query on the given tables, known vectors, and random series against plain Python."""
+
+import datetime as dt
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from granary.functions import text as X
+from granary.operators import sinks
+from granary.operators.graph import components
+from granary.operators.quantiles import exact_percentiles
+from granary.plans.forecast import waves_of
+from granary.plans.score import band, shrunk, weighted
+from granary.plans.shopping import with_metrics
+from granary.sources import scans, web
+
+
+def one(spark, **columns):
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in columns.items()])
+
+
+def value(spark, column, **columns):
+    return one(spark, **columns).select(column.alias("x")).first()["x"]
+
+
+def test_waves_compare_with_the_anchor(spark):
+    day = lambda n: dt.date(2026, 1, n)
+    df = spark.createDataFrame([([day(n) for n in (7, 1, 5, 3)],)], "d array<date>")
+    assert df.select(waves_of(F.col("d")).alias("w")).first()["w"] == [day(1), day(5)]
+
+
+def test_waves_of_random_series(spark):
+    rng = random.Random(7)
+    rows = [(i, [dt.date(2020, 1, 1) + dt.timedelta(rng.randrange(400)) for _ in range(rng.randrange(1, 60))]) for i in range(40)]
+    found = {r["i"]: r["w"] for r in spark.createDataFrame(rows, "i int, d array<date>").select("i", waves_of(F.col("d")).alias("w")).collect()}
+    for i, days in rows:
+        want = []
+        for d in sorted(set(days)):
+            if not want or (d - want[-1]).days > 3:
+                want.append(d)
+        assert found[i] == want
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in rng.integers(0, 50, 500)] + [("b", float(x)) for x in rng.normal(size=3000)] + [("c", 1.0), ("d", None)]
+    found = {r["k"]: r for r in exact_percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"p10": 0.1, "p50": 0.5}).collect()}
+    assert set(found) == {"a", "b", "c"}
+    for k in "abc":
+        x = [v for key, v in rows if key == k]
+        assert found[k]["n"] == len(x)
+        assert np.allclose([found[k]["p10"], found[k]["p50"]], np.quantile(x, [0.1, 0.5]))
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in parent}
+    assert {r["id"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()} == want
+
+
+def test_known_value_per_thousand(spark):
+    rows = [
+        ("1", 2609.91, 186329, 131236, 114832, 1013.28), ("2", 2799.00, 201528, 185406, None, None), ("3", 1889.10, 136498, 94992, 83118, 733.43),
+        ("4", 7691.90, 615295, 386775, 338428, 2986.28), ("5", None, 221592, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "id string, reference_price double, standard_points long, elite_points long, hybrid_points long, hybrid_cash double")
+    got = {r["id"]: r for r in with_metrics(df.withColumn("match_confidence", F.lit("high")).withColumn("availability", F.lit("available"))).collect()}
+    want = {"1": (14.007, 19.8871, 71497, 14.1723), "2": (13.8889, 15.0966, None, None), "3": (13.8398, 19.8869, 53380, 13.7398), "4": (12.5012, 19.8873, 276867, 10.786)}
+    for k, (std, elite, kept, marginal) in want.items():
+        assert abs(got[k]["vpm_standard"] - std) < 0.02 and abs(got[k]["vpm_elite"] - elite) < 0.02 and got[k]["preserved_points"] == kept
+        assert marginal is None or abs(got[k]["vpm_hybrid_marginal"] - marginal) < 0.02
+    assert got["5"]["vpm_standard"] is None and got["5"]["comparison_reason"] == "missing_reference_price" and not got["5"]["is_comparable"]
+
+
+def test_known_scores(spark):
+    cases = [(0.8125, 40, 0.95, 0.25, 1.0, 77), (0.5, 1, 0.75, 0.25, 1.0, 59), (0.96, 50, None, 0.25, 1.0, 79), (0.25, 50, None, 0.25, 1.0, 37), (0.5, 3, 0.05, 0.65, 1.0, 44), (None, None, None, 0.25, 0.3, 27)]
+    df = spark.createDataFrame(cases, "p double, n int, e double, r double, a double, want int")
+    s = weighted({"percentil": shrunk(F.col("p"), F.col("n")), "eficiencia": F.col("e"), "raridade": F.col("r"), "abrangencia": F.col("a")})
+    rows = df.select(F.floor(s * 100 + 0.5).alias("s"), "want").collect()
+    assert [r["s"] for r in rows] == [r["want"] for r in rows]
+    assert value(spark, band(F.lit(85))) == "Vale agir" and value(spark, band(F.lit(39))) == "Evitaria"
+
+
+def test_numbers_dates_and_prices(spark):
+    for raw, want in (("1.234,56", 1234.56), ("1.234", 1234.0), ("16.84", 16.84), ("R$ 7,5", 7.5), ("", None)):
+        assert value(spark, X.br_number(F.lit(raw))) == want
+    for raw, want in (("2026-02-30", None), ("31/1/2026", dt.date(2026, 1, 31)), ("1999-01-01", None), ("na", None)):
+        assert value(spark, X.date_of(F.lit(raw))) == want
+    assert value(spark, X.prices_per_thousand(F.lit("de R$ 70,00 o milheiro por R$ 35,50 o milheiro"))) == [70.0, 35.5]
+    day = F.lit("2026-07-10").cast("date")
+    for text, want in (("até 31/07/2026", dt.date(2026, 7, 31)), ("válido até 5 de janeiro", dt.date(2027, 1, 5)), ("a partir de 12/07/2026", None), ("de 11/07 a 20/07", dt.date(2026, 7, 20)), ("sem data", None)):
+        assert value(spark, X.validity_end(F.lit(text), day)) == want
+    tiers = [tuple(t) for t in value(spark, X.tiered_bonus(F.lit("100% de bônus para o clube e 80% de bônus. 100% de bônus geral")))]
+    assert tiers == [(80, "geral"), (100, "clube")]
+
+
+def test_sitemap_meta_and_products(spark):
+    xml = "<urlset><url><loc><![CDATA[https://a.example/x?a=1&amp;b=2]]></loc><lastmod>2026-01-02T00:00:00Z</lastmod></url><url><loc> https://a.example/y </loc></url></urlset>"
+    assert [tuple(e) for e in value(spark, web.sitemap_entries(F.lit(xml)))] == [("https://a.example/x?a=1&b=2", dt.date(2026, 1, 2)), ("https://a.example/y", None)]
+    assert value(spark, web.allowed(F.lit("/private/x"), ["/private*"])) is False and value(spark, web.allowed(F.lit("/open"), ["/private*", "/open/*$"])) is True
+    html = """<meta content="T &amp; U" property="og:title"><link rel="canonical" href="https://a/x"><script type="application/ld+json">{"@graph": [{"@type": "Org"}, {"@type": "Product", "offers": {"price": "12.5"}}]}</script>"""
+    assert value(spark, web.meta(F.lit(html), "og:title")) == "T & U" and value(spark, web.canonical(F.lit(html))) == "https://a/x"
+    assert value(spark, F.get_json_object(web.json_ld(F.lit(html)), "$.offers.price")) == "12.5"
+    assert tuple(value(spark, web.percentage(F.lit("bonus-80-por-cento"), F.lit("90%")))) == (80, "slug")
+    assert value(spark, web.points_in(F.lit("50 pontos ou 12.000 milhas"), [r"([\d.]+) pontos", r"([\d.]+) milhas"])) == 12000
+
+
+def test_replaced_slices_and_readers(spark, tmp_path):
+    at = str(tmp_path / "t")
+    sinks.replace_slice(spark.createDataFrame([(1, "a"), (2, "b")], "v int, d string"), at, "d")
+    sinks.replace_slice(spark.createDataFrame([(3, "b")], "v int, d string"), at, "d")
+    assert sorted(map(tuple, spark.read.parquet(at).select("v", "d").collect())) == [(1, "a"), (3, "b")]
+    (tmp_path / "j").mkdir()
+    for n, d in ((1, "2026-01-05"), (2, "2026-02-01")):
+        (tmp_path / "j" / f"{n}.json").write_text(f'{{\n"number": {n}, "date": "{d}"}}')
+    assert [r["number"] for r in scans.json_documents(spark, str(tmp_path / "j"), "number int, date string", "2026-01-01", "2026-01-31").collect()] == [1]
+    (tmp_path / "c.csv").write_text("# note\na,b\n1,x\n")
+    assert scans.commented_csv(spark, str(tmp_path / "c.csv"), "a int, b string").first()["b"] == "x"
+
+
+def test_streams(spark, tmp_path):
+    from granary.streaming import jobs
+
+    src, sink, mark = (str(tmp_path / x) for x in ("src", "sink", "mark"))
+    spark.createDataFrame([(i % 2, i * 10) for i in range(12)], "user_id long, ts_s long").repartition(3).write.parquet(src)
+    for _ in range(2):  # a second run finds nothing new
+        jobs.drain(spark, src, "user_id long, ts_s long", sink, mark, files_per_batch=1)
+    assert spark.read.parquet(sink).count() == 12
+    stream = spark.readStream.schema("user_id long, ts_s long").parquet(src)
+    q = jobs.limited_stream(stream, 60, 2).writeStream.format("memory").queryName("limited").option("checkpointLocation", mark + "2").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("limited").filter("allowed").count() == 8
