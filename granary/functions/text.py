@@ -104,7 +104,7 @@ def validity_end(text: Column, published: Column) -> Column:
 
 def tiered_bonus(text: Column) -> Column:
     """(pct, audience) of each "<n>% de bônus"; the audience is named within 40 characters after it; the general tier goes where a specific one of that percentage exists."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(\d{1,3})% de b[oô]nus([^%]{0,40})"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(\d{1,3})% de b[oô]nus([^%\d]{0,40})"), F.lit(0))
     tier = F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"^(\d{1,3})", 1).cast("int").alias("pct"), F.when(x.rlike("clube|assinante"), "clube").when(x.rlike("cart[aã]o|cart[oõ]es"), "cartao").otherwise("geral").alias("audience")))
     specific = F.transform(F.filter(tier, lambda x: x["audience"] != "geral"), lambda x: x["pct"])
     return F.array_sort(F.array_distinct(F.filter(tier, lambda x: (x["audience"] != "geral") | ~F.array_contains(specific, x["pct"]))))

@@ -41,13 +41,10 @@ def daily_counts(stream: DataFrame, ts: str = "ts", kind: str = "event_type", la
 def limited_stream(stream: DataFrame, seconds: int = 60, most: int = 5) -> DataFrame:
     """(user_id, ts_s, allowed) of a stream with user_id and ts_s (seconds): windows open at the first hit after the last one closed.
 
-    State is two numbers a user and goes when the window has been over for a day.
+    State is two numbers a user; it has no timeout, as a processing-time timeout never lets a run over what is there end.
     """
 
     def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
         start, n = state.get if state.exists else (None, 0)
         out = []
         for s in sorted(x for b in batches for x in b["ts_s"].tolist()):
@@ -56,7 +53,6 @@ def limited_stream(stream: DataFrame, seconds: int = 60, most: int = 5) -> DataF
             n += 1
             out.append((key[0], s, n <= most))
         state.update((start, n))
-        state.setTimeoutDuration(86_400_000)
         yield pd.DataFrame(out, columns=["user_id", "ts_s", "allowed"])
 
-    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, ts_s long, allowed boolean", "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, ts_s long, allowed boolean", "start long, n long", "append", GroupStateTimeout.NoTimeout)
