@@ -136,13 +136,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_class, "fp").select("id", "fp", "component")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each component the document with the smallest id stays, once."""
-    found = near_duplicates(docs, id_col, text_col)
-    stay = found.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__stay"]), "left_semi").dropDuplicates([id_col])
-
-
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
