@@ -8,13 +8,15 @@ afterwards; an array over levels holds the counts.  Only (id, length, checksums)
 rows are dealt out to packers, never ids; each packer gets a fixed number of
 documents, so its memory does not grow with the corpus.
 
-Null or empty text has the separator id alone.  A packer takes the longest
+Ids are those of the tokenizers library, added tokens such as <|endoftext|> included;
+tiktoken computes them.  Null or empty text has the separator id alone.  A packer takes the longest
 remainders first, which leaves less padding; ties go by id and checksums, repeated rows are packed each, and an empty table
 gives no pieces.  Sequence numbers are packer * 2**32 + a running number.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import row_slices, table
-from .tokens import JSON, encoder, vocabulary
+from .tokens import JSON, encoder_with_added, vocabulary
 
 WINDOW, SEPARATOR = 1024, 0
 #: Documents a packer; the padding of the rule grows with their square root only.
@@ -62,7 +64,7 @@ class SumOfSquares:
 
 def measured_batches(batches, path: str, window: int, separator: int):
     """(id, text) -> (id, n, sums): ids with the separator, and the CRC-32 of each window of them."""
-    encode = encoder(path).encode_ordinary
+    encode = functools.partial(encoder_with_added(path).encode, allowed_special="all")
     for batch in batches:
         for a, b in row_slices(batch.column(1)):
             part = batch.slice(a, b - a)

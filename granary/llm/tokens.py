@@ -48,6 +48,23 @@ def encoder(path: str, pattern: str = PATTERN) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
+@functools.lru_cache(maxsize=4)
+def added(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizers .json file, which stand for themselves wherever a text holds them."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens", [])
+    for t in tokens:
+        if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized"):
+            raise ValueError(f"unsupported flags of the added token {t['content']!r}")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+@functools.lru_cache(maxsize=4)
+def encoder_with_added(path: str, pattern: str = PATTERN) -> tiktoken.Encoding:
+    """The encoder of a tokenizers .json file; encode(text, allowed_special="all") gives the ids of Tokenizer.encode."""
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks(path), special_tokens=added(path))
+
+
 @functools.lru_cache(maxsize=4)
 def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     """(all token bytes end to end, n + 1 offsets by id); unused ids are empty."""
