@@ -2,7 +2,11 @@
 
 Each page is read once.  Markup, scripts, styles, forms and the elements that
 name themselves as menus, headers, footers, sidebars, notices, adverts or reader
-comments go.  The blocks of an article or main element are the page's text.
+comments go, unless they hold an article or main element or most of the page's
+text, as wrappers of a page do; nav, footer, aside and the like go whatever their
+length, and like reader comments also with an article in them where the page has
+one elsewhere.  The blocks of an article or
+main element are the page's text.
 
 Text outside such an element, and all text of a page that has none, is open: it
 may be boilerplate.  The open token streams of a host's pages form one long
@@ -24,6 +28,7 @@ returned each.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 from urllib.parse import urlsplit
@@ -40,7 +45,7 @@ RUN, MIN_PAGES = 8, 3
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^<]*\Z", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_SPACES = re.compile(r"\s+")
 #: Their content is not text.
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "title", "head", "canvas", "audio", "video", "select", "option", "button"}
 #: Elements that are not part of the article.
@@ -49,11 +54,12 @@ _VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "b
 BLOCKS = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Words of a class, id or role that say the same of an element.
+#: Classes, ids or roles that say the same of an element; a part of one, as in has-sidebar, says nothing.
 _DROPPED_WORDS = set(
-    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent notice gdpr newsletter subscribe subscription share sharing social related recommended comment comments disqus popup modal overlay pagination pager toolbar login signup contentinfo complementary".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent notice gdpr newsletter subscribe subscription share sharing social related recommended comment comments disqus popup modal overlay pagination pager toolbar login signup contentinfo complementary "
+    "site-header page-header site-footer page-footer main-nav site-nav main-menu nav-menu nav-bar side-bar ad-slot ad-banner ad-container cookie-banner cookie-notice cookie-consent social-share share-buttons related-posts related-articles comment-list comment-body comments-area".split()
 )
-_COMMENTS = {"comment", "comments", "disqus"}
+_COMMENTS = {"comment", "comments", "disqus", "comment-list", "comment-body", "comments-area"}
 _MAIN_WORDS = {"articlebody", "main"}
 _SHORT = set("p h1 h2 h3 h4 h5 h6 span a b i em strong li td".split())
 #: An unclosed one of these ends where a block begins.
@@ -61,12 +67,12 @@ _OPEN_ENDED = {"p", "li", "dt", "dd", "td", "th", "option"}
 
 
 def _words(attributes: str) -> tuple[set[str], set[str]]:
-    """(words of class and id, values of role and itemprop)."""
+    """(values of class and id, values of role and itemprop)."""
     names, roles = set(), set()
     for kind, value in _NAMES.findall(attributes):
         value = value.strip("\"'").lower()
         if kind.lower() in ("class", "id"):
-            names.update(_SPLIT.split(value))
+            names.update(_SPACES.split(value.replace("_", "-")))
         else:
             roles.update(value.split())
     return names, roles
@@ -89,12 +95,64 @@ def _is_main(tag: str, attributes: str) -> bool:
     return tag in ("article", "main") or ("role" in attributes or "itemprop" in attributes) and bool(_words(attributes)[1] & _MAIN_WORDS)
 
 
+class Extents:
+    """Where the elements of a page end, what text they hold and which main elements."""
+
+    def __init__(self, page: str):
+        self.ends: dict[int, int] = {}
+        self.at, self.sums, self.mains = [0], [0], []  # after each piece of text: position and characters so far
+        stacks: dict[str, list[int]] = {}
+        at = 0
+        while m := _TAG.search(page, at):
+            self._text(page, at, m.start())
+            at, tag = m.end(), m[2]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if m[1]:
+                if stacks.get(tag):
+                    self.ends[stacks[tag].pop()] = m.start()
+                continue
+            if tag in _VOID or m[3].endswith("/"):
+                continue
+            if tag in RAW:
+                end = _end_of(tag, page, at)
+                at = at if end is None else end
+                continue
+            stacks.setdefault(tag, []).append(at)
+            if _is_main(tag, m[3]) and not _is_dropped(tag, m[3]):
+                self.mains.append(at)
+        self._text(page, at, len(page))
+        self.length = len(page)
+
+    def _text(self, page: str, a: int, b: int) -> None:
+        if b > a:
+            self.at.append(b)
+            self.sums.append(self.sums[-1] + len("".join(page[a:b].split())))
+
+    def keeps(self, tag: str, attributes: str, at: int) -> bool:
+        """Whether an element that would be dropped, and whose tag ends at at, stays for what it holds."""
+        end = self.ends.get(at, self.length)
+        held = bisect.bisect_left(self.mains, end) - bisect.bisect_left(self.mains, at)
+        if held and at in self.ends and (held == len(self.mains) or tag not in DROPPED - {"form"} and not _words(attributes)[0] & _COMMENTS):
+            return True
+        text = self.sums[bisect.bisect_right(self.at, end) - 1] - self.sums[bisect.bisect_right(self.at, at) - 1]
+        return not held and 2 * text > self.sums[-1] and tag not in _SHORT and tag not in DROPPED - {"form"}
+
+
+def _end_of(tag: str, page: str, at: int) -> int | None:
+    """Where a raw element's content ends, None if it is never closed."""
+    end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
+    return end and end.start()
+
+
 def blocks(page: str) -> tuple[list[str], list[bool]]:
     """The text blocks of a page in order, and whether each lies in an article or main element."""
     out, inside, parts = [], [], []
     main: list[str] = []  # open main elements and those of the same name in them
     skip, depth, at = "", 0, 0
     find = _TAG.search
+    extents = None
 
     def flush() -> None:
         if parts:
@@ -136,7 +194,11 @@ def blocks(page: str) -> tuple[list[str], list[bool]]:
             continue
         if tag in _VOID or m[3].endswith("/"):
             continue
-        if _is_dropped(tag, m[3]):
+        dropped = _is_dropped(tag, m[3])
+        if dropped and tag not in ("article", "main"):
+            extents = extents or Extents(page)
+            dropped = not extents.keeps(tag, m[3], at)
+        if dropped:
             flush()
             if tag in _OPEN_ENDED or re.compile(rf"</{re.escape(tag)}[\s>]", re.I).search(page, at):
                 skip, depth = tag, 1
@@ -163,37 +225,40 @@ def _hashes(tokens: list[str], run: int) -> list[int]:
 def _read(run: int):
     def read(batches):
         for batch in batches:
-            hosts, closed, opened, windows = [], [], [], []
+            hosts, texts, insides, windows = [], [], [], []
             for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 try:
                     hosts.append(urlsplit(url or "").netloc.lower())
                 except ValueError:
                     hosts.append("")
                 text, inside = blocks(page or "")
-                closed.append("\n".join(t for t, i in zip(text, inside, strict=True) if i) if any(inside) else None)
+                texts.append(text)
+                insides.append(inside)
                 rest = [t for t, i in zip(text, inside, strict=True) if not i]
-                opened.append(rest if closed[-1] is None else None)
                 windows.append(_hashes(" ".join(rest).split(" ") if rest else [], run))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(hosts, pa.string()), pa.array(closed, pa.string()), pa.array(opened, pa.list_(pa.string())), pa.array(windows, pa.list_(pa.int64()))],
-                names=["row", "host", "closed", "opened", "windows"],
+                [batch.column(0), pa.array(hosts, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(insides, pa.list_(pa.bool_())), pa.array(windows, pa.list_(pa.int64()))],
+                names=["row", "host", "texts", "inside", "windows"],
             )
 
     return read
 
 
 def _unique_runs(run: int):
-    """(row, opened, hits) -> (row, text): open blocks without the tokens under repeated runs."""
+    """(row, texts, inside, hits) -> (row, text): open blocks without the tokens under repeated runs, the others whole."""
 
     def cut(batches):
         for batch in batches:
             texts = []
-            for opened, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for blocks_, inside, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 gone = set()
                 for p in hits or []:
                     gone.update(range(p, p + run))
                 n, kept = 0, []
-                for block in opened or []:
+                for block, whole in zip(blocks_, inside, strict=True):
+                    if whole:
+                        kept.append(block)
+                        continue
                     tokens = block.split(" ")
                     left = [t for i, t in enumerate(tokens, n) if i not in gone]
                     n += len(tokens)
@@ -210,15 +275,15 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     cols = F.struct(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(html_col).alias("page"))
     rows = pages.select(cols.alias("row"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     kind = rows.schema["row"].dataType.simpleString()
-    read = written(rows.mapInArrow(_read(run), f"row {kind}, host string, closed string, opened array<string>, windows array<long>"))
+    read = written(rows.mapInArrow(_read(run), f"row {kind}, host string, texts array<string>, inside array<boolean>, windows array<long>"))
     starts = read.select("host", "row.page", F.posexplode("windows").alias("pos", "window"))
     seen = starts.groupBy("host", "window", "page").agg(F.lit(1).alias("one"))
     classes = seen.groupBy("host", "window").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    open_pages = read.filter("closed IS NULL")
+    open_pages = read.filter("size(windows) > 0")
     mine = open_pages.select("host", F.col("row").alias("row"), F.posexplode("windows").alias("pos", "window"))
     hits = mine.join(classes.select("host", "window"), ["host", "window"]).groupBy("row").agg(F.collect_set("pos").alias("hits"))
-    own = open_pages.select("row", "opened").join(hits.select(F.col("row").alias("r"), "hits"), F.col("row").eqNullSafe(F.col("r")), "left").select("row", "opened", "hits")
-    text = read.filter("closed IS NOT NULL").select("row", F.col("closed").alias("text")).union(own.mapInArrow(_unique_runs(run), f"row {kind}, text string"))
+    own = open_pages.select("row", "texts", "inside").join(hits.select(F.col("row").alias("r"), "hits"), F.col("row").eqNullSafe(F.col("r")), "left").select("row", "texts", "inside", "hits")
+    text = read.filter("size(windows) = 0").select("row", F.array_join("texts", "\n").alias("text")).union(own.mapInArrow(_unique_runs(run), f"row {kind}, text string"))
     return text.select(F.col("row.id").alias(id_col), F.col("row.url").alias(url_col), "text")
 
 
