@@ -1,14 +1,15 @@
 """Operator 8: licence scan by Dice coefficient over word bigrams.
 
 Text is normalised to its runs of ASCII letters and digits, in lower case.  A
-template is compared with windows of whole lines that begin at the line of the first
-word and end at the line of the last word of a bigram that the template has; other
-windows could only be worse.  The score is 2 * common / (bigrams of the window +
+template is compared with windows that begin at the first and end at the last word of
+a bigram that the template has, wherever on a line these stand; other windows could
+only be worse.  The score is 2 * common / (bigrams of the window +
 bigrams of the template), counted with repeats.
 
 Size bounds prune templates first: at a threshold t a window of n bigrams can only
-match templates of between t / (2 - t) * n and (2 - t) / t * n bigrams, so most
-windows meet no template and no window is longer than the largest template allows.
+match templates of between t / (2 - t) * n and (2 - t) / t * n bigrams, so most texts
+and starts are left out by their shared bigrams, and no window is longer than the
+largest template allows.  OP8_SQL has whole lines and the templates of TEMPLATES only.
 
 Each document is scanned by itself in one pass, without a shuffle; a line that a
 third of all documents share costs no more than others.  The templates are a
@@ -21,9 +22,12 @@ first line, then to fewer lines, then to the template's name.
 
 from __future__ import annotations
 
+import functools
+import pkgutil
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +65,42 @@ TEMPLATES = {
 }
 
 
+#: Notices of further licences, and whole texts that are not in the folder license_texts.
+FURTHER = {
+    "BSD-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "BSD": "Released under the BSD License.",
+    "BSD-2-Clause": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause": "Licensed under the BSD 3-Clause License.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "ISC": "Released under the ISC License.",
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD "
+        "TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, "
+        "OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+        "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "MIT-text": (
+        TEMPLATES["MIT-permission"] + " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES "
+        "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES "
+        "OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0-short": "Licensed under the Mozilla Public License, version 2.0.",
+}
+#: Notices that differ in a word or a version only: where their windows overlap, the best one is the licence.
+ALIKE = {"GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0"}
+_TEXTS = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause"}
+
+
+@functools.lru_cache(maxsize=1)
+def all_templates() -> dict[str, str]:
+    """Notices, and the whole texts of the package's folder; read on the driver."""
+    return TEMPLATES | FURTHER | {f"{name}-text": pkgutil.get_data(__package__, f"license_texts/{file}.txt").decode() for file, name in _TEXTS.items()}
+
+
 class Scanner:
     """Templates as bigram counts, with the size bounds of a threshold."""
 
@@ -69,10 +109,10 @@ class Scanner:
         self.grams = {name: Counter(self._bigrams(_words(text))) for name, text in templates.items()}
         self.grams = {name: grams for name, grams in self.grams.items() if grams}
         self.sizes = {name: grams.total() for name, grams in self.grams.items()}
-        self.owners: dict[tuple[str, str], list[str]] = {}
+        self.owners: dict[tuple[str, str], list[tuple[str, int]]] = {}
         for name in sorted(self.grams):
-            for gram in self.grams[name]:
-                self.owners.setdefault(gram, []).append(name)
+            for gram, n in self.grams[name].items():
+                self.owners.setdefault(gram, []).append((name, n))
 
     @staticmethod
     def _bigrams(words: list[str]) -> list[tuple[str, str]]:
@@ -88,44 +128,48 @@ class Scanner:
             own = _words(line)
             words += own
             line_of += [i] * len(own)
-        hits: dict[str, list[int]] = {}
+        hits: dict[tuple[str, str], list[int]] = {}
         for p, gram in enumerate(zip(words, words[1:], strict=False)):
-            for name in self.owners.get(gram, ()):
-                hits.setdefault(name, []).append(p)
+            if gram in self.owners:
+                hits.setdefault(gram, []).append(p)
+        shared: Counter[str] = Counter()
+        for gram, at in hits.items():
+            for name, n in self.owners[gram]:
+                shared[name] += min(n, len(at))
         found = []
-        for name, at in hits.items():
-            if 2 * len(at) < self.threshold * (len(at) + self.sizes[name]):
+        for name, common in shared.items():
+            if 2 * common < self.threshold * (common + self.sizes[name]):
                 continue  # too few shared bigrams in the whole text
-            if (best := self._best(name, words, line_of, at)) is not None:
+            if (best := self._best(name, line_of, hits)) is not None:
                 found.append((name, *best))
-        return sorted(found, key=lambda m: (-m[1], m[2], m[3], m[0]))
-
-    def _best(self, name: str, words: list[str], line_of: list[int], at: list[int]) -> tuple[float, int, int] | None:
-        size, grams, best = self.sizes[name], self.grams[name], None
-        first_word = {}
-        for p, line in enumerate(line_of):
-            first_word.setdefault(line, p)
-        last_word = {line: p for p, line in enumerate(line_of)}
-        ends = sorted({line_of[p + 1] for p in at})
-        for first in sorted({line_of[p] for p in at}):
-            a, common, counts, done = first_word[first], 0, Counter(), None
-            for last in ends:
-                if last < first:
-                    continue
-                b = last_word[last]
-                if b - a > self.most(size):
-                    break
-                for p in range(a if done is None else done, b):
-                    gram = (words[p], words[p + 1])
-                    if counts[gram] < grams[gram]:
-                        common += 1
-                        counts[gram] += 1
-                done = b
-                if size > self.most(b - a):
+        kept, taken = [], []
+        for name, dice, first, n, a, b in sorted(found, key=lambda m: (-m[1], m[2], m[3], m[0])):
+            if name in ALIKE:
+                if any(a <= y and x <= b for x, y in taken):
                     continue
-                dice = 2 * common / (b - a + size)
-                if dice >= self.threshold and (best is None or dice > best[0]):
-                    best = (dice, first, last - first + 1)
+                taken.append((a, b))
+            kept.append((name, dice, first, n))
+        return kept
+
+    def _best(self, name: str, line_of: list[int], hits: dict[tuple[str, str], list[int]]) -> tuple[float, int, int, int, int] | None:
+        """(dice, first line, lines, first word, last word) of the best window."""
+        size, best = self.sizes[name], None
+        # each shared bigram's place, and the place from which on a start still leaves it within the template's count
+        places = sorted((p, at[k - n] if k >= n else -1) for gram, n in self.grams[name].items() for at in (hits.get(gram, ()),) for k, p in enumerate(at))
+        at, barred = np.array(places, np.int64).T
+        ends = np.searchsorted(at, at + int(self.most(size) + 1e-9), side="left")
+        fewest = self.threshold / (2 - self.threshold) * size - 1e-9
+        for i in np.flatnonzero(ends - np.arange(len(at)) >= fewest):
+            p, j = at[i], ends[i]
+            common = np.cumsum(barred[i:j] < p)
+            if common[-1] < fewest:
+                continue
+            dice = 2 * common / (at[i:j] - p + 1 + size)
+            k = int(np.argmax(dice))
+            if dice[k] >= self.threshold:
+                first, last = line_of[p], line_of[at[i + k] + 1]
+                if best is None or (-dice[k], first, last - first + 1) < (-best[0], best[1], best[2]):
+                    best = (float(dice[k]), first, last - first + 1, int(p), int(at[i + k] + 1))
         return best
 
 
@@ -145,7 +189,7 @@ def _scan(batches, templates: dict[str, str], threshold: float):
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, matches): for every row the best window of each template that matches, best first."""
-    templates = TEMPLATES if templates is None else templates
+    templates = all_templates() if templates is None else templates
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, matches array<struct<license string, dice double, first_line long, n_lines long>>"
     return rows.mapInArrow(lambda it: _scan(it, templates, threshold), schema).select(F.col("id").alias(id_col), "matches")
