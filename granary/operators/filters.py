@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.operators.ordering import numbered
 from granary.registry import query, using
 from granary.sources.tables import AS_OF, CALLS, LEDGER, as_of, calls, ledger, table
 
@@ -85,12 +86,11 @@ def case_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", group.alias("grupo"), label.alias("label"))
 
 
-@query("q_pin_mute_order", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal < 0 DESC, s_nationkey = 7, s_acctbal DESC, s_suppkey) AS position FROM supplier QUALIFY position <= 100")
+@query("q_pin_mute_order", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal < 0 DESC, s_nationkey = 7, s_acctbal DESC, s_suppkey) AS position FROM supplier")
 def pin_mute_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pinned first, muted last, then by value; a page of 100, so only those are numbered in one task."""
-    first = table(spark, sf_dir, "supplier").orderBy((F.col("s_acctbal") < 0).desc(), (F.col("s_nationkey") == 7).asc(), F.desc("s_acctbal"), "s_suppkey").limit(100)
-    order = Window.orderBy((F.col("s_acctbal") < 0).desc(), (F.col("s_nationkey") == 7).asc(), F.desc("s_acctbal"), "s_suppkey")
-    return first.select("s_suppkey", F.row_number().over(order).cast("bigint").alias("position"))
+    """Every row's place: pinned first, muted last, then by value."""
+    order = [(F.col("s_acctbal") < 0).desc(), (F.col("s_nationkey") == 7).asc(), F.desc("s_acctbal"), F.asc("s_suppkey")]
+    return numbered(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey"), order, "position").select("s_suppkey", "position")
 
 
 @query("q_topk_nulls_last", using({"ledger": LEDGER}, "SELECT id, fim FROM ledger ORDER BY fim DESC NULLS LAST, id LIMIT 50"))
@@ -114,10 +114,11 @@ def enum_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("place", F.array_position(F.array(*map(F.lit, ("P", "O", "F"))), F.col("o_orderstatus")).cast("bigint")).orderBy("place", "o_orderpriority")
 
 
-@query("q_relevance_sort", "SELECT p_partkey, CASE WHEN regexp_matches(p_name, '^red') THEN 0 WHEN regexp_matches(p_name, 'ring') THEN 1 ELSE 2 END AS class FROM part ORDER BY class, p_partkey LIMIT 200")
+@query("q_relevance_sort", "SELECT p_partkey, class, row_number() OVER (ORDER BY class, p_partkey) AS position FROM (SELECT p_partkey, CASE WHEN regexp_matches(p_name, '^red') THEN 0 WHEN regexp_matches(p_name, 'ring') THEN 1 ELSE 2 END AS class FROM part)")
 def relevance_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its relevance class and place; equal classes keep the order of input."""
     cls = F.when(F.col("p_name").rlike("^red"), 0).when(F.col("p_name").rlike("ring"), 1).otherwise(2)
-    return table(spark, sf_dir, "part").select("p_partkey", cls.cast("int").alias("class")).orderBy("class", "p_partkey").limit(200)
+    return numbered(table(spark, sf_dir, "part").select("p_partkey", cls.cast("int").alias("class")), [F.asc("class"), F.asc("p_partkey")], "position")
 
 
 @query("q_json_props", using({"calls": CALLS}, "SELECT id, tokens, CASE estagio WHEN 'view' THEN 'leitura' WHEN 'click' THEN 'acao' WHEN 'purchase' THEN 'compra' WHEN 'signup' THEN 'cadastro' ELSE 'falha' END AS rotulo FROM calls"))

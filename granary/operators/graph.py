@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,18 +10,29 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/granary-checkpoints"
+    """A new folder below the session's checkpoint folder; a local session without one (tests) gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/granary-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, at: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: later steps do not recompute it."""
-    at = shared_dir(df.sparkSession)
+    at = at or shared_dir(df.sparkSession)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def removed(spark: SparkSession, at: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (id, root): root is the smallest id that id reaches.
 
@@ -28,13 +40,17 @@ def components(links: DataFrame) -> DataFrame:
     label of its own label), so rounds grow with the logarithm of the longest path.
     Minima are pre-aggregated before each shuffle; every round's labels are written.
     """
+    spark = links.sparkSession
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")))
+    at = shared_dir(spark)
+    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")), at)
     while True:
         seen = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
         near = labels.join(seen, F.col("id") == F.col("a")).select("id", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         jump = labels.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        step = written(near.join(jump, "root").select("id", "old", F.least("root", "far").alias("root")))
+        old, at = at, shared_dir(spark)
+        step = written(near.join(jump, "root").select("id", "old", F.least("root", "far").alias("root")), at)
+        removed(spark, old)
         labels = step.select("id", "root")
         if step.filter("root <> old").isEmpty():
             return labels
