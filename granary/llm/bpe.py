@@ -11,11 +11,16 @@ text is dealt out in chunks that overlap by ``OVERLAP`` characters:
 3. the pieces between stitches are encoded, again wherever they lie, and their
    ids put together in order.
 
-Where an overlap has no common boundary (one pre-token longer than it), that
-chunk and the ones after it are joined into one piece, so the ids are those of
+Where an overlap has no common boundary (one pre-token longer than it), the text is
+read on from the last common boundary, in one task, until a boundary of a later
+chunk's scan is met again; from there on that chunk's scan holds.  So a long
+pre-token costs its own length and at most a chunk more, and the ids are those of
 the whole text in any case.  Decoding puts the bytes of the ids end to end.
 
-Null text counts as empty and has no ids; repeated rows are encoded each.
+Pre-tokens of any length (a run of millions of spaces, say) are merged by
+themselves.  Null text counts as empty and has no ids; repeated rows are encoded
+each; an empty table gives an empty result; other columns are not passed through,
+so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_slices, table
-from .tokens import PATTERN, RANKS, encoder, token_bytes, vocabulary
+from .common import row_slices, table, written
+from .tokens import PATTERN, RANKS, ids_of, token_bytes, vocabulary
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: Characters at a chunk's end that its own scan cannot be sure of.
@@ -39,11 +44,11 @@ _BATCH = 1 << 22
 
 def encode_batches(batches, path: str, text_at: int):
     """Arrow batches with a text column -> the other columns and ids (little-endian unsigned 32-bit)."""
-    encode = encoder(path).encode_ordinary
+    encode = ids_of(path)
     for batch in batches:
         for a, b in row_slices(batch.column(text_at), _BATCH):
             part = batch.slice(a, b - a)
-            ids = [np.array(encode(t or ""), np.uint32).tobytes() for t in part.column(text_at).to_pylist()]
+            ids = [encode(t or "").tobytes() for t in part.column(text_at).to_pylist()]
             columns = [c for i, c in enumerate(part.columns) if i != text_at]
             names = [c for i, c in enumerate(part.schema.names) if i != text_at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names=[*names, "ids"])
@@ -90,21 +95,60 @@ def pieces(docs: DataFrame, pattern: str = PATTERN, chunk: int = CHUNK, overlap:
     )
     cut = cut.repartition("uid", "i")
     schema = f"uid long, id {docs.schema['id'].dataType.simpleString()}, i int, more boolean, text string, head array<long>, tail array<long>"
-    seen = cut.mapInArrow(functools.partial(scan_chunks, pattern=pattern, chunk=chunk, overlap=overlap), schema)
+    seen = written(cut.mapInArrow(functools.partial(scan_chunks, pattern=pattern, chunk=chunk, overlap=overlap), schema))  # both branches below see the same numbers
     w = Window.partitionBy("uid").orderBy("i")
     base = F.col("i") * F.lit(chunk).cast("long")
     common = F.array_min(F.array_intersect("head", F.col("before")))
     joined = (
         seen.withColumn("before", F.lag("tail").over(w))
         .withColumn("at", F.when(F.col("i") == 0, F.lit(0).cast("long")).otherwise(common))
-        .drop("head", "tail", "before")
-        .withColumn("at", F.when(F.min(F.col("at").isNotNull()).over(w), F.col("at")))
-        .withColumn("piece", F.sum(F.col("at").isNotNull().cast("int")).over(w))
-        .withColumn("start", F.coalesce("at", base))
-        .withColumn("end", F.lead("start").over(w))
+        .withColumn("broken", F.max(F.col("at").isNull()).over(Window.partitionBy("uid")))
     )
-    own = F.substring(F.col("text"), (F.col("start") - base + 1).cast("int"), F.coalesce((F.col("end") - F.col("start")).cast("int"), F.length("text")))
-    return joined.groupBy("uid", "id", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", own.alias("t")))), lambda x: x["t"]), "").alias("text"))
+    whole = joined.filter("NOT broken").withColumn("end", F.lead("at").over(w))
+    own = F.substring(F.col("text"), (F.col("at") - base + 1).cast("int"), F.coalesce((F.col("end") - F.col("at")).cast("int"), F.length("text")))
+    found = whole.select("uid", "id", F.col("i").cast("long").alias("piece"), own.alias("text"))
+    kind = docs.schema["id"].dataType.simpleString()
+    read_on = joined.filter("broken").select("uid", "id", "i", "text", "head", "tail").groupBy("uid").applyInArrow(_resynchronised(pattern, chunk), f"uid long, id {kind}, piece long, text string")
+    return found.union(read_on)
+
+
+def _resynchronised(pattern: str, chunk: int):
+    """The pieces of one text with an overlap that has no common boundary."""
+
+    def read(group: pa.Table) -> pa.Table:
+        group = group.sort_by("i")
+        parts = group.column("text").to_pylist()
+        text = "".join([p[:chunk] for p in parts[:-1]] + parts[-1:])
+        cuts = boundaries(text, group.column("head").to_pylist(), group.column("tail").to_pylist(), pattern, chunk)
+        n = len(cuts)
+        pieces = pa.array([text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)], pa.string())
+        first = lambda c: group.column(c).combine_chunks().take(pa.array(np.zeros(n, np.int64)))
+        return pa.table({"uid": first("uid"), "id": first("id"), "piece": pa.array(range(n), pa.int64()), "text": pieces})
+
+    return read
+
+
+def boundaries(text: str, heads: list[list[int]], tails: list[list[int]], pattern: str, chunk: int) -> list[int]:
+    """Boundaries of the whole text to cut it at: common ones of neighbour scans where these are known to agree with the whole text's scan."""
+    cuts, sure, reader = [0], 0, None  # sure: from here on the last chunk's scan holds; None while reading on
+    for i in range(1, len(heads)):
+        if sure is not None:
+            common = [b for b in set(heads[i]) & set(tails[i - 1]) if b >= sure]
+            if common:
+                sure = min(common)
+                if sure > cuts[-1]:
+                    cuts.append(sure)
+                continue
+            reader, sure = regex.compile(pattern).finditer(text, cuts[-1]), None
+        known = set(tails[i])
+        for m in reader:
+            if m.end() in known:
+                cuts.append(m.end())
+                sure = m.end()
+                break
+            if m.end() >= (i + 2) * chunk:
+                break
+    return cuts
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP, decode: bool = False) -> DataFrame:

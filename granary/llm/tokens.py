@@ -10,13 +10,19 @@ import base64
 import functools
 import json
 
+import re
+from collections.abc import Callable
+
 import numpy as np
 import public_tokenizers
+import regex
 import tiktoken
 
 RANKS = "byte_bpe_50k.tiktoken"
 JSON = "byte_bpe_50k.json"
 PATTERN = public_tokenizers.PATTERN
+#: Characters that are handed to tiktoken's own splitter at once; a white-space run of some millions overflows its stack.
+SAFE = 1 << 17
 
 
 def vocabulary(name: str) -> str:
@@ -65,6 +71,48 @@ def encoder_with_added(path: str, pattern: str = PATTERN) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks(path), special_tokens=added(path))
 
 
+def ids_of(path: str, added_tokens: bool = False, pattern: str = PATTERN, safe: int = SAFE) -> Callable[[str], np.ndarray]:
+    """A function from a text to its ids (uint32), for texts and pattern matches of any length.
+
+    Texts of up to safe characters go to tiktoken whole.  Longer ones are cut at the
+    matches of the pattern, into parts of at most safe characters; a match longer
+    than that is one piece and merged by itself.  A cut behind a match changes no
+    match before it: the pattern looks ahead only to see whether white space ends.
+    """
+    enc = encoder_with_added(path, pattern) if added_tokens else encoder(path, pattern)
+    marks = added(path) if added_tokens else {}
+    split = re.compile("|".join(re.escape(m) for m in sorted(marks, key=len, reverse=True))) if marks else None
+    match = regex.compile(pattern)
+
+    def plain(text: str):
+        start = 0
+        for m in match.finditer(text):
+            if m.end() - start > safe:
+                if m.start() > start:
+                    yield enc.encode_ordinary(text[start : m.start()])
+                start = m.start()
+                if m.end() - start > safe:
+                    yield enc._encode_single_piece(m.group())
+                    start = m.end()
+        if start < len(text):
+            yield enc.encode_ordinary(text[start:])
+
+    def parts(text: str):
+        at = 0
+        for m in split.finditer(text) if split else ():
+            yield from plain(text[at : m.start()])
+            yield [marks[m.group()]]
+            at = m.end()
+        yield from plain(text[at:] if at else text)
+
+    def ids(text: str) -> np.ndarray:
+        if len(text) <= safe:
+            return np.array(enc.encode(text, allowed_special="all") if marks else enc.encode_ordinary(text), np.uint32)
+        return np.concatenate([np.zeros(0, np.uint32), *[np.array(p, np.uint32) for p in parts(text)]])
+
+    return ids
+
+
 @functools.lru_cache(maxsize=4)
 def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     """(all token bytes end to end, n + 1 offsets by id); unused ids are empty."""
