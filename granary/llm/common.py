@@ -11,6 +11,7 @@ splitting code points give the same words.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -37,19 +38,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor sees.
+    """A new folder below the session's checkpoint folder, which every executor sees.
 
-    Only where the session has no such setting (tests, a single machine) a
-    local folder is set.
+    Only a local session without one (tests, a single machine) gets a temporary
+    folder; on a cluster that is an error, since executors could not read it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        set_dir = spark.sparkContext.getCheckpointDir()
-        if set_dir:
-            base = set_dir
-        else:
-            base = "/tmp/granary-checkpoints"
-            spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/granary-{uuid.uuid4().hex}"
 
 
@@ -185,11 +184,20 @@ _BYTES = (RunHash(0x9E3779B97F4A7C15), RunHash(0xD6E8FEB86659FD93))
 _WORDS = (RunHash(0xA0761D6478BD642F), RunHash(0xE7037ED1A0B428DB))
 
 
+#: Bytes hashed at once: the working arrays of a task stay small for texts of any length.
+_PART = 1 << 20
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word; which is 0 or 1."""
-    h = _BYTES[which]
-    p = h.prefix(data.astype(np.uint64) + _ONE)
-    return mixed(h.runs(p, starts, ends) + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each span of bytes (words or lines, ascending); which is 0 or 1."""
+    h, out, i = _BYTES[which], np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        at = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, at + _PART, side="right")))
+        p = h.prefix(data[at : ends[j - 1]].astype(np.uint64) + _ONE)
+        out[i:j] = mixed(h.runs(p, starts[i:j] - at, ends[i:j] - at) + (ends[i:j] - starts[i:j]).astype(np.uint64))
+        i = j
+    return out
 
 
 def window_hashes(words: np.ndarray, width: int, which: int = 0) -> np.ndarray:

@@ -1,74 +1,106 @@
-"""Operator 5: line dedup by prefix doubling over sequences of line ids.
-
-The corpus is one sequence of lines, in order of document id and line number.
-Suffixes are sorted by prefix doubling: the class of a suffix at depth 2**k is
-the pair of the classes at depth 2**(k-1) of its two halves, and a class is named
-by its first position.  A class with two or more members is a longest-common-prefix
-interval of that depth: all its suffixes share 2**k lines.  Every member but the
-first is a later copy; where the run has ``MIN_WORDS`` words or more, its lines
-are deleted.  Overlapping intervals merge into maximal runs.  Only suffixes whose
-class repeats go on to the next depth, so the working set soon shrinks to the
-copied parts of the corpus.
-
-Each depth costs one window over the lines of a document, one aggregation and one
-join; class names are pre-aggregated before the shuffle and the join back can be
-split by adaptive skew joins, so a line that a third of all documents share does
-not meet in one task.  Line ids are 128-bit hashes of whole lines.
-
-Null text counts as empty and has one empty line.  Rows equal in id and text are
-one document and get the same result.  Lines without words are deleted only as
-part of a run.  Of the columns passed through, one with the name of a result
-column gives way.
+"""Operator 5: line dedup by a suffix array over sequences of line ids.
+
+A run of lines in a document is a *later copy* if the same lines stand at an earlier
+place, in order of document id, text hash and line number.  Every line in a later copy
+of ``MIN_WORDS`` words or more is deleted; runs have any length.
+
+The documents' lines are sequences of 128-bit line ids; ``suffixes`` sorts their
+suffixes by prefix doubling and gives the common prefixes of neighbours.  The suffixes
+that share a prefix are an interval of the array; the first of them, by place, is the
+original, and the prefix of each other one is a later copy.  Not every depth of the
+intervals needs a look: a line lies in a later copy of enough words if and only if it
+lies in a smallest one, which cannot lose its last line or cannot lose its first line
+and keep ``MIN_WORDS`` words.  So an interval is read at the depth at which its suffixes
+first have enough words, and at those depths at which all but their first line have
+too few; that is at most two looks a line.  Overlapping copies merge into the maximal
+runs that are deleted.
+
+Counts and intervals are aggregated before they are shuffled; names are looked up in
+written tables, so Spark can broadcast them or split a skewed key.
+
+Null text counts as empty and has one empty line; an empty table gives an empty
+result; a very long text is hashed part by part and its lines are rows like any other.
+Rows equal in id and text are one document and get the same result.  Lines without
+words are deleted only as part of a run.  Of the columns passed through, one with the
+name of a result column gives way.
 """
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, kept_columns, table, written
+from .common import kept_columns, row_slices, string_buffer, table, word_hashes, word_spans, written
+from .suffixes import KEY, common_prefixes, intervals, suffix_array
 
-MIN_WORDS, DEPTHS = 4, 6
+MIN_WORDS = 4
 _DOC = ["id", "th"]
 
 
-def _named(suffixes: DataFrame, keys: list[str]) -> DataFrame:
-    """(id, th, pos, words, name) of the suffixes whose class, given by keys, repeats; name is the class's first position."""
-    place = F.struct("id", "th", "pos")
-    classes = suffixes.groupBy(*keys).agg(F.count("*").alias("n"), F.min(place).alias("name")).filter("n > 1").drop("n")
-    return suffixes.join(classes, keys).select("id", "th", "pos", "words", "name")
-
+def _read_lines(batches, min_words: int):
+    """(id, ih, th, text) -> a row a line: id, ih, th, pos, h1, h2, shortest, longest.
 
-def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS, depths: int = DEPTHS) -> DataFrame:
-    """(id, th, pos, lines): later copies of runs of 1, 2, 4, ... lines, th being the hash of the text."""
+    shortest: lines from here on until there are min_words words (null if there never
+    are); longest: as many lines from here on as leave fewer than min_words words
+    without the first.
+    """
+    for batch in batches:
+        for a, b in row_slices(batch.column(3)):
+            part = batch.slice(a, b - a)
+            data, offsets = string_buffer(part.column(3))
+            breaks = np.flatnonzero(data == 10)
+            starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
+            ends = np.sort(np.concatenate([breaks, offsets[1:]]))
+            n_lines = 1 + np.bincount(np.searchsorted(offsets, breaks, side="right") - 1, minlength=len(part))
+            first = np.concatenate([[0], np.cumsum(n_lines)])
+            doc = np.repeat(np.arange(len(part)), n_lines)
+            line = np.arange(len(starts))
+            words = word_spans(data, offsets)[0]
+            so_far = np.concatenate([[0], np.cumsum(np.searchsorted(words, ends) - np.searchsorted(words, starts))])
+            end = first[1:][doc]
+            enough = np.searchsorted(so_far, so_far[:-1] + min_words)
+            few = np.minimum(np.searchsorted(so_far, so_far[1:] + min_words) - 1, end)
+            at = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[part.column(i).take(at) for i in range(3)],
+                    pa.array(line - first[:-1][doc], pa.int64()),
+                    *[pa.array(word_hashes(data, starts, ends, k).view(np.int64)) for k in (0, 1)],
+                    pa.array(np.maximum(enough - line, 1), pa.int64(), mask=enough > end),
+                    pa.array(few - line, pa.int64()),
+                ],
+                names=["id", *KEY, "h1", "h2", "shortest", "longest"],
+            )
+
+
+def _id_key(id_: str | Column) -> Column:
+    col = F.col(id_) if isinstance(id_, str) else id_
+    return F.xxhash64(col.isNull(), col)
+
+
+def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, pos, lines): later copies of runs of lines, th being the hash of the text; those of a document overlap to its maximal ones."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    words = F.size(F.filter(F.split("line", SPACES), lambda w: w != F.lit(""))).cast("long")
-    lines = rows.select("id", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), words.alias("words"))
-    level = written(_named(lines, ["h1", "h2"]).dropDuplicates(["id", "th", "pos"]))
-    found = None
-    for k in range(depths):
-        own = F.struct("id", "th", "pos")
-        copies = level.filter((F.col("words") >= min_words) & ~F.col("name").eqNullSafe(own)).select("id", "th", "pos", F.lit(1 << k).alias("lines"))
-        found = copies if found is None else found.union(copies)
-        if k + 1 == depths or level.isEmpty():
-            break
-        ahead = Window.partitionBy("id", "th").orderBy("pos").rangeBetween(1 << k, 1 << k)
-        pairs = (
-            level.withColumn("next", F.first("name").over(ahead))
-            .withColumn("more", F.first("words").over(ahead))
-            .filter("next IS NOT NULL")
-            .select("id", "th", "pos", (F.col("words") + F.col("more")).alias("words"), _name_key("name").alias("a"), _name_key("next").alias("b"))
-        )
-        level = written(_named(written(pairs), ["a", "b"]))
-    return found
-
-
-def _name_key(name: str):
-    """A class name as one string that never is null: names join and group by plain equality."""
-    return F.concat_ws(":", F.coalesce(F.col(f"{name}.id").cast("string"), F.lit("-")), F.col(f"{name}.th"), F.col(f"{name}.pos"))
+    rows = docs.select(F.col(id_col).alias("id"), _id_key(id_col).alias("ih"), F.xxhash64(text).alias("th"), text.alias("text"))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, ih long, th long, pos long, h1 long, h2 long, shortest long, longest long"
+    lines = written(rows.mapInArrow(functools.partial(_read_lines, min_words=min_words), schema))
+    suffixes, array, depths = suffix_array(lines, ["h1", "h2"], ["id", "shortest", "longest"])
+    # a prefix of 2**size lines does not repeat, where size ranks are shared
+    reach = F.call_function("shiftleft", F.lit(1).cast("long"), F.size("rs")) - 1
+    looks = suffixes.join(depths, KEY).withColumn("reach", reach).filter(F.col("shortest") <= F.col("reach")).join(array, KEY)
+    looks = written(looks.select("i", *KEY, "id", "shortest", F.greatest("shortest", F.least("longest", "reach")).alias("most")))
+    common = common_prefixes(looks.select("i", *KEY, "most"), array, depths)
+    tests = looks.select("i", *KEY, "id", F.explode(F.sequence("shortest", "most")).alias("depth"))
+    found = written(intervals(tests, common))
+    place = F.struct("id", "th", "pos")
+    originals = written(found.groupBy("interval").agg(F.count("*").alias("n"), F.min(place).alias("original")).filter("n > 1").drop("n"))
+    copies = found.join(originals, "interval").filter(~F.col("original").eqNullSafe(place))
+    return copies.select("id", "th", "pos", F.col("depth").alias("lines"))
 
 
 def _without(batches):
@@ -97,12 +129,12 @@ def _without(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "n_lines", "n_deleted", "runs", *batch.schema.names[3:]])
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, depths: int = DEPTHS, keep: list[str] | None = None) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, keep: list[str] | None = None) -> DataFrame:
     """(id_col, text_col, n_lines, n_deleted, runs, other columns): runs are the maximal deleted line spans [from, to)."""
     made = [id_col, text_col, "n_lines", "n_deleted", "runs"]
     keep = kept_columns(docs, made, []) if keep is None else keep
     inner = {c: f"keep_{i}" for i, c in enumerate(keep)}
-    runs = repeated_runs(docs, id_col, text_col, min_words, depths).groupBy(*_DOC).agg(F.collect_list(F.struct("pos", "lines")).alias("runs"))
+    runs = repeated_runs(docs, id_col, text_col, min_words).groupBy(*_DOC).agg(F.collect_list(F.struct("pos", "lines")).alias("runs"))
     runs = runs.select(F.col("id").alias("rid"), F.col("th").alias("rth"), "runs")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), *[F.col(c).alias(n) for c, n in inner.items()]).withColumn("th", F.xxhash64("text"))
@@ -120,20 +152,23 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(docs).select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: Another way to the same lines: all smallest runs, those that cannot lose their last line and those that cannot lose their first, grouped by their whole content.
 OP5_SQL = rf"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-w AS (
-  SELECT doc_id, k, i, array_to_string(ls[i:i + (1 << k) - 1], chr(10)) AS run
-  FROM (SELECT doc_id, ls, k, unnest(range(1, len(ls) - (1 << k) + 2)) AS i FROM d, range(0, {DEPTHS}) AS r(k))),
-c AS (
-  SELECT doc_id, k, i, run, row_number() OVER (PARTITION BY k, run ORDER BY doc_id, i) AS nth FROM w),
-x AS (
-  SELECT DISTINCT doc_id, i + o AS pos
-  FROM (SELECT doc_id, i, unnest(range(0, 1 << k)) AS o FROM c
-        WHERE nth > 1 AND len(regexp_extract_all(run, '[^\x20\x09-\x0D]+')) >= {MIN_WORDS})),
-l AS (SELECT doc_id, len(ls)::BIGINT AS n_lines, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM d),
+l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM d),
+w AS (SELECT *, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY pos) AS upto,
+             len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l),
+e AS (
+  SELECT a.doc_id, a.pos AS i, min(b.pos) AS j FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.words >= {MIN_WORDS}
+  GROUP BY a.doc_id, a.pos
+  UNION
+  SELECT a.doc_id, max(b.pos) AS i, a.pos AS j FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos <= a.pos AND a.upto - b.upto + b.words >= {MIN_WORDS}
+  GROUP BY a.doc_id, a.pos),
+r AS (SELECT e.*, md5(array_to_string(ls[i:j], chr(10))) AS run, j - i AS more FROM e JOIN d USING (doc_id)),
+c AS (SELECT doc_id, i, j FROM r QUALIFY row_number() OVER (PARTITION BY more, run ORDER BY doc_id, i) > 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS pos FROM c),
 m AS (SELECT l.*, x.pos IS NOT NULL AS gone FROM l LEFT JOIN x USING (doc_id, pos))
-SELECT doc_id, any_value(n_lines) AS n_lines, count(*) FILTER (WHERE gone) AS n_deleted,
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_deleted,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
