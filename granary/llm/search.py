@@ -13,16 +13,18 @@ from the most significant slice downward: rows that lead at some slice are in,
 rows that trail are out, and those that are equal in every slice are the boundary,
 of which the smallest ids are taken.  Scores are read back from the slices.
 
-Queries go in groups to all blocks; a block answers k rows a query at most, and
-the best k of those are the result.  Blocks and groups grow with the table up to a
-fixed size, so a task's memory is bounded, and no vector passes the driver.
-
-Rows whose id or vector is null, or whose vector holds null, non-finite or very
-large components (quantised: LIMIT and beyond, whose scores need not fit a long),
-take no part.  Vectors of different lengths are filled up with zeros.  Rows equal in
-id and vector count once; rows that share an id but not a vector are rows of their
-own.  A query is never its own candidate, nor is another row of its id.  Ties go to
-the smaller id; an empty table gives an empty result.
+A block's index is built once and written as one row of bytes.  Queries go in groups
+to all blocks; a block answers k rows a query at most, and the best k of those are the
+result.  Blocks and groups grow with the table up to a fixed size, so a task's memory
+is bounded, and no vector passes the driver.
+
+Rows whose id or vector is null, or whose vector holds null or non-finite components,
+take no part.  Bitmaps are as wide as the table's components need; a component or a
+score that does not fit a long raises an error, and no row is left out for its size.
+Vectors of different lengths are filled up with zeros.  Every row is a candidate of
+its own, repeated rows too, for all queries but itself; rows that share an id are
+queries of their own.  Ties go to the smaller id; an empty table gives an empty
+result; other columns are not passed through, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -35,34 +37,40 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 SCALE, K, EVERY = 256, 5, 50
-LIMIT = 1 << 27
 BLOCK_ROWS, GROUP_ROWS = (8_192, 131_072), (128, 16_384)
+#: Bytes of a block's bitmaps at most.
+BLOCK_BYTES = 32 << 20
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
     """array<bigint>, or null where the vector takes no part."""
-    whole = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    fits = F.forall(vector, lambda x: F.coalesce((F.abs(x.cast("double")) * scale < LIMIT) & ~F.isnan(x), F.lit(False)))
-    return F.when(fits, F.transform(whole, lambda x: x.cast("bigint")))
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    finite = F.forall(vector, lambda x: F.coalesce((F.abs(x.cast("double")) < float("inf")) & ~F.isnan(x), F.lit(False)))
+    whole = F.transform(vector, lambda x: F.when(F.abs(scaled(x)) < float(1 << 62), F.floor(scaled(x)).cast("bigint")).otherwise(F.raise_error(F.lit("a quantised component does not fit a long")).cast("bigint")))
+    return F.when(finite, whole)
 
 
 class Slices:
-    """The bit-sliced index of a block: ids in ascending order and slices[component, bit, word]."""
-
-    def __init__(self, ids: np.ndarray, values: np.ndarray, low: int, bits: int):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.low, self.bits = ids[order], low, bits
-        raised = (values[order] - low).T
-        self.words = max(1, -(-len(ids) // 64))
-        packed = np.zeros((raised.shape[0], bits, self.words * 8), np.uint8)
+    """The bit-sliced index of a block: rows in ascending order of id and slices[component, bit, word]."""
+
+    def __init__(self, ids: np.ndarray, uids: np.ndarray, slices: np.ndarray, low: int):
+        self.ids, self.uids, self.slices, self.low = ids, uids, slices, low
+        self.bits, self.words = slices.shape[1:]
+        self.place = {u: r for r, u in enumerate(uids.tolist())}
+        rows = np.zeros(self.words * 8, np.uint8)
+        full = np.packbits(np.ones(len(ids), np.uint8), bitorder="little")
+        rows[: len(full)] = full
+        self.rows = rows.view(np.uint64)
+
+    @classmethod
+    def of(cls, ids: np.ndarray, uids: np.ndarray, values: np.ndarray, low: int, bits: int) -> Slices:
+        order = np.lexsort((uids, ids))
+        raised = values[order].view(np.uint64).T - np.uint64(low % (1 << 64))
+        packed = np.zeros((raised.shape[0], bits, max(1, -(-len(ids) // 64)) * 8), np.uint8)
         for b in range(bits):
-            plane = np.packbits(((raised >> b) & 1).astype(np.uint8), axis=1, bitorder="little")
+            plane = np.packbits(((raised >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little")
             packed[:, b, : plane.shape[1]] = plane
-        self.slices = packed.view(np.uint64)
-        self.rows = np.zeros(self.words * 8, np.uint8)
-        full = np.packbits(np.ones(len(ids), np.uint8), bitorder="little")
-        self.rows[: len(full)] = full
-        self.rows = self.rows.view(np.uint64)
+        return cls(ids[order], uids[order], packed.view(np.uint64), low)
 
     def score(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """(a bitmap for each place of the scores, the constant to add to what they say)."""
@@ -85,14 +93,14 @@ class Slices:
             sums.append(column)
             i += 1
         top = (1 << self.bits) - 1
-        weight_up, weight_down = int(size[query > 0].sum()), int(size[query < 0].sum())
+        weight_up, weight_down = sum(size[query > 0].tolist()), sum(size[query < 0].tolist())
         return sums, self.low * (weight_up - weight_down) - top * weight_down
 
-    def best(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows, without those whose id is own."""
+    def best(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, list[int]]:
+        """(ids, scores) of the k best rows, without the row own."""
         places, constant = self.score(query)
         tied, sure = self.rows.copy(), np.zeros(self.words, np.uint64)
-        for r in range(*np.searchsorted(self.ids, [own, own + 1])):
+        if (r := self.place.get(own)) is not None:
             tied[r >> 6] &= ~(np.uint64(1) << np.uint64(r & 63))
         need = k
         for plane in reversed(places):
@@ -105,10 +113,10 @@ class Slices:
                 need -= n
                 tied &= ~plane
         rows = np.concatenate([_rows(sure), _rows(tied)[:need]])
-        scores = np.full(len(rows), constant, np.int64)
+        scores = [constant] * len(rows)
         word, bit = rows >> 6, (rows & 63).astype(np.uint64)
         for i, plane in enumerate(places):
-            scores += ((plane[word] >> bit) & np.uint64(1)).astype(np.int64) << i
+            scores = [s + (b << i) for s, b in zip(scores, ((plane[word] >> bit) & np.uint64(1)).tolist(), strict=True)]
         return self.ids[rows], scores
 
 
@@ -140,16 +148,42 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return out
 
 
+def _bytes(*arrays: np.ndarray) -> list[pa.Array]:
+    return [pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in arrays]
+
+
+def _indexed(low: int, bits: int, dims: int):
+    """The rows of a block -> one row: its index."""
+
+    def build(group: pa.Table) -> pa.Table:
+        x = Slices.of(group.column("id").to_numpy(), group.column("uid").to_numpy(), _matrix(group.column("x"), dims), low, bits)
+        return pa.table([group.column("block").combine_chunks()[:1], *_bytes(x.ids, x.uids, x.slices)], names=["block", "ids", "uids", "slices"])
+
+    return build
+
+
+def _grouped(dims: int):
+    """The queries of a group -> one row."""
+
+    def gather(group: pa.Table) -> pa.Table:
+        arrays = _bytes(group.column("id").to_numpy(), group.column("uid").to_numpy(), _matrix(group.column("x"), dims))
+        return pa.table([group.column("part").combine_chunks()[:1], *arrays], names=["part", "ids", "uids", "x"])
+
+    return gather
+
+
 def _answers(k: int, low: int, bits: int, dims: int):
     def search(key: tuple, block: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
+        longs = lambda t, c: np.frombuffer(t.column(c)[0].as_py(), np.int64)
+        out: list[list] = [[], [], [], []]
         if block.num_rows and queries.num_rows:
-            index = Slices(block.column("id").to_numpy(), _matrix(block.column("x"), dims), low, bits)
-            for own, q in zip(queries.column("id").to_numpy(), _matrix(queries.column("x"), dims), strict=True):
-                ids, scores = index.best(q, k, int(own))
-                out.append((np.full(len(ids), own), ids, scores))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        return pa.table(dict(zip(["query_id", "vec_id", "score"], columns, strict=True)))
+            slices = np.frombuffer(block.column("slices")[0].as_py(), np.uint64).reshape(dims, bits, -1)
+            index = Slices(longs(block, "ids"), longs(block, "uids"), slices, low)
+            for id_, own, q in zip(longs(queries, "ids").tolist(), longs(queries, "uids").tolist(), longs(queries, "x").reshape(-1, dims), strict=True):
+                ids, scores = index.best(q, k, own)
+                for column, values in zip(out, ([own] * len(ids), [id_] * len(ids), ids.tolist(), scores), strict=True):
+                    column += values
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("q", "query_id", "vec_id", "score"), out, strict=True)})
 
     return search
 
@@ -161,20 +195,22 @@ def _between(n: int, bounds: tuple[int, int]) -> int:
 def top_k(rows: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, block_rows: tuple[int, int] = BLOCK_ROWS, group_rows: tuple[int, int] = GROUP_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows for each row where is_query holds."""
     marked = rows.select(F.col(id_col).cast("bigint").alias("id"), quantised(F.col(vector_col), scale).alias("x"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    marked = written(marked.filter("id IS NOT NULL AND x IS NOT NULL").groupBy("id", "x").agg(F.max("q").alias("q")))
+    marked = written(marked.filter("id IS NOT NULL AND x IS NOT NULL").withColumn("uid", F.monotonically_increasing_id()))
     size = marked.agg(
         F.count("*").alias("n"), F.count_if("q").alias("q"), F.max(F.size("x")).alias("dims"), F.min(F.coalesce(F.array_min("x"), F.lit(0))).alias("low"), F.max(F.coalesce(F.array_max("x"), F.lit(0))).alias("high")
     ).first()
-    dims, low, high = size["dims"] or 0, min(size["low"] or 0, 0), max(size["high"] or 0, 0)
-    blocks = max(1, -(-size["n"] // _between(size["n"] // 64, block_rows)))
+    dims, low, high = max(size["dims"] or 0, 1), min(size["low"] or 0, 0), max(size["high"] or 0, 0)
+    bits = max(1, (high - low).bit_length())
+    most = max(64, min(block_rows[1], BLOCK_BYTES * 8 // (dims * bits)))
+    blocks = max(1, -(-size["n"] // _between(size["n"] // 64, (min(block_rows[0], most), most))))
     groups = max(1, -(-size["q"] // _between(size["q"] // 64, group_rows)))
-    part = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id", "x"), F.lit(n))
+    part = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "uid"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    candidates = marked.select("id", "x", part(blocks, 1).cast("int").alias("block"), every(groups).alias("part"))
-    queries = marked.filter("q").select("id", "x", every(blocks).alias("block"), part(groups, 2).cast("int").alias("part"))
-    search = _answers(k, low, max(1, (high - low).bit_length()), dims)
-    found = candidates.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    index = written(marked.select("id", "uid", "x", part(blocks, 1).alias("block")).groupBy("block").applyInArrow(_indexed(low, bits, dims), "block int, ids binary, uids binary, slices binary"))
+    queries = marked.filter("q").select("id", "uid", "x", part(groups, 2).alias("part")).groupBy("part").applyInArrow(_grouped(dims), "part int, ids binary, uids binary, x binary")
+    pairs = (index.withColumn("part", every(groups)).groupBy("block", "part"), queries.withColumn("block", every(blocks)).groupBy("block", "part"))
+    found = pairs[0].cogroup(pairs[1]).applyInArrow(_answers(k, low, bits, dims), "q long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -183,13 +219,13 @@ def op2_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = f"""
-WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.r AS q, q.vec_id AS query_id, c.vec_id,
          list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {EVERY} = 0)
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % {EVERY} = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= {K}
 """

@@ -54,18 +54,26 @@ def test_top_k(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(330, 12)).astype(np.float32)
     x[40:80] = x[3]  # ties
-    rows = [(i, [float(v) for v in x[i]]) for i in range(330)] + [(400, None), (401, [1.0, None] + [0.0] * 10), (450, [float("nan")] * 12), (500, [float("inf")] * 12), (330, [float(v) for v in x[0]]), (330, [float(v) for v in x[0]])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    q = np.floor(256 * np.vstack([x, x[:1]]).astype(np.float64)).astype(np.int64)
+    x[5, 2], x[150, 2], x[7, 0] = 600_000.0, -3e6, 1e9  # large components count like any other
+    rows = [(i, [float(v) for v in x[i]], 1, 0.5) for i in range(330)] + [(400, None, 1, 0.5), (401, [1.0, None] + [0.0] * 10, 1, 0.5), (450, [float("nan")] * 12, 1, 0.5), (500, [float("inf")] * 12, 1, 0.5)]
+    rows += [(300, [float(v) for v in x[0]], 1, 0.5), (300, [float(v) for v in x[0]], 1, 0.5), (None, [1.0] * 12, 1, 0.5)]  # rows that repeat or share an id
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int, Rank double")
+    ids = [*range(330), 300, 300]
+    q = np.floor(256 * np.vstack([x, x[:1], x[:1]]).astype(np.float64)).astype(np.int64).astype(object)
     want = []
-    for i in range(0, 331, 50):
-        s = q @ q[i]
-        best = sorted((-int(s[j]), j) for j in range(331) if j != i)[:5]
-        want += [(i, k + 1, j, -v) for k, (v, j) in enumerate(best)]
+    for r, i in enumerate(ids):
+        if i % 50 == 0:
+            s = q @ q[r]
+            best = sorted((-int(s[j]), ids[j]) for j in range(len(ids)) if j != r)[:5]
+            want += [(i, k + 1, j, -v) for k, (v, j) in enumerate(best)]
     got = search.top_k(df, F.col("vec_id") % 50 == 0, block_rows=(64, 64), group_rows=(2, 2))
-    assert sorted(map(tuple, got.collect())) == want
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
     assert search.top_k(df.limit(0), F.lit(True)).count() == 0
     assert search.top_k(df.limit(3), F.lit(True)).count() == 6  # all, if fewer than k
+    too_large = spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit a long"):
+        search.top_k(too_large, F.lit(True)).collect()
 
 
 def test_packing(spark, docs):
