@@ -1,12 +1,18 @@
 """Operator 9: chat formatting into budgeted windows.
 
 A conversation longer than the budget becomes several windows.  Prefix sums of
-turn tokens choose their spans: a window takes the turns whose prefix sum lies in
-the same half of the room that the system turn leaves, so spans begin and end at
-turns.  Each window opens with the system turn and with as many whole turns before
-it as fit a quarter of the room; what is repeated is masked, so each assistant
-text is a target once.  Windows stay in the budget unless a single turn takes more
-than a quarter of the room; turns are never cut.
+turn tokens choose their spans: the room that the system turn leaves is cut in halves,
+and a window takes the turns that begin in the same half, so with the one that reaches
+over its end it holds a whole room at most; a turn longer than half a room is a window
+by itself.  Spans begin and end at turns.  Each window opens with the system turn and
+repeats whole turns of the window before it, the last ones that fit a quarter of the
+room and what its own turns leave of the budget; what is repeated is masked, so each
+assistant text is a target once.  No window is over the budget unless the system turn
+and a single other turn alone are; turns are never cut.
+
+Tokens are counted as runs of letters, digits or other characters, and ``TURN_TOKENS``
+a turn for the marks.  A byte-level BPE makes more of the same text (README); give the
+budget accordingly.
 
 A turn is written ``<turn ROLE>\\nTEXT</turn>\\n``.  Inside roles and texts ``\\``,
 ``<`` and ``>`` become ``\\b``, ``\\l`` and ``\\g``, so that no text can look like a
@@ -16,7 +22,9 @@ Everything is built-in Spark SQL: windows over a conversation's turns and one
 aggregation a window; a window's turns are bounded by the budget.  Null text and
 null role count as empty; turns with equal numbers are ordered by role and text;
 repeated rows are turns of their own; a conversation without assistant has no
-targets.  A null conversation id is one conversation.
+targets.  A null conversation id is one conversation.  A very long text is one turn and
+one window.  An empty table gives an empty result; other columns are not passed
+through, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -61,14 +69,18 @@ def formatted(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     rows = rows.withColumn("cost", F.when(F.col("lead"), F.lit(0)).otherwise(F.col("tokens")))
     rows = rows.withColumn("room", F.greatest(F.lit(4), F.lit(budget) - F.max(F.when(F.col("lead"), F.col("tokens")).otherwise(F.lit(0))).over(conv)))
     rows = rows.withColumn("before", F.coalesce(F.sum("cost").over(so_far), F.lit(0)))
-    rows = rows.withColumn("span", F.floor(F.col("before") / F.floor(F.col("room") / 2)))
-    rows = rows.withColumn("begins", F.coalesce((F.col("span") != F.lag("span").over(order)).cast("long"), F.lit(1)))
+    half = F.floor(F.col("room") / 2)
+    rows = rows.withColumn("span", F.floor(F.col("before") / half)).withColumn("big", F.col("cost") > half)
+    apart = (F.col("span") != F.lag("span").over(order)) | F.col("big") | F.lag("big").over(order)
+    rows = rows.withColumn("begins", F.coalesce((apart & ~F.lag("lead").over(order)).cast("long"), F.lit(1)))
     rows = rows.withColumn("own", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("next_start", F.max(F.col("before") + F.col("cost")).over(Window.partitionBy("c", "own"))).withColumn("last", F.max("own").over(conv))
+    window = Window.partitionBy("c", "own")
+    rows = rows.withColumn("next_start", F.max(F.col("before") + F.col("cost")).over(window)).withColumn("used", F.sum("cost").over(window)).withColumn("last", F.max("own").over(conv))
+    rows = rows.withColumn("spare", F.col("room") - F.first("used").over(conv.orderBy("own").rangeBetween(1, 1)))
     none = F.array().cast("array<bigint>")
     again = (
         F.when(F.col("lead") & (F.col("last") > 1), F.sequence(F.lit(2).cast("long"), F.col("last")))
-        .when(~F.col("lead") & (F.col("own") < F.col("last")) & (F.col("next_start") - F.col("before") <= F.floor(F.col("room") / 4)), F.array(F.col("own") + 1))
+        .when(~F.col("lead") & (F.col("own") < F.col("last")) & (F.col("next_start") - F.col("before") <= F.least(F.floor(F.col("room") / 4), "spare")), F.array(F.col("own") + 1))
         .otherwise(none)
     )
     head = F.concat(F.lit("<turn "), escaped(F.col("role")), F.lit(">\n"))
@@ -138,16 +150,19 @@ d AS (
   SELECT *, CASE WHEN lead THEN 0 ELSE tokens END AS cost,
          greatest(4, {BUDGET} - max(CASE WHEN lead THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id)) AS room FROM c),
 e AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d),
-f AS (SELECT *, before // (room // 2) AS span FROM e),
-g AS (SELECT *, CASE WHEN span = lag(span) OVER (PARTITION BY conv_id ORDER BY n) THEN 0 ELSE 1 END AS begins FROM f),
+f AS (SELECT *, before // (room // 2) AS span, cost > room // 2 AS big FROM e),
+g AS (
+  SELECT *, CASE WHEN span = lag(span) OVER (PARTITION BY conv_id ORDER BY n) AND NOT big AND NOT lag(big) OVER (PARTITION BY conv_id ORDER BY n) OR lag(lead) OVER (PARTITION BY conv_id ORDER BY n) THEN 0 ELSE 1 END AS begins
+  FROM f),
 h AS (SELECT *, sum(begins) OVER (PARTITION BY conv_id ORDER BY n ROWS UNBOUNDED PRECEDING)::BIGINT AS own FROM g),
 i AS (
   SELECT *, max(before + cost) OVER (PARTITION BY conv_id, own) AS next_start, max(own) OVER (PARTITION BY conv_id) AS last,
+         room - max(used) OVER (PARTITION BY conv_id ORDER BY own RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS spare,
          20 + length(role) + length(regexp_replace(role, '[^\\<>]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\<>]', '', 'g')) - 4 AS chars
-  FROM h)
+  FROM (SELECT *, sum(cost) OVER (PARTITION BY conv_id, own) AS used FROM h))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       sum(chars * CASE WHEN lead THEN last WHEN own < last AND next_start - before <= room // 4 THEN 2 ELSE 1 END)::BIGINT AS formatted_chars
+       sum(chars * CASE WHEN lead THEN last WHEN own < last AND next_start - before <= least(room // 4, spare) THEN 2 ELSE 1 END)::BIGINT AS formatted_chars
 FROM i GROUP BY conv_id
 """
