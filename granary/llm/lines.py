@@ -4,19 +4,20 @@ A run of lines in a document is a *later copy* if the same lines stand at an ear
 place, in order of document id, text hash and line number.  Every line in a later copy
 of ``MIN_WORDS`` words or more is deleted; runs have any length.
 
-The documents' lines are sequences of 128-bit line ids; ``suffixes`` sorts their
-suffixes by prefix doubling and gives the common prefixes of neighbours.  The suffixes
-that share a prefix are an interval of the array; the first of them, by place, is the
-original, and the prefix of each other one is a later copy.  Not every depth of the
-intervals needs a look: a line lies in a later copy of enough words if and only if it
-lies in a smallest one, which cannot lose its last line or cannot lose its first line
-and keep ``MIN_WORDS`` words.  So an interval is read at the depth at which its suffixes
-first have enough words, and at those depths at which all but their first line have
-too few; that is at most two looks a line.  Overlapping copies merge into the maximal
-runs that are deleted.
-
-Counts and intervals are aggregated before they are shuffled; names are looked up in
-written tables, so Spark can broadcast them or split a skewed key.
+The documents' lines are sequences of 128-bit line ids, whose suffixes are sorted (see
+``suffixes``).  Suffixes that share a prefix are an interval of the array; the first of
+them, by place, is the original, and the prefix of each other one is a later copy.
+Not every depth of the intervals needs a look: a line lies in a later copy of enough
+words if and only if it lies in a smallest one, which cannot lose its last line or
+cannot lose its first line and keep ``MIN_WORDS`` words.  So an interval is read at the
+depth at which its suffixes first have enough words, and at those depths at which all
+but their first line have too few; that is at most two looks a line.  A suffix is
+sorted as far as it is looked at, which is a line or two in prose and as far as it takes
+elsewhere.  Overlapping copies merge into the maximal runs that are deleted.
+
+Suffixes that share nothing with their neighbours are left out before intervals are
+numbered; intervals are aggregated before they are shuffled and looked up in a written
+table, so Spark can broadcast it or split a skewed interval.
 
 Null text counts as empty and has one empty line; an empty table gives an empty
 result; a very long text is hashed part by part and its lines are rows like any other.
@@ -36,18 +37,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import kept_columns, row_slices, string_buffer, table, word_hashes, word_spans, written
-from .suffixes import KEY, common_prefixes, intervals, suffix_array
+from .suffixes import KEY, WIDTH, intervals, keys_of, refined, sorted_suffixes
 
 MIN_WORDS = 4
 _DOC = ["id", "th"]
 
 
 def _read_lines(batches, min_words: int):
-    """(id, ih, th, text) -> a row a line: id, ih, th, pos, h1, h2, shortest, longest.
+    """(id, ih, th, text) -> a row for each line at which a look begins or that lies under a deep one: id, KEY, key, shortest, most, need.
 
-    shortest: lines from here on until there are min_words words (null if there never
-    are); longest: as many lines from here on as leave fewer than min_words words
-    without the first.
+    shortest: lines from here on until there are min_words words; most: the deepest look,
+    as many lines as leave fewer than min_words words without the first; both null if
+    there never are min_words words.  need: lines from here on under looks of more than
+    WIDTH lines.
     """
     for batch in batches:
         for a, b in row_slices(batch.column(3)):
@@ -64,17 +66,24 @@ def _read_lines(batches, min_words: int):
             so_far = np.concatenate([[0], np.cumsum(np.searchsorted(words, ends) - np.searchsorted(words, starts))])
             end = first[1:][doc]
             enough = np.searchsorted(so_far, so_far[:-1] + min_words)
+            look = enough <= end
+            shortest = np.where(look, np.maximum(enough - line, 1), 0)
             few = np.minimum(np.searchsorted(so_far, so_far[1:] + min_words) - 1, end)
-            at = pa.array(doc)
+            most = np.where(look, np.maximum(shortest, few - line), 0)
+            need = np.maximum(np.maximum.accumulate(np.where(most > WIDTH, line + most, 0)) - line, 0)
+            at = np.flatnonzero(look | (need > 0))
+            ids = np.stack([word_hashes(data, starts, ends, k) for k in (0, 1)], axis=1)
+            lens = np.minimum(np.minimum(np.maximum(most, need)[at], WIDTH), end[at] - at)
+            take = pa.array(doc[at])
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[part.column(i).take(at) for i in range(3)],
-                    pa.array(line - first[:-1][doc], pa.int64()),
-                    *[pa.array(word_hashes(data, starts, ends, k).view(np.int64)) for k in (0, 1)],
-                    pa.array(np.maximum(enough - line, 1), pa.int64(), mask=enough > end),
-                    pa.array(few - line, pa.int64()),
+                    *[part.column(i).take(take) for i in range(3)],
+                    pa.array((line - first[:-1][doc])[at], pa.int64()),
+                    keys_of(ids, at, lens),
+                    *[pa.array(x[at], pa.int64(), mask=~look[at]) for x in (shortest, most)],
+                    pa.array(need[at], pa.int64()),
                 ],
-                names=["id", *KEY, "h1", "h2", "shortest", "longest"],
+                names=["id", *KEY, "key", "shortest", "most", "need"],
             )
 
 
@@ -87,16 +96,17 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int =
     """(id, th, pos, lines): later copies of runs of lines, th being the hash of the text; those of a document overlap to its maximal ones."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), _id_key(id_col).alias("ih"), F.xxhash64(text).alias("th"), text.alias("text"))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, ih long, th long, pos long, h1 long, h2 long, shortest long, longest long"
-    lines = written(rows.mapInArrow(functools.partial(_read_lines, min_words=min_words), schema))
-    suffixes, array, depths = suffix_array(lines, ["h1", "h2"], ["id", "shortest", "longest"])
-    # a prefix of 2**size lines does not repeat, where size ranks are shared
-    reach = F.call_function("shiftleft", F.lit(1).cast("long"), F.size("rs")) - 1
-    looks = suffixes.join(depths, KEY).withColumn("reach", reach).filter(F.col("shortest") <= F.col("reach")).join(array, KEY)
-    looks = written(looks.select("i", *KEY, "id", "shortest", F.greatest("shortest", F.least("longest", "reach")).alias("most")))
-    common = common_prefixes(looks.select("i", *KEY, "most"), array, depths)
-    tests = looks.select("i", *KEY, "id", F.explode(F.sequence("shortest", "most")).alias("depth"))
-    found = written(intervals(tests, common))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, ih long, th long, pos long, key binary, shortest long, most long, need long"
+    suffixes = sorted_suffixes(rows.mapInArrow(functools.partial(_read_lines, min_words=min_words), schema))
+    shared = F.greatest("lcp", "after")
+    depths = F.explode(F.sequence(F.col("shortest"), F.least(F.col("most"), shared)))
+    tests = suffixes.filter(F.col("shortest") <= shared).select("i", *KEY, "id", "lcp", depths.alias("depth"))
+    deep = suffixes.filter(F.col("need") > 0)
+    if not deep.isEmpty():
+        order = refined(deep)
+        looks = deep.filter(F.col("most") > WIDTH).select(*KEY, "id", F.explode(F.sequence(F.greatest("shortest", F.lit(WIDTH + 1)), "most")).alias("depth"))
+        tests = tests.union(looks.join(order, KEY).select(*tests.columns))
+    found = written(intervals(tests))
     place = F.struct("id", "th", "pos")
     originals = written(found.groupBy("interval").agg(F.count("*").alias("n"), F.min(place).alias("original")).filter("n > 1").drop("n"))
     copies = found.join(originals, "interval").filter(~F.col("original").eqNullSafe(place))
