@@ -11,11 +11,11 @@ from .common import removed, shared_dir, written
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (node, root): one row per node that has a link, root the smallest node it reaches.
 
-    Each round is two aggregations and two joins over links; minima are
-    pre-aggregated before the shuffle and a hub's rows can be split by adaptive
-    skew joins, so no node's links meet in one task.  A round's links are
-    written to the shared folder; rounds end when the links stand still, which
-    takes about the logarithm of the longest path.
+    Each round is two aggregations and two joins over links.  Minima are
+    pre-aggregated before the shuffle and written, so that the links of a hub are a
+    plain shuffle on the other side of the join, which adaptive skew joins split.  A
+    round's links are written to the shared folder; rounds end when the links stand
+    still, which takes about the logarithm of the longest path.
     """
     spark = links.sparkSession
     flat = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
@@ -25,15 +25,21 @@ def components(links: DataFrame) -> DataFrame:
         found = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if found["n"] == 0 or (found["n"], found["h"]) == mark:
             break
-        mark = (found["n"], found["h"])
+        mark, steps = (found["n"], found["h"]), []
+
+        def kept(df: DataFrame, steps: list[str] = steps) -> DataFrame:
+            steps.append(shared_dir(spark))
+            return written(df, steps[-1])
+
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hub = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(hub, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        hub = kept(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = kept(both.filter("b > a").join(hub, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
+        low = kept(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         step = small.union(low.select("a", F.col("m").alias("b"))).distinct()
-        old, at = at, shared_dir(spark)
+        old, at = [at, *steps], shared_dir(spark)
         edges = written(step, at)
-        removed(spark, old)
+        for path in old:
+            removed(spark, path)
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -5,7 +5,8 @@ fingerprints form one class at once, so a group of exact copies, however large,
 is one row from there on.  Distinct fingerprints are cut into two 32-bit
 segments.  Two fingerprints at most 2 bits apart have a segment at most 1 bit
 apart, so each fingerprint enumerates the ball of radius 1 around each of its
-segments (33 values), fetches the table of fingerprints by segment value and
+segments (the upper half of its 33 values: of two values one bit apart, the one
+without the bit finds the other), fetches the table of fingerprints by segment value and
 verifies the complete distance.
 
 A segment value shared by many distinct fingerprints (a large group of near
@@ -16,9 +17,14 @@ bits meets at one.  So the work stays in proportion to the fingerprints and no
 link is lost.  Components follow by alternating large-star and small-star
 joins over links written to the shared folder.
 
+What is looked up is written first, so that the side with a hot fingerprint or segment
+value is a plain shuffle, which adaptive skew joins split.
+
 Null or empty texts have fingerprint zero and are linked like any other; null
 ids are returned, and never name a component unless it has no other id.
-Repeated rows share their fingerprint.
+Repeated rows share their fingerprint; very long texts are hashed in slices; an empty
+table gives an empty result; other columns are not passed through, so their names
+cannot clash.
 """
 
 from __future__ import annotations
@@ -97,7 +103,7 @@ def _segment(fp: Column, which: Column | int) -> Column:
 
 
 def _ball() -> Column:
-    """Masks of weight 0 and 1 over 32 bits."""
+    """Masks of weight 0 and 1 over 32 bits: the ball of radius 1."""
     return F.array(*[F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)]])
 
 
@@ -110,16 +116,19 @@ def links(distinct_fps: DataFrame, dense: int = DENSE) -> DataFrame:
     side = F.explode(F.array(F.lit(0), F.lit(1)))
     rows = distinct_fps.select("fp", side.alias("s")).select("fp", "s", _segment(F.col("fp"), F.col("s")).alias("v"))
     members = rows.select("fp", "s", _key(F.col("s"), F.col("v")).alias("key"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("one"))
-    probes = rows.select("fp", "s", "v", F.explode(_ball()).alias("mask")).select("fp", "s", (F.col("mask") != 0).alias("off"), _key(F.col("s"), F.col("v").bitwiseXOR(F.col("mask"))).alias("key"))
-    hits = probes.join(sizes, "key").filter("n > 1 OR one <> fp").select("key", "fp", "s", "off", "n")
+    # written, so that a dense key on the other side of a join is a plain shuffle, which Spark splits
+    sizes = written(members.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("one")))
+    # of two values one bit apart the one without the bit finds the other: half a ball each
+    upward = F.filter(_ball(), lambda m: m.bitwiseAND(F.col("v")) == 0)
+    probes = rows.select("fp", "s", "v", F.explode(upward).alias("mask")).select("fp", "s", (F.col("mask") != 0).alias("off"), _key(F.col("s"), F.col("v").bitwiseXOR(F.col("mask"))).alias("key"))
+    hits = written(probes.join(sizes, "key").filter("n > 1 OR one <> fp").select("key", "fp", "s", "off", "n"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS
     table_ = members.select("key", F.col("fp").alias("other"))
-    sparse = hits.filter(F.col("n") <= dense).join(table_, "key").filter((F.col("other") < F.col("fp")) & near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    sparse = hits.filter(F.col("n") <= dense).join(table_, "key").filter((F.col("off") | (F.col("other") < F.col("fp"))) & near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
     rest = _segment(F.col("fp"), F.lit(1) - F.col("s"))
     centre = F.explode(F.when(F.col("off"), F.array(rest)).otherwise(F.transform(_ball(), lambda m: m.bitwiseXOR(rest))))
     met = hits.filter(F.col("n") > dense).select("key", "fp", centre.alias("centre"))
-    hub = met.groupBy("key", "centre").agg(F.min("fp").alias("b"), F.count("*").alias("c")).filter("c > 1")
+    hub = written(met.groupBy("key", "centre").agg(F.min("fp").alias("b"), F.count("*").alias("c")).filter("c > 1"))
     stars = met.join(hub, ["key", "centre"]).filter("fp <> b").select(F.col("fp").alias("a"), "b")
     return sparse.union(stars).distinct()
 
@@ -132,7 +141,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = linked.join(classes.withColumnRenamed("fp", "node"), "node")
     lowest = spread.groupBy("root").agg(F.min("first").alias("component"))
     named = linked.join(lowest, "root").select(F.col("node").alias("fp"), "component")
-    by_class = classes.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
+    by_class = written(classes.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component")))
     return prints.join(by_class, "fp").select("id", "fp", "component")
 
 
