@@ -9,19 +9,22 @@ call a block or a shard, so nothing gathers the copies of a passage in one task.
 
 1. *Sketch.*  A window is counted under its anchor: of the 18 runs of 18 words in
    it, the leftmost with the smallest hash.  Equal windows have equal anchors at
-   equal offsets, so there are at least as many anchor positions as window
-   starts, at about a tenth of the number.  Each block fills its slice of a
-   count-min sketch, sent as cell numbers to the shard that holds those cells.
-2. *Merge.*  A shard adds the slices of all blocks up and tells each block, one
-   bit an anchor, whether the estimate is two or more.  Estimates are never too
-   low, so no repeated window is lost.  Shards grow in number with the corpus;
-   no sketch is broadcast or collected.
+   equal offsets, so a window stands at least as often as it is counted, and there are
+   about a tenth as many anchors.  Each block makes its own count-min sketch of two
+   rows, in pieces of cells: the numbers of the cells that are not zero, and a mark
+   where the count is two or more.
+2. *Merge.*  A shard adds the blocks' sketches up over its piece of cells and tells each
+   block which of its cells reach two.  A block takes the smaller estimate of the two
+   rows.  Estimates are never too low, so no repeated window is lost.  Shards grow in
+   number with the corpus; no sketch is broadcast or collected.
 3. *Exact.*  Blocks hash the windows that the sketch leaves (128 bits of all their
    words), send each distinct hash once with a mark if it occurred twice in the
    block, and shards group them exactly and answer a bit each.
 4. *Cut.*  Blocks mark the words under repeated windows and join what is left.
 
-A hot passage is one row a block at most.  Null text has no words; repeated rows
+A passage counts once a block in every step, with a mark, however often it stands
+there; so a hot one is a few bytes a block.  Words are hashed part by part, which
+bounds a task's memory by its block, or by a very long text.  Null text has no words; repeated rows
 repeat each other's windows; an empty table gives an empty result.  Of columns
 that pass through, one with the name of a result column gives way to it.
 """
@@ -48,19 +51,22 @@ from .common import (
 )
 
 WINDOW = 35
-_CELL_BITS = 24
 _REPLY = "block long, kind int, shard long, bits binary"
 
 
+MB = 1 << 20
+#: Bytes of text in a block, and anchors in a shard: (least, most).
+BLOCK_BYTES, SHARD_ANCHORS = (4 * MB, 16 * MB), (1 << 18, 1 << 22)
+
+
 class Plan:
     """Sizes of a run, from the bytes of text alone."""
 
-    def __init__(self, n_bytes: int, window: int):
-        mb = 1 << 20
+    def __init__(self, n_bytes: int, window: int, block_bytes: tuple[int, int] = BLOCK_BYTES, shard_anchors: tuple[int, int] = SHARD_ANCHORS):
         self.window, self.gram = window, (window + 1) // 2
-        self.blocks = max(1, -(-n_bytes // min(max(n_bytes // 4096, 4 * mb), 64 * mb)))
+        self.blocks = max(1, -(-n_bytes // min(max(n_bytes // 4096, block_bytes[0]), block_bytes[1])))
         anchors = n_bytes / 6 * 2 / (window - self.gram + 2)
-        per_shard = min(max(anchors / 1024, 1 << 18), 1 << 22)
+        per_shard = min(max(anchors / 1024, shard_anchors[0]), shard_anchors[1])
         self.shards = max(1, int(-(-anchors // per_shard)))
         self.cells = 1 << int(np.ceil(np.log2(4 * per_shard)))
 
@@ -98,11 +104,14 @@ class Block:
         """Windows that the sketch leaves: (word number, group of each; hash 1, hash 2, shard and mark of each group)."""
         hashes, shard, number = self.anchors()
         repeated = np.zeros(len(hashes), dtype=bool)
-        order = np.argsort(shard, kind="stable")
-        bounds = np.searchsorted(shard[order], np.arange(self.plan.shards + 1))
-        for s, bits in sketch_bits.items():
-            mine = order[bounds[s] : bounds[s + 1]]
-            repeated[mine] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(mine)).astype(bool)
+        for s, mine in _by_shard(shard, self.plan.shards):
+            bits = np.unpackbits(np.frombuffer(sketch_bits[s], np.uint8)).astype(bool)
+            at, enough = 0, True
+            for row in _cells(hashes[mine], self.plan.cells):
+                cells, where = np.unique(row, return_inverse=True)
+                enough = enough & bits[at + where]
+                at += len(cells)
+            repeated[mine] = enough
         at = self.inside[repeated[number]] if len(number) else self.inside
         h1 = window_hashes(self.hashes, self.plan.window)[at]
         h2 = window_hashes(word_hashes(self.data, self.starts, self.ends, 1), self.plan.window, 1)[at]
@@ -128,34 +137,36 @@ def _cells(hashes: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(group: pa.Table, plan: Plan) -> pa.Table:
+    """A block's sketch: for each piece of cells, those of both rows that are not zero (4 bytes each, ascending) and the marks of those at two or more."""
     block = group.column("block")[0].as_py()
     hashes, shard, _ = Block(group, plan).anchors()
     out = []
     for s, mine in _by_shard(shard, plan.shards):
-        a, b = _cells(hashes[mine], plan.cells)
-        packed = (a | (b << np.uint64(_CELL_BITS))).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        out.append((s, block, packed.tobytes()))
-    return pa.table({"shard": pa.array([o[0] for o in out], pa.int64()), "block": pa.array([o[1] for o in out], pa.int64()), "cells": pa.array([o[2] for o in out], pa.binary())})
+        rows = [np.unique(row, return_counts=True) for row in _cells(hashes[mine], plan.cells)]
+        marks = np.packbits(np.concatenate([n > 1 for _, n in rows]))
+        out.append((s, block, len(rows[0][0]), np.concatenate([c for c, _ in rows]).astype("<u4").tobytes(), marks.tobytes()))
+    types = {"shard": pa.int64(), "block": pa.int64(), "first": pa.int64(), "cells": pa.binary(), "marks": pa.binary()}
+    return pa.table({c: pa.array([o[i] for o in out], t) for i, (c, t) in enumerate(types.items())})
 
 
-def _answer(blocks: list[int], kind: int, shard: int, lens: list[int], flags: np.ndarray) -> pa.Table:
-    ends = np.cumsum(lens)
-    bits = [np.packbits(flags[e - n : e]).tobytes() for e, n in zip(ends, lens, strict=True)]
+def _answer(blocks: list[int], kind: int, shard: int, bits: list[np.ndarray]) -> pa.Table:
     n = len(blocks)
-    return pa.table({"block": pa.array(blocks, pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "shard": pa.array([shard] * n, pa.int64()), "bits": pa.array(bits, pa.binary())})
+    packed = [np.packbits(b).tobytes() for b in bits]
+    return pa.table({"block": pa.array(blocks, pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "shard": pa.array([shard] * n, pa.int64()), "bits": pa.array(packed, pa.binary())})
 
 
 def _merge(group: pa.Table, plan: Plan) -> pa.Table:
-    """Adds the slices of a shard's sketch and reads the estimates back."""
-    slices = group.column("cells").to_pylist()
-    raw = np.frombuffer(b"".join(slices), np.uint8).reshape(-1, 6)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :6] = raw
-    both = wide.view("<u8").ravel()
-    a = (both & np.uint64((1 << _CELL_BITS) - 1)).astype(np.int64)
-    b = (both >> np.uint64(_CELL_BITS)).astype(np.int64)
-    estimate = np.minimum(np.bincount(a, minlength=plan.cells)[a], np.bincount(b, minlength=plan.cells)[b])
-    return _answer(group.column("block").to_pylist(), 0, group.column("shard")[0].as_py(), [len(s) // 6 for s in slices], estimate >= 2)
+    """Adds the blocks' sketches of a shard up, to two at most, and tells each block which of its cells reach that."""
+    total = np.zeros((2, plan.cells), np.uint8)
+    parts = []
+    for first, cells, marks in zip(group.column("first").to_pylist(), group.column("cells"), group.column("marks"), strict=True):
+        cells = np.frombuffer(cells.as_buffer(), "<u4")
+        many = 1 + np.unpackbits(np.frombuffer(marks.as_buffer(), np.uint8), count=len(cells))
+        parts.append((first, cells))
+        for row, part in ((total[0], slice(0, first)), (total[1], slice(first, None))):
+            row[cells[part]] = np.minimum(row[cells[part]] + many[part], 2)
+    bits = [np.concatenate([total[0][cells[:first]], total[1][cells[first:]]]) > 1 for first, cells in parts]
+    return _answer(group.column("block").to_pylist(), 0, group.column("shard")[0].as_py(), bits)
 
 
 def _replies(right: pa.Table, kind: int) -> dict[int, bytes]:
@@ -192,7 +203,7 @@ def _exact(group: pa.Table, plan: Plan) -> pa.Table:
     total = np.bincount(group_of, weights=1 + many[order])
     flags = np.empty(len(order), dtype=bool)
     flags[order] = total[group_of] >= 2
-    return _answer(group.column("block").to_pylist(), 1, group.column("shard")[0].as_py(), lens, flags)
+    return _answer(group.column("block").to_pylist(), 1, group.column("shard")[0].as_py(), np.split(flags, np.cumsum(lens)[:-1]))
 
 
 def _cut(key, left: pa.Table, right: pa.Table, plan: Plan, keep: list[str], spacing: str) -> pa.Table:
@@ -247,7 +258,7 @@ def _kept_text(block: Block, gone: np.ndarray, n_removed: np.ndarray, spacing: s
     return data[keep], at[block.offsets]
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, spacing: str = "single", keep: list[str] | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, spacing: str = "single", keep: list[str] | None = None, block_bytes: tuple[int, int] = BLOCK_BYTES, shard_anchors: tuple[int, int] = SHARD_ANCHORS) -> DataFrame:
     """(id_col, text_col, n_words, n_removed, other columns): text_col holds what is left of each text.
 
     keep names the columns to pass through (default: all that no result column
@@ -255,7 +266,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     made = [id_col, text_col, "n_words", "n_removed"]
     keep = kept_columns(docs, made, []) if keep is None else keep
-    plan = Plan(text_bytes(docs, text_col), window)
+    plan = Plan(text_bytes(docs, text_col), window, block_bytes, shard_anchors)
     inner = {c: f"keep_{i}" for i, c in enumerate(keep)}
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     dealt = docs.select(
@@ -264,7 +275,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         text.alias("text"),
         *[F.col(c).alias(n) for c, n in inner.items()],
     )
-    sketch = dealt.groupBy("block").applyInArrow(_grouped(_sketch, plan), "shard long, block long, cells binary")
+    sketch = dealt.groupBy("block").applyInArrow(_grouped(_sketch, plan), "shard long, block long, first long, cells binary, marks binary")
     merged = sketch.groupBy("shard").applyInArrow(_grouped(_merge, plan), _REPLY)
     windows = dealt.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(_cogrouped(_windows, plan), "shard long, block long, hashes binary, marks binary")
     exact = windows.groupBy("shard").applyInArrow(_grouped(_exact, plan), _REPLY)
