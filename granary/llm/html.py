@@ -5,30 +5,35 @@ name themselves as menus, headers, footers, sidebars, notices, adverts or reader
 comments go, unless they hold an article or main element or most of the page's
 text, as wrappers of a page do; nav, footer, aside and the like go whatever their
 length, and like reader comments also with an article in them where the page has
-one elsewhere.  The blocks of an article or
-main element are the page's text.
-
-Text outside such an element, and all text of a page that has none, is open: it
-may be boilerplate.  The open token streams of a host's pages form one long
-sequence; its suffixes are sorted by host and their first ``RUN`` tokens, and a
-class of suffixes that starts on ``MIN_PAGES`` or more different pages is a long
-repeated substring.  Tokens under such substrings are removed and the unique
-runs kept.  Suffixes are dealt out by host and leading tokens, not by host, and
-classes are pre-aggregated, so a host with a third of all pages is spread over
-all tasks.
+one elsewhere.  A header inside an article stays: it holds the article's title.  The
+blocks of an article or main element are the page's text.
+
+Tags are read as browsers read them: a quote inside an unquoted value or a name is
+part of it, and an element that is never closed ends with the element around it.
+
+Text outside an article or main element, and all text of a page that has none, is
+open: it may be boilerplate.  The open token streams of a host's pages are sequences
+of a suffix array (see ``suffixes``), sorted by host and tokens.  Where suffixes of
+``MIN_PAGES`` or more different pages share ``RUN`` tokens or more, that is a long
+repeated substring; the tokens that such substrings cover are removed and the unique
+runs kept.  A page of fewer tokens is compared as a whole.  Suffixes are cut into ranges
+by tokens and place, not by host, and the pages of an interval are pre-aggregated, so
+a host with a third of all pages is spread over all tasks.
 
 The suffix array does not touch the inside of an article element: articles of one
 host quote and copy one another, and a repeated passage there is text, not
 boilerplate.
 
-Null html counts as empty; its text is empty.  Pages of equal html count once, so
-that copies of a page do not make its text boilerplate.  Repeated rows are
-returned each.
+Null html counts as empty; its text is empty; an empty table gives an empty result.
+Pages of equal html count once, so that copies of a page do not make its text
+boilerplate.  Repeated rows are returned each.  A very long page is one row of its
+task.  Other columns are not passed through, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import html as entities
 import re
 from urllib.parse import urlsplit
@@ -39,15 +44,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import mixed, string_buffer, table, word_hashes, word_spans, written
+from .suffixes import KEY, WIDTH, intervals, keys_of, sorted_suffixes
 
 RUN, MIN_PAGES = 8, 3
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^<]*\Z", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+)|[^>])*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^<]*\Z""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SPACES = re.compile(r"\s+")
+#: Their content is neither text nor tags.
+RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes"}
+_CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 #: Their content is not text.
-RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "title", "head", "canvas", "audio", "video", "select", "option", "button"}
+HIDDEN = {"noscript", "template", "svg", "math", "object", "head", "canvas", "audio", "video", "select", "option", "button"}
 #: Elements that are not part of the article.
 DROPPED = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "search"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "track", "param"}
@@ -95,64 +104,72 @@ def _is_main(tag: str, attributes: str) -> bool:
     return tag in ("article", "main") or ("role" in attributes or "itemprop" in attributes) and bool(_words(attributes)[1] & _MAIN_WORDS)
 
 
-class Extents:
-    """Where the elements of a page end, what text they hold and which main elements."""
+class Page:
+    """The tags of a page, and for each one that opens an element where that ends, what text it holds and which main elements."""
 
-    def __init__(self, page: str):
-        self.ends: dict[int, int] = {}
-        self.at, self.sums, self.mains = [0], [0], []  # after each piece of text: position and characters so far
-        stacks: dict[str, list[int]] = {}
+    def __init__(self, html: str):
+        self.html = html
+        self.tags: list[tuple[int, int, str, bool, str]] = []  # start, end, name ("" for what is skipped), closing, attributes
         at = 0
-        while m := _TAG.search(page, at):
-            self._text(page, at, m.start())
-            at, tag = m.end(), m[2]
-            if tag is None:
-                continue
-            tag = tag.lower()
-            if m[1]:
-                if stacks.get(tag):
-                    self.ends[stacks[tag].pop()] = m.start()
+        while m := _TAG.search(html, at):
+            at, name, closing, attributes = m.end(), (m[2] or "").lower(), bool(m[1]), m[3] or ""
+            if name in RAW:
+                if not closing and not attributes.endswith("/"):
+                    end = _CLOSING[name].search(html, at)
+                    at = end.end() if end else len(html) if name in ("script", "style") else at
+                name = ""
+            self.tags.append((m.start(), at, name, closing, attributes))
+        self.ends = [0] * len(self.tags)
+        self.mains: list[int] = []
+        self.sums = []  # characters of text before each tag
+        self._read()
+
+    def _read(self) -> None:
+        stack: list[tuple[str, int]] = []
+        total = at = 0
+
+        def close(k: int, i: int) -> None:
+            while len(stack) > k:
+                self.ends[stack.pop()[1]] = i
+
+        for i, (start, end, name, closing, attributes) in enumerate(self.tags):
+            total += len("".join(self.html[at:start].split()))
+            self.sums.append(total)
+            at = end
+            if not name:
                 continue
-            if tag in _VOID or m[3].endswith("/"):
+            if closing:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == name:
+                        close(k, i)
+                        break
                 continue
-            if tag in RAW:
-                end = _end_of(tag, page, at)
-                at = at if end is None else end
+            if stack and (stack[-1][0] in ("p", "head") and name in BLOCKS and name != "br" or stack[-1][0] == name and name in _OPEN_ENDED):
+                close(len(stack) - 1, i)
+            if name in _VOID or attributes.endswith("/"):
+                self.ends[i] = i
                 continue
-            stacks.setdefault(tag, []).append(at)
-            if _is_main(tag, m[3]) and not _is_dropped(tag, m[3]):
-                self.mains.append(at)
-        self._text(page, at, len(page))
-        self.length = len(page)
-
-    def _text(self, page: str, a: int, b: int) -> None:
-        if b > a:
-            self.at.append(b)
-            self.sums.append(self.sums[-1] + len("".join(page[a:b].split())))
-
-    def keeps(self, tag: str, attributes: str, at: int) -> bool:
-        """Whether an element that would be dropped, and whose tag ends at at, stays for what it holds."""
-        end = self.ends.get(at, self.length)
-        held = bisect.bisect_left(self.mains, end) - bisect.bisect_left(self.mains, at)
-        if held and at in self.ends and (held == len(self.mains) or tag not in DROPPED - {"form"} and not _words(attributes)[0] & _COMMENTS):
-            return True
-        text = self.sums[bisect.bisect_right(self.at, end) - 1] - self.sums[bisect.bisect_right(self.at, at) - 1]
-        return not held and 2 * text > self.sums[-1] and tag not in _SHORT and tag not in DROPPED - {"form"}
-
-
-def _end_of(tag: str, page: str, at: int) -> int | None:
-    """Where a raw element's content ends, None if it is never closed."""
-    end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-    return end and end.start()
-
-
-def blocks(page: str) -> tuple[list[str], list[bool]]:
+            stack.append((name, i))
+            if _is_main(name, attributes) and not _is_dropped(name, attributes):
+                self.mains.append(i)
+        close(0, len(self.tags))
+        self.sums.append(total + len("".join(self.html[at:].split())))
+
+    def keeps(self, i: int) -> bool:
+        """Whether the element that tag i opens, and that would be dropped, stays for what it holds."""
+        _, _, name, _, attributes = self.tags[i]
+        held = bisect.bisect_left(self.mains, self.ends[i]) - bisect.bisect_right(self.mains, i)
+        if held:
+            return held == len(self.mains) or name not in DROPPED - {"form"} and not _words(attributes)[0] & _COMMENTS
+        text = self.sums[self.ends[i]] - self.sums[i]
+        return 2 * text > self.sums[-1] and name not in _SHORT and name not in DROPPED - {"form"}
+
+
+def blocks(html: str) -> tuple[list[str], list[bool]]:
     """The text blocks of a page in order, and whether each lies in an article or main element."""
+    page = Page(html)
     out, inside, parts = [], [], []
-    main: list[str] = []  # open main elements and those of the same name in them
-    skip, depth, at = "", 0, 0
-    find = _TAG.search
-    extents = None
+    main: list[int] = []  # where the open main elements end
 
     def flush() -> None:
         if parts:
@@ -162,86 +179,74 @@ def blocks(page: str) -> tuple[list[str], list[bool]]:
                 inside.append(bool(main))
             parts.clear()
 
-    while m := find(page, at):
-        if not skip and m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag, closing = tag.lower(), bool(m[1])
-        if skip in _OPEN_ENDED and not closing and (tag == skip or skip == "p" and tag in BLOCKS and tag != "br"):
-            skip = ""
-        if skip:
-            if tag == skip:
-                depth += -1 if closing else not m[3].endswith("/")
-                skip = skip if depth > 0 else ""
-            continue
-        if tag in RAW:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-                if tag == "head" or end is None and tag in ("title",):
-                    body = re.compile(r"<(?:body|article|main)[\s>]", re.I).search(page, at)
-                    at = min(x for x in (end and end.start(), body and body.start(), len(page)) if x is not None)
-                else:
-                    at = end.start() if end else len(page)
-            continue
-        if tag in BLOCKS:
+    i = at = 0
+    while i < len(page.tags):
+        start, end, name, closing, attributes = page.tags[i]
+        if start > at:
+            parts.append(html[at:start])
+        at = end
+        while main and main[-1] <= i:
             flush()
-        if closing:
-            if main and tag == main[-1]:
-                main.pop()
-            continue
-        if tag in _VOID or m[3].endswith("/"):
-            continue
-        dropped = _is_dropped(tag, m[3])
-        if dropped and tag not in ("article", "main"):
-            extents = extents or Extents(page)
-            dropped = not extents.keeps(tag, m[3], at)
-        if dropped:
+            main.pop()
+        if name in BLOCKS:
             flush()
-            if tag in _OPEN_ENDED or re.compile(rf"</{re.escape(tag)}[\s>]", re.I).search(page, at):
-                skip, depth = tag, 1
-            else:  # never closed: up to the article, or to the end
-                rest = re.compile(r"<(?:article|main)[\s>]", re.I).search(page, at)
-                at = rest.start() if rest else len(page)
-        elif _is_main(tag, m[3]) or main and tag == main[-1]:
-            flush()
-            main.append(tag)
-    if not skip and at < len(page):
-        parts.append(page[at:])
+        if name and not closing and page.ends[i] > i:
+            dropped = name in HIDDEN
+            if not dropped and _is_dropped(name, attributes) and not (name == "header" and main):
+                dropped = name in ("article", "main") or not page.keeps(i)
+            if dropped:
+                if name not in HIDDEN:
+                    flush()
+                i = page.ends[i]
+                at = page.tags[i][0] if i < len(page.tags) else len(html)
+                continue
+            if _is_main(name, attributes):
+                flush()
+                main.append(page.ends[i])
+        i += 1
+    parts.append(html[at:])
     flush()
     return out, inside
 
 
-def _hashes(tokens: list[str], run: int) -> list[int]:
-    """A signed 64-bit hash of every run of tokens; of all of them if there are fewer."""
-    if not tokens:
-        return []
-    n = max(1, len(tokens) - run + 1)
-    return np.array([xxhash.xxh3_64_intdigest("\x00".join(tokens[i : i + run])) for i in range(n)], np.uint64).view(np.int64).tolist()
-
-
-def _read(run: int):
-    def read(batches):
-        for batch in batches:
-            hosts, texts, insides, windows = [], [], [], []
-            for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                try:
-                    hosts.append(urlsplit(url or "").netloc.lower())
-                except ValueError:
-                    hosts.append("")
-                text, inside = blocks(page or "")
-                texts.append(text)
-                insides.append(inside)
-                rest = [t for t, i in zip(text, inside, strict=True) if not i]
-                windows.append(_hashes(" ".join(rest).split(" ") if rest else [], run))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(hosts, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(insides, pa.list_(pa.bool_())), pa.array(windows, pa.list_(pa.int64()))],
-                names=["row", "host", "texts", "inside", "windows"],
-            )
-
-    return read
+def _host(url: str | None) -> str:
+    try:
+        return urlsplit(url or "").netloc.lower()
+    except ValueError:
+        return ""
+
+
+def _read(batches):
+    """(row, url, html) -> (row, host, texts, inside, open): the blocks of each page, and those that are open as one text."""
+    for batch in batches:
+        hosts = [_host(url) for url in batch.column(1).to_pylist()]
+        found = [blocks(page or "") for page in batch.column(2).to_pylist()]
+        texts, insides = [t for t, _ in found], [i for _, i in found]
+        rest = [" ".join(t for t, i in zip(*f, strict=True) if not i) for f in found]
+        columns = [pa.array(hosts, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(insides, pa.list_(pa.bool_())), pa.array(rest, pa.string())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "host", "texts", "inside", "open"])
+
+
+def _suffixes(batches, run: int):
+    """(ih, th, host, open) -> (KEY, key, depth): the token suffixes of each page that have run tokens, or all of a shorter page as one symbol."""
+    for batch in batches:
+        data, offsets = string_buffer(batch.column(3))
+        starts, ends, first = word_spans(data, offsets)
+        n = np.diff(first)
+        doc = np.repeat(np.arange(len(n)), n)
+        host = np.array([xxhash.xxh3_64_intdigest(h or "") for h in batch.column(2).to_pylist()], np.uint64)
+        ids = np.stack([mixed(word_hashes(data, starts, ends, k) ^ host[doc]) for k in (0, 1)], axis=1)
+        at = np.flatnonzero(np.arange(len(doc)) + run <= first[1:][doc])
+        short = np.flatnonzero((n > 0) & (n < run))
+        whole = [xxhash.xxh3_128_digest(bytes(data[offsets[d] : offsets[d + 1]]), seed=int(host[d])) for d in short]
+        ids = np.concatenate([ids, np.frombuffer(b"".join(whole), np.uint64).reshape(-1, 2)])
+        places = np.concatenate([at, len(doc) + np.arange(len(short))])
+        lens = np.concatenate([np.full(len(at), run), np.ones(len(short), np.int64)])
+        take = pa.array(np.concatenate([doc[at], short]))
+        pos = np.concatenate([at - first[:-1][doc[at]], np.zeros(len(short), np.int64)])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int64()), keys_of(ids, places, lens), pa.array(lens, pa.int64())], names=[*KEY, "key", "depth"]
+        )
 
 
 def _unique_runs(run: int):
@@ -259,31 +264,40 @@ def _unique_runs(run: int):
                     if whole:
                         kept.append(block)
                         continue
-                    tokens = block.split(" ")
+                    tokens = word_tokens(block)
                     left = [t for i, t in enumerate(tokens, n) if i not in gone]
                     n += len(tokens)
                     if left:
-                        kept.append(" ".join(left))
+                        kept.append(" ".join(left) if len(left) < len(tokens) else block)
                 texts.append("\n".join(kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
     return cut
 
 
+def word_tokens(block: str) -> list[str]:
+    """The tokens of a block as word_spans finds them."""
+    return [t for t in re.split(r"[\x20\x09-\x0D]+", block) if t]
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, min_pages: int = MIN_PAGES) -> DataFrame:
     """(id_col, url_col, text) of every page."""
-    cols = F.struct(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(html_col).alias("page"))
-    rows = pages.select(cols.alias("row"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    if run > WIDTH:
+        raise ValueError(f"a run has {WIDTH} tokens at most")
+    page = F.xxhash64(F.col(html_col).isNull(), F.col(html_col))
+    row = F.struct(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(url_col).isNull(), F.col(url_col)).alias("ih"), page.alias("th"))
+    rows = pages.select(row.alias("row"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     kind = rows.schema["row"].dataType.simpleString()
-    read = written(rows.mapInArrow(_read(run), f"row {kind}, host string, texts array<string>, inside array<boolean>, windows array<long>"))
-    starts = read.select("host", "row.page", F.posexplode("windows").alias("pos", "window"))
-    seen = starts.groupBy("host", "window", "page").agg(F.lit(1).alias("one"))
-    classes = seen.groupBy("host", "window").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    open_pages = read.filter("size(windows) > 0")
-    mine = open_pages.select("host", F.col("row").alias("row"), F.posexplode("windows").alias("pos", "window"))
-    hits = mine.join(classes.select("host", "window"), ["host", "window"]).groupBy("row").agg(F.collect_set("pos").alias("hits"))
-    own = open_pages.select("row", "texts", "inside").join(hits.select(F.col("row").alias("r"), "hits"), F.col("row").eqNullSafe(F.col("r")), "left").select("row", "texts", "inside", "hits")
-    text = read.filter("size(windows) = 0").select("row", F.array_join("texts", "\n").alias("text")).union(own.mapInArrow(_unique_runs(run), f"row {kind}, text string"))
+    read = written(rows.mapInArrow(_read, f"row {kind}, host string, texts array<string>, inside array<boolean>, open string"))
+    has_open = read.filter("open <> ''")
+    suffixes = has_open.select("row.ih", "row.th", "host", "open").mapInArrow(functools.partial(_suffixes, run=run), "ih long, th long, pos long, key binary, depth long")
+    array = sorted_suffixes(suffixes).drop("key").filter(F.greatest("lcp", "after") >= F.col("depth"))
+    found = written(intervals(array))
+    pages_of = found.groupBy("interval", "th").agg(F.lit(1).alias("one")).groupBy("interval").agg(F.count("*").alias("n"))
+    repeated = written(pages_of.filter(F.col("n") >= min_pages).select("interval"))
+    hits = written(found.join(repeated, "interval").groupBy("ih", "th").agg(F.collect_set("pos").alias("hits")))
+    own = has_open.select("row.ih", "row.th", "row", "texts", "inside").join(hits, ["ih", "th"], "left").select("row", "texts", "inside", "hits")
+    text = read.filter("open = ''").select("row", F.array_join("texts", "\n").alias("text")).union(own.mapInArrow(_unique_runs(run), f"row {kind}, text string"))
     return text.select(F.col("row.id").alias(id_col), F.col("row.url").alias(url_col), "text")
 
 
