@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.functions import offers as O
 from granary.functions import text as X
 from granary.registry import query
 from granary.sources.tables import table
@@ -27,14 +28,78 @@ def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.slug(F.concat_ws(" ", "p_brand", "p_name", "p_type")).alias("slug"))
 
 
-# Names of a programme and its code.
-ALIASES = {"AUTOMOBILE": "auto", "BUILDING": "casa", "FURNITURE": "casa", "HOUSEHOLD": "lar", "MACHINERY": "maq"}
+# Names under which a programme is known, and its code.  A bank and its card for firms ("bb", "bb-empresas") are programmes of their own.
+ALIASES = {
+    "azul fidelidade": "azul",
+    "latam pass": "latampass",
+    "latam-pass": "latampass",
+    "tudoazul": "azul",
+    "smiles gol": "smiles",
+    "connect miles": "connectmiles",
+    "life miles": "lifemiles",
+    "amex mr": "amex-mr",
+    "membership rewards": "amex-mr",
+}
 
 
-@query("q_alias_map", "SELECT c_custkey, CASE c_mktsegment " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALIASES.items()) + " ELSE lower(c_mktsegment) END AS code FROM customer")
+def programme(name: Column, aliases: dict[str, str] = ALIASES) -> Column:
+    """The code of a programme: its name in lower case with single spaces, or what that is an alias of."""
+    m = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    return X.let(F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"\s+", " ")), lambda n: F.coalesce(F.try_element_at(m, n), n))
+
+
+_NAMES = ("Azul  Fidelidade", "LATAM Pass", "latam-pass", "TudoAzul", " Smiles GOL ", "Connect Miles", "Life Miles", "Amex MR", "Membership Rewards", "bb", "BB-Empresas", "Livelo")
+_CODES = ("azul", "latampass", "latampass", "azul", "smiles", "connectmiles", "lifemiles", "amex-mr", "amex-mr", "bb", "bb-empresas", "livelo")
+
+
+@query("q_alias_map", f"SELECT c_custkey, {list(_CODES)}[(c_custkey % 12 + 1)::INTEGER] AS code FROM customer")
 def alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    return table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(F.try_element_at(m, F.col("c_mktsegment")), F.lower("c_mktsegment")).alias("code"))
+    name = F.get(F.array(*map(F.lit, _NAMES)), (F.col("c_custkey") % 12).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", programme(name).alias("code"))
+
+
+_DAY = "lpad(day(o_orderdate)::VARCHAR, 2, '0')"
+
+
+@query("q_validity_end", f"""
+WITH t AS (SELECT o_orderkey, o_orderdate, o_orderkey % 7 AS k, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders)
+SELECT o_orderkey, CASE WHEN k IN (0, 3) THEN iso WHEN k = 5 THEN CASE WHEN month(o_orderdate) < 6 THEN year(o_orderdate) + 1 ELSE year(o_orderdate) END || substr(iso, 5) WHEN k IN (4, 6) THEN '20' || strftime(o_orderdate, '%y-%m-%d') END AS day,
+       ['full_date', 'no_day_and_month', 'no_end_stated', 'full_date', 'year_inferred', 'year_inferred', 'address_and_today'][(k + 1)::INTEGER] AS reason FROM t""")
+def validity_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven ways to state the order's day as a last day, read back."""
+    d, k = F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 7).cast("int")
+    months = F.array(*map(F.lit, O.MONTHS))
+    mon = lambda c: F.get(months, F.month(c) - 1)
+    text = F.get(F.array(F.concat(F.lit("Válido até "), F.date_format(d, "dd/MM/yyyy")), F.concat(F.lit("começa a partir de "), F.date_format(d, "dd/MM/yyyy")), F.concat(F.lit("Não há data, talvez "), F.date_format(d, "dd/MM/yyyy")), F.concat(F.lit("a partir de 01/01/1990, encerra "), F.date_format(d, "dd/MM/yyyy")), F.concat(F.lit("termina em "), F.date_format(d, "dd/MM")), F.concat(F.lit("até "), F.date_format(d, "dd/MM")), F.lit("somente hoje")), k)
+    address = F.when(k == 4, F.concat(F.lit("promo-"), mon(d), F.date_format(d, "yy"))).when(k == 6, F.concat(F.lit("oferta-"), F.dayofmonth(d), mon(d), F.date_format(d, "yy"))).otherwise("")
+    published = F.when(k == 5, F.make_date(F.year(d), F.lit(6), F.lit(1)))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", O.validity_end(text, address, published).alias("v"))
+    return rows.select("o_orderkey", "v.day", "v.reason")
+
+
+@query("q_price_per_thousand", """
+WITH t AS (SELECT p_partkey, p_partkey % 5 AS k, 10 + p_size AS whole, p_partkey % 100 AS cents FROM part)
+SELECT p_partkey, CASE WHEN k < 4 THEN round(whole + cents / 100.0::DOUBLE, 2) END AS value, CASE WHEN k < 4 THEN k = 2 END AS is_floor, CASE WHEN k < 4 THEN k = 3 END AS approximate FROM t""")
+def price_per_thousand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of a thousand points written in five ways, read back; the last is not tied to the unit."""
+    k = (F.col("p_partkey") % 5).cast("int")
+    price = F.concat(F.col("p_size") + 10, F.lit(","), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"))
+    text = F.get(F.array(F.concat(F.lit("Compre por R$ "), price, F.lit(" o milheiro")), F.concat(F.lit("Milheiro cai de R$ 1.999,00 para R$"), price), F.concat(F.lit("milheiro a partir de R$ "), price), F.concat(F.lit("R$ 5 de taxa e nada mais a pagar por isso aqui; milheiro a R$ ~"), price), F.concat(F.lit("pague R$ "), price, F.lit(" de taxa"))), k)
+    rows = table(spark, sf_dir, "part").select("p_partkey", O.price_per_thousand(text).alias("p"))
+    return rows.select("p_partkey", F.col("p.value").alias("value"), F.col("p.floor").alias("is_floor"), F.col("p.approximate").alias("approximate"))
+
+
+@query("q_tiered_bonus", """
+WITH t AS (SELECT s_suppkey, 10 + s_suppkey % 80 AS pct, s_suppkey % 3 AS k FROM supplier),
+x AS (SELECT s_suppkey, pct AS pct, ['clube', 'cartao', NULL][(k + 1)::INTEGER] AS audience FROM t UNION ALL SELECT s_suppkey, 5, 'geral' FROM t)
+SELECT * FROM x""")
+def tiered_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tier for one audience, named twice, and a general one, far apart."""
+    pct, k = F.col("s_suppkey") % 80 + 10, (F.col("s_suppkey") % 3).cast("int")
+    gap = "x" * 90
+    text = F.concat(pct, F.lit("% de bônus "), F.get(F.array(F.lit("para o clube "), F.lit("no cartão "), F.lit("")), k), F.lit(f"{gap} bônus de "), pct, F.lit(f"% {gap} até 5% bônus para todos"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(O.tiered_bonus(text)).alias("b"))
+    return rows.select("s_suppkey", "b.pct", "b.audience")
 
 
 @query("q_parse_br_number", """

@@ -71,40 +71,3 @@ def date_of(text: Column) -> Column:
     dmy = F.try_to_date(F.nullif(F.regexp_extract(text, r"^(\d{1,2}/\d{1,2}/\d{4})$", 1), F.lit("")), "d/M/yyyy")
     d = F.coalesce(iso, dmy)
     return F.when(F.year(d).between(2000, 2100), d)
-
-
-#: A written price a thousand, with an optional "from": group 1 is the number.
-PER_THOUSAND = r"(?i)(?:r\$ ?)?(\d[\d.,]*) ?(?:por|o|/) ?(?:milheiro|mil)"
-
-
-def prices_per_thousand(text: Column) -> Column:
-    """All prices a thousand in a text, in order; of "de X por Y" the later counts as well, so take the last for the current price."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(PER_THOUSAND), F.lit(1)), lambda x: br_number(F.regexp_replace(x, r"[.,]$", ""))), lambda x: x.isNotNull())
-
-
-#: Portuguese month names, by their first three letters.
-MONTHS = ("jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez")
-
-
-def validity_end(text: Column, published: Column) -> Column:
-    """The last day that a text names: full dates, D/M and "D de month"; a day without a year is the first such day from the day of publication on.
-
-    A date after "a partir de" is a start and does not count.
-    """
-    t = F.regexp_replace(F.lower(text), r"a partir de \d{1,2}(/\d{1,2}(/\d{4})?| de [a-zç]+( de \d{4})?)", " ")
-    month = lambda name: F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), F.left(name, F.lit(3))).cast("string"), 2, "0")
-    full = F.transform(F.regexp_extract_all(t, F.lit(r"(\d{1,2}/\d{1,2}/\d{4})"), F.lit(1)), lambda x: F.try_to_date(x, "d/M/yyyy"))
-    named = F.transform(F.regexp_extract_all(t, F.lit(r"(\d{1,2} de [a-zç]+ de \d{4})"), F.lit(1)), lambda x: F.try_to_date(F.concat_ws("-", F.split_part(x, F.lit(" "), F.lit(5)), month(F.split_part(x, F.lit(" "), F.lit(3))), F.lpad(F.split_part(x, F.lit(" "), F.lit(1)), 2, "0")), "yyyy-MM-dd"))
-    bare = F.regexp_replace(t, r"\d{1,2}/\d{1,2}/\d{4}|\d{1,2} de [a-zç]+ de \d{4}", " ")
-    roll = lambda md: F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.lit(1)), lambda k: F.try_to_date(F.concat_ws("-", (F.year(published) + k).cast("string"), md), "yyyy-MM-dd")), lambda d: d >= published))
-    short = F.transform(F.regexp_extract_all(bare, F.lit(r"(\d{1,2}/\d{1,2})"), F.lit(1)), lambda x: roll(F.concat_ws("-", F.lpad(F.split_part(x, F.lit("/"), F.lit(2)), 2, "0"), F.lpad(F.split_part(x, F.lit("/"), F.lit(1)), 2, "0"))))
-    worded = F.transform(F.regexp_extract_all(bare, F.lit(r"(\d{1,2} de [a-zç]+)"), F.lit(1)), lambda x: roll(F.concat_ws("-", month(F.split_part(x, F.lit(" "), F.lit(3))), F.lpad(F.split_part(x, F.lit(" "), F.lit(1)), 2, "0"))))
-    return F.array_max(F.concat(full, named, short, worded))
-
-
-def tiered_bonus(text: Column) -> Column:
-    """(pct, audience) of each "<n>% de bônus"; the audience is named within 40 characters after it; the general tier goes where a specific one of that percentage exists."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(\d{1,3})% de b[oô]nus([^%\d]{0,40})"), F.lit(0))
-    tier = F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"^(\d{1,3})", 1).cast("int").alias("pct"), F.when(x.rlike("clube|assinante"), "clube").when(x.rlike("cart[aã]o|cart[oõ]es"), "cartao").otherwise("geral").alias("audience")))
-    specific = F.transform(F.filter(tier, lambda x: x["audience"] != "geral"), lambda x: x["pct"])
-    return F.array_sort(F.array_distinct(F.filter(tier, lambda x: (x["audience"] != "geral") | ~F.array_contains(specific, x["pct"]))))

@@ -2,28 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions import offers as O
 from granary.functions import text as X
 from granary.functions.queries import _DOC, _RUNS, docs, longest_runs, overlaps, _TOKENS
 from granary.registry import query, using
 from granary.sources.tables import AS_OF, LEDGER, as_of, ledger, round_to, table
 
-# The ordered rules; those marked True need a text without the protecting vocabulary.
-RULES = (("produto_blog", r"\b(course|license|released)\b", False), ("cupom_varejo", r"(password|token|secret)", True), ("tarifa", r"(https?|www|@)", True))
-PROTECTED = r"(public|benchmark|test)"
-
-
-@query("q_rejection_gate", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(text, '')), '{r}')" + (f" AND NOT regexp_matches(lower(coalesce(text, '')), '{PROTECTED}')" if guard else "") + f" THEN '{n}'" for n, r, guard in RULES) + " ELSE 'passa' END AS outcome FROM documents")
+# The vocabulary of points mechanics, which protects a text, and the rules in order: name, pattern, whether mechanics protect, whether an issuer as origin does.
+MECHANICS = r"(pontos?|milhas?|milheiro|cashback|bonus|transferenc)"
+RULES = (
+    ("produto_blog", r"(\b(cursos?|mentoria|masterclass)\b|dominando o|assine nosso)", False, False),
+    ("perk_sem_pontos", r"(salas? vip|uber one|disney\+|gemini|clube ifood|ifood gratis|streaming gratis)", True, False),
+    ("anuidade_sem_pontos", r"(anuidade gratis|anuidade gratuita|sem anuidade|isencao de anuidade)", True, False),
+    ("cupom_varejo", r"(\bcupom\b|\bcupons\b|\boff\b)", True, False),
+    ("cupom_varejo", r"(% de desconto|r\$ ?\d[\d.,]* de desconto|desconto no abastec)", True, True),
+    ("tarifa_pacote_dinheiro", r"(a partir de r\$|diarias?|all inclusive|\bvoos?\b|\bpassagens?\b|\bpacotes?\b)", True, True),
+)
+HOTEL_KIND, HOTEL_REASON = "hotelaria", "tipo=hotelaria sem pontos"
+
+
+def rejection(title: Column, snippet: Column, kind: Column, origin: Column, issuers: list[str]) -> Column:
+    """(rule, evidence) of the first rule that a text breaks, or null.
+
+    A text about points, miles or cashback is only rejected for selling a course; an
+    offer of a programme that issues points (issuers: names in lower case without
+    accents) is not taken for a shop's coupon or a fare.  A hotel offer without points
+    is a fare whatever its words.
+    """
+
+    def of(x: Column) -> Column:
+        protected, issuer = x["text"].rlike(MECHANICS), x["origin"].isin(*issuers) if issuers else F.lit(False)
+        out = None
+        for name, pattern, spares_mechanics, spares_issuers in RULES:
+            hit, evidence = x["text"].rlike(pattern), F.regexp_extract(x["text"], pattern, 0)
+            if name == "tarifa_pacote_dinheiro":
+                hit, evidence = hit | (x["kind"] == HOTEL_KIND), F.when(x["kind"] == HOTEL_KIND, HOTEL_REASON).otherwise(evidence)
+            if spares_mechanics:
+                hit = hit & ~protected
+            if spares_issuers:
+                hit = hit & ~issuer
+            broken = F.struct(F.lit(name).alias("rule"), evidence.alias("evidence"))
+            out = F.when(hit, broken) if out is None else out.when(hit, broken)
+        return out
+
+    none = F.lit("")
+    text = O.unaccented(F.concat(F.coalesce(title, none), F.lit(" "), F.coalesce(snippet, none)))
+    return X.let(F.struct(text.alias("text"), O.unaccented(kind).alias("kind"), O.unaccented(origin).alias("origin")), of)
+
+
+# Titles for the query, with the rule that each must break.
+_TITLES = (
+    ("Curso: dominando o mercado de milhas", "produto_blog"), ("Sala VIP grátis no aeroporto", "perk_sem_pontos"), ("Sala VIP e 10.000 pontos", "passa"), ("Cartão com anuidade grátis", "anuidade_sem_pontos"),
+    ("Cupom de R$ 20 na loja", "cupom_varejo"), ("30% de desconto no resgate", "cupom_varejo"), ("Voos a partir de R$ 199", "tarifa_pacote_dinheiro"), ("Hospedagem em Gramado", "passa"), ("100% de bônus na transferência", "passa"), ("Notícia comum", "passa"),
+)
+_TITLE_SQL = "[" + ", ".join(f"'{r}'" for _, r in _TITLES) + "]"
+
+
+@query("q_rejection_gate", f"""
+SELECT p_partkey, CASE WHEN p_partkey % 10 = 7 AND p_size % 2 = 0 AND p_size % 3 > 0 THEN 'tarifa_pacote_dinheiro' WHEN p_partkey % 10 IN (5, 6) AND p_size % 3 = 0 THEN 'passa' ELSE {_TITLE_SQL}[(p_partkey % 10 + 1)::INTEGER] END AS outcome FROM part""")
 def rejection_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule that matches rejects; guarded rules spare texts with protecting words."""
-    low = F.lower("text")
-    out = None
-    for name, rule, guard in RULES:
-        hit = low.rlike(rule) & ~low.rlike(PROTECTED) if guard else low.rlike(rule)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return docs(spark, sf_dir).select("doc_id", out.otherwise("passa").alias("outcome"))
+    """Titles of ten kinds; parts of even size are hotel offers where the title is one of lodging, sizes divisible by three come from an issuer."""
+    k = (F.col("p_partkey") % 10).cast("int")
+    title = F.get(F.array(*[F.lit(t) for t, _ in _TITLES]), k)
+    kind = F.when((k == 7) & (F.col("p_size") % 2 == 0), "Hotelaria").otherwise("promocao")
+    origin = F.when(F.col("p_size") % 3 == 0, "Smiles").otherwise("Loja")
+    outcome = rejection(title, F.lit(None).cast("string"), kind, origin, ["smiles"])
+    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(outcome["rule"], F.lit("passa")).alias("outcome"))
 
 
 _FLAGS = {

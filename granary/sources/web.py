@@ -70,11 +70,15 @@ def canonical(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r"""(?i)<link[^>]+rel=["']canonical["'][^>]*href=["']([^"']*)["']""", 1), F.lit(""))
 
 
+# How a percentage stands in an address and in a curated text.
+PERCENT_SLUG, PERCENT_TEXT = r"(?i)(?:ate|bonus|bonus-de)-(\d{1,3})(?=-|/|$)", r"(\d{1,3})\s*%"
+
+
 def percentage(slug: Column, text: Column) -> Column:
-    """(value, source): a percentage of 1 to 100 in the address, else in the text."""
-    of = lambda c, p: F.filter(F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(1)), lambda x: x.try_cast("int")), lambda v: v.between(1, 100))
-    a, b = F.get(of(slug, r"(\d{1,3})-?(?:por-cento|pct|%)"), F.lit(0)), F.get(of(text, r"(\d{1,3}) ?%"), F.lit(0))
-    return F.when(a.isNotNull(), F.struct(a.alias("value"), F.lit("slug").alias("source"))).when(b.isNotNull(), F.struct(b.alias("value"), F.lit("text").alias("source")))
+    """(value, source): a percentage of 1 to 100 in the address, else in the text, or null; the first of each counts."""
+    first = lambda c, p: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), p, 1), F.lit("")).try_cast("int")
+    a, b = first(slug, PERCENT_SLUG), first(text, PERCENT_TEXT)
+    return F.when(a.between(1, 100), F.struct(a.alias("value"), F.lit("slug").alias("source"))).when(b.between(1, 100), F.struct(b.alias("value"), F.lit("text").alias("source")))
 
 
 _TITLE = "trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"
@@ -115,17 +119,37 @@ SELECT page_id, CASE WHEN price < 10 AND points >= 1000 THEN NULL ELSE price END
 def offer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price from product markup, else meta, else text; a price under 10 next to 1,000 points or more is no price."""
     rows = table(spark, sf_dir, "pages").select("page_id", "html", X.tag_free(F.col("html")).alias("t"))
-    rows = rows.select("page_id", "t", F.coalesce(F.get_json_object(json_ld(F.col("html")), "$.offers.price").try_cast("double"), meta(F.col("html"), "product:price:amount").try_cast("double"), F.nullif(F.regexp_extract("t", r"(\d{1,6})", 1), F.lit("")).try_cast("double")).alias("price"), F.nullif(F.regexp_extract("t", r"(\d{4,})", 1), F.lit("")).try_cast("bigint").alias("points"))
+    rows = rows.select("page_id", "t", F.coalesce(product_price(F.col("html"))["cash"], meta(F.col("html"), "product:price:amount").try_cast("double"), F.nullif(F.regexp_extract("t", r"(\d{1,6})", 1), F.lit("")).try_cast("double")).alias("price"), F.nullif(F.regexp_extract("t", r"(\d{4,})", 1), F.lit("")).try_cast("bigint").alias("points"))
     price = F.col("price")
     stock = F.when(F.lower("t").rlike("(sold out|esgotado|ausverkauft|agotado)"), "unavailable").when(price.isNotNull(), "available").otherwise("unknown")
     return rows.select("page_id", F.when(~F.coalesce((price < 10) & (F.col("points") >= 1000), F.lit(False)), price).alias("price"), "points", stock.alias("availability"))
 
 
 def json_ld(html: Column) -> Column:
-    """The first JSON-LD object of type Product (also within @graph), as JSON."""
-    blocks = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    graph = lambda b: F.coalesce(F.from_json(F.get_json_object(b, "$.@graph"), "array<string>"), F.array(b))
-    return F.get(F.filter(F.flatten(F.transform(blocks, graph)), lambda o: F.get_json_object(o, "$.@type") == "Product"), F.lit(0))
+    """All JSON-LD objects of type Product or Offer, as JSON, in order: alone, in an array, or (products) within @graph; blocks that are not JSON are passed over."""
+    blocks = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    nodes = F.flatten(F.transform(blocks, lambda b: F.coalesce(F.when(F.trim(b).startswith("["), F.from_json(b, "array<string>")), F.array(b))))
+    kind = lambda o: F.get_json_object(o, "$.@type")
+    own = lambda n: F.filter(F.array(n), lambda o: kind(o).isin("Product", "Offer"))
+    graph = lambda n: F.filter(F.coalesce(F.from_json(F.get_json_object(n, "$.@graph"), "array<string>"), F.array().cast("array<string>")), lambda o: kind(o) == "Product")
+    return F.flatten(F.transform(nodes, lambda n: F.concat(own(n), graph(n))))
+
+
+def written_number(text: Column) -> Column:
+    """R$ 1.399,00 and 45.000: dots group, the comma is the decimal sign; null without digits."""
+    plain = F.replace(F.replace(F.regexp_replace(text, r"[^\d.,]", ""), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    return F.regexp_extract(plain, r"^\d*\.?\d+", 0).try_cast("double")
+
+
+def product_price(html: Column) -> Column:
+    """(cash, name, gtin) of the first product or offer with a price: that of its first offer, the lowest of a range, or its own."""
+    at = lambda o, *paths: F.coalesce(*[F.get_json_object(o, p) for p in paths])
+
+    def read(o: Column) -> Column:
+        price = F.when(F.get_json_object(o, "$.offers[0]").isNotNull(), at(o, "$.offers[0].price", "$.offers[0].lowPrice", "$.price")).otherwise(at(o, "$.offers.price", "$.offers.lowPrice", "$.price"))
+        return F.struct(written_number(price).alias("cash"), at(o, "$.name").alias("name"), at(o, "$.gtin13", "$.gtin", "$.gtin14").alias("gtin"))
+
+    return F.get(F.filter(F.transform(json_ld(html), read), lambda x: x["cash"] > 0), F.lit(0))
 
 
 def points_in(text: Column, patterns: list[str]) -> Column:

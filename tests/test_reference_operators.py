@@ -98,12 +98,6 @@ def test_numbers_dates_and_prices(spark):
         assert value(spark, X.br_number(F.lit(raw))) == want
     for raw, want in (("2026-02-30", None), ("31/1/2026", dt.date(2026, 1, 31)), ("1999-01-01", None), ("na", None)):
         assert value(spark, X.date_of(F.lit(raw))) == want
-    assert value(spark, X.prices_per_thousand(F.lit("de R$ 70,00 o milheiro por R$ 35,50 o milheiro"))) == [70.0, 35.5]
-    day = F.lit("2026-07-10").cast("date")
-    for text, want in (("até 31/07/2026", dt.date(2026, 7, 31)), ("válido até 5 de janeiro", dt.date(2027, 1, 5)), ("a partir de 12/07/2026", None), ("de 11/07 a 20/07", dt.date(2026, 7, 20)), ("sem data", None)):
-        assert value(spark, X.validity_end(F.lit(text), day)) == want
-    tiers = [tuple(t) for t in value(spark, X.tiered_bonus(F.lit("100% de bônus para o clube e 80% de bônus. 100% de bônus geral")))]
-    assert tiers == [(80, "geral"), (100, "clube")]
 
 
 def test_sitemap_meta_and_products(spark):
@@ -112,8 +106,20 @@ def test_sitemap_meta_and_products(spark):
     assert value(spark, web.allowed(F.lit("/private/x"), ["/private*"])) is False and value(spark, web.allowed(F.lit("/open"), ["/private*", "/open/*$"])) is True
     html = """<meta content="T &amp; U" property="og:title"><link rel="canonical" href="https://a/x"><script type="application/ld+json">{"@graph": [{"@type": "Org"}, {"@type": "Product", "offers": {"price": "12.5"}}]}</script>"""
     assert value(spark, web.meta(F.lit(html), "og:title")) == "T & U" and value(spark, web.canonical(F.lit(html))) == "https://a/x"
-    assert value(spark, F.get_json_object(web.json_ld(F.lit(html)), "$.offers.price")) == "12.5"
-    assert tuple(value(spark, web.percentage(F.lit("bonus-80-por-cento"), F.lit("90%")))) == (80, "slug")
+    assert [r for r in value(spark, web.json_ld(F.lit(html)))] == ['{"@type":"Product","offers":{"price":"12.5"}}']
+    page = lambda *blocks: F.lit("".join(f'<script type="application/ld+json">{b}</script>' for b in blocks))
+    for blocks, want in (
+        (("not json", '[{"@type": "Org"}, {"@type": "Product", "name": "TV", "gtin13": "78", "offers": [{"price": "1.399,00"}, {"price": "9"}]}]'), (1399.0, "TV", "78")),
+        (('{"@type": "Offer", "price": "45.000"}',), (45000.0, None, None)),
+        (('{"@type": "Product", "offers": {"lowPrice": "R$ 10,50"}, "gtin": "5"}',), (10.5, None, "5")),
+        (('{"@type": "Product", "name": "no price"}', '{"@graph": [{"@type": "Product", "offers": {"price": "7,00"}}]}'), (7.0, None, None)),
+        (('{"@type": "Thing"}',), None),
+    ):
+        got = value(spark, web.product_price(page(*blocks)))
+        assert (got and tuple(got)) == want
+    for slug, text, want in (("oferta-ate-90-azul", "10%", (90, "slug")), ("bonus-80", None, (80, "slug")), ("bonus-de-70/x", "", (70, "slug")), ("80-por-cento", "ganhe 45 %", (45, "text")), ("bonus-800", "sem", None)):
+        got = value(spark, web.percentage(F.lit(slug), F.lit(text).cast("string")))
+        assert (got and tuple(got)) == want, slug
     assert value(spark, web.points_in(F.lit("50 pontos ou 12.000 milhas"), [r"([\d.]+) pontos", r"([\d.]+) milhas"])) == 12000
 
 
