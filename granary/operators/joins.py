@@ -85,50 +85,6 @@ def match_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.coalesce(n, F.lit(0)).alias("hits"), F.when(n.isNull(), "create").when(n == 1, "confirm").otherwise("review").alias("action"), F.when(n == 1, F.col("entity")).alias("entity"))
 
 
-@query("q_alias_resolve", """
-WITH a AS (SELECT unnest(['red', 'red widget', 'small ring', 'ring', 'blue']) AS alias, unnest(['R', 'RW', 'SR', 'RI', 'B']) AS code),
-t AS (SELECT p_name, count(*) AS n FROM part GROUP BY p_name),
-h AS (SELECT p_name, n, alias, code, strpos(' ' || p_name || ' ', ' ' || alias || ' ') AS pos FROM t JOIN a ON strpos(' ' || p_name || ' ', ' ' || alias || ' ') > 0)
-SELECT p_name, n, code, pos FROM h QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY pos, length(alias) DESC) = 1""")
-def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Earliest, then longest alias contained in a name: a fixed list of aliases is tried on each distinct name, without a join."""
-    aliases = {"red": "R", "red widget": "RW", "small ring": "SR", "ring": "RI", "blue": "B"}
-    text = F.concat(F.lit(" "), "p_name", F.lit(" "))
-    hits = [F.struct(F.instr(text, f" {a} ").alias("pos"), F.lit(-len(a)).alias("len"), F.lit(c).alias("code")) for a, c in aliases.items()]
-    best = F.array_min(F.filter(F.array(*hits), lambda x: x["pos"] > 0))
-    t = table(spark, sf_dir, "part").groupBy("p_name").agg(F.count("*").alias("n"))
-    return t.withColumn("b", best).filter("b IS NOT NULL").select("p_name", "n", F.col("b.code").alias("code"), F.col("b.pos").cast("bigint").alias("pos"))
-
-
-@query("q_resolver_coverage", """
-WITH t AS (SELECT p_name, count(*) AS n FROM part GROUP BY p_name),
-c AS (SELECT n, CASE WHEN p_name LIKE 'red%' OR p_name LIKE 'blue%' THEN 'programme' WHEN p_name LIKE '%ring' OR p_name LIKE '%widget' THEN 'bucket' WHEN p_name = '' THEN 'empty' ELSE 'noise' END AS class FROM t)
-SELECT class, count(*) AS distinct_names, sum(n)::BIGINT AS rows FROM c GROUP BY class""")
-def resolver_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names are classed once each and weighed by how often they occur."""
-    n = F.col("p_name")
-    cls = F.when(n.like("red%") | n.like("blue%"), "programme").when(n.like("%ring") | n.like("%widget"), "bucket").when(n == "", "empty").otherwise("noise")
-    t = table(spark, sf_dir, "part").groupBy("p_name").agg(F.count("*").alias("n"))
-    return t.groupBy(cls.alias("class")).agg(F.count("*").alias("distinct_names"), F.sum("n").alias("rows"))
-
-
-@query("q_identity", using({"ledger": LEDGER}, """
-WITH r AS (SELECT DISTINCT origem, destino, tipo, publico FROM ledger),
-s AS (SELECT *, CASE lower(left(tipo, 1)) WHEN '1' THEN 'transferencia' WHEN '2' THEN 'transferencia' WHEN '3' THEN 'acumulo' WHEN '4' THEN 'compra' ELSE 'outro' END AS kind,
-             CASE WHEN destino IN ('NATION_0', 'NATION_24') THEN 'generic' ELSE 'programme' END AS side FROM r)
-SELECT origem, destino, tipo, publico, kind, side, kind = 'transferencia' AND origem = destino AS self_loop,
-       concat_ws('|', kind, lower(origem), CASE WHEN side = 'generic' OR (kind <> 'transferencia' AND origem = destino) THEN 'sem_destino' ELSE lower(destino) END, lower(publico)) AS identity_key FROM s"""))
-def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = ledger(spark, sf_dir).select("origem", "destino", "tipo", "publico").distinct()
-    head = F.left(F.col("tipo"), F.lit(1))
-    r = r.withColumn("kind", F.when(head.isin("1", "2"), "transferencia").when(head == "3", "acumulo").when(head == "4", "compra").otherwise("outro"))
-    r = r.withColumn("side", F.when(F.col("destino").isin("NATION_0", "NATION_24"), "generic").otherwise("programme"))
-    same = F.col("origem") == F.col("destino")
-    single = (F.col("side") == "generic") | ((F.col("kind") != "transferencia") & same)
-    key = F.concat_ws("|", "kind", F.lower("origem"), F.when(single, "sem_destino").otherwise(F.lower("destino")), F.lower("publico"))
-    return r.withColumn("self_loop", (F.col("kind") == "transferencia") & same).withColumn("identity_key", key)
-
-
 @query("q_edition_consistency", """
 WITH e AS (SELECT o_orderkey AS item, o_orderstatus AS status, o_totalprice AS price FROM orders), l AS (SELECT l_orderkey, count(*) AS n, max(l_linestatus) AS st FROM lineitem GROUP BY l_orderkey)
 SELECT item, CASE WHEN n IS NULL THEN 'missing' WHEN status = 'F' AND st <> 'F' THEN 'not_live' WHEN n > 7 THEN 'differs' ELSE 'ok' END AS verdict FROM e LEFT JOIN l ON item = l_orderkey""")

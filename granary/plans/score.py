@@ -195,13 +195,45 @@ def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("eixo", "programa", "n", "beco", "computavel", "distintos", "self_loops", odd.alias("anomalous"))
 
 
-@query("q_score_single_side", using({"ledger": LEDGER}, """
-WITH l AS (SELECT *, count(percentual) OVER (PARTITION BY tipo, produto) AS n, rank() OVER (PARTITION BY tipo, produto ORDER BY percentual) - 1 AS below, count(*) OVER (PARTITION BY tipo, produto, percentual) AS ties FROM ledger)
-SELECT id, CASE WHEN n >= 3 THEN round((below + 0.5 * ties) / n, 9) ELSE 0.5 END AS percentil, CASE WHEN n >= 3 THEN n ELSE 0 END AS base_n FROM l"""))
+_SINGLE = {
+    "ledger": LEDGER,
+    "l": """SELECT *, count(percentual) OVER (PARTITION BY tipo, produto) AS n, rank() OVER (PARTITION BY tipo, produto ORDER BY percentual) - 1 AS below, count(*) OVER (PARTITION BY tipo, produto, percentual) AS ties,
+       count(*) OVER (PARTITION BY tipo, produto) AS freq, CASE WHEN tier < 3 THEN floor(valor / quantidade * 100) / 100 END AS cpm FROM ledger""",
+    "c": "SELECT cpm, count(*) AS c FROM l WHERE cpm IS NOT NULL GROUP BY cpm",
+    "e": "SELECT cpm, 1 - (sum(c) OVER (ORDER BY cpm) - c * 0.5::DOUBLE) / sum(c) OVER () AS eff FROM c",
+}
+_R4 = "floor({} * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE"
+
+
+@query("q_score_single_side", using(_SINGLE, f"""
+SELECT id, CASE WHEN percentual IS NULL THEN NULL WHEN n >= 3 THEN {_R4.format("((below + 0.5::DOUBLE * ties) / n)")} ELSE 0.5 END AS percentil, CASE WHEN percentual IS NULL THEN NULL WHEN n >= 3 THEN n ELSE 0 END AS base_n,
+       CASE WHEN percentual IS NULL THEN NULL WHEN n >= 3 THEN 'merchant' ELSE 'neutro' END AS population, {_R4.format("eff")} AS eficiencia,
+       (CASE {" ".join(f"WHEN freq <= {n} THEN {v}" for n, v in RARITY)} ELSE {RARITY_COMMON} END)::DOUBLE AS raridade, (CASE publico {" ".join(f"WHEN '{k}' THEN {v}" for k, v in REACH.items())} END)::DOUBLE AS abrangencia,
+       percentual IS NULL AND cpm IS NULL AS no_value
+FROM l LEFT JOIN e USING (cpm)"""))
 def score_single_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Population by kind and product; with fewer than three rows neutral: 0.5 on a base of 0."""
-    r = midrank(ledger(spark, sf_dir), ["tipo", "produto"], "percentual", "p", "n")
-    return r.select("id", F.when(F.col("n") >= 3, F.round("p", 9)).otherwise(0.5).alias("percentil"), F.when(F.col("n") >= 3, F.col("n")).otherwise(0).cast("bigint").alias("base_n"))
+    """The four components of an offer with one side only.
+
+    Percentile among offers of its kind and merchant (three at least, else neutral: 0.5
+    on a base of 0, never borrowed from other merchants); efficiency against all costs;
+    rarity by how often the merchant makes such offers; reach by audience.  What cannot
+    be computed is null, and an offer without percentage and cost has no value to score.
+    """
+    rows = cost(ledger(spark, sf_dir)).select("id", "tipo", "produto", "percentual", "cpm", "publico")
+    r = midrank(rows, ["tipo", "produto"], "percentual", "p", "n")
+    often = rows.groupBy("tipo", "produto").agg(F.count("*").alias("freq"))
+    r = inverse_ecdf(r.join(often, ["tipo", "produto"]), "cpm", "eff")
+    has, enough = F.col("percentual").isNotNull(), F.col("n") >= 3
+    rarity = F.lit(RARITY_COMMON)
+    for most, value in reversed(RARITY):
+        rarity = F.when(F.col("freq") <= most, value).otherwise(rarity)
+    reach = F.lit(None).cast("double")
+    for audience, value in REACH.items():
+        reach = F.when(F.col("publico") == audience, value).otherwise(reach)
+    return r.select(
+        "id", F.when(has, F.when(enough, round_to(F.col("p"), 4)).otherwise(0.5)).alias("percentil"), F.when(has, F.when(enough, F.col("n")).otherwise(0)).cast("bigint").alias("base_n"), F.when(has, F.when(enough, "merchant").otherwise("neutro")).alias("population"),
+        round_to(F.col("eff"), 4).alias("eficiencia"), rarity.alias("raridade"), reach.alias("abrangencia"), (~has & F.col("cpm").isNull()).alias("no_value"),
+    )
 
 
 # Weights of the eight criteria of the older score.

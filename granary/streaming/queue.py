@@ -30,6 +30,36 @@ def queue_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return due.orderBy("priority", "run_after", "id").limit(BATCH).select("id", "priority", (F.col("attempts") + 1).alias("attempts"))
 
 
+# The states in which a job is open.
+OPEN = ("pending", "running", "retry")
+
+
+def enqueued(queue: DataFrame, incoming: DataFrame) -> DataFrame:
+    """incoming (id, tipo, chave, priority) with job and inserted: the job that does the work, and whether that is a new row.
+
+    A key that has an open job, or that came earlier in the batch, gets that job; rows
+    without a key are jobs of their own.  Keys are pre-aggregated, so a hot one is a row.
+    """
+    open_ = queue.filter(F.col("status").isin(*OPEN) & F.col("chave").isNotNull()).groupBy("tipo", "chave").agg(F.min("id").alias("standing"))
+    first = incoming.filter("chave IS NOT NULL").groupBy("tipo", "chave").agg(F.min("id").alias("first"))
+    rows = incoming.join(open_, ["tipo", "chave"], "left").join(first, ["tipo", "chave"], "left")
+    job = F.coalesce("standing", "first", "id")
+    return rows.select("id", "tipo", "chave", "priority", job.alias("job"), (F.col("standing").isNull() & (job == F.col("id"))).alias("inserted"))
+
+
+@query("q_queue_enqueue", using({"jobs": _JOBS}, """
+WITH o AS (SELECT tipo, chave, min(id) AS standing FROM jobs WHERE id % 3 = 0 AND status IN ('pending', 'running', 'retry') GROUP BY ALL),
+i AS (SELECT id, tipo, CASE WHEN id % 11 > 0 THEN chave END AS chave, priority FROM jobs WHERE id % 3 = 1),
+f AS (SELECT tipo, chave, min(id) AS first FROM i WHERE chave IS NOT NULL GROUP BY ALL)
+SELECT id, i.tipo, i.chave, priority, coalesce(standing, first, id) AS job, standing IS NULL AND coalesce(first, id) = id AS inserted
+FROM i LEFT JOIN o ON o.tipo = i.tipo AND o.chave = i.chave LEFT JOIN f ON f.tipo = i.tipo AND f.chave = i.chave"""))
+def queue_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the jobs stand in the queue, a third come in; one in eleven of these has no key."""
+    rows = jobs(spark, sf_dir)
+    incoming = rows.filter("id % 3 = 1").withColumn("chave", F.when(F.col("id") % 11 > 0, F.col("chave")))
+    return enqueued(rows.filter("id % 3 = 0"), incoming)
+
+
 def after_failure(attempts: Column) -> tuple[Column, Column]:
     """(status, seconds to wait): dead letter at the last attempt, else exponential backoff."""
     dead = attempts >= MAX_ATTEMPTS
