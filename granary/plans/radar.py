@@ -12,6 +12,7 @@ from granary.registry import query, using
 from granary.sources.tables import AS_OF, as_of, half_up, ledger
 
 OPPORTUNITY_DAYS = 30
+# The statuses that block a series, in their order.
 BLOCKED = ("dataset_incomplete", "data_quality_blocked", "duplicate_review", "insufficient_history", "no_prediction")
 
 
@@ -86,23 +87,124 @@ def radar_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("q_radar_queues", using(RADAR, f"""
-WITH q AS (SELECT scope, route, unnest([CASE WHEN status = 'opportunity' AND editorial_eligible THEN 'opportunities' END,
-  CASE WHEN status = 'review_required' OR divergence IN ('review', 'block') THEN 'review' END, CASE WHEN status IN {BLOCKED} OR block_reason LIKE 'intervalo_extremo%' OR block_reason LIKE 'horizonte_excedido%' THEN 'blocked' END,
-  CASE WHEN crits > 0 THEN 'suspects' END, CASE WHEN status = 'insufficient_history' THEN 'insufficient' END, CASE WHEN status = 'no_prediction' THEN 'no_prediction' END]) AS queue FROM radar)
+# Reasons of an editorial block that a reviewer may override.
+OVERRIDABLE = r"intervalo_extremo|horizonte_excedido"
+
+
+def operational(series: DataFrame, complete: bool = True, freshness: str = "fresh") -> DataFrame:
+    """Series (with status, divergence, engines and counts of critical, placeholder, probable and possible rows) with engine and the flags that queues and alerts ask for."""
+    ready = F.col("readiness").isin("ready", "ready_with_warnings")
+    engine = F.when(ready, "predict").when(F.col("editorial_eligible") & F.col("window_start").isNotNull(), "forecast").otherwise("none")
+    critical = F.col("status").isin("dataset_incomplete", "data_quality_blocked") | (F.col("critical") > 0) | (F.col("placeholder") > 0)
+    return series.select(
+        "*", engine.alias("engine"), critical.alias("is_critical"), F.coalesce(F.col("block_reason").rlike(OVERRIDABLE), F.lit(False)).alias("overridable"),
+        F.coalesce(ready, F.lit(False)).alias("predicts"), F.coalesce((F.col("confidence") != "em-formacao") & F.col("window_start").isNotNull(), F.lit(False)).alias("forecasts"),
+        F.lit(complete).alias("complete"), F.lit(freshness == "fresh").alias("fresh"),
+    )
+
+
+def queues(series: DataFrame) -> DataFrame:
+    """(queue, scope, route) of operational() series; a series can be in several of the eight queues."""
+    status = F.col("status")
+    split = F.col("divergence").isin("review", "block")
+    member = {
+        "opportunities": F.col("complete") & F.col("fresh") & (status == "opportunity") & F.col("editorial_eligible") & ~F.col("is_critical") & (F.col("engine") != "none"),
+        "review": (status == "review_required") | split | ((F.col("possible") > 0) & (F.col("probable") == 0)) | (F.col("engine") == "forecast") | F.col("overridable"),
+        "blocked": status.isin(*BLOCKED) | F.col("overridable") | ~F.col("fresh"),
+        "suspects": F.col("critical") > 0,
+        "duplicates": F.col("probable") > 0,
+        "insufficient": status == "insufficient_history",
+        "stale": ~F.col("fresh"),
+        "no_prediction": (F.col("engine") == "none") | (status == "no_prediction"),
+    }
+    return series.select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in member.items()]))).alias("queue"), "scope", "route")
+
+
+def alerts(series: DataFrame) -> DataFrame:
+    """(alert, severity, scope, affected): a row an alert that is on; counts are of series or of the rows that quality counted."""
+    n = lambda c: F.count_if(c)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    kinds = [
+        ("dataset_incomplete", "critical", "global", n(~F.col("complete"))), ("stale", "warning", "global", n(~F.col("fresh"))), ("temporal", "critical", "series", total("critical")), ("duplicates", "warning", "series", total("probable")),
+        ("placeholders", "warning", "series", total("placeholder")), ("no_prediction", "info", "series", n(F.col("engine") == "none")), ("forecast_unavailable", "info", "series", n(~F.col("forecasts"))),
+        ("predict_unavailable", "info", "series", n(~F.col("predicts"))), ("divergence_block", "critical", "series", n(F.col("divergence") == "block")),
+    ]
+    return _counted(series, kinds, "alert", ("severity", "scope"))
+
+
+def changes(series: DataFrame) -> DataFrame:
+    """(change, scope, count): what this reading found; nothing is inferred about readings before it."""
+    n = lambda c: F.count_if(c)
+    lost = F.col("excluded") > 0
+    flag = lambda c: F.coalesce(F.max(c.cast("long")), F.lit(0))
+    kinds = [
+        ("campaign_excluded_now", "series", F.coalesce(F.sum("excluded"), F.lit(0))), ("probable_duplicate_detected", "series", F.coalesce(F.sum("probable"), F.lit(0))), ("temporal_issue_detected", "series", F.coalesce(F.sum("critical"), F.lit(0))),
+        ("eligibility_lost", "series", n(~F.col("editorial_eligible") & lost)), ("insufficient_history_after_quality", "series", n((F.col("status") == "insufficient_history") & lost)),
+        ("dataset_incomplete", "global", flag(~F.col("complete"))), ("forecast_stale", "global", flag(~F.col("fresh"))), ("predict_unavailable", "series", n(~F.col("predicts"))), ("forecast_fallback_active", "series", n(F.col("engine") == "forecast")),
+        ("divergence_review_required", "series", n(F.col("divergence") == "review")), ("divergence_blocking", "series", n(F.col("divergence") == "block")),
+    ]
+    return _counted(series, kinds, "change", ("scope",), "count")
+
+
+def _counted(series: DataFrame, kinds: list[tuple], name: str, labels: tuple[str, ...], count: str = "affected") -> DataFrame:
+    """One aggregation of all counts, then a row for each that is not zero."""
+    one = series.agg(*[k[-1].cast("long").alias(k[0]) for k in kinds])
+    rows = F.array(*[F.struct(F.lit(k[0]).alias(name), *[F.lit(v).alias(c) for v, c in zip(k[1:-1], labels, strict=True)], F.col(k[0]).alias(count)) for k in kinds])
+    return one.select(F.explode(rows).alias("x")).select("x.*").filter(F.col(count) > 0)
+
+
+def series_of(spark: SparkSession, sf_dir: str, complete: bool = True, freshness: str = "fresh") -> DataFrame:
+    """The radar's series with counts: a repeated offer of one day is a probable duplicate, one of another day a possible one; a product of its own number is a placeholder."""
+    key = F.concat("origem", F.lit("→"), "destino")
+    rows = ledger(spark, sf_dir).select(key.alias("route"), "produto", "percentual", "first_seen")
+    days = rows.groupBy("route", "produto", "percentual").agg(F.count("*").alias("n"), F.count_distinct("first_seen").alias("d"))
+    counts = days.groupBy("route").agg(F.sum(F.col("n") - F.col("d")).alias("probable"), F.sum(F.col("d") - 1).alias("possible"), F.sum(F.when(F.col("produto") % 97 == 0, F.col("n")).otherwise(0)).alias("placeholder"))
+    both = with_status(radar(spark, sf_dir)).join(counts.withColumn("scope", F.lit("route")), ["scope", "route"], "left").na.fill(0, ["probable", "possible", "placeholder"])
+    return operational(both.withColumn("excluded", F.col("critical") + F.col("placeholder")), complete, freshness)
+
+
+def _ops(complete: bool, fresh: bool) -> dict[str, str]:
+    return {
+        **RADAR,
+        "dd": "SELECT origem || '→' || destino AS route, produto, percentual, count(*) AS n, count(DISTINCT first_seen) AS d FROM ledger GROUP BY ALL",
+        "dc": "SELECT 'route' AS scope, route, sum(n - d) AS probable, sum(d - 1) AS possible, sum(CASE WHEN produto % 97 = 0 THEN n ELSE 0 END) AS placeholder FROM dd GROUP BY route",
+        "o1": f"""SELECT radar.*, coalesce(probable, 0) AS probable, coalesce(possible, 0) AS possible, coalesce(placeholder, 0) AS placeholder, {complete} AS complete, {fresh} AS fresh,
+           coalesce(regexp_matches(block_reason, '{OVERRIDABLE}'), false) AS overridable, coalesce(readiness IN ('ready', 'ready_with_warnings'), false) AS predicts, coalesce(confidence <> 'em-formacao' AND window_start IS NOT NULL, false) AS forecasts,
+           CASE WHEN readiness IN ('ready', 'ready_with_warnings') THEN 'predict' WHEN editorial_eligible AND window_start IS NOT NULL THEN 'forecast' ELSE 'none' END AS engine FROM radar LEFT JOIN dc USING (scope, route)""",
+        "ops": "SELECT *, crits + placeholder AS excluded, status IN ('dataset_incomplete', 'data_quality_blocked') OR crits > 0 OR placeholder > 0 AS is_critical FROM o1",
+    }
+
+
+@query("q_radar_queues", using(_ops(True, True), f"""
+WITH q AS (SELECT scope, route, unnest([CASE WHEN complete AND fresh AND status = 'opportunity' AND editorial_eligible AND NOT is_critical AND engine <> 'none' THEN 'opportunities' END,
+  CASE WHEN status = 'review_required' OR divergence IN ('review', 'block') OR (possible > 0 AND probable = 0) OR engine = 'forecast' OR overridable THEN 'review' END, CASE WHEN status IN {BLOCKED} OR overridable OR NOT fresh THEN 'blocked' END,
+  CASE WHEN crits > 0 THEN 'suspects' END, CASE WHEN probable > 0 THEN 'duplicates' END, CASE WHEN status = 'insufficient_history' THEN 'insufficient' END, CASE WHEN NOT fresh THEN 'stale' END,
+  CASE WHEN engine = 'none' OR status = 'no_prediction' THEN 'no_prediction' END]) AS queue FROM ops)
 SELECT queue, scope, route FROM q WHERE queue IS NOT NULL"""))
 def radar_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A series can be in several queues; memberships are exploded."""
-    status, block = F.col("status"), F.coalesce("block_reason", F.lit(""))
-    member = [
-        ("opportunities", (status == "opportunity") & F.col("editorial_eligible")),
-        ("review", (status == "review_required") | F.col("divergence").isin("review", "block")),
-        ("blocked", status.isin(*BLOCKED) | block.like("intervalo_extremo%") | block.like("horizonte_excedido%")),
-        ("suspects", F.col("critical") > 0),
-        ("insufficient", status == "insufficient_history"),
-        ("no_prediction", status == "no_prediction"),
-    ]
-    return with_status(radar(spark, sf_dir)).select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in member]))).alias("queue"), "scope", "route")
+    """The eight queues over a complete and fresh base, so that of stale series is empty."""
+    return queues(series_of(spark, sf_dir))
+
+
+@query("q_radar_alerts", using(_ops(True, False), """
+WITH a AS (SELECT unnest([{'alert': 'dataset_incomplete', 'severity': 'critical', 'scope': 'global', 'affected': count(*) FILTER (WHERE NOT complete)}, {'alert': 'stale', 'severity': 'warning', 'scope': 'global', 'affected': count(*) FILTER (WHERE NOT fresh)},
+  {'alert': 'temporal', 'severity': 'critical', 'scope': 'series', 'affected': sum(crits)::BIGINT}, {'alert': 'duplicates', 'severity': 'warning', 'scope': 'series', 'affected': sum(probable)::BIGINT}, {'alert': 'placeholders', 'severity': 'warning', 'scope': 'series', 'affected': sum(placeholder)::BIGINT},
+  {'alert': 'no_prediction', 'severity': 'info', 'scope': 'series', 'affected': count(*) FILTER (WHERE engine = 'none')}, {'alert': 'forecast_unavailable', 'severity': 'info', 'scope': 'series', 'affected': count(*) FILTER (WHERE NOT forecasts)},
+  {'alert': 'predict_unavailable', 'severity': 'info', 'scope': 'series', 'affected': count(*) FILTER (WHERE NOT predicts)}, {'alert': 'divergence_block', 'severity': 'critical', 'scope': 'series', 'affected': count(*) FILTER (WHERE divergence = 'block')}]) AS x FROM ops)
+SELECT x.alert, x.severity, x.scope, x.affected FROM a WHERE x.affected > 0"""))
+def radar_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of a reading whose artifact is stale."""
+    return alerts(series_of(spark, sf_dir, freshness="stale"))
+
+
+@query("q_radar_changes", using(_ops(True, False), """
+WITH a AS (SELECT unnest([{'change': 'campaign_excluded_now', 'scope': 'series', 'count': sum(excluded)::BIGINT}, {'change': 'probable_duplicate_detected', 'scope': 'series', 'count': sum(probable)::BIGINT}, {'change': 'temporal_issue_detected', 'scope': 'series', 'count': sum(crits)::BIGINT},
+  {'change': 'eligibility_lost', 'scope': 'series', 'count': count(*) FILTER (WHERE NOT editorial_eligible AND excluded > 0)}, {'change': 'insufficient_history_after_quality', 'scope': 'series', 'count': count(*) FILTER (WHERE status = 'insufficient_history' AND excluded > 0)},
+  {'change': 'dataset_incomplete', 'scope': 'global', 'count': max((NOT complete)::INT)::BIGINT}, {'change': 'forecast_stale', 'scope': 'global', 'count': max((NOT fresh)::INT)::BIGINT}, {'change': 'predict_unavailable', 'scope': 'series', 'count': count(*) FILTER (WHERE NOT predicts)},
+  {'change': 'forecast_fallback_active', 'scope': 'series', 'count': count(*) FILTER (WHERE engine = 'forecast')}, {'change': 'divergence_review_required', 'scope': 'series', 'count': count(*) FILTER (WHERE divergence = 'review')}, {'change': 'divergence_blocking', 'scope': 'series', 'count': count(*) FILTER (WHERE divergence = 'block')}]) AS x FROM ops)
+SELECT x.change, x.scope, x.count FROM a WHERE x.count > 0"""))
+def radar_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes(series_of(spark, sf_dir, freshness="stale"))
 
 
 @query("q_full_outer_compose", using(RADAR, """

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.functions import text as X
 from granary.registry import query, using
 from granary.sources.tables import LEDGER, ledger
 
 START, END, PRIOR = "2000-05-01", "2000-05-31", "2000-04-01"
+WATCH_DAYS = 7
+
+
+def thread_key(route: Column, entity: Column, category: Column) -> Column:
+    """A thread is a route, else an entity, else the slug of a category."""
+    return F.coalesce(F.nullif(route, F.lit("")), F.nullif(entity, F.lit("")), F.concat(F.lit("cat:"), X.slug(F.coalesce(F.nullif(category, F.lit("")), F.lit("sem-categoria")))))
+_KEY = "CASE WHEN tier < 3 THEN origem || '→' || destino WHEN origem = destino THEN origem ELSE 'cat:' || lower(publico) END"
 THREADS = {
     "ledger": LEDGER,
-    "inwin": f"SELECT origem || '→' || destino AS thread, *, CASE WHEN percentual >= 8 THEN 'vale-agir' WHEN percentual >= 4 THEN 'esperaria' ELSE 'evitaria' END AS verdict FROM ledger WHERE first_seen BETWEEN DATE '{START}' AND DATE '{END}'",
+    "inwin": f"SELECT {_KEY} AS thread, *, CASE WHEN percentual >= 8 THEN 'vale-agir' WHEN percentual >= 4 THEN 'esperaria' ELSE 'evitaria' END AS verdict FROM ledger WHERE first_seen BETWEEN DATE '{START}' AND DATE '{END}'",
     "th": """SELECT thread, count(*) AS appearances, min(inicio) AS first_day, arg_min(verdict, (first_seen, id)) AS verdict_start, arg_max(verdict, (first_seen, id)) AS verdict_end,
        arg_min(percentual, (first_seen, id)) AS score_start, arg_max(percentual, (first_seen, id)) AS score_end, max(fim) AS fim FROM inwin GROUP BY thread""",
-    "prior": f"SELECT DISTINCT origem || '→' || destino AS thread FROM ledger WHERE first_seen >= DATE '{PRIOR}' AND first_seen < DATE '{START}'",
+    "prior": f"SELECT DISTINCT {_KEY} AS thread FROM ledger WHERE first_seen >= DATE '{PRIOR}' AND first_seen < DATE '{START}'",
     "wk": f"""SELECT th.*, prior.thread IS NOT NULL AS in_prior, coalesce(fim < DATE '{END}', false) AS expired, verdict_start <> 'evitaria' AND verdict_end = 'evitaria' AS turned, coalesce(first_day < DATE '{START}', false) AS before FROM th LEFT JOIN prior USING (thread)""",
     "weekly": """SELECT *, CASE WHEN turned AND NOT expired THEN 'VIROU' WHEN expired OR turned THEN 'ENCERROU' WHEN NOT before THEN CASE WHEN in_prior THEN 'SEGUE' ELSE 'NOVO' END WHEN NOT in_prior THEN 'REABRIU' ELSE 'SEGUE' END AS state,
        CASE WHEN verdict_start <> verdict_end THEN 100 ELSE 0 END + abs(score_end - score_start) AS weight FROM wk""",
@@ -22,8 +30,14 @@ THREADS = {
 
 
 def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a thread (route) of the window: first and last values by min_by and max_by, and whether the period before had it."""
-    rows = ledger(spark, sf_dir).withColumn("thread", F.concat("origem", F.lit("→"), "destino"))
+    """One row a thread of the window: first and last values by min_by and max_by, and whether the period before had it.
+
+    Rows of the last tier have no route here: they are threads of their nation if that is
+    one, else of their segment.
+    """
+    route = F.when(F.col("tier") < 3, F.concat("origem", F.lit("→"), "destino"))
+    entity = F.when(F.col("origem") == F.col("destino"), F.col("origem"))
+    rows = ledger(spark, sf_dir).withColumn("thread", thread_key(route, entity, F.col("publico")))
     verdict = F.when(F.col("percentual") >= 8, "vale-agir").when(F.col("percentual") >= 4, "esperaria").otherwise("evitaria")
     at = F.struct("first_seen", "id")
     t = rows.filter(F.col("first_seen").between(START, END)).withColumn("verdict", verdict).groupBy("thread").agg(
@@ -66,3 +80,14 @@ def weekly_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_transitions", using(THREADS, "SELECT thread, state, verdict_start, verdict_end, verdict_start <> verdict_end AS transitioned, score_start, score_end, fim AS valid_until FROM weekly"))
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threads(spark, sf_dir).select("thread", "state", "verdict_start", "verdict_end", (F.col("verdict_start") != F.col("verdict_end")).alias("transitioned"), "score_start", "score_end", F.col("fim").alias("valid_until"))
+
+
+@query("q_weekly_watch", using(THREADS, f"""
+SELECT thread, CASE WHEN verdict_end = 'evitaria' THEN 'confirm' ELSE 'ends' END AS reason, CASE WHEN verdict_end <> 'evitaria' THEN fim END AS ends FROM weekly
+WHERE verdict_end = 'evitaria' OR (fim > DATE '{END}' AND fim <= DATE '{END}' + {WATCH_DAYS})"""))
+def weekly_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to watch next week: threads still to be confirmed (here those to avoid stand for them), and those that end within it."""
+    t = threads(spark, sf_dir)
+    open_ = F.col("verdict_end") == "evitaria"
+    ends = (F.col("fim") > F.lit(END).cast("date")) & (F.col("fim") <= F.date_add(F.lit(END).cast("date"), WATCH_DAYS))
+    return t.filter(open_ | F.coalesce(ends, F.lit(False))).select("thread", F.when(open_, "confirm").otherwise("ends").alias("reason"), F.when(~open_, F.col("fim")).alias("ends"))
