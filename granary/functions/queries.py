@@ -146,15 +146,6 @@ def month_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.greatest(d, a).alias("bar_start"), F.least(F.date_add(d, 30), F.last_day(a)).alias("bar_end"))
 
 
-_LINTS = {"urgency": X.URGENCY, "internal": X.INTERNAL, "jargon": X.JARGON, "emoji": X.EMOJI}
-
-
-@query("q_text_lints", "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(text, '')), '{r}') THEN '{k}' END" for k, r in _LINTS.items()) + "], lambda x: x IS NOT NULL), ',') AS lints FROM documents")
-def text_lints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("text")
-    return docs(spark, sf_dir).select("doc_id", F.array_join(F.array_compact(F.array(*[F.when(low.rlike(r), F.lit(k)) for k, r in _LINTS.items()])), ",").alias("lints"))
-
-
 @query("q_promo_flag", f"SELECT doc_id, regexp_matches({_DOC}, '{X.PROMO}') AND length({_DOC}) > 40 AS promo FROM documents")
 def promo_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = X.folded(F.col("text"))

@@ -8,11 +8,7 @@ from pyspark.sql import functions as F
 # Accented letters and the letters that they fold to.
 ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuucn"
-# Vocabulary of the text checks, for the languages of the given texts.
-URGENCY = r"(urgent|hurry|now|jetzt|ahora|maintenant|última|corra)"
-INTERNAL = r"(secret|password|token|api[_ ]?key|[a-z0-9._]+@[a-z0-9.]+)"
-JARGON = r"(synergy|leverage|disrupt|stakeholder|kpi)"
-EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
+# Words of a promotion, for the languages of the given texts.
 PROMO = r"(license|released|under|bonus|free|gratis|offer)"
 
 

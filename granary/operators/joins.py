@@ -85,17 +85,6 @@ def match_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.coalesce(n, F.lit(0)).alias("hits"), F.when(n.isNull(), "create").when(n == 1, "confirm").otherwise("review").alias("action"), F.when(n == 1, F.col("entity")).alias("entity"))
 
 
-@query("q_edition_consistency", """
-WITH e AS (SELECT o_orderkey AS item, o_orderstatus AS status, o_totalprice AS price FROM orders), l AS (SELECT l_orderkey, count(*) AS n, max(l_linestatus) AS st FROM lineitem GROUP BY l_orderkey)
-SELECT item, CASE WHEN n IS NULL THEN 'missing' WHEN status = 'F' AND st <> 'F' THEN 'not_live' WHEN n > 7 THEN 'differs' ELSE 'ok' END AS verdict FROM e LEFT JOIN l ON item = l_orderkey""")
-def edition_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A published item exists, is in the right state and agrees in size."""
-    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_linestatus").alias("st"))  # noqa: E741
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), "o_orderstatus").join(l, F.col("item") == F.col("l_orderkey"), "left")
-    verdict = F.when(F.col("n").isNull(), "missing").when((F.col("o_orderstatus") == "F") & (F.col("st") != "F"), "not_live").when(F.col("n") > 7, "differs").otherwise("ok")
-    return rows.select("item", verdict.alias("verdict"))
-
-
 @query("q_idempotent_number", """
 WITH d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders), k AS (SELECT day, row_number() OVER (ORDER BY day) AS number FROM d WHERE day < DATE '2000-01-01')
 SELECT day, coalesce(number, (SELECT max(number) FROM k) + row_number() OVER (PARTITION BY number IS NULL ORDER BY day)) AS number FROM d LEFT JOIN k USING (day)""")

@@ -11,14 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
+#: Ranges a group: one that holds a wanted rank is ranked in one task.
+RANGES = 32
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], n: str = "n") -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], n: str = "n", ranges: int = RANGES) -> DataFrame:
     """(keys, n, one column a prob): like percentile_cont over the non-null values; groups without any are absent."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    steps = [i / RANGES for i in range(1, RANGES)]
-    borders = counts.groupBy(*keys).agg(F.percentile_approx("v", steps, 10_000).alias("b"), F.sum("c").alias("total"))
+    steps = [i / ranges for i in range(1, ranges)]
+    borders = counts.groupBy(*keys).agg(F.percentile_approx("v", steps, 20 * ranges).alias("b"), F.sum("c").alias("total"))
     ranged = counts.join(borders, keys).withColumn("r", F.size(F.filter("b", lambda x: x < F.col("v")))).drop("b")
     sums = ranged.groupBy(*keys, "r").agg(F.sum("c").alias("c"), F.max("total").alias("total"))
     upto = Window.partitionBy(*keys).orderBy("r")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import offers as O
 from granary.functions import text as X
-from granary.functions.queries import _DOC, _RUNS, docs, longest_runs, overlaps, _TOKENS
+from granary.functions.queries import _DOC, docs
 from granary.registry import query, using
 from granary.sources.tables import AS_OF, LEDGER, as_of, ledger, round_to, table
 
@@ -95,22 +95,6 @@ def presurface_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(spark, sf_dir).select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
 
 
-@query("q_anticopy", _TOKENS + f""", {_RUNS.strip().split("," + chr(10), 1)[1]}
-, o AS (SELECT doc_id, max(k::DOUBLE / n) AS share FROM (SELECT doc_id, item_id, count(*) AS k FROM dg JOIN bg USING (g) GROUP BY ALL) JOIN bn USING (item_id) GROUP BY doc_id),
-r AS (SELECT doc_id, max(run) AS run FROM runs GROUP BY doc_id)
-SELECT documents.doc_id, coalesce(share, 0) AS share, coalesce(run, 0) AS run,
-       CASE WHEN length({_DOC}) < 40 THEN 'too_short' WHEN coalesce(share, 0) >= 0.35 THEN 'overlap' WHEN coalesce(run, 0) >= 8 THEN 'run' ELSE 'ok' END AS verdict
-FROM documents LEFT JOIN o USING (doc_id) LEFT JOIN r USING (doc_id)""")
-def anticopy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text is a copy of a benchmark item at 35 % of its 4-grams or at a run of eight words."""
-    o = overlaps(spark, sf_dir).groupBy("doc_id").agg(F.max("share").alias("share"))
-    r = longest_runs(spark, sf_dir).groupBy("doc_id").agg(F.max("run").alias("run"))
-    rows = docs(spark, sf_dir).select("doc_id", F.length(X.folded(F.col("text"))).alias("n")).join(o, "doc_id", "left").join(r, "doc_id", "left")
-    share, run = F.coalesce("share", F.lit(0.0)), F.coalesce("run", F.lit(0))
-    verdict = F.when(F.col("n") < 40, "too_short").when(share >= 0.35, "overlap").when(run >= 8, "run").otherwise("ok")
-    return rows.select("doc_id", share.alias("share"), run.alias("run"), verdict.alias("verdict"))
-
-
 # Weights of the five signals of evidence.
 SIGNALS = {"tier = 1": 0.35, "fim IS NOT NULL": 0.20, "inicio IS NOT NULL": 0.20, "fonte = 'F'": 0.15, "percentual > 0": 0.10}
 _CONF = "floor((" + " + ".join(f"CASE WHEN {c} THEN {w}::DOUBLE ELSE 0 END" for c, w in SIGNALS.items()) + ") * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE"
@@ -194,3 +178,103 @@ def gold_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("field").agg(
         F.count("*").alias("n"), hit.alias("tp"), false.alias("fp"), miss.alias("fn"), F.round(F.try_divide(hit, F.count_if("rejected")), 6).alias("precision"), F.round(F.try_divide(hit, F.count_if("truth")), 6).alias("recall"),
     )
+
+
+# The kinds of outcome that count as retrieved and as relevant, by field.
+RETRIEVED = {"code": ("match", "wrong", "spurious"), "pct": ("match", "wrong", "spurious"), "day": ("match", "wrong", "year_error", "overprecision")}
+RELEVANT = {"code": ("match", "wrong", "missed"), "pct": ("match", "wrong", "missed"), "day": ("match", "wrong", "year_error", "missed")}
+
+
+def match_kind(field: str, found: Column, gold: Column) -> Column:
+    """How an extracted value stands to the labelled one; null is no value.  A day that is right but for its year is a year error, one where none can be known overprecise."""
+    both = F.when(found == gold, "match")
+    if field == "day":
+        both = both.when((F.month(found) == F.month(gold)) & (F.dayofmonth(found) == F.dayofmonth(gold)), "year_error")
+    nothing, invented = {"code": ("match", "spurious"), "pct": ("match_null", "spurious"), "day": ("match_indet", "overprecision")}[field]
+    return F.when(gold.isNull() & found.isNull(), nothing).when(gold.isNull(), invented).when(found.isNull(), "missed").otherwise(F.coalesce(both.otherwise("wrong"), F.lit("wrong")))
+
+
+def evaluated(rows: DataFrame, fields: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """rows with each field's found and gold column -> (field, kind, n); fields: name -> (sort of field, found, gold)."""
+    pair = [F.struct(F.lit(name).alias("field"), match_kind(sort, F.col(found), F.col(gold)).alias("kind")) for name, (sort, found, gold) in fields.items()]
+    return rows.select(F.explode(F.array(*pair)).alias("x")).groupBy("x.field", "x.kind").agg(F.count("*").alias("n"))
+
+
+def precision_recall(kinds: DataFrame, fields: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """(field, correct, retrieved, relevant, precision, recall) of (field, kind, n)."""
+    among = lambda table: F.coalesce(F.sum(F.when(_any([(F.col("field") == name) & F.col("kind").isin(*table[sort]) for name, (sort, _, _) in fields.items()]), F.col("n"))), F.lit(0))
+    sums = kinds.groupBy("field").agg(F.coalesce(F.sum(F.when(F.col("kind") == "match", F.col("n"))), F.lit(0)).alias("correct"), among(RETRIEVED).alias("retrieved"), among(RELEVANT).alias("relevant"))
+    return sums.withColumn("precision", F.round(F.try_divide("correct", "retrieved"), 6)).withColumn("recall", F.round(F.try_divide("correct", "relevant"), 6))
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+_GOLD_FIELDS = {"origin": ("code", "f_origem", "origem"), "percentage": ("pct", "f_pct", "pct"), "validity": ("day", "f_fim", "fim")}
+_GOLD = {
+    "ledger": LEDGER,
+    "g": """SELECT CASE WHEN produto % 5 > 0 THEN origem END AS origem, CASE WHEN produto % 7 > 0 THEN percentual END AS pct, fim,
+       CASE produto % 4 WHEN 0 THEN NULL WHEN 1 THEN destino ELSE origem END AS f_origem, CASE produto % 3 WHEN 0 THEN NULL WHEN 1 THEN percentual + 1 ELSE percentual END AS f_pct,
+       CASE produto % 6 WHEN 0 THEN NULL WHEN 1 THEN fim + INTERVAL 1 YEAR WHEN 2 THEN fim + 1 WHEN 3 THEN coalesce(fim, DATE '2000-01-01') ELSE fim END::DATE AS f_fim FROM ledger""",
+    "k": """SELECT unnest([
+         {'field': 'origin', 'kind': CASE WHEN origem IS NULL AND f_origem IS NULL THEN 'match' WHEN origem IS NULL THEN 'spurious' WHEN f_origem IS NULL THEN 'missed' WHEN origem = f_origem THEN 'match' ELSE 'wrong' END},
+         {'field': 'percentage', 'kind': CASE WHEN pct IS NULL AND f_pct IS NULL THEN 'match_null' WHEN pct IS NULL THEN 'spurious' WHEN f_pct IS NULL THEN 'missed' WHEN pct = f_pct THEN 'match' ELSE 'wrong' END},
+         {'field': 'validity', 'kind': CASE WHEN fim IS NULL AND f_fim IS NULL THEN 'match_indet' WHEN fim IS NULL THEN 'overprecision' WHEN f_fim IS NULL THEN 'missed' WHEN fim = f_fim THEN 'match'
+           WHEN month(fim) = month(f_fim) AND day(fim) = day(f_fim) THEN 'year_error' ELSE 'wrong' END}]) AS x FROM g""",
+    "kinds": "SELECT x.field AS field, x.kind AS kind, count(*) AS n FROM k GROUP BY ALL",
+}
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as labels, and what a poor extraction would make of it."""
+    p, c = F.col("produto"), F.col
+    rows = ledger(spark, sf_dir)
+    return rows.select(
+        F.when(p % 5 > 0, c("origem")).alias("origem"), F.when(p % 7 > 0, c("percentual")).alias("pct"), "fim",
+        F.when(p % 4 == 1, c("destino")).when(p % 4 > 1, c("origem")).alias("f_origem"), F.when(p % 3 == 1, c("percentual") + 1).when(p % 3 == 2, c("percentual")).alias("f_pct"),
+        F.when(p % 6 == 1, F.add_months("fim", 12)).when(p % 6 == 2, F.date_add("fim", 1)).when(p % 6 == 3, F.coalesce("fim", F.lit("2000-01-01").cast("date"))).when(p % 6 > 3, c("fim")).alias("f_fim"),
+    )
+
+
+@query("q_gold_kinds", using(_GOLD, "SELECT field, kind, n FROM kinds"))
+def gold_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluated(_gold(spark, sf_dir), _GOLD_FIELDS)
+
+
+@query("q_gold_precision", using(_GOLD, """
+WITH s AS (SELECT field, coalesce(sum(n) FILTER (WHERE kind = 'match'), 0)::BIGINT AS correct, coalesce(sum(n) FILTER (WHERE kind IN ('match', 'wrong', 'spurious', 'year_error', 'overprecision')), 0)::BIGINT AS retrieved,
+  coalesce(sum(n) FILTER (WHERE kind IN ('match', 'wrong', 'missed', 'year_error')), 0)::BIGINT AS relevant FROM kinds GROUP BY field)
+SELECT *, round(correct::DOUBLE / nullif(retrieved, 0), 6) AS precision, round(correct::DOUBLE / nullif(relevant, 0), 6) AS recall FROM s"""))
+def gold_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return precision_recall(evaluated(_gold(spark, sf_dir), _GOLD_FIELDS), _GOLD_FIELDS)
+
+
+def edition_verdict(published: DataFrame, campaigns: DataFrame, day: Column) -> DataFrame:
+    """published (item, pct, fim) against campaigns (id, percentual, fim, tier): the first data check that an item fails.
+
+    It must name a campaign, which must be alive on the day, with the same percentage and
+    the same last day.
+    """
+    c = campaigns.select(F.col("id").alias("item"), F.col("percentual").alias("c_pct"), F.col("fim").alias("c_fim"), state(day).alias("c_state")).dropDuplicates(["item"])
+    rows = published.join(c, "item", "left")
+    verdict = (
+        F.when(F.col("c_state").isNull(), "missing").when(~F.col("c_state").isin("ativa", "ultimos_dias", "detectada"), "not_live").when(~F.col("pct").eqNullSafe(F.col("c_pct")), "percentage_differs")
+        .when(~F.col("fim").eqNullSafe(F.col("c_fim")), "validity_differs").otherwise("ok")
+    )
+    return rows.select("item", verdict.alias("verdict"))
+
+
+@query("q_edition_consistency", using({"ledger": LEDGER}, f"""
+WITH c AS (SELECT id, any_value(percentual) AS percentual, any_value(fim) AS fim, any_value(tier) AS tier, any_value(produto) AS p FROM ledger GROUP BY id),
+x AS (SELECT CASE WHEN p % 11 = 0 THEN 'x' || id ELSE id END AS item, p, {_STATE.format('2000-01-01')} AS st, fim FROM c)
+SELECT item, CASE WHEN p % 11 = 0 THEN 'missing' WHEN st NOT IN ('ativa', 'ultimos_dias', 'detectada') THEN 'not_live' WHEN p % 5 = 0 THEN 'percentage_differs' WHEN p % 7 = 0 THEN 'validity_differs' ELSE 'ok' END AS verdict FROM x"""))
+def edition_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edition of all offers, some of which are misprinted."""
+    rows = ledger(spark, sf_dir).select("id", "percentual", "fim", "tier", "produto").dropDuplicates(["id"])
+    p = F.col("produto")
+    printed = rows.select(F.when(p % 11 == 0, F.concat(F.lit("x"), "id")).otherwise(F.col("id")).alias("item"), (F.col("percentual") + F.when(p % 5 == 0, 1).otherwise(0)).alias("pct"), F.when(p % 7 == 0, F.date_add("fim", 1)).otherwise(F.col("fim")).alias("fim"))
+    return edition_verdict(printed, rows, F.lit("2000-01-01").cast("date"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.operators.graph import written
 from granary.registry import query, using
 from granary.sources.tables import LEDGER, half_up, ledger, round_to, table
 
@@ -15,6 +16,8 @@ RARITY = ((2, 0.85), (5, 0.65), (20, 0.45), (50, 0.25))
 RARITY_COMMON = 0.10
 REACH = {"BUILDING": 1.0, "AUTOMOBILE": 0.7, "MACHINERY": 0.5, "HOUSEHOLD": 0.3}
 BANDS = ((85, "Vale agir"), (70, "Vale olhar"), (55, "Só para casos específicos"), (40, "Esperaria"))
+#: Ranges of values for a rank over all rows.
+RANGES = 32
 LOWEST, UNCONFIRMED = "Evitaria", "Não confirmado"
 
 
@@ -52,10 +55,10 @@ def inverse_ecdf(rows: DataFrame, value: str, out: str) -> DataFrame:
     no task sorts the whole table.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    borders = counts.agg(F.percentile_approx(value, [i / 128 for i in range(1, 128)], 10_000).alias("b"), F.sum("c").alias("total"))
+    borders = counts.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 20 * RANGES).alias("b"), F.sum("c").alias("total"))
     ranged = counts.join(F.broadcast(borders)).withColumn("r", F.size(F.filter("b", lambda x: x < F.col(value)))).drop("b")
     sums = ranged.groupBy("r").agg(F.sum("c").alias("s"))
-    sums = sums.select("r", (F.sum("s").over(Window.orderBy("r")) - F.col("s")).alias("before"))  # 128 rows
+    sums = sums.select("r", (F.sum("s").over(Window.orderBy("r")) - F.col("s")).alias("before"))  # RANGES rows
     within = F.sum("c").over(Window.partitionBy("r").orderBy(value)) - F.col("c") * 0.5
     ranked = ranged.join(F.broadcast(sums), "r").select(value, (1 - (F.col("before") + within) / F.col("total")).alias(out))
     return rows.join(ranked, value, "left")
@@ -91,9 +94,20 @@ def reach(publico: Column) -> Column:
 def components(rows: DataFrame) -> DataFrame:
     """Adds percentil (and base_n), eficiencia, raridade and abrangencia; the history of a row is its route and product kind."""
     keys = ["origem", "destino", "tipo"]
-    rows = midrank(cost(rows), keys, "percentual", "percentil", "base_n")
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("route_n"))
-    rows = inverse_ecdf(rows, "cpm", "eficiencia").join(sizes, keys)
+    rows = written(cost(rows))  # three statistics are taken of the same rows
+    # one table a route, kind and percentage: the null percentages count in the route, not in the rank
+    counts = rows.groupBy(*keys, "percentual").agg(F.count("*").alias("c"))
+    there = F.when(F.col("percentual").isNotNull(), F.col("c")).otherwise(0)
+    route = Window.partitionBy(*keys)
+    n = F.sum(there).over(route)
+    rank = (F.sum(there).over(route.orderBy("percentual")) - there * 0.5) / n
+    stats = counts.select(*keys, F.col("percentual").alias("pct"), F.when(F.col("percentual").isNotNull(), rank).alias("percentil"), F.when(F.col("percentual").isNotNull(), n).alias("base_n"), F.sum("c").over(route).alias("route_n"))
+    rows = inverse_ecdf(rows, "cpm", "eficiencia")
+    same = F.col("percentual").eqNullSafe(F.col("pct"))
+    for k in keys:
+        stats = stats.withColumnRenamed(k, f"s_{k}")
+        same = same & (F.col(k) == F.col(f"s_{k}"))
+    rows = rows.join(stats, same).drop("pct", *[f"s_{k}" for k in keys])
     return rows.withColumn("raridade", rarity(F.col("route_n"))).withColumn("abrangencia", reach(F.col("publico")))
 
 
@@ -236,24 +250,50 @@ def score_single_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Weights of the eight criteria of the older score.
-CRITERIA = (20, 20, 15, 15, 10, 10, 5, 5)
-_CRIT = " + ".join(f"{w} * ((p_partkey * {i + 3}) % 11)" for i, w in enumerate(CRITERIA))
+# Weights of the eight criteria of the older score, in hundredths, and the score from which no person need look.
+CRITERIA = {"valor": 25, "regra": 15, "vigencia": 15, "friccao": 10, "aplicabilidade": 10, "liquidez": 10, "estoque": 10, "fontes": 5}
+AUTOMATIC = 0.85
 
 
-@query("q_weighted_check", f"SELECT p_partkey, floor(({_CRIT}) / 10.0::DOUBLE + 0.5)::BIGINT AS score, abs(floor(({_CRIT}) / 10.0::DOUBLE + 0.5) - p_size * 2) <= 1 AS reconciles FROM part")
+def reconciled(marks: dict[str, Column], declared: Column, verdict: Column) -> Column:
+    """(score, sums, fits): the weighted sum of the marks (0 to 100; a missing one is 0), whether the declared score is that, and whether the verdict is the declared score's band."""
+    total = F.lit(0.0)
+    for name, weight in CRITERIA.items():
+        total = total + F.coalesce(marks[name].cast("double"), F.lit(0.0)) * weight
+    score = half_up(total / 100)
+    return F.struct(score.alias("score"), (score == declared).alias("sums"), (band(declared) == verdict).alias("fits"))
+
+
+def automation_score(anchors: Column, record: Column) -> Column:
+    """Up to 0.15 for anchors in data and up to 0.7 for the share of resolved patterns of the kind; what is missing counts nothing."""
+    a = F.least(F.lit(0.5), F.greatest(F.coalesce(anchors, F.lit(0)), F.lit(0)) * 0.1) * 0.3
+    return round_to(a + F.least(F.lit(1.0), F.greatest(F.coalesce(record, F.lit(0.0)), F.lit(0.0))) * 0.7, 6)
+
+
+_MARKS = {k: f"(p_size * {i + 1} + p_partkey) % 101" for i, k in enumerate(CRITERIA)}
+_TOTAL = "floor((" + " + ".join(f"{w} * ({_MARKS[k]})" for k, w in CRITERIA.items()) + ") / 100.0::DOUBLE + 0.5)::BIGINT"
+
+
+@query("q_weighted_check", f"""
+WITH s AS (SELECT p_partkey, {_TOTAL} AS score FROM part), d AS (SELECT *, score + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END AS bruto FROM s)
+SELECT p_partkey, score, p_partkey % 4 > 0 AS sums, {_BAND} = CASE WHEN p_partkey % 9 = 0 THEN '{LOWEST}' ELSE {_BAND} END AS fits FROM d""")
 def weighted_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted sum of eight marks (0 to 10) against a stated score, within one point."""
-    total = F.lit(0)
-    for i, w in enumerate(CRITERIA):
-        total = total + w * ((F.col("p_partkey") * (i + 3)) % 11)
-    s = half_up(total / 10)
-    return table(spark, sf_dir, "part").select("p_partkey", s.alias("score"), (F.abs(s - F.col("p_size") * 2) <= 1).alias("reconciles"))
-
-
-@query("q_automation_score", "SELECT p_partkey, floor((least(0.5, (p_size % 8) * 0.1::DOUBLE) * 0.3 + (p_partkey % 11) / 10.0::DOUBLE * 0.7) * 1e6 + 0.5) / 1e6 AS score, floor((least(0.5, (p_size % 8) * 0.1::DOUBLE) * 0.3 + (p_partkey % 11) / 10.0::DOUBLE * 0.7) * 1e6 + 0.5) / 1e6 < 0.85 AS needs_review FROM part")
-def automation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """min(0.5, anchors / 10) * 0.3 + track record * 0.7; automatic from 0.85."""
-    anchors, record = F.col("p_size") % 8, (F.col("p_partkey") % 11) / 10
-    s = round_to(F.least(F.lit(0.5), anchors * 0.1) * 0.3 + record * 0.7, 6)
-    return table(spark, sf_dir, "part").select("p_partkey", s.alias("score"), (s < 0.85).alias("needs_review"))
+    """Marks made of a part's numbers; one declared score in four is off by one, one verdict in nine is the lowest."""
+    marks = {k: (F.col("p_size") * (i + 1) + F.col("p_partkey")) % 101 for i, k in enumerate(CRITERIA)}
+    score = reconciled(marks, F.lit(0), F.lit(""))["score"]
+    declared = score + F.when(F.col("p_partkey") % 4 == 0, 1).otherwise(0)
+    verdict = F.when(F.col("p_partkey") % 9 == 0, LOWEST).otherwise(band(declared))
+    return table(spark, sf_dir, "part").select("p_partkey", reconciled(marks, declared, verdict).alias("r")).select("p_partkey", "r.*")
+
+
+_AUTO = "floor((least(0.5::DOUBLE, anchors * 0.1::DOUBLE) * 0.3::DOUBLE + record * 0.7::DOUBLE) * 1e6 + 0.5) / 1e6"
+
+
+@query("q_automation_score", using({"ledger": LEDGER}, f"""
+WITH a AS (SELECT produto, count(DISTINCT fim) AS anchors, count(*) FILTER (WHERE tier = 1)::DOUBLE / count(*) AS record FROM ledger GROUP BY produto)
+SELECT produto, {_AUTO} AS score, {_AUTO} < {AUTOMATIC} AS needs_review FROM a"""))
+def automation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product's known last days are its anchors, its confirmed offers its record."""
+    a = ledger(spark, sf_dir).groupBy("produto").agg(F.count_distinct("fim").alias("anchors"), (F.count_if(F.col("tier") == 1) / F.count("*")).alias("record"))
+    s = automation_score(F.col("anchors"), F.col("record"))
+    return a.select("produto", s.alias("score"), (s < AUTOMATIC).alias("needs_review"))

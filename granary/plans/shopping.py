@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.operators.graph import written
 from granary.operators.quantiles import exact_percentiles
 from granary.registry import query, using
 from granary.sources.tables import OFFERS, offers, round_to, table
@@ -111,15 +112,16 @@ SELECT b.*, total_products, floor(valid_products::DOUBLE / total_products * 1000
             WHEN valid_products <= 4 THEN 'minimum' WHEN valid_products <= 9 THEN 'usable' ELSE 'robust' END AS sample_quality
 FROM b JOIN t USING (category_code)"""))
 def category_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Few groups of many products: percentiles are ranked by ranges (exact_percentiles), not in one buffer a group."""
+    """Few groups of many products: percentiles of both columns are ranked by ranges (exact_percentiles) in one run, not in one buffer a group."""
     keys = ["category_code", "program_code"]
-    rows = _latest(spark, sf_dir)
+    rows = written(_latest(spark, sf_dir).select(*keys, "is_comparable", "vpm_standard", "vpm_elite"))
     kept = lambda v: F.when(F.col("is_comparable"), F.col(v))
     probs = {"p25": 0.25, "median": 0.5, "p75": 0.75}
     groups = rows.groupBy(*keys).agg(F.count(kept("vpm_standard")).alias("valid_products"))
-    for k in ("standard", "elite"):
-        found = exact_percentiles(rows.select(*keys, kept(f"vpm_{k}").alias("x")), keys, "x", {f"vpm_{k}_{n}": p for n, p in probs.items()}).drop("n")
-        groups = groups.join(found, keys, "left")
+    both = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), kept(f"vpm_{k}").alias("x")) for k in ("standard", "elite")])).alias("v")
+    found = exact_percentiles(rows.select(*keys, both).select(*keys, "v.k", "v.x"), [*keys, "k"], "x", probs)
+    wide = [F.max(F.when(F.col("k") == k, F.col(name))).alias(f"vpm_{k}_{name}") for k in ("standard", "elite") for name in probs]
+    groups = groups.join(found.groupBy(*keys).agg(*wide), keys, "left")
     totals = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("category_code")).agg(F.count("*").alias("total_products"))
     n = F.col("valid_products")
     return groups.join(totals, "category_code").select(
