@@ -113,16 +113,122 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.length("t").cast("bigint").alias("n"), F.sha2("t", 256).alias("text_sha256"))
 
 
-@query("q_offer_extract", rf"""
-WITH t AS (SELECT page_id, {_PLAIN} AS t FROM pages), n AS (SELECT page_id, t, TRY_CAST(nullif(regexp_extract(t, '(\d{{1,6}})', 1), '') AS DOUBLE) AS price, TRY_CAST(nullif(regexp_extract(t, '(\d{{4,}})', 1), '') AS BIGINT) AS points FROM t)
-SELECT page_id, CASE WHEN price < 10 AND points >= 1000 THEN NULL ELSE price END AS price, points, CASE WHEN regexp_matches(lower(t), '(sold out|esgotado|ausverkauft|agotado)') THEN 'unavailable' WHEN price IS NOT NULL THEN 'available' ELSE 'unknown' END AS availability FROM n""")
+# How prices, points and their absence stand in shop pages.
+STATE_PRICE = r'(?i)"(?:price|preco|valor|amount|cashPrice|price_brl|referencePrice)"\s*:\s*"?(\d{1,7}(?:[.,]\d{2})?)"?'
+TEXT_PRICE = r"R\$\s*([\d.]{1,3}(?:[.,]\d{2,3})*)"
+POINTS = r"(?i)([\d.]{4,})\s*(?:pontos|milhas)"
+ELITE_POINTS = r"(?i)(?:clube|elite|a partir de)[^\d]{0,20}([\d.]{4,})\s*(?:pontos|milhas)"
+HYBRID = r"(?i)([\d.]{4,})\s*(?:pontos|milhas)\s*\+\s*R\$\s*([\d.,]+)"
+SOLD_OUT = r"(?i)(indispon[ií]vel|esgotad|fora de estoque|sem estoque)"
+
+
+def page_number(text: Column) -> Column:
+    """A number of a page: 1.399,00 and 45.000 group by dots; 12.5 and 1399.00 have a decimal point."""
+    t = F.regexp_replace(text, r"[^\d.,]", "")
+    plain = F.when(F.contains(t, F.lit(",")), F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(t.rlike(r"^\d{1,3}(\.\d{3})+$"), F.replace(t, F.lit("."), F.lit(""))).otherwise(t)
+    return F.regexp_extract(plain, r"^\d*\.?\d+", 0).try_cast("double")
+
+
+def listing(html: Column) -> Column:
+    """(price, price_source, standard, elite, hybrid_points, hybrid_cash, availability, confidence) of a shop page.
+
+    The price is that of product markup, else of a meta element or marked attribute, else
+    of the state that a script holds, else the first amount in the text; the first source
+    that has one counts.  A price under 10 beside 1,000 points or more is none: it is a
+    rating or an instalment.
+    """
+    number = lambda c, p, g=1: page_number(F.nullif(F.regexp_extract(c, p, g), F.lit("")))
+
+    def of(x: Column) -> Column:
+        page, body = x["html"], x["body"]
+        markup = product_price(page)["cash"]
+        marked = page_number(F.coalesce(meta(page, "product:price:amount"), F.nullif(F.regexp_extract(page, r"""(?i)<[^>]+itemprop=["']price["'][^>]*content=["']([^"']*)["']""", 1), F.lit("")), F.nullif(F.regexp_extract(page, r"""(?i)<[^>]+data-price=["']([^"']*)["']""", 1), F.lit(""))))
+        scripts = F.array_join(F.regexp_extract_all(page, F.lit(r"(?is)<script(?![^>]*\bsrc=)[^>]*>(.{41,}?)</script>"), F.lit(1)), "\n")
+        state = F.get(F.filter(F.transform(F.regexp_extract_all(scripts, F.lit(STATE_PRICE), F.lit(1)), page_number), lambda n: (n >= 1) & (n < 1_000_000)), F.lit(0))
+        found = F.coalesce(*[F.when(v.isNotNull(), F.struct(v.alias("v"), F.lit(name).alias("source"))) for name, v in (("markup", markup), ("meta", marked), ("state", state), ("text", number(body, TEXT_PRICE)))])
+        return F.struct(found.alias("found"), number(body, POINTS).alias("standard"), number(body, ELITE_POINTS).alias("elite"), number(body, HYBRID).alias("hp"), number(body, HYBRID, 2).alias("hc"), body.rlike(SOLD_OUT).alias("out"))
+
+    def told(x: Column) -> Column:
+        doubtful = (x["found"]["v"] < 10) & (F.coalesce(x["standard"], F.lit(0.0)) >= 1000)
+        price = F.when(~F.coalesce(doubtful, F.lit(False)), x["found"]["v"])
+        there = price.isNotNull() | x["standard"].isNotNull()
+        return F.struct(
+            price.alias("price"), F.when(price.isNotNull(), x["found"]["source"]).alias("price_source"), x["standard"].alias("standard"), F.when(~x["elite"].eqNullSafe(x["standard"]), x["elite"]).alias("elite"), x["hp"].alias("hybrid_points"), x["hc"].alias("hybrid_cash"),
+            F.when(x["out"], "out_of_stock").when(there, "in_stock").otherwise("unknown").alias("availability"), F.when(price.isNotNull() & x["standard"].isNotNull(), "medium").otherwise("low").alias("confidence"),
+        )
+
+    return X.let(X.let(F.struct(html.alias("html"), X.tag_free(html).alias("body")), of), told)
+
+
+def _made_page(price: Column, points: Column, k: Column) -> Column:
+    """Shop pages of six kinds for one price and number of points."""
+    text = lambda n: F.concat(F.floor(n / 1000).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+    cents = F.concat(price.cast("string"), F.lit(".50"))
+    return F.get(F.array(
+        F.concat(F.lit('<script type="application/ld+json">{"@type": "Product", "offers": {"price": "'), price.cast("string"), F.lit(',50"}}</script><p>por '), text(points), F.lit(" pontos</p>")),
+        F.concat(F.lit('<meta property="product:price:amount" content="'), cents, F.lit('"><p>Clube: '), text(points - 1000), F.lit(" milhas ou "), text(points), F.lit(" milhas</p>")),
+        F.concat(F.lit('<script id="__NEXT_DATA__">{"props": {"pageProps": {"id": 7, "price": "'), cents, F.lit('"}}}</script><p>'), text(points), F.lit(" pontos + R$ 99,90</p>")),
+        F.concat(F.lit("<p>R$ "), price.cast("string"), F.lit(",50 esgotado</p>")),
+        F.concat(F.lit("<p>nota R$ 4,17 de 5, "), text(points), F.lit(" pontos</p>")),
+        F.lit("<p>em breve</p>"),
+    ), k)
+
+
+@query("q_offer_extract", """
+WITH t AS (SELECT p_partkey, p_partkey % 6 AS k, p_size + 100 AS price, 5000 + p_partkey % 4000 AS points FROM part)
+SELECT p_partkey, CASE WHEN k < 4 THEN price + 0.5::DOUBLE END AS price, ['markup', 'meta', 'state', 'text', NULL, NULL][(k + 1)::INTEGER] AS price_source,
+       CASE WHEN k IN (0, 2, 4) THEN points::DOUBLE WHEN k = 1 THEN points::DOUBLE - 1000 END AS standard, CASE WHEN k = 2 THEN points::DOUBLE END AS hybrid_points, CASE WHEN k = 2 THEN 99.9::DOUBLE END AS hybrid_cash,
+       ['in_stock', 'in_stock', 'in_stock', 'out_of_stock', 'in_stock', 'unknown'][(k + 1)::INTEGER] AS availability, CASE WHEN k < 3 THEN 'medium' ELSE 'low' END AS confidence FROM t""")
 def offer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price from product markup, else meta, else text; a price under 10 next to 1,000 points or more is no price."""
-    rows = table(spark, sf_dir, "pages").select("page_id", "html", X.tag_free(F.col("html")).alias("t"))
-    rows = rows.select("page_id", "t", F.coalesce(product_price(F.col("html"))["cash"], meta(F.col("html"), "product:price:amount").try_cast("double"), F.nullif(F.regexp_extract("t", r"(\d{1,6})", 1), F.lit("")).try_cast("double")).alias("price"), F.nullif(F.regexp_extract("t", r"(\d{4,})", 1), F.lit("")).try_cast("bigint").alias("points"))
-    price = F.col("price")
-    stock = F.when(F.lower("t").rlike("(sold out|esgotado|ausverkauft|agotado)"), "unavailable").when(price.isNotNull(), "available").otherwise("unknown")
-    return rows.select("page_id", F.when(~F.coalesce((price < 10) & (F.col("points") >= 1000), F.lit(False)), price).alias("price"), "points", stock.alias("availability"))
+    """Shop pages of six kinds, read back: price from markup, meta, state and text, a doubtful price, and none."""
+    k = (F.col("p_partkey") % 6).cast("int")
+    page = _made_page((F.col("p_size") + 100).cast("int"), 5000 + F.col("p_partkey") % 4000, k)
+    rows = table(spark, sf_dir, "part").select("p_partkey", listing(page).alias("x"))
+    return rows.select("p_partkey", *[F.col(f"x.{c}").alias(c) for c in ("price", "price_source", "standard", "hybrid_points", "hybrid_cash", "availability", "confidence")])
+
+
+def tag_text(html: Column, tag: str) -> Column:
+    """The text of the first element of a name, null if there is none or it is empty."""
+    return F.nullif(X.tag_free(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)), F.lit(""))
+
+
+def slug_of(url: Column) -> Column:
+    """The last two parts of an address's path, without a closing mark of an ended offer."""
+    path = F.regexp_replace(F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"(?i)/(encerrada|index)/?$", ""), "/$", "")
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    return F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), F.lit(2)), "/")
+
+
+def campaign_page(html: Column, url: Column) -> Column:
+    """(url, title, description, slug, percentage, source): what an official page says of itself; a percentage comes from its address or its curated texts, never from its body."""
+    none = F.lit("")
+
+    def of(x: Column) -> Column:
+        at = F.coalesce(canonical(x["html"]), x["url"])
+        title = F.coalesce(meta(x["html"], "og:title"), tag_text(x["html"], "title"), tag_text(x["html"], "h1"))
+        description = F.coalesce(meta(x["html"], "description"), meta(x["html"], "og:description"))
+        pct = percentage(slug_of(at), F.concat_ws(" ", title, description, F.coalesce(tag_text(x["html"], "h1"), none)))
+        return F.struct(at.alias("url"), title.alias("title"), description.alias("description"), slug_of(at).alias("slug"), pct["value"].alias("percentage"), pct["source"].alias("source"))
+
+    return X.let(F.struct(html.alias("html"), url.alias("url")), of)
+
+
+@query("q_campaign_page", """
+WITH t AS (SELECT p_partkey, p_partkey % 4 AS k, 10 + p_size AS pct, p_name FROM part)
+SELECT p_partkey, CASE WHEN k = 0 THEN 'https://a.example/promo/bonus-' || pct ELSE 'https://a.example/x/p-' || p_partkey || '/encerrada' END AS url, CASE k WHEN 1 THEN p_name || ' & mais' WHEN 3 THEN p_name ELSE 'T ' || p_name END AS title,
+       CASE WHEN k = 2 THEN 'ganhe ' || pct || '% agora' END AS description, CASE WHEN k = 0 THEN 'promo/bonus-' || pct ELSE 'x/p-' || p_partkey END AS slug, CASE WHEN k IN (0, 2) THEN pct::INTEGER END AS percentage, CASE k WHEN 0 THEN 'slug' WHEN 2 THEN 'text' END AS source FROM t""")
+def campaign_page_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Official pages of four kinds, read back; the body's percentage never counts."""
+    k, pct, name = (F.col("p_partkey") % 4).cast("int"), (F.col("p_size") + 10).cast("string"), F.col("p_name")
+    body = F.lit("<body><p>99% de tudo</p></body>")
+    html = F.get(F.array(
+        F.concat(F.lit("<title>T "), name, F.lit('</title><link rel="canonical" href="https://a.example/promo/bonus-'), pct, F.lit('">'), body),
+        F.concat(F.lit('<meta property="og:title" content="'), name, F.lit(' &amp; mais"><title>x</title>'), body),
+        F.concat(F.lit('<meta name="description" content="ganhe '), pct, F.lit('% agora"><title>T '), name, F.lit("</title>"), body),
+        F.concat(F.lit("<h1><b>"), name, F.lit("</b></h1>"), body),
+    ), k)
+    url = F.concat(F.lit("https://a.example/x/p-"), F.col("p_partkey").cast("string"), F.lit("/encerrada"))
+    return table(spark, sf_dir, "part").select("p_partkey", campaign_page(html, url).alias("x")).select("p_partkey", "x.*")
 
 
 def json_ld(html: Column) -> Column:

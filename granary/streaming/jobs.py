@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,15 +20,33 @@ def drain(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
     writer.start().awaitTermination()
 
 
-def upsert_stream(stream: DataFrame, keys: list[str], path_of, checkpoint: str):
-    """Upsert each micro-batch into a Parquet table that has one writer: path_of(batch number) names the next version."""
-    from granary.operators.sinks import upsert
+def upsert_stream(stream: DataFrame, keys: list[str], newest: list[str], path: str, checkpoint: str, buckets: int = 64):
+    """Upsert each micro-batch into a Parquet table of one writer, bucketed by key: only the buckets that a batch touches are written anew.
+
+    Of the rows of one key the one with the largest newest columns counts, in a batch
+    and against the table.  A batch that was broken off and runs again changes nothing
+    that it has done already.
+    """
+    from granary.operators.graph import removed, shared_dir, written
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(keys)
-        merged = rows if number == 0 else upsert(spark.read.schema(rows.schema).parquet(path_of(number - 1)), rows, keys)
-        merged.write.mode("overwrite").parquet(path_of(number))
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        at = shared_dir(spark)
+        incoming = written(rows, at)
+        touched = [r["bucket"] for r in incoming.select("bucket").distinct().collect()]  # at most buckets numbers
+        if touched:
+            try:
+                current = spark.read.schema(incoming.schema).parquet(path).filter(F.col("bucket").isin(touched))
+            except AnalysisException:  # the first batch
+                current = incoming.limit(0)
+            columns = [c for c in incoming.columns if c not in keys]
+            best = F.max_by(F.struct(*columns), F.struct(*newest)).alias("x")
+            merged, staging = current.unionByName(incoming).groupBy(*keys).agg(best).select(*keys, "x.*"), shared_dir(spark)
+            staged = written(merged, staging)
+            staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+            removed(spark, staging)
+        removed(spark, at)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

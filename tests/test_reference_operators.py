@@ -148,3 +148,48 @@ def test_streams(spark, tmp_path):
     q = jobs.limited_stream(stream, 60, 2).writeStream.format("memory").queryName("limited").option("checkpointLocation", mark + "2").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("limited").filter("allowed").count() == 8
+
+
+def test_upsert_stream(spark, tmp_path):
+    from granary.streaming import jobs
+
+    src, table, mark = (str(tmp_path / x) for x in ("src", "table", "mark"))
+    schema = "k long, at long, v string"
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    run = lambda: jobs.upsert_stream(spark.readStream.schema(schema).parquet(src), ["k"], ["at"], table, mark, buckets=4).awaitTermination()
+    write([(i, 0, "old") for i in range(20)] + [(3, 2, "newest"), (3, 1, "newer")])
+    run()
+    write([(4, 5, "changed"), (30, 5, "added"), (3, 1, "late")])
+    run()
+    got = {r["k"]: r["v"] for r in spark.read.parquet(table).collect()}
+    assert len(got) == 21 and got[3] == "newest" and got[4] == "changed" and got[30] == "added" and got[5] == "old"
+    run()  # nothing new
+    assert spark.read.parquet(table).count() == 21
+
+
+def test_daily_counts_and_snapshots(spark, tmp_path):
+    from granary.streaming import jobs
+
+    src, mark = str(tmp_path / "src"), str(tmp_path / "mark")
+    rows = [(dt.datetime(2026, 1, 1 + i % 3, 12), ("view", "buy")[i % 2]) for i in range(12)]
+    spark.createDataFrame(rows, "ts timestamp, event_type string").write.parquet(src)
+    stream = spark.readStream.schema("ts timestamp, event_type string").parquet(src)
+    q = jobs.daily_counts(stream).writeStream.format("memory").queryName("daily").outputMode("complete").option("checkpointLocation", mark).trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = {}
+    for ts, kind in rows:
+        want[ts.date(), kind] = want.get((ts.date(), kind), 0) + 1
+    assert {(r["day"], r["event_type"]): r["n"] for r in spark.table("daily").collect()} == want
+    at = str(tmp_path / "snapshots")
+    for day, n in (("2026-01-01", 3), ("2026-01-02", 4), ("2026-01-02", 5)):
+        sinks.snapshot(spark.range(n), at, day)
+    assert spark.read.parquet(at).groupBy("as_of_date").count().orderBy("as_of_date").collect() == [(dt.date(2026, 1, 1), 3), (dt.date(2026, 1, 2), 5)]
+
+
+def test_places_over_ranges(spark):
+    from granary.operators.ordering import numbered
+
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(40)) for i in range(3000)]
+    got = {r["i"]: r["place"] for r in numbered(spark.createDataFrame(rows, "i long, v long"), [F.desc("v"), F.asc("i")], "place").collect()}
+    assert got == {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
