@@ -17,10 +17,12 @@ def jaccard_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct titles meet by a shared word; at 0.6 two sets of n and m words share at least 0.375 * (n + m) of them.
 
     Prefix filtering: with words in one fixed order, sets that reach the threshold
-    share one of their first n - ceil(0.6 * n) + 1 words, so only those are joined.
+    share one of their first n - ceil(0.6 * n) + 1 words, so only those are joined.  The
+    order is rarest first, so common words hardly ever bring titles together.
     """
-    words = F.array_sort(F.array_distinct(F.split("a", " ")))
-    t = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_brand", "p_type", "p_name").alias("a")).distinct().withColumn("w", words)
+    words = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_brand", "p_type", "p_name").alias("a")).distinct().select("a", F.explode(F.array_distinct(F.split("a", " "))).alias("k"))
+    often = words.groupBy("k").agg(F.count("*").alias("n"))
+    t = words.join(often, "k").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("n", "k"))).alias("o")).select("a", F.transform("o", lambda x: x["k"]).alias("w"))
     head = F.slice("w", F.lit(1), (F.size("w") - F.ceil(F.size("w") * F.lit(0.6)) + 1).cast("int"))
     rows = t.select("a", "w", F.explode(head).alias("k"))
     other = rows.select(F.col("a").alias("b"), F.col("w").alias("v"), "k")

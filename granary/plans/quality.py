@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.operators.graph import components, written
+from granary.operators.graph import components_within, written
 from granary.registry import query, using
 from granary.sources.tables import LEDGER, ledger
 
@@ -92,8 +92,8 @@ def dedup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIR_COLUMNS = ["id", "percentual", "first_seen", "observed_at", "fonte", "publico", "severity", "event_date"]
 
 
-def pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, score) of two different rows of one block.
+def pairs(rows: DataFrame, *more: Column) -> DataFrame:
+    """(a, b, score) of two different rows of one block, and more columns of the block.
 
     A block is a product on a route: it does not grow with the corpus, as rows a
     product stay about the same.  Rows equal in id are one row.
@@ -115,7 +115,7 @@ def pairs(rows: DataFrame) -> DataFrame:
     score = points[0]
     for p in points[1:]:
         score = score + p
-    return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), score.cast("bigint").alias("score"))
+    return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), score.cast("bigint").alias("score"), *more)
 
 
 PAIRS = {
@@ -143,9 +143,10 @@ def pair_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clusters(rows: DataFrame) -> DataFrame:
-    """(id, root, n, score, status) of rows in clusters of two or more."""
-    edges = written(pairs(rows).filter(F.col("score") >= POSSIBLE))
-    roots = components(edges)
+    """(id, root, n, score, status) of rows in clusters of two or more; a cluster lies in one block, so it is found there without rounds."""
+    block = F.xxhash64("produto", "origem", "destino").alias("block")
+    edges = written(pairs(rows, block).filter(F.col("score") >= POSSIBLE))
+    roots = written(components_within(edges.select("block", "a", "b")))
     best = edges.join(roots.withColumnRenamed("id", "a"), "a").groupBy("root").agg(F.max("score").alias("score"))
     size = roots.groupBy("root").agg(F.count("*").alias("n"))
     status = F.when(F.col("score") >= PROBABLE, "probable_duplicate").otherwise("possible_duplicate")

@@ -186,6 +186,20 @@ def test_daily_counts_and_snapshots(spark, tmp_path):
     assert spark.read.parquet(at).groupBy("as_of_date").count().orderBy("as_of_date").collect() == [(dt.date(2026, 1, 1), 3), (dt.date(2026, 1, 2), 5)]
 
 
+def test_components_within_blocks(spark):
+    from granary.operators import graph
+
+    rng = random.Random(6)
+    links = [(k // 10, f"n{k // 10}_{rng.randrange(9)}", f"n{k // 10}_{rng.randrange(9)}") for k in range(400)]
+    df = spark.createDataFrame(links, "block int, a string, b string")
+    want = {r["id"]: r["root"] for r in components(df.select("a", "b")).collect()}
+    before, graph.PART_LINKS = graph.PART_LINKS, 50
+    try:
+        assert {r["id"]: r["root"] for r in graph.components_within(df).collect()} == want
+    finally:
+        graph.PART_LINKS = before
+
+
 def test_places_over_ranges(spark):
     from granary.operators.ordering import numbered
 
