@@ -5,13 +5,15 @@ compiled into a single boolean expression.  Everything is built-in Spark SQL:
 no user functions, no shuffle, one pass over the text; a hot source or a group
 of copies costs no more than other rows, since each row is judged alone.
 
-Null text counts as empty and an empty text fails ``min_words``.  Repeated rows
-give repeated results.  Other columns pass through; where one bears the name of
-a measure, the measure wins.
+Null text counts as empty and an empty text fails the least number of words; there is
+no most.  A very long text is one row, whose 3-word windows are sorted once.  Repeated
+rows give repeated results; an empty table gives an empty result.  Other columns pass
+through; where one bears the name of a measure, the measure wins.
 """
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +29,7 @@ STOP_WORDS = (
     + "le la les de des du et un une en est que qui dans pour par sur au pas avec ce il".split()
     + "el la los las de del y que en un una es por con para se no su al lo como".split()
 )
+_LONGEST = max(map(len, STOP_WORDS))
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,6 @@ BASE_RULES = (
 )
 #: The thresholds of the method: length, symbols, stop words and lines.
 RULES = (
-    Rule("n_words", high=1_000_000),
     Rule("mean_word_chars", low=2.0, high=14.0),
     Rule("symbols_per_word", high=0.1),
     Rule("stop_word_share", low=0.02),
@@ -86,32 +88,33 @@ def _repeat_words(words: Column) -> Column:
             ),
             lambda p: p.isNotNull(),
         )
-        return let(F.array_sort(again), _covered)
+        return let(F.sort_array(again), _covered)
 
     windows = F.transform(
         F.sequence(F.lit(0), last - 1),
         lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("p")),
     )
-    return F.when(last > 0, let(F.array_sort(windows), starts)).otherwise(F.lit(0))
+    return F.when(last > 0, let(F.sort_array(windows), starts)).otherwise(F.lit(0))
 
 
 def measures(text: Column) -> Column:
     """A struct of the counts and shares that the rules speak of."""
     text = F.coalesce(text, F.lit(""))
     long = lambda c: c.cast("long")
+    without = lambda t, chars: F.length(t) - F.length(F.translate(t, chars, ""))
 
-    def counted(words: Column) -> Column:
-        lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
+    def counted(words: Column, rest: Column, lines: Column) -> Column:
+        """rest is the text without a to z: what else is counted is counted there."""
         return F.struct(
             long(F.size(words)).alias("n_words"),
-            long(F.length(F.translate(text, SPACE_CHARS, ""))).alias("word_chars"),
-            long(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"),
-            let(lines, lambda x: long(F.size(x) - F.size(F.array_distinct(x)))).alias("n_dup_lines"),
-            let(lines, lambda x: long(F.size(x))).alias("n_lines"),
+            long(F.length(text) - without(rest, SPACE_CHARS)).alias("word_chars"),
+            long(without(rest, SYMBOLS)).alias("n_symbols"),
+            long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
+            long(F.size(lines)).alias("n_lines"),
             long(_repeat_words(words)).alias("n_repeat_words"),
-            long(F.size(F.filter(words, lambda w: F.lower(w).isin(sorted(set(STOP_WORDS)))))).alias("n_stop_words"),
-            long(F.regexp_count(text, F.lit(r"\p{Lu}"))).alias("n_upper"),
-            long(F.regexp_count(text, F.lit(r"\p{Ll}"))).alias("n_lower"),
+            long(F.size(F.filter(words, lambda w: (F.length(w) <= _LONGEST) & F.lower(w).isin(sorted(set(STOP_WORDS)))))).alias("n_stop_words"),
+            long(F.regexp_count(rest, F.lit(r"\p{Lu}"))).alias("n_upper"),
+            long(F.length(text) - F.length(rest) + F.regexp_count(rest, F.lit(r"\p{Ll}"))).alias("n_lower"),
         )
 
     def shares(m: Column) -> Column:
@@ -126,7 +129,9 @@ def measures(text: Column) -> Column:
             share(m["n_repeat_words"], m["n_words"]).alias("repeat_share"),
         )
 
-    return let(let(words_col(text), counted), shares)
+    rest = F.translate(text, string.ascii_lowercase, "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
+    return let(let(words_col(text), lambda w: let(rest, lambda r: let(lines, lambda x: counted(w, r, x)))), shares)
 
 
 def passes(measure: Column, rules: tuple[Rule, ...]) -> Column:
@@ -181,7 +186,7 @@ m AS (
   FROM w LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND n_words <= 1000000
+       NOT base_failed
        AND word_chars / n_words BETWEEN 2 AND 14
        AND n_symbols / n_words <= 0.1
        AND n_stop / n_words >= 0.02
