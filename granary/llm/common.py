@@ -49,7 +49,24 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/granary-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/granary-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+#: Folders handed out in this process and not released yet.
+_MADE: list[str] = []
+
+
+def mark() -> int:
+    """A point from which release() counts."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the intermediate tables written since a mark, for when all results that read them have been written themselves."""
+    for path in [p for p in _MADE[since:] if p not in keep]:
+        removed(spark, path)
+    _MADE[since:] = [p for p in _MADE[since:] if p in keep]
 
 
 def written(df: DataFrame, at: str | None = None) -> DataFrame:

@@ -127,6 +127,14 @@ def test_every_stage(spark):
     assert length == {i: len(x) for i, x in ids.items()}
 
 
+def test_clashing_columns_pass(spark):
+    rows = [(i, t, "en", "s", n, f"kept{i}", i, f"runs{i}") for i, t, _, _, n in corpus()]
+    docs = spark.createDataFrame(rows, SCHEMA + ", kept string, n_words long, runs string")
+    for name, stage in p.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema)
+        assert all(r["kept"] == f"kept{r['doc_id']}" and r["n_words"] == r["doc_id"] and r["runs"] == f"runs{r['doc_id']}" for r in docs.collect()), name
+
+
 def test_stages_take_empty_and_odd_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0), (None, "x " * 80, None, "s", None)], SCHEMA)
