@@ -91,7 +91,7 @@ def price_per_thousand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_tiered_bonus", """
 WITH t AS (SELECT s_suppkey, 10 + s_suppkey % 80 AS pct, s_suppkey % 3 AS k FROM supplier),
-x AS (SELECT s_suppkey, pct AS pct, ['clube', 'cartao', NULL][(k + 1)::INTEGER] AS audience FROM t UNION ALL SELECT s_suppkey, 5, 'geral' FROM t)
+x AS (SELECT s_suppkey, pct::INTEGER AS pct, ['clube', 'cartao', NULL][(k + 1)::INTEGER] AS audience FROM t UNION ALL SELECT s_suppkey, 5, 'geral' FROM t)
 SELECT * FROM x""")
 def tiered_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tier for one audience, named twice, and a general one, far apart."""
