@@ -7,7 +7,8 @@ text is dealt out in chunks that overlap by ``OVERLAP`` characters:
 2. neighbours are stitched at the first pre-token boundary that both see in
    their overlap.  The pattern looks only forward, so from a common boundary on
    both scans agree; boundaries close to a chunk's end, where it cannot look
-   ahead, do not count;
+   ahead, do not count, nor do those behind white space, where a piece by itself would
+   be matched otherwise;
 3. the pieces between stitches are encoded, again wherever they lie, and their
    ids put together in order.
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import row_slices, table, written
-from .tokens import PATTERN, RANKS, ids_of, token_bytes, vocabulary
+from .tokens import PATTERN, RANKS, cuts_behind, ids_of, token_bytes, vocabulary
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: Characters at a chunk's end that its own scan cannot be sure of.
@@ -68,6 +69,19 @@ def decode_batches(batches, path: str):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
 
+def chunks_of(batches, chunk: int, overlap: int):
+    """(uid, id, text) -> (uid, id, i, more, text): each text's chunks, with the overlap behind them; more unless a chunk reaches the text's end."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            text, own = batch.column(2)[row].as_py(), batch.slice(row, 1)
+            starts = range(0, max(1, len(text)), chunk)
+            for a in range(0, len(starts), 64):
+                part = starts[a : a + 64]
+                ids = [c.take(pa.array([0] * len(part))) for c in own.columns[:2]]
+                columns = [pa.array([x // chunk for x in part], pa.int32()), pa.array([x + chunk + overlap < len(text) for x in part]), pa.array([text[x : x + chunk + overlap] for x in part], pa.string())]
+                yield pa.RecordBatch.from_arrays([*ids, *columns], names=["uid", "id", "i", "more", "text"])
+
+
 def scan_chunks(batches, pattern: str, chunk: int, overlap: int):
     """(uid, id, i, more, text) -> the same with head and tail: boundaries (from the text's start) in the chunk's first overlap and behind its own part."""
     find = regex.compile(pattern).finditer
@@ -75,7 +89,7 @@ def scan_chunks(batches, pattern: str, chunk: int, overlap: int):
         rows = batch.to_pylist()
         for r in rows:
             text, base = r["text"], r["i"] * chunk
-            ends = [m.end() for m in find(text)]
+            ends = [m.end() for m in find(text) if cuts_behind(text, m.end())]
             sure = len(text) - MARGIN if r["more"] else len(text) - 1
             r["head"] = [base + e for e in ends if e < overlap and e <= sure]
             r["tail"] = [base + e for e in ends if chunk <= e <= sure]
@@ -84,17 +98,11 @@ def scan_chunks(batches, pattern: str, chunk: int, overlap: int):
 
 def pieces(docs: DataFrame, pattern: str = PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(id, text) -> (uid, id, piece, text): texts that can be encoded each by itself."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "id", "text", F.length("text").alias("n"))
-    index = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / chunk)).cast("int")))
-    cut = rows.select("uid", "id", "text", "n", index.alias("i")).select(
-        "uid",
-        "id",
-        "i",
-        ((F.col("i") + 1) * chunk + overlap < F.col("n")).alias("more"),
-        F.substring(F.col("text"), F.col("i") * chunk + 1, F.lit(chunk + overlap)).alias("text"),
-    )
+    kind = docs.schema["id"].dataType.simpleString()
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "id", "text")
+    cut = rows.mapInArrow(functools.partial(chunks_of, chunk=chunk, overlap=overlap), f"uid long, id {kind}, i int, more boolean, text string")
     cut = cut.repartition("uid", "i")
-    schema = f"uid long, id {docs.schema['id'].dataType.simpleString()}, i int, more boolean, text string, head array<long>, tail array<long>"
+    schema = f"uid long, id {kind}, i int, more boolean, text string, head array<long>, tail array<long>"
     seen = written(cut.mapInArrow(functools.partial(scan_chunks, pattern=pattern, chunk=chunk, overlap=overlap), schema))  # both branches below see the same numbers
     w = Window.partitionBy("uid").orderBy("i")
     base = F.col("i") * F.lit(chunk).cast("long")
@@ -107,7 +115,6 @@ def pieces(docs: DataFrame, pattern: str = PATTERN, chunk: int = CHUNK, overlap:
     whole = joined.filter("NOT broken").withColumn("end", F.lead("at").over(w))
     own = F.substring(F.col("text"), (F.col("at") - base + 1).cast("int"), F.coalesce((F.col("end") - F.col("at")).cast("int"), F.length("text")))
     found = whole.select("uid", "id", F.col("i").cast("long").alias("piece"), own.alias("text"))
-    kind = docs.schema["id"].dataType.simpleString()
     read_on = joined.filter("broken").select("uid", "id", "i", "text", "head", "tail").groupBy("uid").applyInArrow(_resynchronised(pattern, chunk), f"uid long, id {kind}, piece long, text string")
     return found.union(read_on)
 

@@ -71,13 +71,22 @@ def encoder_with_added(path: str, pattern: str = PATTERN) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks(path), special_tokens=added(path))
 
 
+def cuts_behind(text: str, end: int) -> bool:
+    """Whether a text may be cut behind a match that ends there.
+
+    The pattern looks ahead only to see whether white space ends, so without what follows
+    a run of white space is matched otherwise (all of it, also its last character, which
+    goes with the next word); no other match changes, nor any before it.
+    """
+    return not text[end - 1].isspace()
+
+
 def ids_of(path: str, added_tokens: bool = False, pattern: str = PATTERN, safe: int = SAFE) -> Callable[[str], np.ndarray]:
     """A function from a text to its ids (uint32), for texts and pattern matches of any length.
 
-    Texts of up to safe characters go to tiktoken whole.  Longer ones are cut at the
-    matches of the pattern, into parts of at most safe characters; a match longer
-    than that is one piece and merged by itself.  A cut behind a match changes no
-    match before it: the pattern looks ahead only to see whether white space ends.
+    Texts of up to safe characters go to tiktoken whole.  Longer ones are cut behind
+    matches of the pattern that do not end in white space (see ``cuts_behind``), into parts
+    of at most safe characters.  Where none is in reach, the matches are merged one by one.
     """
     enc = encoder_with_added(path, pattern) if added_tokens else encoder(path, pattern)
     marks = added(path) if added_tokens else {}
@@ -85,15 +94,20 @@ def ids_of(path: str, added_tokens: bool = False, pattern: str = PATTERN, safe:
     match = regex.compile(pattern)
 
     def plain(text: str):
-        start = 0
+        start = cut = 0  # what is not encoded yet, and where it can be cut
+        behind: list[tuple[int, int]] = []  # the matches behind the cut
         for m in match.finditer(text):
+            if m.end() - start > safe and cut > start:
+                yield enc.encode_ordinary(text[start:cut])
+                start = cut
+            behind.append(m.span())
             if m.end() - start > safe:
-                if m.start() > start:
-                    yield enc.encode_ordinary(text[start : m.start()])
-                start = m.start()
-                if m.end() - start > safe:
-                    yield enc._encode_single_piece(m.group())
-                    start = m.end()
+                for a, b in behind:
+                    yield enc._encode_single_piece(text[a:b])
+                start = m.end()
+            if start == m.end() or cuts_behind(text, m.end()):
+                cut = m.end()
+                behind.clear()
         if start < len(text):
             yield enc.encode_ordinary(text[start:])
 
