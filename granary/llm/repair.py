@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, WORD, row_slices, table, written
+from .common import SPACE_CHARS, WORD, mark, release, row_slices, shared_dir, table, written
 
 SEGMENT_ROWS, SEGMENT_BYTES = 256, 4 << 20
 #: Characters of a text in the key that turns are dealt out by; it only tells turns of one number and role apart.
@@ -286,11 +286,13 @@ def repaired(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     plain = turns.select(F.col(id_col).alias("c"), F.col(turn_col).alias("t"), space(role_col).alias("role"), space(text_col).alias("text"))
     c, t = (plain.schema[x].dataType.simpleString() for x in "ct")
+    since, at = mark(), shared_dir(turns.sparkSession)
     marked = turns_of(plain)
     key = [F.col("c"), F.col("t").asc_nulls_first(), F.col("role"), F.substring("text", 1, KEY_CHARS)]
     ranged = marked.repartitionByRange(*key).sortWithinPartitions("c", F.col("t").asc_nulls_first(), "role", "text")
     ranged = ranged.select(F.spark_partition_id().alias("part"), "c", "t", "role", "text", "n", "blank", "again", "sym")
-    segments = written(ranged.mapInArrow(functools.partial(_segments, rows=rows, size=size), _SEGMENT.format(c=c, t=t)))
+    segments = written(ranged.mapInArrow(functools.partial(_segments, rows=rows, size=size), _SEGMENT.format(c=c, t=t)), at)
+    release(turns.sparkSession, since, keep=(at,))  # the turns are in the segments now
     solutions = written(segments.select("sig").distinct().mapInArrow(_solve_batches, "sig string, costs array<long>, ranks array<long>, edits array<string>"))
     costed = written(segments.select("c", "part", "k", "sig").join(solutions, "sig"))
     together = costed.select("c", "part", "k", "costs", "ranks").repartition("c").sortWithinPartitions("c", "part", "k")
