@@ -87,10 +87,11 @@ def _featured(batches, longest: int, buckets: int, keep: bool = True):
         names = batch.schema.names
         for a, b in row_slices(batch.column(names.index("text"))):
             part = batch.slice(a, b - a)
-            found = [None if t is None else features(t, longest, bucket) for t in part.column(names.index("text")).to_pylist()]
+            texts = part.column(names.index("text")).to_pylist()
+            found = [None if t is None else features(t, longest, bucket) for t in texts]
             columns = dict(zip(names, part.columns, strict=True))
             if keep:
-                columns["text"] = pa.compute.if_else(pa.compute.is_valid(columns["run"]), columns["text"], pa.scalar(None, columns["text"].type))
+                columns["text"] = pa.array([None if run is None else t for t, run in zip(texts, columns["run"].to_pylist(), strict=True)], columns["text"].type)
             else:
                 del columns["text"]
             columns["n_features"] = pa.array([None if x is None else len(x) for x in found], pa.int64())
