@@ -1,11 +1,10 @@
-"""Connected components: of small-diameter link tables, and of links that never leave a small block."""
+"""Tables written to the shared folder, and connected components of small-diameter link tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +33,11 @@ def removed(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, at: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (id, root): root is the smallest id that id reaches.
 
@@ -55,35 +59,3 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("id", "root")
         if step.filter("root <> old").isEmpty():
             return labels
-
-
-#: Links that one task joins at once.
-PART_LINKS = 250_000
-
-
-def _joined(links: pa.Table) -> pa.Table:
-    parent: dict = {}
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in zip(links.column("a").to_pylist(), links.column("b").to_pylist(), strict=True):
-        x, y = find(parent.setdefault(a, a)), find(parent.setdefault(b, b))
-        parent[max(x, y)] = min(x, y)
-    kind = links.schema.field("a").type
-    return pa.table({"id": pa.array(list(parent), kind), "root": pa.array([find(x) for x in parent], kind)})
-
-
-def components_within(links: DataFrame) -> DataFrame:
-    """links (block, a, b), never between blocks -> (id, root) in one pass without rounds.
-
-    Blocks are dealt out to parts of about PART_LINKS links, whose number grows with the
-    table; a block must be small enough for a task.
-    """
-    n = max(1, -(-links.count() // PART_LINKS))
-    kind = links.schema["a"].dataType.simpleString()
-    dealt = links.select(F.pmod(F.xxhash64("block"), F.lit(n)).alias("part"), "a", "b")
-    return dealt.groupBy("part").applyInArrow(_joined, f"id {kind}, root {kind}")

@@ -1,44 +1,71 @@
-"""Exact interpolated percentiles of groups of any size.
+"""Ranks and interpolated percentiles of groups of any size, by ranges of a sorted order.
 
 The built-in exact percentile keeps a map of all distinct values of a group in one
-aggregation buffer.  Here groups are cut into ranges by approximate quantiles (which
-only set the borders), ranges are counted and summed up, and just the ranges that
-hold a wanted rank are ranked; a group's values meet in no task.
+aggregation buffer, and a ranking window sorts a group in one task.  Here the distinct
+values of all groups, with their counts, are sorted by group and value in ranges that Spark
+samples: a large group takes as many ranges as it needs, small ones share one.  Counts are
+summed up by group and range, those before a range are added up over the ranges of its
+group (a row each), and only then ranks are taken inside ranges: all of them (``placed``),
+or just in the ranges that hold a wanted rank (``exact_percentiles``).  A range is a task's
+work, so more data means more ranges, not larger ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges a group: one that holds a wanted rank is ranked in one task.
-RANGES = 32
+from .graph import written
 
+_C, _R, _BEFORE, _ALL = "c__", "range__", "before__", "all__"
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], n: str = "n", ranges: int = RANGES) -> DataFrame:
+
+def _ranged(df: DataFrame, keys: list[str], value: str, ranges: int | None) -> tuple[DataFrame, DataFrame]:
+    """(the counts of non-null values with their range, the ranges of each group with what is before them and in the group)."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias(_C))
+    order = [*[F.col(k) for k in keys], F.col(value)]
+    dealt = counts.repartitionByRange(*([ranges] if ranges else []), *order).withColumn(_R, F.spark_partition_id())
+    dealt = written(dealt)
+    sums = dealt.groupBy(*keys, _R).agg(F.sum(_C).alias("s"))
+    group = Window.partitionBy(*keys)
+    return dealt, written(sums.select(*keys, _R, (F.sum("s").over(group.orderBy(_R)) - F.col("s")).alias(_BEFORE), F.sum("s").over(group).alias(_ALL), "s"))
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Equal keys, nulls too."""
+    out = left[_R] == right[_R]
+    for k in keys:
+        out = out & left[k].eqNullSafe(right[k])
+    return out
+
+
+def placed(df: DataFrame, keys: list[str], value: str, below: str, here: str, total: str, ranges: int | None = None) -> DataFrame:
+    """(keys, value, below, here, total) of each distinct non-null value: rows of its group under it, with it and in all; written, as it is there to be joined."""
+    dealt, sums = _ranged(df, keys, value, ranges)
+    rows = dealt.join(sums, _same(dealt, sums, keys)).select(*[dealt[k] for k in keys], dealt[value], dealt[_R], _C, _BEFORE, _ALL)
+    within = Window.partitionBy(*keys, _R).orderBy(value)
+    return written(rows.select(*keys, value, (F.col(_BEFORE) + F.sum(_C).over(within) - F.col(_C)).alias(below), F.col(_C).alias(here), F.col(_ALL).alias(total)))
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], n: str = "n", ranges: int | None = None) -> DataFrame:
     """(keys, n, one column a prob): like percentile_cont over the non-null values; groups without any are absent."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    steps = [i / ranges for i in range(1, ranges)]
-    borders = counts.groupBy(*keys).agg(F.percentile_approx("v", steps, 20 * ranges).alias("b"), F.sum("c").alias("total"))
-    ranged = counts.join(borders, keys).withColumn("r", F.size(F.filter("b", lambda x: x < F.col("v")))).drop("b")
-    sums = ranged.groupBy(*keys, "r").agg(F.sum("c").alias("c"), F.max("total").alias("total"))
-    upto = Window.partitionBy(*keys).orderBy("r")
-    sums = sums.select(*keys, "r", (F.sum("c").over(upto) - F.col("c")).alias("before"), F.sum("c").over(upto).alias("after"))
+    dealt, sums = _ranged(df, keys, value, ranges)
     ranks = {}
     for name, p in probs.items():
-        at = F.lit(p) * (F.col("total") - 1)
+        at = F.lit(p) * (F.col(_ALL) - 1)
         ranks[name] = (F.floor(at), F.ceil(at), at - F.floor(at))
-    inside = lambda k, a, b: (k >= F.col(a)) & (k < F.col(b))
-    wanted = None
+    inside = lambda k, a, b: (k >= a) & (k < b)
+    wanted = F.lit(False)
     for low, high, _ in ranks.values():
-        hit = inside(low, "before", "after") | inside(high, "before", "after")
-        wanted = hit if wanted is None else wanted | hit
-    within = Window.partitionBy(*keys, "r").orderBy("v")
-    rows = ranged.join(sums, [*keys, "r"]).filter(wanted)
-    rows = rows.withColumn("to", F.col("before") + F.sum("c").over(within)).withColumn("from", F.col("to") - F.col("c"))
-    parts = [F.max("total").alias(n)]
+        for k in (low, high):
+            wanted = wanted | inside(k, F.col(_BEFORE), F.col(_BEFORE) + F.col("s"))
+    hit = sums.filter(wanted)
+    rows = dealt.join(hit, _same(dealt, hit, keys)).select(*[dealt[k] for k in keys], dealt[value].alias("v__"), dealt[_R], _C, _BEFORE, _ALL)
+    upto = F.col(_BEFORE) + F.sum(_C).over(Window.partitionBy(*keys, _R).orderBy("v__"))
+    rows = rows.withColumn("to__", upto).withColumn("from__", F.col("to__") - F.col(_C))
+    parts = [F.max(_ALL).alias(n)]
     for name, (low, high, _) in ranks.items():
-        parts += [F.max(F.when(inside(low, "from", "to"), F.col("v"))).alias(f"__{name}_low"), F.max(F.when(inside(high, "from", "to"), F.col("v"))).alias(f"__{name}_high")]
-    found = rows.groupBy(*keys).agg(*parts).withColumn("total", F.col(n))
+        parts += [F.max(F.when(inside(k, F.col("from__"), F.col("to__")), F.col("v__"))).alias(f"__{name}_{side}") for k, side in ((low, "low"), (high, "high"))]
+    found = rows.groupBy(*keys).agg(*parts).withColumn(_ALL, F.col(n))
     shares = {name: F.col(f"__{name}_low") + (F.col(f"__{name}_high") - F.col(f"__{name}_low")) * part for name, (_, _, part) in ranks.items()}
     return found.select(*keys, n, *[c.alias(name) for name, c in shares.items()])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.operators.graph import components_within, written
+from granary.operators.graph import written
+from granary.operators.tiles import TILE_ROWS, joined_rows, linked_rows
 from granary.registry import query, using
 from granary.sources.tables import LEDGER, ledger
 
@@ -89,33 +92,45 @@ def dedup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.concat_ws("|", "origem", "destino", "tipo", F.col("percentual").cast("bigint"), week).alias("dedup_key")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-_PAIR_COLUMNS = ["id", "percentual", "first_seen", "observed_at", "fonte", "publico", "severity", "event_date"]
+#: Rows that are compared with one another: one route and kind.
+BLOCK = ["origem", "destino", "tipo"]
+_PAIR_COLUMNS = ["percentual", "first_seen", "observed_at", "fonte", "publico", "severity", "event_date"]
 
 
-def pairs(rows: DataFrame, *more: Column) -> DataFrame:
-    """(a, b, score) of two different rows of one block, and more columns of the block.
+def pair_scores(a: pa.Table, b: pa.Table) -> np.ndarray:
+    """The score 0 to 10 of each row of a with each of b; what is missing on a side gives no points.
 
-    A block is a product on a route: it does not grow with the corpus, as rows a
-    product stay about the same.  Rows equal in id are one row.
+    Percentages equal 2, at most five points apart 1; provenance at most 15 days apart 2;
+    audience equal 1, source too 1; one date critical and the other not 3; event dates over
+    300 days apart 1.
     """
-    t = temporal(rows).dropDuplicates(["id"]).select("produto", "origem", "destino", *_PAIR_COLUMNS)
-    a = t.select("produto", "origem", "destino", *[F.col(c).alias(f"a_{c}") for c in _PAIR_COLUMNS])
-    b = t.select("produto", "origem", "destino", *[F.col(c).alias(f"b_{c}") for c in _PAIR_COLUMNS])
-    both = a.join(b, ["produto", "origem", "destino"]).filter("a_id < b_id")
-    gap = F.abs(F.col("a_percentual") - F.col("b_percentual"))
-    near = F.least(*[F.abs(F.datediff(f"a_{x}", f"b_{y}")) for x in ("first_seen", "observed_at") for y in ("first_seen", "observed_at")])
-    points = [
-        F.when(gap == 0, 2).when(gap <= 5, 1).otherwise(0),
-        F.when(near <= NEAR_PROVENANCE, 2).otherwise(0),
-        (F.col("a_publico") == F.col("b_publico")).cast("int"),
-        ((F.col("a_publico") == F.col("b_publico")) & (F.col("a_fonte") == F.col("b_fonte"))).cast("int"),
-        F.when((F.col("a_severity") == "critical") != (F.col("b_severity") == "critical"), 3).otherwise(0),
-        F.coalesce((F.abs(F.datediff("a_event_date", "b_event_date")) > YEAR_MISMATCH).cast("int"), F.lit(0)),
-    ]
-    score = points[0]
-    for p in points[1:]:
-        score = score + p
-    return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), score.cast("bigint").alias("score"), *more)
+
+    def both(name: str, kind=float) -> tuple[np.ndarray, np.ndarray]:
+        x, y = (t.column(name) for t in (a, b))
+        if kind is str:  # numbers for texts, others on both sides for null
+            known = {v: i for i, v in enumerate(dict.fromkeys([*x.to_pylist(), *y.to_pylist()])) if v is not None}
+            return tuple(np.array([known.get(v, none) for v in c.to_pylist()], np.int64) for c, none in ((x, -1), (y, -2)))
+        days = [c.cast(pa.int32()) if pa.types.is_date(c.type) else c for c in (x, y)]
+        return tuple(c.cast(pa.float64()).to_numpy(zero_copy_only=False) if len(c) else np.zeros(0) for c in days)
+
+    apart = lambda x, y: np.abs(x[:, None] - y[None, :])  # noqa: E731  not a number beside a null: no comparison holds
+    equal = lambda x, y: x[:, None] == y[None, :]
+    gap = apart(*both("percentual"))
+    score = np.where(gap == 0, 2, (gap <= 5).astype(np.int8)).astype(np.int8)
+    (af, bf), (ao, bo) = both("first_seen"), both("observed_at")
+    score += 2 * np.logical_or.reduce([apart(x, y) <= NEAR_PROVENANCE for x in (af, ao) for y in (bf, bo)]).astype(np.int8)
+    audience = equal(*both("publico", str))
+    score += audience
+    score += audience & equal(*both("fonte", str))
+    severe = [np.array([v == "critical" for v in t.column("severity").to_pylist()], bool) for t in (a, b)]
+    score += 3 * (severe[0][:, None] != severe[1][None, :]).astype(np.int8)
+    return score + (apart(*both("event_date")) > YEAR_MISMATCH).astype(np.int8)
+
+
+def compared(rows: DataFrame, size: int = TILE_ROWS) -> DataFrame:
+    """(id, root, links, strong, best) of rows with a possible duplicate in their block, whatever its size; rows equal in id are one row."""
+    one = temporal(rows).dropDuplicates(["id"]).select("id", *BLOCK, *_PAIR_COLUMNS)
+    return joined_rows(linked_rows(one, BLOCK, pair_scores, POSSIBLE, PROBABLE, size))
 
 
 PAIRS = {
@@ -126,37 +141,38 @@ PAIRS = {
        + CASE WHEN a.publico = b.publico THEN 1 ELSE 0 END + CASE WHEN a.publico = b.publico AND a.fonte = b.fonte THEN 1 ELSE 0 END
        + CASE WHEN (a.severity = 'critical') <> (b.severity = 'critical') THEN 3 ELSE 0 END
        + CASE WHEN abs(a.event_date - b.event_date) > {YEAR_MISMATCH} THEN 1 ELSE 0 END)::BIGINT AS score
-       FROM one a JOIN one b ON a.produto = b.produto AND a.origem = b.origem AND a.destino = b.destino AND a.id < b.id""",
+       FROM one a JOIN one b ON a.origem = b.origem AND a.destino = b.destino AND a.tipo = b.tipo AND a.id < b.id""",
 }
 
 
-@query("q_pair_score", using(PAIRS, "SELECT a, b, score FROM pairs"))
+@query("q_pair_score", using(PAIRS, f"""
+SELECT id, count(*) AS links, count(*) FILTER (WHERE score >= {PROBABLE}) AS probable, max(score) AS best
+FROM (SELECT a AS id, score FROM pairs UNION ALL SELECT b, score FROM pairs) WHERE score >= {POSSIBLE} GROUP BY id"""))
 def pair_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(ledger(spark, sf_dir))
+    """Possible and probable duplicates of each row, and the best score, over all pairs of a route and kind."""
+    return compared(ledger(spark, sf_dir)).select("id", "links", F.col("strong").alias("probable"), "best")
 
 
-@query("q_pair_block_join", using(PAIRS, "SELECT produto, a.origem, a.destino, count(*) AS pairs FROM pairs JOIN one a ON pairs.a = a.id GROUP BY ALL"))
+@query("q_pair_block_join", using(PAIRS, "SELECT a.origem, a.destino, a.tipo, count(*) AS pairs FROM pairs JOIN one a ON pairs.a = a.id GROUP BY ALL"))
 def pair_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs in each block, from the block sizes alone."""
     n = F.count_distinct("id")
-    return ledger(spark, sf_dir).groupBy("produto", "origem", "destino").agg((n * (n - 1) / 2).cast("bigint").alias("pairs")).filter("pairs > 0")
+    return ledger(spark, sf_dir).groupBy(*BLOCK).agg((n * (n - 1) / 2).cast("bigint").alias("pairs")).filter("pairs > 0")
 
 
-def clusters(rows: DataFrame) -> DataFrame:
-    """(id, root, n, score, status) of rows in clusters of two or more; a cluster lies in one block, so it is found there without rounds."""
-    block = F.xxhash64("produto", "origem", "destino").alias("block")
-    edges = written(pairs(rows, block).filter(F.col("score") >= POSSIBLE))
-    roots = written(components_within(edges.select("block", "a", "b")))
-    best = edges.join(roots.withColumnRenamed("id", "a"), "a").groupBy("root").agg(F.max("score").alias("score"))
-    size = roots.groupBy("root").agg(F.count("*").alias("n"))
+def clusters(rows: DataFrame, size: int = TILE_ROWS) -> DataFrame:
+    """(id, root, n, score, status) of rows in clusters of two or more; score is the best of a cluster's pairs."""
+    found = written(compared(rows, size))
+    each = found.groupBy("root").agg(F.count("*").alias("n"), F.max("best").alias("score"))
     status = F.when(F.col("score") >= PROBABLE, "probable_duplicate").otherwise("possible_duplicate")
-    return roots.join(size, "root").join(best, "root").select("id", "root", "n", "score", status.alias("status"))
+    return found.select("id", "root").join(written(each), "root").select("id", "root", "n", "score", status.alias("status"))
 
 
 CLUSTERS = {
     **PAIRS,
     "edges": f"SELECT * FROM pairs WHERE score >= {POSSIBLE}",
-    "reach": "SELECT a AS id, b AS r FROM edges UNION SELECT b, a FROM edges UNION SELECT reach.id, CASE WHEN e.a = reach.r THEN e.b ELSE e.a END FROM reach JOIN edges e ON e.a = reach.r OR e.b = reach.r",
+    "sides": "SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges",
+    "reach": "SELECT a AS id, b AS r FROM sides UNION SELECT reach.id, e.b FROM reach JOIN sides e ON e.a = reach.r",
     "roots": "SELECT id, least(id, min(r)) AS root FROM reach GROUP BY id",
     "clusters": f"""SELECT id, root, count(*) OVER (PARTITION BY root) AS n, score, CASE WHEN score >= {PROBABLE} THEN 'probable_duplicate' ELSE 'possible_duplicate' END AS status
        FROM roots JOIN (SELECT root, max(score) AS score FROM edges JOIN roots ON edges.a = roots.id GROUP BY root) USING (root)""",

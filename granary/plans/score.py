@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.operators.graph import written
+from granary.operators.quantiles import placed
 from granary.registry import query, using
 from granary.sources.tables import LEDGER, half_up, ledger, round_to, table
 
@@ -16,21 +17,21 @@ RARITY = ((2, 0.85), (5, 0.65), (20, 0.45), (50, 0.25))
 RARITY_COMMON = 0.10
 REACH = {"BUILDING": 1.0, "AUTOMOBILE": 0.7, "MACHINERY": 0.5, "HOUSEHOLD": 0.3}
 BANDS = ((85, "Vale agir"), (70, "Vale olhar"), (55, "Só para casos específicos"), (40, "Esperaria"))
-#: Ranges of values for a rank over all rows.
-RANGES = 32
 LOWEST, UNCONFIRMED = "Evitaria", "Não confirmado"
 
 
 def midrank(rows: DataFrame, keys: list[str], value: str, out: str, n: str) -> DataFrame:
     """Adds the mid-rank (below + half of the ties) / n of value within keys.
 
-    Ranks are summed over distinct values, so a group's rows are pre-aggregated and
-    never sorted in one task; only its distinct values are.
+    Ranks are those of distinct values, taken by ranges (placed), so a group's rows are
+    pre-aggregated and neither they nor its values meet in one task.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    up = Window.partitionBy(*keys).orderBy(value)
-    ranked = counts.select(*keys, value, ((F.sum("c").over(up) - F.col("c") * 0.5) / F.sum("c").over(Window.partitionBy(*keys))).alias(out), F.sum("c").over(Window.partitionBy(*keys)).alias(n))
-    return rows.join(ranked, [*keys, value], "left")
+    at = placed(rows, keys, value, "below__", "here__", n)
+    same = rows[value] == at[value]
+    for k in keys:
+        same = same & rows[k].eqNullSafe(at[k])
+    rank = (F.col("below__") + F.col("here__") * 0.5) / at[n]
+    return rows.join(at, same, "left").select(*[rows[c] for c in rows.columns], rank.alias(out), at[n])
 
 
 @query("q_ecdf_midrank", using({"ledger": LEDGER}, """
@@ -48,19 +49,9 @@ def cost(rows: DataFrame) -> DataFrame:
 
 
 def inverse_ecdf(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """Adds 1 - mid-rank of value over all rows.
-
-    There is no key, so prefix sums go over ranges of values first (borders by an
-    approximate quantile, which only balances the ranges) and then within ranges:
-    no task sorts the whole table.
-    """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    borders = counts.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 20 * RANGES).alias("b"), F.sum("c").alias("total"))
-    ranged = counts.join(F.broadcast(borders)).withColumn("r", F.size(F.filter("b", lambda x: x < F.col(value)))).drop("b")
-    sums = ranged.groupBy("r").agg(F.sum("c").alias("s"))
-    sums = sums.select("r", (F.sum("s").over(Window.orderBy("r")) - F.col("s")).alias("before"))  # RANGES rows
-    within = F.sum("c").over(Window.partitionBy("r").orderBy(value)) - F.col("c") * 0.5
-    ranked = ranged.join(F.broadcast(sums), "r").select(value, (1 - (F.col("before") + within) / F.col("total")).alias(out))
+    """Adds 1 - mid-rank of value over all rows, by ranges of values: no task sorts the whole table."""
+    at = placed(rows, [], value, "below__", "here__", "all__")
+    ranked = at.select(value, (1 - (F.col("below__") + F.col("here__") * 0.5) / F.col("all__")).alias(out))
     return rows.join(ranked, value, "left")
 
 
@@ -95,19 +86,16 @@ def components(rows: DataFrame) -> DataFrame:
     """Adds percentil (and base_n), eficiencia, raridade and abrangencia; the history of a row is its route and product kind."""
     keys = ["origem", "destino", "tipo"]
     rows = written(cost(rows))  # three statistics are taken of the same rows
-    # one table a route, kind and percentage: the null percentages count in the route, not in the rank
-    counts = rows.groupBy(*keys, "percentual").agg(F.count("*").alias("c"))
-    there = F.when(F.col("percentual").isNotNull(), F.col("c")).otherwise(0)
-    route = Window.partitionBy(*keys)
-    n = F.sum(there).over(route)
-    rank = (F.sum(there).over(route.orderBy("percentual")) - there * 0.5) / n
-    stats = counts.select(*keys, F.col("percentual").alias("pct"), F.when(F.col("percentual").isNotNull(), rank).alias("percentil"), F.when(F.col("percentual").isNotNull(), n).alias("base_n"), F.sum("c").over(route).alias("route_n"))
+    # null percentages count in the route, not in the rank
+    ranks = placed(rows, keys, "percentual", "below__", "here__", "base_n").select(
+        *[F.col(k).alias(f"s_{k}") for k in keys], F.col("percentual").alias("pct"), ((F.col("below__") + F.col("here__") * 0.5) / F.col("base_n")).alias("percentil"), "base_n"
+    )
+    routes = written(rows.groupBy(*keys).agg(F.count("*").alias("route_n")))
     rows = inverse_ecdf(rows, "cpm", "eficiencia")
-    same = F.col("percentual").eqNullSafe(F.col("pct"))
+    same = F.col("percentual") == F.col("pct")
     for k in keys:
-        stats = stats.withColumnRenamed(k, f"s_{k}")
         same = same & (F.col(k) == F.col(f"s_{k}"))
-    rows = rows.join(stats, same).drop("pct", *[f"s_{k}" for k in keys])
+    rows = rows.join(ranks, same, "left").drop("pct", *[f"s_{k}" for k in keys]).join(routes, keys)
     return rows.withColumn("raridade", rarity(F.col("route_n"))).withColumn("abrangencia", reach(F.col("publico")))
 
 

@@ -1,12 +1,9 @@
-"""Structured Streaming jobs: a drain in micro-batches, daily counts, and a live rate limit."""
+"""Structured Streaming jobs: a drain in micro-batches, upserts and daily counts."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def drain(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, transform=lambda df: df, files_per_batch: int = 24) -> None:
@@ -27,7 +24,7 @@ def upsert_stream(stream: DataFrame, keys: list[str], newest: list[str], path: s
     and against the table.  A batch that was broken off and runs again changes nothing
     that it has done already.
     """
-    from granary.operators.graph import removed, shared_dir, written
+    from granary.operators.graph import exists, removed, shared_dir, written
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -36,10 +33,8 @@ def upsert_stream(stream: DataFrame, keys: list[str], newest: list[str], path: s
         incoming = written(rows, at)
         touched = [r["bucket"] for r in incoming.select("bucket").distinct().collect()]  # at most buckets numbers
         if touched:
-            try:
-                current = spark.read.schema(incoming.schema).parquet(path).filter(F.col("bucket").isin(touched))
-            except AnalysisException:  # the first batch
-                current = incoming.limit(0)
+            # only where there is no table yet is this the first batch; one that cannot be read is an error
+            current = spark.read.schema(incoming.schema).parquet(path).filter(F.col("bucket").isin(touched)) if exists(spark, path) else incoming.limit(0)
             columns = [c for c in incoming.columns if c not in keys]
             best = F.max_by(F.struct(*columns), F.struct(*newest)).alias("x")
             merged, staging = current.unionByName(incoming).groupBy(*keys).agg(best).select(*keys, "x.*"), shared_dir(spark)
@@ -55,23 +50,3 @@ def daily_counts(stream: DataFrame, ts: str = "ts", kind: str = "event_type", la
     """Tumbling days a kind; rows later than the watermark are let go."""
     day = F.window(F.col("at"), "1 day")
     return stream.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late).groupBy(day.alias("w"), F.col(kind)).agg(F.count("*").alias("n")).select(F.col("w.start").cast("date").alias("day"), kind, "n")
-
-
-def limited_stream(stream: DataFrame, seconds: int = 60, most: int = 5) -> DataFrame:
-    """(user_id, ts_s, allowed) of a stream with user_id and ts_s (seconds): windows open at the first hit after the last one closed.
-
-    State is two numbers a user; it has no timeout, as a processing-time timeout never lets a run over what is there end.
-    """
-
-    def step(key, batches, state: GroupState):
-        start, n = state.get if state.exists else (None, 0)
-        out = []
-        for s in sorted(x for b in batches for x in b["ts_s"].tolist()):
-            if start is None or s >= start + seconds:
-                start, n = s, 0
-            n += 1
-            out.append((key[0], s, n <= most))
-        state.update((start, n))
-        yield pd.DataFrame(out, columns=["user_id", "ts_s", "allowed"])
-
-    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, ts_s long, allowed boolean", "start long, n long", "append", GroupStateTimeout.NoTimeout)
