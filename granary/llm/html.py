@@ -1,12 +1,14 @@
 """Operator 7: main text of web pages, with a host suffix array for boilerplate.
 
-Each page is read once.  Markup, scripts, styles, forms and the elements that
-name themselves as menus, headers, footers, sidebars, notices, adverts or reader
-comments go, unless they hold an article or main element or most of the page's
-text, as wrappers of a page do; nav, footer, aside and the like go whatever their
-length, and like reader comments also with an article in them where the page has
-one elsewhere.  A header inside an article stays: it holds the article's title.  The
-blocks of an article or main element are the page's text.
+Each page is read once.  Markup, scripts, styles, forms and the elements that say by tag,
+class, id or role that they are menus, headers, footers, sidebars, notices, adverts or
+reader comments go, inside an article too, however long they are; so do articles that say
+it (cards, teasers, comments).  A header inside an article stays: it holds the article's
+title.  Three exceptions, none of them for comments: where all main elements of a page lie
+in such elements, those around the longest stay; a form with most of the text of a page
+without main element stays; and where nothing else is left, names count for nothing that
+wrappers of whole pages bear too.  The blocks of an article or main element are the page's
+text.
 
 Tags are read as browsers read them: a quote inside an unquoted value or a name is
 part of it, and an element that is never closed ends with the element around it.
@@ -32,7 +34,6 @@ task.  Other columns are not passed through, so their names cannot clash.
 
 from __future__ import annotations
 
-import bisect
 import functools
 import html as entities
 import re
@@ -63,12 +64,23 @@ _VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "b
 BLOCKS = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Classes, ids or roles that say the same of an element; a part of one, as in has-sidebar, says nothing.
+#: Classes, ids or roles that say the same of an element.
 _DROPPED_WORDS = set(
-    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent notice gdpr newsletter subscribe subscription share sharing social related recommended comment comments disqus popup modal overlay pagination pager toolbar login signup contentinfo complementary "
-    "site-header page-header site-footer page-footer main-nav site-nav main-menu nav-menu nav-bar side-bar ad-slot ad-banner ad-container cookie-banner cookie-notice cookie-consent social-share share-buttons related-posts related-articles comment-list comment-body comments-area".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent notice gdpr newsletter subscribe subscription share sharing social related recommended popup modal overlay pagination pager toolbar login signup contentinfo complementary "
+    "site-header page-header site-footer page-footer main-nav site-nav main-menu nav-menu nav-bar side-bar".split()
 )
-_COMMENTS = {"comment", "comments", "disqus", "comment-list", "comment-body", "comments-area"}
+_COMMENTS = {"comment", "comments", "disqus"}
+#: Of compounds such as left-sidebar or user-comments the last part says what an element is ...
+_LAST = set("comment comments sidebar ad ads advert adverts advertisement menu nav navbar breadcrumb breadcrumbs newsletter popup".split())
+#: ... or the first one, where the last is a mere container, as in ad-box or cookie-bar ...
+_FIRST = set("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus gdpr login menu nav newsletter pagination popup promo recommended related share sharing sidebar signup social sponsor sponsored subscribe".split())
+_CONTAINERS = set(
+    "area articles banner bar block body box button buttons card cards container content form frame holder icons inner item items label left link links list message modal news notice outer panel placeholder popup posts right section slot space stories thread top bottom unit widget wrap wrapper zone".split()
+)
+#: ... unless the compound tells a state of a wrapper, as in has-sidebar or with-header.
+_STATES = {"has", "have", "with", "without", "no", "not", "is", "hide", "show", "open", "close", "closed"}
+#: Names that wrappers of a whole page bear too: these are excepted where nothing else is left.
+_AMBIGUOUS = set("header masthead banner share sharing social related overlay modal contentinfo complementary site-header page-header".split())
 _MAIN_WORDS = {"articlebody", "main"}
 _SHORT = set("p h1 h2 h3 h4 h5 h6 span a b i em strong li td".split())
 #: An unclosed one of these ends where a block begins.
@@ -87,25 +99,41 @@ def _words(attributes: str) -> tuple[set[str], set[str]]:
     return names, roles
 
 
-def _is_dropped(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
-    if not attributes or tag in ("html", "body"):
-        return False
-    names, roles = _words(attributes)
-    if tag in ("article", "main"):
-        return bool(names & _COMMENTS)
-    if tag in _SHORT:
-        return bool(names & (_DROPPED_WORDS - {"header", "menu", "banner", "notice", "related"}))
-    return bool((names | roles) & _DROPPED_WORDS)
+#: What an element says of itself: nothing, dropped, dropped by an ambiguous name only, comments.
+NOTHING, DROP, UNSURE, COMMENTS = range(4)
+
+
+def _meaning(word: str) -> int:
+    first, _, rest = word.partition("-")
+    if word in _COMMENTS:
+        return COMMENTS
+    if word in _DROPPED_WORDS:
+        return UNSURE if word in _AMBIGUOUS else DROP
+    last = rest.rpartition("-")[2]
+    if rest and first not in _STATES and (last in _LAST or first in _FIRST and last in _CONTAINERS):
+        return COMMENTS if last in _COMMENTS or first in _COMMENTS else DROP
+    return NOTHING
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def said(tag: str, attributes: str) -> int:
+    """What tag and attributes say of an element."""
+    kinds = {DROP} if tag in DROPPED else set()
+    if attributes and tag not in ("html", "body"):
+        names, roles = _words(attributes)
+        if tag in _SHORT:
+            names, roles = names - {"header", "menu", "banner", "notice", "related"}, set()
+        kinds |= {_meaning(w) for w in names | roles}
+    return next((k for k in (COMMENTS, DROP, UNSURE) if k in kinds), NOTHING)
 
 
+@functools.lru_cache(maxsize=1 << 14)
 def _is_main(tag: str, attributes: str) -> bool:
     return tag in ("article", "main") or ("role" in attributes or "itemprop" in attributes) and bool(_words(attributes)[1] & _MAIN_WORDS)
 
 
 class Page:
-    """The tags of a page, and for each one that opens an element where that ends, what text it holds and which main elements."""
+    """The tags of a page: where the element ends that each one opens, what it says of itself, and which of them stay for what they hold."""
 
     def __init__(self, html: str):
         self.html = html
@@ -120,22 +148,21 @@ class Page:
                 name = ""
             self.tags.append((m.start(), at, name, closing, attributes))
         self.ends = [0] * len(self.tags)
-        self.mains: list[int] = []
-        self.sums = []  # characters of text before each tag
+        self.said = [NOTHING] * len(self.tags)
+        self.free: list[int] = []  # main elements in no element that is dropped
+        self.marked: list[int] = []  # those that are, but not among comments
+        self.forms: list[int] = []
         self._read()
+        self.stays = self._stays()
 
     def _read(self) -> None:
-        stack: list[tuple[str, int]] = []
-        total = at = 0
+        stack: list[tuple[str, int, int]] = []  # name, tag, what it and the elements around it say
 
         def close(k: int, i: int) -> None:
             while len(stack) > k:
                 self.ends[stack.pop()[1]] = i
 
-        for i, (start, end, name, closing, attributes) in enumerate(self.tags):
-            total += len("".join(self.html[at:start].split()))
-            self.sums.append(total)
-            at = end
+        for i, (_, _, name, closing, attributes) in enumerate(self.tags):
             if not name:
                 continue
             if closing:
@@ -149,25 +176,49 @@ class Page:
             if name in _VOID or attributes.endswith("/"):
                 self.ends[i] = i
                 continue
-            stack.append((name, i))
-            if _is_main(name, attributes) and not _is_dropped(name, attributes):
-                self.mains.append(i)
+            self.said[i] = own = said(name, attributes)
+            around = max(stack[-1][2] if stack else NOTHING, own)
+            stack.append((name, i, around))
+            if name == "form":
+                self.forms.append(i)
+            if _is_main(name, attributes) and around != COMMENTS:
+                (self.marked if around else self.free).append(i)
         close(0, len(self.tags))
-        self.sums.append(total + len("".join(self.html[at:].split())))
 
-    def keeps(self, i: int) -> bool:
-        """Whether the element that tag i opens, and that would be dropped, stays for what it holds."""
-        _, _, name, _, attributes = self.tags[i]
-        held = bisect.bisect_left(self.mains, self.ends[i]) - bisect.bisect_right(self.mains, i)
-        if held:
-            return held == len(self.mains) or name not in DROPPED - {"form"} and not _words(attributes)[0] & _COMMENTS
-        text = self.sums[self.ends[i]] - self.sums[i]
-        return 2 * text > self.sums[-1] and name not in _SHORT and name not in DROPPED - {"form"}
+    def _size(self, i: int, j: int) -> int:
+        """Characters of text, without white space, from tag i to tag j."""
+        ends = [t[0] for t in self.tags[i + 1 : j + 1]] + [len(self.html)] * (j >= len(self.tags))
+        return sum(len("".join(self.html[t[1] : end].split())) for t, end in zip(self.tags[i:j], ends, strict=False))
+
+    def _stays(self) -> set[int]:
+        """Elements that would be dropped but hold the page's only main text.
+
+        A page with a main element outside of all of them has none.  Where all main
+        elements lie in some, those around the longest one stay.  Where there is no main
+        element at all, a form stays that has most of the page's text, as forms are put
+        around whole pages.
+        """
+        if self.free:
+            return set()
+        if self.marked:
+            best = max(self.marked, key=lambda i: (self._size(i, self.ends[i]), -i))
+            return {i for i, k in enumerate(self.said[: best + 1]) if k and self.ends[i] >= self.ends[best]}
+        whole = self._size(0, len(self.tags)) if self.forms else 0
+        return {i for i in self.forms if 2 * self._size(i, self.ends[i]) > whole and self.said[i] != COMMENTS}
 
 
 def blocks(html: str) -> tuple[list[str], list[bool]]:
-    """The text blocks of a page in order, and whether each lies in an article or main element."""
+    """The text blocks of a page in order, and whether each lies in an article or main element.
+
+    If nothing is left, elements stay that are dropped for an ambiguous name alone.
+    """
     page = Page(html)
+    out, inside = _blocks(page, (DROP, UNSURE, COMMENTS))
+    return (out, inside) if out or UNSURE not in page.said else _blocks(page, (DROP, COMMENTS))
+
+
+def _blocks(page: Page, drops: tuple[int, ...]) -> tuple[list[str], list[bool]]:
+    html = page.html
     out, inside, parts = [], [], []
     main: list[int] = []  # where the open main elements end
 
@@ -191,9 +242,7 @@ def blocks(html: str) -> tuple[list[str], list[bool]]:
         if name in BLOCKS:
             flush()
         if name and not closing and page.ends[i] > i:
-            dropped = name in HIDDEN
-            if not dropped and _is_dropped(name, attributes) and not (name == "header" and main):
-                dropped = name in ("article", "main") or not page.keeps(i)
+            dropped = name in HIDDEN or page.said[i] in drops and i not in page.stays and not (name == "header" and main and said("div", attributes) == NOTHING)
             if dropped:
                 if name not in HIDDEN:
                     flush()

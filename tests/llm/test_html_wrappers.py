@@ -19,3 +19,43 @@ def test_teaser_and_wrappers(spark):
     got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"{i} n{i}a n{i}b n{i}c {i * 7}\nTeaser {i}" for i in range(4))
     assert [got[10 + i] for i in range(3)] == teaser and got[13] == STORY and got[14] == "whole story"
+
+
+def text(page):
+    return "\n".join(html.blocks(page)[0])
+
+
+MANY = "".join(f"<p>Reader {i} has something long to say about the matter at hand, again and again {i}</p>" for i in range(30))
+
+
+def test_longer_than_the_article():
+    """What is dropped is dropped however long it is, inside and outside an article."""
+    article = f"<article><h1>Short</h1><p>{STORY}</p></article>"
+    for head, tail in [
+        ('<div class="comments">', "</div>"), ('<div class="sidebar">', "</div>"), ('<div id="cookie-banner">', "</div>"), ("<form>", "</form>"), ('<ul class="menu">', "</ul>"),
+        ('<div class="user-comments">', "</div>"), ('<section id="comments_list">', "</section>"), ('<div class="ad-box">', "</div>"), ('<div class="left-sidebar">', "</div>"), ('<aside>', "</aside>"),
+        ('<div class="newsletter-signup newsletter-box">', "</div>"), ('<div role="navigation">', "</div>"),
+    ]:
+        assert text(f"<body>{article}{head}{MANY}{tail}</body>") == f"Short\n{STORY}", head
+        assert text(f"<body>{head}{MANY}{tail}{article}</body>") == f"Short\n{STORY}", head
+    inner = f'<article><p>{STORY}</p><section class="comments">{MANY}</section><div class="share-buttons">{MANY}</div><p>end</p></article>'
+    assert text(inner) == f"{STORY}\nend"
+    assert text(f'<div class="story"><p>{STORY}</p></div><div class="comments">{MANY}</div><div class="sidebar">{MANY}</div>') == STORY
+
+
+def test_cards():
+    article = f"<article><p>{STORY}</p></article>"
+    assert text(f'{article}<div class="related"><article>Other story teaser</article></div>') == STORY
+    assert text(f'{article}<div class="sidebar"><article class="ad">Buy now cheap</article></div>') == STORY
+    assert text(f'<article class="promo">Buy now</article>{article}<article class="comment">Nice {MANY}</article>') == STORY
+    # wrappers of pages stay, whatever they are called
+    assert text(f'<div class="sidebar-layout has-sidebar with-header"><nav>n</nav>{article}<div class="ad">x</div></div>') == STORY
+    assert text(f'<div class="header"><div class="sidebar">{article}</div></div><div class="related"><article>teaser</article></div>') == STORY
+    assert text(f'<form id="aspnetForm"><nav>n</nav><div id="story">{STORY}</div></form>') == STORY
+    assert text(f'<article class="sidebar">{STORY}</article><p class="ad">x</p>') == STORY
+    assert text('<div class="ad">only adverts</div>') == "" and text(f'<div class="comments">{MANY}</div>') == ""
+
+
+def test_state_names():
+    for name in ("has-sidebar", "with-header", "no-comments", "is-menu", "advance", "shadow", "commentary", "leaderboard", "socialism", "header-image-text"):
+        assert text(f'<div class="{name}">{STORY}</div>') == STORY
