@@ -4,8 +4,9 @@ A window is ``WINDOW`` consecutive words of one document.  Every word covered by
 a window whose word sequence starts anywhere else too, in the same document or
 another, is removed; all copies go, and windows are judged on the input.
 
-Documents are dealt once into blocks of a few MB of text; each step below is one
-call a block or a shard, so nothing gathers the copies of a passage in one task.
+Documents are dealt once, by row number, into blocks of a few MB of text and written, so
+that repeated rows, however many, spread over all blocks; each step below is one call a
+block or a shard, so nothing gathers the copies of a passage in one task.
 
 1. *Sketch.*  A window is counted under its anchor: of the 18 runs of 18 words in
    it, the leftmost with the smallest hash.  Equal windows have equal anchors at
@@ -48,6 +49,7 @@ from .common import (
     within_documents,
     word_hashes,
     word_spans,
+    written,
 )
 
 WINDOW = 35
@@ -270,11 +272,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inner = {c: f"keep_{i}" for i, c in enumerate(keep)}
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     dealt = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col), text), F.lit(plan.blocks)).cast("long").alias("block"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(plan.blocks)).cast("long").alias("block"),
         F.col(id_col).alias("id"),
         text.alias("text"),
         *[F.col(c).alias(n) for c, n in inner.items()],
     )
+    dealt = written(dealt)  # rows are dealt by their number, so every step must find the same ones in a block
     sketch = dealt.groupBy("block").applyInArrow(_grouped(_sketch, plan), "shard long, block long, first long, cells binary, marks binary")
     merged = sketch.groupBy("shard").applyInArrow(_grouped(_merge, plan), _REPLY)
     windows = dealt.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(_cogrouped(_windows, plan), "shard long, block long, hashes binary, marks binary")

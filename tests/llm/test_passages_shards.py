@@ -53,3 +53,15 @@ def test_spacing_of_the_source(spark):
         want.append((str(i), "".join(c for p, c in enumerate(text) if p not in drop)))
     found = passages.without_repeats(df, spacing="source", block_bytes=(4_000, 4_000), shard_anchors=(64, 64))
     assert sorted((str(r["doc_id"]), r["text"]) for r in found.collect()) == sorted(want)
+
+
+def test_repeated_rows_spread_over_blocks(spark, monkeypatch):
+    """A third of all rows is one row: no block is much over the median."""
+    data = [(i, f"text {i} " * 20, 9, "l") for i in range(4_000)] + [(1, "the same row again " * 9, 9, "l")] * 2_000
+    seen = []
+    keep = passages.written
+    monkeypatch.setattr(passages, "written", lambda df: seen.append(keep(df)) or seen[-1])
+    df = spark.createDataFrame(data, "doc_id long, text string, N_Words int, lang string")
+    passages.without_repeats(df, block_bytes=(20_000, 20_000)).count()
+    sizes = sorted(r["count"] for r in seen[0].groupBy("block").count().collect())
+    assert len(sizes) > 20 and sizes[-1] < 2 * sizes[len(sizes) // 2]
