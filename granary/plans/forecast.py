@@ -8,6 +8,13 @@ has at most as many days as the calendar, so its arrays stay small at any corpus
 
 from __future__ import annotations
 
+import bisect
+import functools
+import math
+import statistics
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -258,27 +265,78 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "scope", "route")
 
 
+class Walk:
+    """What a series' prefixes say, carried from one event to the next.
+
+    Gaps stay sorted, so their quantiles are read off at any time.  The weights of values
+    decay by one factor an event, whatever value it has, so all are multiplied at once.
+    """
+
+    def __init__(self, half_life: float):
+        self.decay, self.gaps, self.last = 0.5 ** (1 / half_life), [], None
+        self.values: list[float] = []
+        self.weights = np.zeros(0)
+
+    def see(self, day: int, value: float | None) -> None:
+        if self.last is not None and day > self.last:
+            bisect.insort(self.gaps, day - self.last)
+        self.last, self.weights = day, self.weights * self.decay
+        if value is not None:
+            at = bisect.bisect_left(self.values, value)
+            if at == len(self.values) or self.values[at] != value:
+                self.values.insert(at, value)
+                self.weights = np.insert(self.weights, at, 0.0)
+            self.weights[at] += 1
+
+    def quantile(self, p: float) -> float:
+        at = p * (len(self.gaps) - 1)
+        low, high = self.gaps[math.floor(at)], self.gaps[math.ceil(at)]
+        return low + (high - low) * (at - math.floor(at))
+
+    def window(self) -> tuple[int, int, int]:
+        """(first day, central day, last day) of the next event, as of the last one."""
+        mid, low, high = (self.quantile(p) for p in (0.5, 0.25, 0.75)) if self.gaps else (0.0, 0.0, 7.0)
+        return tuple(self.last + math.floor(x + 0.5) for x in (low, mid, max(high, low + 1)))
+
+    def heaviest(self) -> float | None:
+        """Ties to the smaller value."""
+        return self.values[int(np.argmax(np.round(self.weights, 9)))] if self.values else None
+
+
+def walked(batches, first: int, half_life: float):
+    """(scope, route, days, values) of series -> their back-tests: each event from the first-th on against the ones before it."""
+    mean = lambda x: math.floor(sum(x) / len(x) * 100 + 0.5) / 100 if x else None
+    for batch in batches:
+        out = []
+        for scope, route, days, values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            walk, errors, hits, exact, near = Walk(half_life), [], [], [], []
+            for i, (day, value) in enumerate(zip(days, values, strict=True)):
+                if i >= first:
+                    start, central, end = walk.window()
+                    errors.append(abs(central - day))
+                    hits.append(start <= day <= end)
+                    top = walk.heaviest()
+                    if top is not None and value is not None:
+                        exact.append(top == value)
+                        near.append(abs(top - value) <= 5)
+                walk.see(day, value)
+            out.append((scope, route, len(errors), float(statistics.median(errors)), mean(hits), mean(exact), mean(near)))
+        kinds = [pa.string(), pa.string(), pa.int64(), *[pa.float64()] * 4]
+        names = ["scope", "route", "observations", "median_error", "hit_rate", "exact_bonus", "near_bonus"]
+        columns = list(zip(*out, strict=True)) or [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
 def backtests(ev: DataFrame) -> DataFrame:
     """Walk forward: each event from the fourth on is predicted from those before it, as of the last of them.
 
-    Prefixes are slices of a series' array, which the calendar bounds.
+    One pass a series: sorted gaps and decayed weights are carried along, so an event costs
+    a place in the sorted gaps and one product over the distinct values, however many came
+    before it.
     """
     first = PREDICT["min_samples"]
-    steps = spread(ev.filter(F.size("ev") > first)).select("scope", "route", "ev", F.explode(F.sequence(F.lit(first), F.size("ev") - 1)).alias("i"))
-    steps = steps.select("scope", "route", F.get("ev", F.col("i")).alias("actual"), F.slice("ev", F.lit(1), F.col("i")).alias("train"))
-    t = with_timing(steps, "train", F.element_at("train", -1)["d"])
-    n = F.size("train")
-    weights = F.transform("train", lambda x, k: F.struct(x["pct"].alias("v"), F.pow(F.lit(0.5), (n - 1 - k) / F.lit(float(PREDICT["half_life"]))).alias("w")))
-    values = F.array_distinct(F.transform("train", lambda x: x["pct"]))
-    # the heaviest value; ties to the smaller one
-    sums = F.transform(values, lambda v: F.struct((-F.round(F.aggregate(F.col("weights"), F.lit(0.0), lambda a, x: a + F.when(x["v"] == v, x["w"]).otherwise(0.0)), 9)).alias("o"), v.alias("v")))
-    t = t.withColumn("weights", weights).withColumn("top", F.array_min(sums)["v"])
-    err = F.abs(F.datediff("central", "actual.d"))
-    share = lambda c: round_to(F.avg(c.cast("double")), 2)
-    return t.groupBy("scope", "route").agg(
-        F.count("*").alias("observations"), F.median(err).alias("median_error"), share(F.col("actual.d").between(F.col("starts"), F.col("ends"))).alias("hit_rate"),
-        share(F.col("top") == F.col("actual.pct")).alias("exact_bonus"), share(F.abs(F.col("top") - F.col("actual.pct")) <= 5).alias("near_bonus"),
-    )
+    series = spread(ev.filter(F.size("ev") > first)).select("scope", "route", F.transform("ev", lambda x: F.unix_date(x["d"])).alias("days"), F.transform("ev", lambda x: x["pct"]).alias("values"))
+    return series.mapInArrow(functools.partial(walked, first=first, half_life=float(PREDICT["half_life"])), "scope string, route string, observations long, median_error double, hit_rate double, exact_bonus double, near_bonus double")
 
 
 BACKTEST = {
