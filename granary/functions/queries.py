@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from granary.functions import offers as O
 from granary.functions import text as X
+from granary.functions.bloom import MOST_BITS, bloom, may_hold
+from granary.operators.graph import written
 from granary.registry import query
 from granary.sources.tables import table
 
@@ -160,14 +162,40 @@ bg AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SEL
 bn AS (SELECT item_id, count(*) AS n FROM bg GROUP BY item_id)"""
 
 
+def gram_hash(ws: Column, i: Column, n: int) -> Column:
+    """A hash of the n words from place i (from 0) on."""
+    return F.xxhash64(*[F.get(ws, i + k) for k in range(n)])
+
+
+def item_grams(items: DataFrame, n: int) -> DataFrame:
+    """(item_id, j, g, h): the n-grams of items, their places and hashes; written, as they are read several times and looked up."""
+    rows = items.select("item_id", X.words(F.coalesce("text", F.lit(""))).alias("ws")).filter(F.size("ws") >= n)
+    rows = rows.select("item_id", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - n)).alias("j"))
+    return written(rows.select("item_id", "j", F.array_join(F.slice("ws", F.col("j") + 1, n), " ").alias("g"), gram_hash(F.col("ws"), F.col("j"), n).alias("h")))
+
+
+def source_grams(texts: DataFrame, grams: DataFrame, n: int, most_bits: int = MOST_BITS) -> DataFrame:
+    """(doc_id, i, g): the n-grams of texts that may be among the items'.
+
+    Hashes are tested in the array of a text's words against a Bloom filter of the items',
+    one row of fixed size, before any n-gram becomes a row; the few that pass in vain find
+    no partner in the join by the n-gram itself.
+    """
+    rows = texts.select("doc_id", X.words(F.col("text")).alias("ws")).crossJoin(F.broadcast(bloom(grams, "h", most_bits)))
+    hashes = F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda i: F.struct(i.alias("i"), gram_hash(F.col("ws"), i, n).alias("h")))
+    held = F.filter(F.when(F.size("ws") >= n, hashes), lambda x: may_hold(F.col("words"), x["h"]))
+    return rows.select("doc_id", "ws", F.explode(held).alias("x")).select("doc_id", "x.i", F.array_join(F.slice("ws", F.col("x.i") + 1, n), " ").alias("g"))
+
+
 def overlaps(spark: SparkSession, sf_dir: str, n: int = 4) -> DataFrame:
     """(doc_id, item_id, share): the share of an item's n-grams that a document holds, where there are any.
 
-    The items' n-grams are a small table; the documents' are filtered by an
-    equality join before anything is counted.
+    Only n-grams that pass the filter of the items' are shuffled; the items' side is a
+    written table, so a hot n-gram is split by documents.
     """
-    d = docs(spark, sf_dir).select("doc_id", F.explode(X.shingles(X.words(F.col("text")), n)).alias("g"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.shingles(X.words(F.coalesce("text", F.lit(""))), n)).alias("g"))
+    grams = item_grams(table(spark, sf_dir, "benchmark"), n)
+    b = written(grams.select("item_id", "g").distinct())
+    d = source_grams(docs(spark, sf_dir), grams, n).select("doc_id", "g").distinct()
     size = b.groupBy("item_id").agg(F.count("*").alias("n"))
     return d.join(b, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("k")).join(size, "item_id").select("doc_id", "item_id", (F.col("k") / F.col("n")).alias("share"))
 
@@ -183,9 +211,8 @@ def longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     Equal 4-grams on one diagonal (position in the document less position in the
     item) that follow one another form a run: islands by row_number, no quadratic table.
     """
-    d = docs(spark, sf_dir).select("doc_id", F.posexplode(X.grams(X.words(F.col("text")), 4)).alias("i", "g"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(X.grams(X.words(F.coalesce("text", F.lit(""))), 4)).alias("j", "g"))
-    hits = d.join(b, "g").select("doc_id", "item_id", "i", (F.col("i") - F.col("j")).alias("diagonal"))
+    b = item_grams(table(spark, sf_dir, "benchmark"), 4)
+    hits = source_grams(docs(spark, sf_dir), b, 4).join(b, "g").select("doc_id", "item_id", "i", (F.col("i") - F.col("j")).alias("diagonal"))
     order = Window.partitionBy("doc_id", "item_id", "diagonal").orderBy("i")
     runs = hits.withColumn("island", F.col("i") - F.row_number().over(order)).groupBy("doc_id", "item_id", "diagonal", "island").agg((F.count("*") + 3).alias("run"))
     return runs.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))

@@ -37,17 +37,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def grams(ws: Column, n: int) -> Column:
-    """All runs of n words, in order."""
-    none = F.array().cast("array<string>")
-    return let(ws, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(none))
-
-
-def shingles(ws: Column, n: int) -> Column:
-    """The distinct runs of n words."""
-    return F.array_distinct(grams(ws, n))
-
-
 def unescaped(text: Column) -> Column:
     """The common character references."""
     for mark, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
