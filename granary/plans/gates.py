@@ -98,24 +98,55 @@ def presurface_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Weights of the five signals of evidence.
 SIGNALS = {"tier = 1": 0.35, "fim IS NOT NULL": 0.20, "inicio IS NOT NULL": 0.20, "fonte = 'F'": 0.15, "percentual > 0": 0.10}
 _CONF = "floor((" + " + ".join(f"CASE WHEN {c} THEN {w}::DOUBLE ELSE 0 END" for c, w in SIGNALS.items()) + ") * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE"
+# Names of audiences that mean the same, and the tolerance in points.
+AUDIENCES = {"todos": "geral", "cartoes": "cartao", "assinante": "clube", "assinantes": "clube", "diamante": "clube"}
+TOLERANCE = 2
+_AUDIENCE = "nullif(CASE lower(trim({0})) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in AUDIENCES.items()) + " ELSE lower(trim({0})) END, '')"
 CONFIDENCE = {
     "ledger": LEDGER,
-    "scale": "SELECT produto, origem, count(DISTINCT percentual) AS faixas, min(percentual) AS lo, max(percentual) AS hi FROM ledger WHERE tier = 1 GROUP BY ALL",
-    "conf": f"""SELECT id, {_CONF} AS confidence, CASE WHEN faixas IS NULL THEN 'nao_verificavel' WHEN percentual < lo - 2 OR percentual > hi + 2 THEN 'refuta' WHEN faixas > 1 THEN 'corrobora_com_ajuste' ELSE 'corrobora_limpo' END AS outcome
-       FROM ledger LEFT JOIN scale USING (produto, origem)""",
+    "tiers": f"SELECT DISTINCT produto, origem, percentual, {_AUDIENCE.format('publico')} AS publico FROM ledger WHERE tier = 1 AND percentual IS NOT NULL",
+    "scale": "SELECT produto, origem, count(DISTINCT percentual) AS faixas FROM tiers GROUP BY ALL",
+    "near": f"SELECT id, count(*) AS hits, count(*) FILTER (WHERE t.publico IS NULL OR t.publico IS NOT DISTINCT FROM {_AUDIENCE.format('l.publico')}) AS own FROM ledger l JOIN tiers t ON t.produto = l.produto AND t.origem = l.origem AND abs(t.percentual - l.percentual) <= {TOLERANCE} GROUP BY id",
+    "conf": f"""SELECT id, {_CONF} AS confidence, CASE WHEN faixas IS NULL OR percentual IS NULL THEN 'nao_verificavel' WHEN hits IS NULL THEN 'refuta' WHEN faixas > 1 OR own = 0 THEN 'corrobora_com_ajuste' ELSE 'corrobora_limpo' END AS outcome
+       FROM ledger LEFT JOIN scale USING (produto, origem) LEFT JOIN near USING (id)""",
 }
 
 
+def audience(name: Column) -> Column:
+    """The audience that a name stands for; null for none."""
+    known = F.create_map(*[F.lit(x) for kv in AUDIENCES.items() for x in kv])
+    plain = F.lower(F.trim(name))
+    return F.nullif(F.coalesce(F.try_element_at(known, plain), plain), F.lit(""))
+
+
+def corroborated(pct: Column, own: Column, tiers: Column) -> Column:
+    """Whether the official tiers (array of pct and publico, null if there are none) bear a percentage out.
+
+    It must be near one tier, not merely between the lowest and the highest.  Where the
+    scale has several percentages, or the tiers it is near to are another audience's, it
+    stands only with an adjustment; a tier without an audience is everyone's.
+    """
+    near = F.filter(tiers, lambda t: F.abs(t["pct"] - pct) <= TOLERANCE)
+    scale = F.size(F.array_distinct(F.transform(tiers, lambda t: t["pct"]))) > 1
+    fits = F.exists(near, lambda t: t["publico"].isNull() | t["publico"].eqNullSafe(own))
+    return (
+        F.when(pct.isNull() | tiers.isNull() | (F.size(tiers) == 0), "nao_verificavel").when(F.size(near) == 0, "refuta").when(scale | ~fits, "corrobora_com_ajuste").otherwise("corrobora_limpo")
+    )
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, confidence, outcome): weighted signals, and agreement with the confirmed scale of the product within two points."""
+    """(id, confidence, outcome): weighted signals, and agreement with the confirmed tiers of the product.
+
+    A product's tiers are its distinct percentages by audience, a few values.
+    """
     rows = ledger(spark, sf_dir)
-    scale = rows.filter("tier = 1").groupBy("produto", "origem").agg(F.count_distinct("percentual").alias("faixas"), F.min("percentual").alias("lo"), F.max("percentual").alias("hi"))
+    official = rows.filter("tier = 1 AND percentual IS NOT NULL").groupBy("produto", "origem")
+    tiers = official.agg(F.collect_set(F.struct(F.col("percentual").alias("pct"), audience(F.col("publico")).alias("publico"))).alias("tiers"))
     score = F.lit(0.0)
     for c, w in SIGNALS.items():
         score = score + F.when(F.expr(c), F.lit(w)).otherwise(0.0)
-    pct = F.col("percentual")
-    outcome = F.when(F.col("faixas").isNull(), "nao_verificavel").when((pct < F.col("lo") - 2) | (pct > F.col("hi") + 2), "refuta").when(F.col("faixas") > 1, "corrobora_com_ajuste").otherwise("corrobora_limpo")
-    return rows.join(scale, ["produto", "origem"], "left").select("id", round_to(score, 4).alias("confidence"), outcome.alias("outcome"))
+    outcome = corroborated(F.col("percentual"), audience(F.col("publico")), F.col("tiers"))
+    return rows.join(tiers, ["produto", "origem"], "left").select("id", round_to(score, 4).alias("confidence"), outcome.alias("outcome"))
 
 
 @query("q_confidence", using(CONFIDENCE, "SELECT id, confidence, outcome FROM conf"))

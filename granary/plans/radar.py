@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators.graph import written
+from granary.operators.ranges import meeting, within
 from granary.plans.forecast import FORECASTS, PREDICTIONS, eligible, forecasts, predictions
 from granary.plans.quality import temporal
 from granary.registry import query, using
@@ -271,3 +272,30 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = f.filter("scope = 'cluster'").select(F.col("route").alias("cluster"), F.col("window_start").alias("x"), F.col("window_end").alias("y"))
     both = r.join(c, "cluster").filter("a <= y AND x <= b")
     return both.select("route", "cluster", F.datediff(F.least("b", "y"), F.greatest("a", "x")).cast("bigint").alias("days"))
+
+
+#: Days of a bin: a forecast's window has 7 to 25 of them.
+BIN_DAYS = 16
+
+
+@query("q_window_pairs", using(FORECASTS, """
+SELECT a.scope AS scope, a.route, b.scope AS other_scope, b.route AS other, (least(a.window_end, b.window_end) - greatest(a.window_start, b.window_start))::BIGINT AS days
+FROM forecast a JOIN forecast b ON (a.scope, a.route) < (b.scope, b.route) AND a.window_start <= b.window_end AND b.window_start <= a.window_end"""))
+def window_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of series, whatever their target, whose windows intersect: a range join without an equality."""
+    day = lambda c: F.unix_date(c).alias(c)
+    f = written(forecasts(eligible(spark, sf_dir)).select("scope", "route", day("window_start"), day("window_end")))
+    both = meeting(f, f, "window_start", "window_end", BIN_DAYS).filter(F.struct("a_scope", "a_route") < F.struct("b_scope", "b_route"))
+    days = (F.least("a_window_end", "b_window_end") - F.greatest("a_window_start", "b_window_start")).cast("bigint")
+    return both.select(F.col("a_scope").alias("scope"), F.col("a_route").alias("route"), F.col("b_scope").alias("other_scope"), F.col("b_route").alias("other"), days.alias("days"))
+
+
+@query("q_near_series", using(FORECASTS, """
+SELECT a.scope AS scope, a.route, b.route AS other, abs(a.last - b.last)::BIGINT AS days, abs(a.typical - b.typical)::BIGINT AS points
+FROM forecast a JOIN forecast b ON a.scope = b.scope AND a.route < b.route AND abs(a.last - b.last) <= 3 AND abs(a.typical - b.typical) <= 1"""))
+def near_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of one scope whose last events lie at most three days and a point apart: a join within tolerances."""
+    f = written(forecasts(eligible(spark, sf_dir)).select("scope", "route", F.unix_date("last").alias("last"), "typical"))
+    points = F.abs(F.col("a_typical") - F.col("b_typical"))
+    both = within(f, f, "last", 3, (F.col("a_scope") == F.col("b_scope")) & (F.col("a_route") < F.col("b_route")) & (points <= 1))
+    return both.select(F.col("a_scope").alias("scope"), F.col("a_route").alias("route"), F.col("b_route").alias("other"), F.abs(F.col("a_last") - F.col("b_last")).cast("bigint").alias("days"), points.cast("bigint").alias("points"))
