@@ -231,14 +231,37 @@ def campaign_page_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", campaign_page(html, url).alias("x")).select("p_partkey", "x.*")
 
 
-def json_ld(html: Column) -> Column:
-    """All JSON-LD objects of type Product or Offer, as JSON, in order: alone, in an array, or (products) within @graph; blocks that are not JSON are passed over."""
+#: Graphs within graphs that are looked into.
+GRAPH_DEPTH = 6
+
+
+def json_ld_nodes(html: Column, depth: int = GRAPH_DEPTH) -> Column:
+    """All JSON-LD objects of type Product or Offer as array<variant>, in order: alone, in an array, or (products) within @graph, graphs within graphs too; blocks that are not JSON are passed over.
+
+    Each block is parsed once; what is read of an object later is a path into the variant.
+    """
     blocks = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    nodes = F.flatten(F.transform(blocks, lambda b: F.coalesce(F.when(F.trim(b).startswith("["), F.from_json(b, "array<string>")), F.array(b))))
-    kind = lambda o: F.get_json_object(o, "$.@type")
-    own = lambda n: F.filter(F.array(n), lambda o: kind(o).isin("Product", "Offer"))
-    graph = lambda n: F.filter(F.coalesce(F.from_json(F.get_json_object(n, "$.@graph"), "array<string>"), F.array().cast("array<string>")), lambda o: kind(o) == "Product")
-    return F.flatten(F.transform(nodes, lambda n: F.concat(own(n), graph(n))))
+    none = F.array().cast("array<variant>")
+    items = lambda v, path: F.try_variant_get(v, path, "array<variant>")
+    kind = lambda v: F.try_variant_get(v, "$['@type']", "string")
+
+    def found(v: Column, kinds: tuple[str, ...], left: int) -> Column:
+        own = F.when(kind(v).isin(*kinds), F.array(v)).otherwise(none)
+        if not left:
+            return own
+        graph = F.coalesce(items(v, "$['@graph']"), none)
+        return F.concat(own, F.flatten(F.transform(graph, lambda g: found(g, ("Product",), left - 1))))
+
+    def block(text: Column) -> Column:
+        v = F.try_parse_json(F.trim(text))
+        return X.let(v, lambda x: F.flatten(F.transform(F.coalesce(items(x, "$"), F.array(x)), lambda n: found(n, ("Product", "Offer"), depth))))
+
+    return F.flatten(F.transform(F.filter(blocks, lambda b: F.try_parse_json(F.trim(b)).isNotNull()), block))
+
+
+def json_ld(html: Column) -> Column:
+    """json_ld_nodes() as JSON texts."""
+    return F.transform(json_ld_nodes(html), lambda v: F.to_json(v))
 
 
 def written_number(text: Column) -> Column:
@@ -249,13 +272,13 @@ def written_number(text: Column) -> Column:
 
 def product_price(html: Column) -> Column:
     """(cash, name, gtin) of the first product or offer with a price: that of its first offer, the lowest of a range, or its own."""
-    at = lambda o, *paths: F.coalesce(*[F.get_json_object(o, p) for p in paths])
+    at = lambda o, *paths: F.coalesce(*[F.try_variant_get(o, p, "string") for p in paths])
 
     def read(o: Column) -> Column:
-        price = F.when(F.get_json_object(o, "$.offers[0]").isNotNull(), at(o, "$.offers[0].price", "$.offers[0].lowPrice", "$.price")).otherwise(at(o, "$.offers.price", "$.offers.lowPrice", "$.price"))
+        price = at(o, "$.offers[0].price", "$.offers[0].lowPrice", "$.offers.price", "$.offers.lowPrice", "$.price")
         return F.struct(written_number(price).alias("cash"), at(o, "$.name").alias("name"), at(o, "$.gtin13", "$.gtin", "$.gtin14").alias("gtin"))
 
-    return F.get(F.filter(F.transform(json_ld(html), read), lambda x: x["cash"] > 0), F.lit(0))
+    return F.get(F.filter(F.transform(json_ld_nodes(html), read), lambda x: x["cash"] > 0), F.lit(0))
 
 
 def points_in(text: Column, patterns: list[str]) -> Column:

@@ -2,19 +2,67 @@
 
 from __future__ import annotations
 
+import threading
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
+
+
+class _Ticks(StreamingQueryListener):
+    """Counts a query's finished batches, so that it can be stopped between two of them."""
+
+    def __init__(self):
+        self.done, self.ended = threading.Event(), threading.Event()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
 
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.done.set()
 
-def drain(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, transform=lambda df: df, files_per_batch: int = 24) -> None:
-    """Work off all files that are there, files_per_batch at a time, and stop.
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self.done.set()
 
-    What is done is kept in the checkpoint: run again, only new files are read, and
-    a batch that was broken off is done again under its own number.
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended.set()
+        self.done.set()
+
+
+def drain(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, transform=lambda df: df, files_per_batch: int = 24, rows_per_task: int | None = None, deadline: float | None = None) -> bool:
+    """Work off all files that are there, files_per_batch at a time, and stop; True if nothing is left.
+
+    With rows_per_task a batch is dealt into tasks of at most that many rows (and one or two
+    more), so that what transform does to a task's rows, calls of a service say, is bounded
+    however large a file is; as many run at once as there are cores.  With a deadline
+    (seconds) the query is stopped behind the first batch that ends after it.  What is done
+    is kept in the checkpoint: run again, it goes on where it ended, only new files are
+    read, and a batch that was broken off is done again under its own number, replacing
+    what it wrote.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    writer = transform(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    writer.start().awaitTermination()
+
+    def work(batch: DataFrame, number: int) -> None:
+        if rows_per_task:
+            batch = batch.repartition(max(1, -(-batch.count() // rows_per_task)))
+        transform(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    ticks, start = _Ticks(), time.monotonic()
+    spark.streams.addListener(ticks)
+    try:
+        query = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        while query.isActive:
+            ticks.done.wait(0.2)
+            late = deadline is not None and time.monotonic() - start >= deadline
+            if ticks.done.is_set() and late and query.isActive:
+                query.stop()
+                return False
+            ticks.done.clear()
+        query.awaitTermination()  # raises what has ended it
+        return True
+    finally:
+        spark.streams.removeListener(ticks)
 
 
 def upsert_stream(stream: DataFrame, keys: list[str], newest: list[str], path: str, checkpoint: str, buckets: int = 64):

@@ -108,6 +108,10 @@ def test_sitemap_meta_and_products(spark):
     assert value(spark, web.allowed(F.lit("/private/x"), ["/private*"])) is False and value(spark, web.allowed(F.lit("/open"), ["/private*", "/open/*$"])) is True
     html = """<meta content="T &amp; U" property="og:title"><link rel="canonical" href="https://a/x"><script type="application/ld+json">{"@graph": [{"@type": "Org"}, {"@type": "Product", "offers": {"price": "12.5"}}]}</script>"""
     assert value(spark, web.meta(F.lit(html), "og:title")) == "T & U" and value(spark, web.canonical(F.lit(html))) == "https://a/x"
+    deep = """<script type="application/ld+json">[{"@graph": [{"@type": "Offer"}, {"@graph": [{"@graph": [{"@type": "Product", "name": "deep", "gtin": "7", "offers": [{"lowPrice": "R$ 1.399,00"}]}]}]}]}]</script>"""
+    bad = """<script type="application/ld+json">{"@type": "Product", "offers": </script><script type='application/ld+json'>"text"</script>"""
+    assert tuple(value(spark, web.product_price(F.lit(bad + deep)))) == (1399.0, "deep", "7")
+    assert value(spark, F.size(web.json_ld(F.lit(bad)))) == 0 and value(spark, web.product_price(F.lit(bad))) is None
     assert [r for r in value(spark, web.json_ld(F.lit(html)))] == ['{"@type":"Product","offers":{"price":"12.5"}}']
     page = lambda *blocks: F.lit("".join(f'<script type="application/ld+json">{b}</script>' for b in blocks))
     for blocks, want in (
@@ -144,10 +148,28 @@ def test_streams(spark, tmp_path):
     src, sink, mark = (str(tmp_path / x) for x in ("src", "sink", "mark"))
     spark.createDataFrame([(i % 2, i * 10) for i in range(12)], "user_id long, ts_s long").repartition(3).write.parquet(src)
     for _ in range(2):  # a second run finds nothing new
-        jobs.drain(spark, src, "user_id long, ts_s long", sink, mark, files_per_batch=1)
+        assert jobs.drain(spark, src, "user_id long, ts_s long", sink, mark, files_per_batch=1)
     assert spark.read.parquet(sink).count() == 12
 
 
+def test_drain_stops_at_a_deadline_and_goes_on(spark, tmp_path):
+    from granary.streaming import jobs
+
+    src, sink, mark = (str(tmp_path / x) for x in ("src", "sink", "mark"))
+    for k in range(6):
+        spark.range(k * 100, k * 100 + 100).coalesce(1).write.mode("append").parquet(src)
+    tasks = lambda df: df.withColumn("task", F.spark_partition_id())
+    run = lambda deadline: jobs.drain(spark, src, "id long", sink, mark, tasks, files_per_batch=1, rows_per_task=24, deadline=deadline)
+    assert run(0.0) is False  # the first batch that ends is behind it
+    some = spark.read.parquet(sink).count()
+    assert 0 < some < 600
+    assert run(600) is True
+    rows = spark.read.parquet(sink)
+    assert rows.count() == 600 and rows.select("id").distinct().count() == 600
+    sizes = [r["count"] for r in rows.groupBy("batch", "task").count().collect()]
+    assert max(sizes) <= 24 + 2 and len(sizes) == 30
+
+
 def test_upsert_stream(spark, tmp_path):
     from granary.streaming import jobs
 
