@@ -9,7 +9,7 @@ bigrams of the template), counted with repeats.
 Size bounds prune templates first: at a threshold t a window of n bigrams can only
 match templates of between t / (2 - t) * n and (2 - t) / t * n bigrams, so most texts
 and starts are left out by their shared bigrams, and no window is longer than the
-largest template allows.  OP8_SQL has whole lines and the templates of TEMPLATES only.
+largest template allows.  OP8_SQL compares all such windows of all templates.
 
 Each document is scanned by itself in one pass, without a shuffle; a line that a
 third of all documents share costs no more than others.  The templates are a
@@ -203,35 +203,41 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _template_rows() -> str:
-    return ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES.items())
+    return ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in all_templates().items())
 
 
 OP8_SQL = f"""
-WITH t AS (SELECT name, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w)) AS ws FROM (VALUES {_template_rows()}) AS v(name, text)),
-tg AS (SELECT name, ws[i] AS a, ws[i + 1] AS b, count(*) AS c FROM (SELECT name, ws, unnest(range(1, len(ws))) AS i FROM t) GROUP BY ALL),
+WITH RECURSIVE t AS (SELECT name, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w)) AS ws FROM (VALUES {_template_rows()}) AS v(name, text)),
+tg AS (SELECT name, a, b, count(*) AS c FROM (SELECT name, ws[i] AS a, ws[i + 1] AS b FROM (SELECT name, ws, unnest(range(1, len(ws))) AS i FROM t)) GROUP BY ALL),
 ts AS (SELECT name, sum(c)::BIGINT AS m FROM tg GROUP BY name),
 ln AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS ln FROM documents),
 wd AS (
   SELECT doc_id, ln, w, row_number() OVER (PARTITION BY doc_id ORDER BY ln, i) AS p
   FROM (SELECT doc_id, ln, unnest(list_transform(regexp_extract_all(line, '[A-Za-z0-9]+'), lambda w: lower(w))) AS w,
                unnest(range(0, len(regexp_extract_all(line, '[A-Za-z0-9]+')))) AS i FROM ln)),
-bg AS (
-  SELECT doc_id, p, ln AS la, w AS a, lead(w) OVER o AS b, lead(ln) OVER o AS lb FROM wd WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
-hit AS (SELECT doc_id, name, p, la, lb, bg.a, bg.b, c FROM bg JOIN tg ON bg.a = tg.a AND bg.b = tg.b),
-sp AS (SELECT doc_id, ln, min(p) AS p0, max(p) AS p1 FROM wd GROUP BY ALL),
+bg AS (SELECT doc_id, p, ln AS la, w AS a, lead(w) OVER o AS b, lead(ln) OVER o AS lb FROM wd WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+hit AS (SELECT doc_id, name, p, la, lb, bg.a, bg.b, c, m FROM bg JOIN tg ON bg.a = tg.a AND bg.b = tg.b JOIN ts USING (name)),
+can AS (
+  SELECT doc_id, name FROM (SELECT doc_id, name, a, b, least(count(*), any_value(c)) AS k, any_value(m) AS m FROM hit GROUP BY ALL)
+  GROUP BY doc_id, name HAVING 2 * sum(k) >= {THRESHOLD} * (sum(k) + any_value(m))),
+h AS (SELECT hit.* FROM hit JOIN can USING (doc_id, name)),
 win AS (
-  SELECT s.doc_id, s.name, s.ln AS l0, e.ln AS l1, x.p0 AS p0, y.p1 AS p1, m
-  FROM (SELECT DISTINCT doc_id, name, la AS ln FROM hit) s
-  JOIN (SELECT DISTINCT doc_id, name, lb AS ln FROM hit) e ON s.doc_id = e.doc_id AND s.name = e.name AND e.ln >= s.ln
-  JOIN sp x ON x.doc_id = s.doc_id AND x.ln = s.ln JOIN sp y ON y.doc_id = e.doc_id AND y.ln = e.ln
-  JOIN ts ON ts.name = s.name
-  WHERE 2 * least(y.p1 - x.p0, m) >= {THRESHOLD} * (y.p1 - x.p0 + m)),
+  SELECT s.doc_id, s.name, s.m, s.p AS p0, e.p AS p1, s.la AS l0, e.lb AS l1 FROM h s JOIN h e ON e.doc_id = s.doc_id AND e.name = s.name AND e.p >= s.p
+  WHERE 2 * least(e.p - s.p + 1, s.m) >= {THRESHOLD} * (e.p - s.p + 1 + s.m)),
 cm AS (
-  SELECT w.doc_id, w.name, l0, l1, p0, p1, m, h.a, h.b, least(count(*), any_value(c)) AS k
-  FROM win w JOIN hit h ON h.doc_id = w.doc_id AND h.name = w.name AND h.p >= p0 AND h.p < p1 GROUP BY ALL),
-sc AS (SELECT doc_id, name, l0, l1 - l0 + 1 AS n, 2 * sum(k)::DOUBLE / any_value(p1 - p0 + m) AS dice FROM cm GROUP BY doc_id, name, l0, l1),
-ok AS (SELECT * FROM sc WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY dice DESC, l0, n) = 1),
-best AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS k FROM ok QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, l0, n, name) = 1)
+  SELECT w.doc_id, w.name, p0, p1, l0, l1, w.m, h.a, h.b, least(count(*), any_value(c)) AS k
+  FROM win w JOIN h ON h.doc_id = w.doc_id AND h.name = w.name AND h.p BETWEEN p0 AND p1 GROUP BY ALL),
+sc AS (SELECT doc_id, name, p0, p1, l0, l1 - l0 + 1 AS n, 2 * sum(k)::DOUBLE / any_value(p1 - p0 + 1 + m) AS dice FROM cm GROUP BY doc_id, name, p0, p1, l0, l1),
+ok AS (SELECT * FROM sc WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY dice DESC, l0, n, p0, p1) = 1),
+alike AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, l0, n, name) AS k FROM ok WHERE name IN ({", ".join(f"'{x}'" for x in sorted(ALIKE))})),
+free AS (
+  SELECT doc_id, k, [p0] AS starts, [p1] AS ends, true AS taken FROM alike WHERE k = 1
+  UNION ALL
+  SELECT doc_id, k, CASE WHEN fits THEN list_append(starts, p0) ELSE starts END, CASE WHEN fits THEN list_append(ends, p1) ELSE ends END, fits
+  FROM (SELECT a.doc_id, a.k, a.p0, a.p1, starts, ends, len(list_filter(range(1, len(starts) + 1), lambda i: a.p0 <= ends[i] + 1 AND starts[i] <= a.p1 + 1)) = 0 AS fits
+        FROM free f JOIN alike a ON a.doc_id = f.doc_id AND a.k = f.k + 1)),
+kept AS (SELECT * FROM ok WHERE name NOT IN ({", ".join(f"'{x}'" for x in sorted(ALIKE))}) UNION ALL SELECT a.* EXCLUDE (k) FROM alike a JOIN free f ON f.doc_id = a.doc_id AND f.k = a.k AND f.taken),
+best AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS k FROM kept QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, l0, n, name) = 1)
 SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_matches, name AS license, dice, l0::BIGINT AS first_line, n::BIGINT AS n_lines
 FROM documents d LEFT JOIN best USING (doc_id)
 """

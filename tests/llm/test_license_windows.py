@@ -45,3 +45,21 @@ def test_versions_are_told_apart():
         assert [m[0] for m in scanner.scan(f"see: {licenses.all_templates()[name]}")] == [name]
     both = f"{licenses.all_templates()['GPL-2.0']}\nand\n{licenses.all_templates()['LGPL-3.0']}"
     assert [m[0] for m in scanner.scan(both)] == ["GPL-2.0", "LGPL-3.0"]
+
+
+def test_sql_has_the_same_windows(spark, tmp_path):
+    """The oracle compares all windows of all templates too: notices in lines, overlapping versions, whole texts."""
+    import duckdb
+
+    t, filler = licenses.all_templates(), "the harbour of the town and the river in winter "
+    rows = [
+        (1, f"{filler}Released under the MIT License. {filler}"), (2, f"a\n{filler}released under\nthe MIT license {filler}"), (3, f"{t['GPL-2.0']}\nand {t['LGPL-3.0']} {t['GPL-3.0']}"), (4, f"see {t['ISC-text']} x {t['ISC']}"),
+        (5, None), (6, f"x {t['MIT-permission']} y"), (7, f"This work is licensed under the GNU General Public License {t['LGPL-2.1']}"), (8, f"{t['Apache-2.0-header']} {t['Apache-2.0']}\n{t['BSD-3-Clause']}"), (9, ""),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    names = "doc_id, n_matches, license, dice, first_line, n_lines"
+    got = sorted(map(tuple, licenses.op8_license_scan(spark, str(tmp_path)).select(*names.split(", ")).collect()))
+    assert got == sorted(con.execute(f"SELECT {names} FROM ({licenses.OP8_SQL})").fetchall())
+    assert [r[1] > 0 for r in got] == [True] * 4 + [False] + [True] * 3 + [False]
