@@ -17,7 +17,24 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/granary-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/granary-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+#: Folders handed out in this process and not released yet.
+_MADE: list[str] = []
+
+
+def mark() -> int:
+    """A point from which release() counts."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that queries have written since a mark, for when their results have been read or written themselves."""
+    for at in _MADE[since:]:
+        removed(spark, at)
+    del _MADE[since:]
 
 
 def written(df: DataFrame, at: str | None = None) -> DataFrame:
@@ -31,6 +48,8 @@ def removed(spark: SparkSession, at: str) -> None:
     """Delete a written table that nothing reads any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if at in _MADE:
+        _MADE.remove(at)
 
 
 def exists(spark: SparkSession, at: str) -> bool:

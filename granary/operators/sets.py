@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.operators.graph import written
 from granary.registry import query, using
 from granary.sources.tables import LEDGER, ledger, table
 
@@ -24,7 +25,7 @@ def jaccard_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     often = words.groupBy("k").agg(F.count("*").alias("n"))
     t = words.join(often, "k").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("n", "k"))).alias("o")).select("a", F.transform("o", lambda x: x["k"]).alias("w"))
     head = F.slice("w", F.lit(1), (F.size("w") - F.ceil(F.size("w") * F.lit(0.6)) + 1).cast("int"))
-    rows = t.select("a", "w", F.explode(head).alias("k"))
+    rows = written(t.select("a", "w", F.explode(head).alias("k")))  # written, so that a word of many heads is split on both sides
     other = rows.select(F.col("a").alias("b"), F.col("w").alias("v"), "k")
     near = rows.join(other, "k").filter("a < b").select("a", "b", (F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v"))).alias("jaccard"))
     return near.filter("jaccard >= 0.6").distinct()

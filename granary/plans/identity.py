@@ -65,11 +65,10 @@ def sides(names: DataFrame, aliases: DataFrame, noise: DataFrame, generic: DataF
     buckets = buckets or {}
     distinct = names.select("raw").distinct().withColumn("name", F.coalesce(normal(F.col("raw")), F.lit("")))
     known = aliases.select(normal(F.col("alias")).alias("alias"), "code", F.coalesce("kind", F.lit("outro")).alias("kind")).filter("alias <> ''").dropDuplicates(["alias"])
-    longest = known.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 0
-    words = F.split("name", " ")
-    at = distinct.filter("name <> ''").select("name").distinct().select("name", words.alias("w"), F.explode(F.sequence(F.lit(0), F.size(words) - 1)).alias("pos"))
-    runs = at.select("name", "pos", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("pos"))), lambda k: F.array_join(F.slice("w", F.col("pos") + 1, k), " "))).alias("alias")) if longest else at.select("name", "pos", F.lit(None).cast("string").alias("alias"))
-    hits = runs.join(known, "alias").filter((F.length("alias") >= 3) | (F.col("alias") == F.col("name")))
+    # a name meets an alias at the alias's first word, so an alias of many words costs no more than others
+    known = known.withColumn("words", F.split("alias", " ")).withColumn("word", F.get("words", F.lit(0)))
+    at = distinct.filter("name <> ''").select("name").distinct().select("name", F.split("name", " ").alias("w")).select("name", "w", F.posexplode("w").alias("pos", "word"))
+    hits = at.join(known, "word").filter(F.slice("w", F.col("pos") + 1, F.size("words")) == F.col("words")).filter((F.length("alias") >= 3) | (F.col("alias") == F.col("name")))
     best = hits.groupBy("name").agg(F.min_by(F.struct("code", "kind"), F.struct(F.col("alias") != F.col("name"), "pos", -F.length("alias"))).alias("hit"))
     listed = lambda df, flag: df.select(normal(F.col("name")).alias("name")).distinct().withColumn(flag, F.lit(True))
     rows = distinct.join(best, "name", "left").join(listed(generic, "g"), "name", "left").join(listed(noise, "x"), "name", "left")
