@@ -12,7 +12,7 @@ work, so more data means more ranges, not larger ones.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import written
@@ -28,21 +28,22 @@ def _ranged(df: DataFrame, keys: list[str], value: str, ranges: int | None) -> t
     dealt = written(dealt)
     sums = dealt.groupBy(*keys, _R).agg(F.sum(_C).alias("s"))
     group = Window.partitionBy(*keys)
-    return dealt, written(sums.select(*keys, _R, (F.sum("s").over(group.orderBy(_R)) - F.col("s")).alias(_BEFORE), F.sum("s").over(group).alias(_ALL), "s"))
+    own = [F.col(k).alias(f"s__{k}") for k in [*keys, _R]]  # under other names, as both are joined
+    return dealt, sums.select(*own, (F.sum("s").over(group.orderBy(_R)) - F.col("s")).alias(_BEFORE), F.sum("s").over(group).alias(_ALL), "s")
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Equal keys, nulls too."""
-    out = left[_R] == right[_R]
+def _looked_up(dealt: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    """The counts with what is before and in all of their group; equal keys, nulls too."""
+    same = F.col(_R) == F.col(f"s__{_R}")
     for k in keys:
-        out = out & left[k].eqNullSafe(right[k])
-    return out
+        same = same & F.col(k).eqNullSafe(F.col(f"s__{k}"))
+    return dealt.join(sums, same).drop(*[f"s__{k}" for k in [*keys, _R]])
 
 
 def placed(df: DataFrame, keys: list[str], value: str, below: str, here: str, total: str, ranges: int | None = None) -> DataFrame:
     """(keys, value, below, here, total) of each distinct non-null value: rows of its group under it, with it and in all; written, as it is there to be joined."""
     dealt, sums = _ranged(df, keys, value, ranges)
-    rows = dealt.join(sums, _same(dealt, sums, keys)).select(*[dealt[k] for k in keys], dealt[value], dealt[_R], _C, _BEFORE, _ALL)
+    rows = _looked_up(dealt, sums, keys)
     within = Window.partitionBy(*keys, _R).orderBy(value)
     return written(rows.select(*keys, value, (F.col(_BEFORE) + F.sum(_C).over(within) - F.col(_C)).alias(below), F.col(_C).alias(here), F.col(_ALL).alias(total)))
 
@@ -60,7 +61,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         for k in (low, high):
             wanted = wanted | inside(k, F.col(_BEFORE), F.col(_BEFORE) + F.col("s"))
     hit = sums.filter(wanted)
-    rows = dealt.join(hit, _same(dealt, hit, keys)).select(*[dealt[k] for k in keys], dealt[value].alias("v__"), dealt[_R], _C, _BEFORE, _ALL)
+    rows = _looked_up(dealt, hit, keys).withColumnRenamed(value, "v__")
     upto = F.col(_BEFORE) + F.sum(_C).over(Window.partitionBy(*keys, _R).orderBy("v__"))
     rows = rows.withColumn("to__", upto).withColumn("from__", F.col("to__") - F.col(_C))
     parts = [F.max(_ALL).alias(n)]

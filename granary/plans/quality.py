@@ -129,8 +129,8 @@ def pair_scores(a: pa.Table, b: pa.Table) -> np.ndarray:
 
 def compared(rows: DataFrame, size: int = TILE_ROWS) -> DataFrame:
     """(id, root, links, strong, best) of rows with a possible duplicate in their block, whatever its size; rows equal in id are one row."""
-    one = temporal(rows).dropDuplicates(["id"]).select("id", *BLOCK, *_PAIR_COLUMNS)
-    return joined_rows(linked_rows(one, BLOCK, pair_scores, POSSIBLE, PROBABLE, size))
+    dated = temporal(rows).select("id", *BLOCK, *_PAIR_COLUMNS)
+    return joined_rows(linked_rows(dated, BLOCK, pair_scores, POSSIBLE, PROBABLE, size))
 
 
 PAIRS = {
