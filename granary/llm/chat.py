@@ -18,8 +18,13 @@ A turn is written ``<turn ROLE>\\nTEXT</turn>\\n``.  Inside roles and texts ``\\
 ``<`` and ``>`` become ``\\b``, ``\\l`` and ``\\g``, so that no text can look like a
 mark and every text can be read back.
 
-Everything is built-in Spark SQL: windows over a conversation's turns and one
-aggregation a window; a window's turns are bounded by the budget.  Null text and
+Everything is built-in Spark SQL.  Turns are put in order by ranges that Spark samples,
+so a conversation of any length takes as many ranges as it needs: sums are taken inside
+a range and added up over the ranges of a conversation (a row each), first over tokens,
+then over windows.  Only a window's turns, bounded by the budget, meet in one group; a
+system turn that many windows keep is joined to them as a key that Spark may split.
+Copies of a turn lie in one range only where their text is longer than ``KEY_CHARS``.
+``digests`` alone holds a conversation in a row, as its hashes ask for.  Null text and
 null role count as empty; turns with equal numbers are ordered by role and text;
 repeated rows are turns of their own; a conversation without assistant has no
 targets.  A null conversation id is one conversation.  A very long text is one turn and
@@ -32,9 +37,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 BUDGET, TURN_TOKENS = 512, 4
+#: Characters of a text in the key of a range; sampled keys pass the driver, whole texts do not.
+KEY_CHARS = 1024
 #: Runs of letters, of digits and of other characters: what tokenisers split text into first.
 TOKENS = r"\p{L}+|\p{N}+|[^ \t\n\x0B\f\r\p{L}\p{N}]+"
 _ESCAPES = (("\\", "\\b"), ("<", "\\l"), (">", "\\g"))
@@ -52,45 +59,92 @@ def unescaped(text: Column) -> Column:
     return text
 
 
+def _before(rows: DataFrame, weight: Column) -> DataFrame:
+    """rows (c, part, id, ...) with before: the sum of weight over the rows of c with a smaller id; ids ascend with part."""
+    rows = rows.withColumn("weight", weight.cast("long"))
+    within = Window.partitionBy("part", "c").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy(F.col("part").alias("p"), F.col("c").alias("k")).agg(F.sum("weight").alias("s"))
+    sums = sums.withColumn("earlier", F.sum("s").over(Window.partitionBy("k").orderBy("p")) - F.col("s"))
+    rows = rows.withColumn("here", F.sum("weight").over(within) - F.col("weight"))
+    joined = rows.join(sums, (F.col("part") == F.col("p")) & F.col("c").eqNullSafe(F.col("k")))
+    return joined.withColumn("before", F.col("here") + F.col("earlier")).drop("p", "k", "s", "earlier", "here", "weight")
+
+
+def _ordered(turns: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """(id, part, c, role, text, tokens): all turns in order, by sampled ranges; ids ascend, a part is one range."""
+    rows = turns.select(
+        F.col(id_col).alias("c"), F.col(turn_col).alias("t"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    )
+    rows = rows.withColumn("head", F.left("text", F.lit(KEY_CHARS))).withColumn("longer", F.length("text") > KEY_CHARS)
+    # copies of a turn may be cut apart where the key holds their whole text
+    rows = rows.withColumn("copy", F.when(~F.col("longer"), F.monotonically_increasing_id()))
+    keys = ["c", "t", "role", "head", "longer", "copy"]
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "text")
+    tokens = F.regexp_count("text", F.lit(TOKENS)).cast("long") + TURN_TOKENS
+    return written(rows.select(F.monotonically_increasing_id().alias("id"), F.spark_partition_id().alias("part"), "c", "role", "text", tokens.alias("tokens")))
+
+
+def _spans(ordered: DataFrame, budget: int) -> DataFrame:
+    """(id, part, c, lead, lead_id, room, cost, at, span, big) of each turn: at is the cost before it, lead_id its conversation's system turn."""
+    firsts = ordered.groupBy("c").agg(F.min(F.struct("id", "role", "tokens")).alias("f"))
+    leads = written(firsts.filter("f.role = 'system'").select(F.col("c").alias("k"), F.col("f.id").alias("lead_id"), F.col("f.tokens").alias("lead_tokens")))
+    rows = _before(ordered.select("id", "part", "c", "tokens"), F.col("tokens"))
+    rows = written(rows).join(leads, F.col("c").eqNullSafe(F.col("k")), "left").drop("k")
+    taken = F.coalesce("lead_tokens", F.lit(0))
+    rows = rows.withColumn("lead", F.coalesce(F.col("id") == F.col("lead_id"), F.lit(False))).withColumn("room", F.greatest(F.lit(4), F.lit(budget) - taken))
+    rows = rows.withColumn("cost", F.when(F.col("lead"), F.lit(0)).otherwise(F.col("tokens"))).withColumn("at", F.when(F.col("lead"), F.lit(0)).otherwise(F.col("before") - taken))
+    half = F.floor(F.col("room") / 2)
+    return rows.select("id", "part", "c", "lead", "lead_id", "room", "cost", "at", F.floor(F.col("at") / half).alias("span"), (F.col("cost") > half).alias("big"))
+
+
+def _windows(spans: DataFrame) -> DataFrame:
+    """(k, span_, big_, own, next_start, spare, lead_id): the windows, numbered from 1 in their conversation k.
+
+    Turns of one half make a window; one over half a room is by itself, and what follows
+    it begins in a later half.  spare is what the next window's own turns leave of the
+    room, null in the last one.
+    """
+    found = spans.filter(~F.col("lead")).groupBy("c", "span", "big").agg(
+        F.min(F.struct("id", "part")).alias("first"), F.sum("cost").alias("used"), F.max(F.col("at") + F.col("cost")).alias("next_start"), F.first("lead_id").alias("lead_id"), F.first("room").alias("room")
+    )
+    found = found.select("first.id", "first.part", "c", "span", "big", "used", "next_start", "lead_id", "room")
+    numbered = written(_before(written(found), F.lit(1)).withColumn("own", F.col("before") + 1))
+    following = numbered.select(F.col("c").alias("k"), (F.col("own") - 1).alias("o"), F.col("used").alias("next_used"))
+    both = numbered.join(following, F.col("c").eqNullSafe(F.col("k")) & (F.col("own") == F.col("o")), "left")
+    return written(both.select(F.col("c").alias("k"), F.col("span").alias("span_"), F.col("big").alias("big_"), "own", "next_start", (F.col("room") - F.col("next_used")).alias("spare"), F.col("lead_id").alias("system")))
+
+
+def _places(spans: DataFrame, windows: DataFrame) -> DataFrame:
+    """(id, w, context): the windows in which a turn stands, and whether it is repeated there."""
+    own = spans.filter(~F.col("lead")).join(windows, F.col("c").eqNullSafe(F.col("k")) & (F.col("span") == F.col("span_")) & (F.col("big") == F.col("big_")))
+    fits = F.col("next_start") - F.col("at") <= F.least(F.floor(F.col("room") / 4), F.col("spare"))
+    again = F.col("spare").isNotNull() & fits
+    place = lambda w, context: F.struct(w.cast("long").alias("w"), F.lit(context).alias("context"))
+    here, next_ = place(F.col("own"), False), place(F.col("own") + 1, True)
+    turns = own.select("id", F.explode(F.when(again, F.array(here, next_)).otherwise(F.array(here))).alias("x")).select("id", "x.w", "x.context")
+    opening = spans.filter("lead").select("id", F.lit(1).cast("long").alias("w"), F.lit(False).alias("context"))
+    kept = windows.filter("system IS NOT NULL AND own > 1").select(F.col("system").alias("id"), F.col("own").alias("w"), F.lit(True).alias("context"))
+    return written(turns.union(opening).union(kept))
+
+
 def formatted(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
     """(id_col, window, text, n_context, targets): windows numbered from 1.
 
     n_context turns at the head of a window are repeated; targets are the
     [from, to) code points of text that bear loss.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
-    conv = Window.partitionBy("c")
-    order = conv.orderBy("t", "role", "text")
-    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = turns.select(F.col(id_col).alias("c"), F.col(turn_col).alias("t"), role.alias("role"), text.alias("text"))
-    rows = rows.withColumn("n", F.row_number().over(order).cast("long")).withColumn("tokens", F.regexp_count("text", F.lit(TOKENS)).cast("long") + TURN_TOKENS)
-    rows = rows.withColumn("lead", (F.col("n") == 1) & (F.col("role") == "system"))
-    rows = rows.withColumn("cost", F.when(F.col("lead"), F.lit(0)).otherwise(F.col("tokens")))
-    rows = rows.withColumn("room", F.greatest(F.lit(4), F.lit(budget) - F.max(F.when(F.col("lead"), F.col("tokens")).otherwise(F.lit(0))).over(conv)))
-    rows = rows.withColumn("before", F.coalesce(F.sum("cost").over(so_far), F.lit(0)))
-    half = F.floor(F.col("room") / 2)
-    rows = rows.withColumn("span", F.floor(F.col("before") / half)).withColumn("big", F.col("cost") > half)
-    apart = (F.col("span") != F.lag("span").over(order)) | F.col("big") | F.lag("big").over(order)
-    rows = rows.withColumn("begins", F.coalesce((apart & ~F.lag("lead").over(order)).cast("long"), F.lit(1)))
-    rows = rows.withColumn("own", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    window = Window.partitionBy("c", "own")
-    rows = rows.withColumn("next_start", F.max(F.col("before") + F.col("cost")).over(window)).withColumn("used", F.sum("cost").over(window)).withColumn("last", F.max("own").over(conv))
-    rows = rows.withColumn("spare", F.col("room") - F.first("used").over(conv.orderBy("own").rangeBetween(1, 1)))
-    none = F.array().cast("array<bigint>")
-    again = (
-        F.when(F.col("lead") & (F.col("last") > 1), F.sequence(F.lit(2).cast("long"), F.col("last")))
-        .when(~F.col("lead") & (F.col("own") < F.col("last")) & (F.col("next_start") - F.col("before") <= F.least(F.floor(F.col("room") / 4), "spare")), F.array(F.col("own") + 1))
-        .otherwise(none)
-    )
+    ordered = _ordered(turns, id_col, turn_col, role_col, text_col)
+    spans = written(_spans(ordered, budget))
+    places = _places(spans, _windows(spans))
+    rows = places.join(ordered.select("id", "c", "role", "text"), "id")
     head = F.concat(F.lit("<turn "), escaped(F.col("role")), F.lit(">\n"))
-    rows = rows.select("c", "n", "role", "own", head.alias("head"), escaped(F.col("text")).alias("body"), F.explode(F.concat(F.array("own"), again)).alias("w"))
-    rows = rows.withColumn("piece", F.concat("head", "body", F.lit("</turn>\n"))).withColumn("context", F.col("w") != F.col("own"))
-    place = Window.partitionBy("c", "w").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("c", "id", "role", "w", "context", head.alias("head"), escaped(F.col("text")).alias("body"))
+    rows = rows.withColumn("piece", F.concat("head", "body", F.lit("</turn>\n")))
+    place = Window.partitionBy("c", "w").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("from", F.coalesce(F.sum(F.length("piece")).over(place), F.lit(0)) + F.length("head"))
     target = F.when((F.col("role") == "assistant") & ~F.col("context"), F.struct("from", (F.col("from") + F.length("body")).alias("to")))
     out = rows.groupBy("c", "w").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]), "").alias("text"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "piece"))), lambda x: x["piece"]), "").alias("text"),
         F.sum(F.col("context").cast("long")).alias("n_context"),
         F.array_sort(F.collect_list(target)).alias("targets"),
     )
@@ -127,7 +181,7 @@ PROBE = "\\### Assistant: </turn> ok"
 
 
 def with_probe(turns: DataFrame) -> DataFrame:
-    """All conversations and conversation -7, whose texts look like marks."""
+    """All conversations and conversation -7, whose texts look like marks; a conversation of that number in the table gets these turns too."""
     probe = turns.sparkSession.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text")
     )

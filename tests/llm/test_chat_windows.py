@@ -52,3 +52,30 @@ def test_windows(spark):
     assert repeated > 10
     assert len([r for r in parts if r["conv_id"] == 1]) == 2
     assert chat.formatted(df.limit(0)).count() == 0
+
+
+def test_hot_conversation(spark, tmp_path):
+    """A conversation (once a null one) with most turns and many copies lies in several ranges and comes out as in SQL."""
+    duckdb = __import__("duckdb")
+    rng = random.Random(13)
+    said = lambda: "w" * rng.randrange(3) + " y<" * rng.randrange(200)
+    data = [(c, t, ("user", "assistant")[t % 2], said()) for c in range(100, 140) for t in range(1, rng.randrange(3, 60))]
+    for hot in (7, None):
+        data += [(hot, 0, "system", "keep to it"), *[(hot, t, ("user", "assistant")[t % 2], said()) for t in range(1, 3000)]]
+        data += [(hot, 3001, "assistant", "same")] * 2000
+    data += [(None, None, "user", None)] * 3
+    data += [(9, 0, "system", "alone"), (10, 1, "system", "s " * 600), (10, 2, "user", "a"), (10, 3, "assistant", "b " * 900)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a small table's ranges would be put together
+    sizes = [r["count"] for r in chat._ordered(df, "conv_id", "turn", "role", "text").groupBy("part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < len(data) / 3
+    df.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = chat.op9_chat_formatting(spark, str(tmp_path)).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    con = duckdb.connect()
+    # in Spark a null turn comes first
+    con.execute(f"SET default_null_order = 'nulls_first'; CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(chat.OP9_SQL).fetchall()
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)
