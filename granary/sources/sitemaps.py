@@ -24,13 +24,13 @@ def parsed(xml: Column) -> Column:
     return F.struct(F.coalesce(xml.rlike(r"(?i)<(\w+:)?sitemapindex[\s>]"), F.lit(False)).alias("is_index"), F.filter(entries, lambda e: e["loc"] != "").alias("entries"))
 
 
-def crawled(documents: DataFrame, roots: DataFrame, follow: str | None = None) -> DataFrame:
+def crawled(documents: DataFrame, roots: DataFrame, follow: str | Column | None = None) -> DataFrame:
     """(loc, lastmod, depth): every address that the sitemaps below the roots list, once.
 
     documents has (loc, xml) of all sitemaps at hand, roots (loc).  Each round reads the
     sitemaps that the one before found and that none has read yet, so that an index of
     indexes is followed to its end and a cycle is left.  follow is a pattern of the
-    sitemaps to read.  A sitemap that is not at hand has no addresses; of an address listed
+    sitemaps to read, or a condition on loc.  A sitemap that is not at hand has no addresses; of an address listed
     several times the least depth and the newest day count.
     """
     spark = documents.sparkSession
@@ -43,7 +43,9 @@ def crawled(documents: DataFrame, roots: DataFrame, follow: str | None = None) -
         pages = entries.filter("NOT is_index").select("loc", "lastmod", F.lit(depth).alias("depth"))
         found = pages if found is None else found.union(pages)
         next_ = entries.filter("is_index").select("loc").distinct().join(visited, "loc", "left_anti")
-        next_ = written(next_.filter(F.col("loc").rlike(follow)) if follow else next_)
+        if follow is not None:
+            next_ = next_.filter(F.col("loc").rlike(follow) if isinstance(follow, str) else follow)
+        next_ = written(next_)
         if next_.isEmpty():
             break
         steps.append(where := shared_dir(spark))

@@ -199,13 +199,13 @@ def slug_of(url: Column) -> Column:
     return F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), F.lit(2)), "/")
 
 
-def campaign_page(html: Column, url: Column) -> Column:
-    """(url, title, description, slug, percentage, source): what an official page says of itself; a percentage comes from its address or its curated texts, never from its body."""
+def campaign_page(html: Column, url: Column, titles: tuple[str, ...] = ("og:title",)) -> Column:
+    """(url, title, description, slug, percentage, source): what an official page says of itself; a percentage comes from its address or its curated texts, never from its body. titles are the meta elements that a title is looked for in first."""
     none = F.lit("")
 
     def of(x: Column) -> Column:
         at = F.coalesce(canonical(x["html"]), x["url"])
-        title = F.coalesce(meta(x["html"], "og:title"), tag_text(x["html"], "title"), tag_text(x["html"], "h1"))
+        title = F.coalesce(*[meta(x["html"], t) for t in titles], tag_text(x["html"], "title"), tag_text(x["html"], "h1"))
         description = F.coalesce(meta(x["html"], "description"), meta(x["html"], "og:description"))
         pct = percentage(slug_of(at), F.concat_ws(" ", title, description, F.coalesce(tag_text(x["html"], "h1"), none)))
         return F.struct(at.alias("url"), title.alias("title"), description.alias("description"), slug_of(at).alias("slug"), pct["value"].alias("percentage"), pct["source"].alias("source"))
