@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.operators.graph import shared_dir
 from granary.registry import query
 from granary.sources.tables import table
 
@@ -82,3 +83,27 @@ def join_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first claim of a key wins, whatever order the rows come in."""
     return table(spark, sf_dir, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("claimed_by"), (F.count("*") - 1).alias("refused"))
+
+
+@query("q_replace_slice", """
+SELECT o_orderkey, o_orderstatus, year(o_orderdate)::INTEGER AS year FROM orders WHERE year(o_orderdate) NOT IN (1996, 1997)
+UNION ALL SELECT o_orderkey, 'R', year(o_orderdate)::INTEGER FROM orders WHERE year(o_orderdate) IN (1996, 1997) AND o_totalprice > 100000""")
+def replace_slice_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by year; two years are replaced, the second time with the same rows, and the others stay."""
+    o, at = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate")), shared_dir(spark)
+    replace_slice(o.select("o_orderkey", "o_orderstatus", "year"), at, "year")
+    for _ in range(2):
+        replace_slice(o.filter("year IN (1996, 1997) AND o_totalprice > 100000").select("o_orderkey", F.lit("R").alias("o_orderstatus"), "year"), at, "year")
+    return spark.read.schema("o_orderkey long, o_orderstatus string, year int").parquet(at)
+
+
+@query("q_snapshot_series", """
+SELECT p_brand, count(*) AS n, max(p_retailprice) AS top, DATE '2026-01-01' AS as_of_date FROM part WHERE p_size <= 20 GROUP BY p_brand
+UNION ALL SELECT p_brand, count(*), max(p_retailprice), DATE '2026-01-02' FROM part GROUP BY p_brand""")
+def snapshot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series by brand under two days; the second day's first, incomplete snapshot is replaced."""
+    series = lambda most: table(spark, sf_dir, "part").filter(F.col("p_size") <= most).groupBy("p_brand").agg(F.count("*").alias("n"), F.max("p_retailprice").alias("top"))
+    at = shared_dir(spark)
+    for most, day in ((20, "2026-01-01"), (7, "2026-01-02"), (1000, "2026-01-02")):
+        snapshot(series(most), at, day)
+    return spark.read.schema("p_brand string, n long, top double, as_of_date date").parquet(at)

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
+from granary.registry import query
+from granary.sources.tables import table
+
 
 class _Ticks(StreamingQueryListener):
     """Counts a query's finished batches, so that it can be stopped between two of them."""
@@ -51,15 +54,15 @@ def drain(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
     ticks, start = _Ticks(), time.monotonic()
     spark.streams.addListener(ticks)
     try:
-        query = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        while query.isActive:
+        running = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        while running.isActive:
             ticks.done.wait(0.2)
             late = deadline is not None and time.monotonic() - start >= deadline
-            if ticks.done.is_set() and late and query.isActive:
-                query.stop()
+            if ticks.done.is_set() and late and running.isActive:
+                running.stop()
                 return False
             ticks.done.clear()
-        query.awaitTermination()  # raises what has ended it
+        running.awaitTermination()  # raises what has ended it
         return True
     finally:
         spark.streams.removeListener(ticks)
@@ -94,6 +97,19 @@ def upsert_stream(stream: DataFrame, keys: list[str], newest: list[str], path: s
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+@query("q_drain", "SELECT event_id, user_id, event_type, value > 10 AS large FROM events WHERE event_type <> 'error'")
+def drained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in files, worked off in batches of three files: once with a deadline that has passed, so that it stops early, then to the end, and once more for nothing."""
+    from granary.operators.graph import shared_dir
+
+    events, (source, sink, mark) = table(spark, sf_dir, "events"), [shared_dir(spark) for _ in range(3)]
+    events.repartition(8).write.parquet(source)
+    work = lambda df: df.filter("event_type <> 'error'").select("event_id", "user_id", "event_type", (F.col("value") > 10).alias("large"))
+    for deadline in (0.0, None, None):
+        drain(spark, source, events.schema, sink, mark, work, files_per_batch=3, rows_per_task=10_000, deadline=deadline)
+    return spark.read.schema("event_id long, user_id long, event_type string, large boolean").parquet(sink).select("event_id", "user_id", "event_type", "large")
+
+
 def daily_counts(stream: DataFrame, ts: str = "ts", kind: str = "event_type", late: str = "2 days") -> DataFrame:
     """Tumbling days a kind; rows later than the watermark are let go."""
     day = F.window(F.col("at"), "1 day")
