@@ -53,6 +53,11 @@ def escaped(text: Column) -> Column:
     return text
 
 
+def escaped_length(text: Column) -> Column:
+    """Code points of escaped(text): each mark takes one more."""
+    return 2 * F.length(text) - F.length(F.translate(text, "".join(raw for raw, _ in _ESCAPES), ""))
+
+
 def unescaped(text: Column) -> Column:
     for raw, mark in reversed(_ESCAPES):
         text = F.replace(text, F.lit(mark), F.lit(raw))
@@ -137,14 +142,15 @@ def formatted(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     spans = written(_spans(ordered, budget))
     places = _places(spans, _windows(spans))
     rows = places.join(ordered.select("id", "c", "role", "text"), "id")
-    head = F.concat(F.lit("<turn "), escaped(F.col("role")), F.lit(">\n"))
-    rows = rows.select("c", "id", "role", "w", "context", head.alias("head"), escaped(F.col("text")).alias("body"))
-    rows = rows.withColumn("piece", F.concat("head", "body", F.lit("</turn>\n")))
+    # lengths are reckoned before the shuffle by window, so that it carries a text once; what is written of it is made behind
+    rows = rows.withColumn("opening", escaped_length(F.col("role")) + len("<turn >\n")).withColumn("size", escaped_length(F.col("text")))
     place = Window.partitionBy("c", "w").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("from", F.coalesce(F.sum(F.length("piece")).over(place), F.lit(0)) + F.length("head"))
-    target = F.when((F.col("role") == "assistant") & ~F.col("context"), F.struct("from", (F.col("from") + F.length("body")).alias("to")))
+    before = F.sum(F.col("opening") + F.col("size") + len("</turn>\n")).over(place)
+    rows = rows.withColumn("from", F.coalesce(before, F.lit(0)) + F.col("opening"))
+    target = F.when((F.col("role") == "assistant") & ~F.col("context"), F.struct("from", (F.col("from") + F.col("size")).alias("to")))
+    piece = F.concat(F.lit("<turn "), escaped(F.col("role")), F.lit(">\n"), escaped(F.col("text")), F.lit("</turn>\n"))
     out = rows.groupBy("c", "w").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "piece"))), lambda x: x["piece"]), "").alias("text"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", piece.alias("piece")))), lambda x: x["piece"]), "").alias("text"),
         F.sum(F.col("context").cast("long")).alias("n_context"),
         F.array_sort(F.collect_list(target)).alias("targets"),
     )
