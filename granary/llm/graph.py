@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round is two aggregations and two joins over links.  Minima are
     pre-aggregated before the shuffle and written, so that the links of a hub are a
-    plain shuffle on the other side of the join, which adaptive skew joins split.  A
+    plain shuffle on the other side of the join, which adaptive skew joins split; the
+    joins are merge joins, as both sides grow with the input and must not reach the driver.  A
     round's links are written to the shared folder; rounds end when the links stand
     still, which takes about the logarithm of the longest path.
     """
@@ -33,9 +34,9 @@ def components(links: DataFrame) -> DataFrame:
 
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hub = kept(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = kept(both.filter("b > a").join(hub, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
+        large = kept(both.filter("b > a").join(hub.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
         low = kept(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(low.hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         step = small.union(low.select("a", F.col("m").alias("b"))).distinct()
         old, at = [at, *steps], shared_dir(spark)
         edges = written(step, at)

@@ -18,7 +18,10 @@ link is lost.  Components follow by alternating large-star and small-star
 joins over links written to the shared folder.
 
 What is looked up is written first, so that the side with a hot fingerprint or segment
-value is a plain shuffle, which adaptive skew joins split.
+value is a plain shuffle, which adaptive skew joins split.  All joins are merge joins:
+their sides grow with the input, and a written table's size on disk (dictionaries, runs)
+or before an explode says little of its rows, so a broadcast by estimate would
+fill the driver.
 
 Null or empty texts have fingerprint zero and are linked like any other; null
 ids are returned, and never name a component unless it has no other id.
@@ -121,15 +124,15 @@ def links(distinct_fps: DataFrame, dense: int = DENSE) -> DataFrame:
     # of two values one bit apart the one without the bit finds the other: half a ball each
     upward = F.filter(_ball(), lambda m: m.bitwiseAND(F.col("v")) == 0)
     probes = rows.select("fp", "s", "v", F.explode(upward).alias("mask")).select("fp", "s", (F.col("mask") != 0).alias("off"), _key(F.col("s"), F.col("v").bitwiseXOR(F.col("mask"))).alias("key"))
-    hits = written(probes.join(sizes, "key").filter("n > 1 OR one <> fp").select("key", "fp", "s", "off", "n"))
+    hits = written(probes.join(sizes.hint("merge"), "key").filter("n > 1 OR one <> fp").select("key", "fp", "s", "off", "n"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS
     table_ = members.select("key", F.col("fp").alias("other"))
-    sparse = hits.filter(F.col("n") <= dense).join(table_, "key").filter((F.col("off") | (F.col("other") < F.col("fp"))) & near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    sparse = hits.filter(F.col("n") <= dense).join(table_.hint("merge"), "key").filter((F.col("off") | (F.col("other") < F.col("fp"))) & near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
     rest = _segment(F.col("fp"), F.lit(1) - F.col("s"))
     centre = F.explode(F.when(F.col("off"), F.array(rest)).otherwise(F.transform(_ball(), lambda m: m.bitwiseXOR(rest))))
     met = hits.filter(F.col("n") > dense).select("key", "fp", centre.alias("centre"))
     hub = written(met.groupBy("key", "centre").agg(F.min("fp").alias("b"), F.count("*").alias("c")).filter("c > 1"))
-    stars = met.join(hub, ["key", "centre"]).filter("fp <> b").select(F.col("fp").alias("a"), "b")
+    stars = met.join(hub.hint("merge"), ["key", "centre"]).filter("fp <> b").select(F.col("fp").alias("a"), "b")
     return sparse.union(stars).distinct()
 
 
@@ -138,11 +141,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = written(with_fingerprints(docs, id_col, text_col))
     classes = written(prints.groupBy("fp").agg(F.min("id").alias("first")))
     linked = components(links(classes.select("fp")))
-    spread = linked.join(classes.withColumnRenamed("fp", "node"), "node")
+    spread = linked.join(classes.withColumnRenamed("fp", "node").hint("merge"), "node")
     lowest = spread.groupBy("root").agg(F.min("first").alias("component"))
-    named = linked.join(lowest, "root").select(F.col("node").alias("fp"), "component")
-    by_class = written(classes.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component")))
-    return prints.join(by_class, "fp").select("id", "fp", "component")
+    named = linked.join(lowest.hint("merge"), "root").select(F.col("node").alias("fp"), "component")
+    by_class = written(classes.join(named.hint("merge"), "fp", "left").select("fp", F.coalesce("component", "first").alias("component")))
+    return prints.join(by_class.hint("merge"), "fp").select("id", "fp", "component")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
