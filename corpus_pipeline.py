@@ -42,7 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word Jaccard of 0.8 or more) stays."""
+    """One document of each group of near copies stays: proposed by SimHash with multi-index hashing and, beyond its radius, by MinHash bands; a 5-word Jaccard of 0.8 or more decides."""
     return near.one_of_each(docs).select(docs.columns)
 
 

@@ -20,9 +20,11 @@ so texts whose distances from the hub differ by more than the threshold's own ca
 near.  So every pair that shares a band is linked, ruled out by size, rarest shingles or
 hub, or compared exactly; none is skipped for the size of its group.
 
-SimHash does not serve here: at a Jaccard similarity of 0.8 two 64-bit fingerprints
-differ in 10 bits on average (3 to 17), and balls of 17 bits, or short segments of
-them, hold a share of all documents.
+SimHash proposes first (``simhash.py``, multi-index hashing over the same 5-word shingles):
+classes whose fingerprints differ in at most 2 bits are candidates, and so compared
+exactly.  It does not reach all of the threshold: at a Jaccard similarity of 0.8 two 64-bit
+fingerprints differ in 10 bits on average (3 to 17), and balls of 17 bits, or short
+segments of them, hold a share of all documents.  The MinHash bands are for those.
 
 Null and empty texts have no shingle and form one class.  Of each component the
 row with the smallest (id, class, text hash) stays, nulls last; rows that agree
@@ -36,8 +38,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.bloom import bloom, may_hold
+
 from .common import mixed, row_slices, string_buffer, window_hashes, within_documents, word_hashes, word_spans, written
 from .graph import components
+from .simhash import fingerprints, links
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 5
@@ -100,7 +105,8 @@ def _sketch(batches):
                 keys[:, band] = x
             ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int64)), bands], names=["id", "t", "cls", "n", "bands"])
+            fp = fingerprints(*string_buffer(part.column(2)), width=SHINGLE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int64)), bands, pa.array(fp)], names=["id", "t", "cls", "n", "bands", "fp"])
 
 
 def _sets(batches):
@@ -224,15 +230,28 @@ def _rarest(sets: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     return written(prefix.join(groups, "key").select("key", "place", "cls", "n", "size", "apart"))
 
 
+def by_fingerprint(classes: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes (cls, fp) that join exactly those that steps of at most 2 bits join: equal fingerprints to one of them, other ones as op6 links them."""
+    prints = written(classes.groupBy("fp").agg(F.min("cls").alias("cls2")))
+    same = classes.select("cls", "fp").join(prints.hint("merge"), "fp").filter("cls <> cls2").select("cls", "cls2")
+    of = lambda side, name: prints.select(F.col("fp").alias(side), F.col("cls2").alias(name)).hint("merge")
+    apart = links(prints.select("fp")).join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("cls"), F.col("y").alias("cls2"))
+    return same.union(apart).selectExpr(*_PAIR).distinct()
+
+
 def _linked(classes: DataFrame, texts: DataFrame, threshold: float, dense: int) -> DataFrame:
-    """Links (a, b) between classes (cls, t, n, bands); texts has (t, text)."""
+    """Links (a, b) between classes (cls, t, n, bands, fp); texts has (t, text)."""
+    hashed = written(by_fingerprint(classes))
     members = classes.select("cls", "n", F.explode("bands").alias("key"))
     shared = written(members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
-    met = written(members.join(shared, "key").select("key", "cls", "n", "size"))
-    # the sets of every class that shares a band, read once
-    used = written(met.select("cls").distinct().join(classes.select("cls", "t"), "cls"))  # written, so that a hot text is split
-    sets = written(texts.join(used, "t").select("cls", "text").dropDuplicates(["cls"]).mapInArrow(_sets, "cls long, grams array<long>"))
-    near, far = _compared(met, sets, threshold, dense)
+    met = written(members.join(shared.hint("merge"), "key").select("key", "cls", "n", "size"))
+    # the sets of every class that is in question, read once; of the texts only those that a Bloom filter lets pass are shuffled
+    asked = met.select("cls").union(hashed.select("a")).union(hashed.select("b")).distinct()
+    used = written(asked.join(classes.select("cls", "t").hint("merge"), "cls"))  # written, so that a hot text is split
+    passed = texts.crossJoin(F.broadcast(bloom(used, "t"))).filter(may_hold(F.col("words"), F.col("t"))).select("t", "text")
+    sets = written(passed.join(used.hint("merge"), "t").select("cls", "text").dropDuplicates(["cls"]).mapInArrow(_sets, "cls long, grams array<long>"))
+    known = written(_similarities(hashed, sets))
+    near, far = _compared(met, sets, threshold, dense, known)
     at = lambda pairs: pairs.filter(F.col("s") >= threshold).select("a", "b")
     apart = F.col("d") > 1 - threshold
     if far.filter(apart).isEmpty():
@@ -264,8 +283,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, t, cls, root): one row per input row; t is a hash of the text, rows of one root are linked by steps of at least the threshold."""
     rows = docs.select(F.col(id_col).alias("id"), _text_key(text_col).alias("t"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    prints = written(rows.mapInArrow(_sketch, f"id {kind}, t long, cls long, n long, bands array<long>"))
-    classes = prints.filter("n > 0").groupBy("cls").agg(F.min(F.struct("t", "n", "bands")).alias("x")).select("cls", "x.t", "x.n", "x.bands")
+    prints = written(rows.mapInArrow(_sketch, f"id {kind}, t long, cls long, n long, bands array<long>, fp long"))
+    classes = prints.filter("n > 0").groupBy("cls").agg(F.min(F.struct("t", "n", "bands", "fp")).alias("x")).select("cls", "x.t", "x.n", "x.bands", "x.fp")
     classes = written(classes)
     linked = components(_linked(classes, rows.select("t", "text"), threshold, dense))
     return prints.select("id", "t", "cls").join(linked.withColumnRenamed("node", "cls"), "cls", "left").select("id", "t", "cls", F.coalesce("root", "cls").alias("root"))
