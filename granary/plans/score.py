@@ -65,7 +65,8 @@ EFFICIENCY = {
 
 @query("q_efficiency", using(EFFICIENCY, "SELECT id, cpm, round(eficiencia, 9) AS eficiencia FROM cost LEFT JOIN eff USING (cpm)"))
 def efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inverse_ecdf(cost(ledger(spark, sf_dir)), "cpm", "eficiencia").select("id", "cpm", F.round("eficiencia", 9).alias("eficiencia"))
+    rows = written(cost(ledger(spark, sf_dir)).select("id", "cpm"))  # read for the ranks and for the rows
+    return inverse_ecdf(rows, "cpm", "eficiencia").select("id", "cpm", F.round("eficiencia", 9).alias("eficiencia"))
 
 
 def rarity(n: Column) -> Column:
@@ -83,9 +84,9 @@ def reach(publico: Column) -> Column:
 
 
 def components(rows: DataFrame) -> DataFrame:
-    """Adds percentil (and base_n), eficiencia, raridade and abrangencia; the history of a row is its route and product kind."""
+    """Adds percentil (and base_n), eficiencia, raridade and abrangencia, and cpm for value and quantity; the history of a row is its route and product kind."""
     keys = ["origem", "destino", "tipo"]
-    rows = written(cost(rows))  # three statistics are taken of the same rows
+    rows = written(cost(rows).drop("valor", "quantidade"))  # three statistics are taken of the same rows
     # null percentages count in the route, not in the rank
     ranks = placed(rows, keys, "percentual", "below__", "here__", "base_n").select(
         *[F.col(k).alias(f"s_{k}") for k in keys], F.col("percentual").alias("pct"), ((F.col("below__") + F.col("here__") * 0.5) / F.col("base_n")).alias("percentil"), "base_n"
@@ -114,9 +115,14 @@ COMPONENTS = {
 }
 
 
+def _offered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's columns that a score reads; the rest is not written."""
+    return ledger(spark, sf_dir).select("id", "origem", "destino", "tipo", "percentual", "fonte", "tier", "publico", "valor", "quantidade")
+
+
 @query("q_score_components", using(COMPONENTS, "SELECT id, round(percentil, 9) AS percentil, base_n, round(eficiencia, 9) AS eficiencia, raridade, abrangencia FROM comp"))
 def score_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(ledger(spark, sf_dir)).select("id", F.round("percentil", 9).alias("percentil"), "base_n", F.round("eficiencia", 9).alias("eficiencia"), "raridade", "abrangencia")
+    return components(_offered(spark, sf_dir)).select("id", F.round("percentil", 9).alias("percentil"), "base_n", F.round("eficiencia", 9).alias("eficiencia"), "raridade", "abrangencia")
 
 
 def shrunk(p: Column, n: Column) -> Column:
@@ -151,13 +157,13 @@ def scored(rows: DataFrame) -> DataFrame:
 @query("q_score", using(COMPONENTS, f"SELECT id, bruto, veredito_bruto, override, CASE WHEN override IS NULL THEN veredito_bruto ELSE '{UNCONFIRMED}' END AS veredito, base_curta FROM score"))
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On the staging ledger every row has a percentile, so open orders without a cost stand for rows without a value."""
-    return scored(components(ledger(spark, sf_dir))).select("id", "bruto", "veredito_bruto", "override", "veredito", "base_curta")
+    return scored(components(_offered(spark, sf_dir))).select("id", "bruto", "veredito_bruto", "override", "veredito", "base_curta")
 
 
 @query("q_distribution", using(COMPONENTS, "SELECT 'veredito' AS kind, veredito_bruto AS value, count(*) AS n FROM score GROUP BY 2 UNION ALL SELECT 'override', coalesce(override, 'nenhum'), count(*) FROM score GROUP BY 2"))
 def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = lambda k, v: F.struct(F.lit(k).alias("kind"), v.alias("value"))
-    s = scored(components(ledger(spark, sf_dir)))
+    s = scored(components(_offered(spark, sf_dir)))
     return s.select(F.explode(F.array(pair("veredito", F.col("veredito_bruto")), pair("override", F.coalesce("override", F.lit("nenhum"))))).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
 
 
@@ -165,7 +171,7 @@ BUCKETS = {**COMPONENTS, "bk": "SELECT *, coalesce(override = 'conta_nao_calcula
 
 
 def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(components(ledger(spark, sf_dir)))
+    s = scored(components(_offered(spark, sf_dir)))
     dead, high, t1 = F.coalesce(F.col("override") == "conta_nao_calculavel", F.lit(False)), F.col("bruto") >= 70, F.col("tier") == 1
     crawl = F.col("origem").isin("NATION_1", "NATION_2", "NATION_3") | F.col("destino").isin("NATION_1", "NATION_2", "NATION_3")
     return s.withColumn("b1", ~dead & high & ~t1).withColumn("b2", dead).withColumn("b3", ~dead & ~high & ~t1).withColumn("b4", ~dead & high & crawl).withColumn("ready", ~dead & high & t1)
@@ -221,10 +227,15 @@ def score_single_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     rarity by how often the merchant makes such offers; reach by audience.  What cannot
     be computed is null, and an offer without percentage and cost has no value to score.
     """
-    rows = cost(ledger(spark, sf_dir)).select("id", "tipo", "produto", "percentual", "cpm", "publico")
-    r = midrank(rows, ["tipo", "produto"], "percentual", "p", "n")
-    often = rows.groupBy("tipo", "produto").agg(F.count("*").alias("freq"))
-    r = inverse_ecdf(r.join(often, ["tipo", "produto"]), "cpm", "eff")
+    rows = written(cost(ledger(spark, sf_dir)).select("id", "tipo", "produto", "percentual", "cpm", "publico"))
+    often = written(rows.groupBy(F.col("tipo").alias("k"), F.col("produto").alias("m")).agg(F.count("*").alias("freq")))
+    at = placed(rows, ["tipo", "produto"], "percentual", "below__", "here__", "n")
+    # what is told of a merchant meets its percentages first, so that the offers are shuffled once
+    known = often.join(at, F.col("k").eqNullSafe(F.col("tipo")) & F.col("m").eqNullSafe(F.col("produto"))).select("k", "m", F.col("percentual").alias("v"), "freq", ((F.col("below__") + F.col("here__") * 0.5) / F.col("n")).alias("p"), "n")
+    without = often.select("k", "m", F.lit(None).cast(rows.schema["percentual"].dataType).alias("v"), "freq", F.lit(None).cast("double").alias("p"), F.lit(None).cast("bigint").alias("n"))
+    same = F.col("tipo").eqNullSafe(F.col("k")) & F.col("produto").eqNullSafe(F.col("m")) & F.col("percentual").eqNullSafe(F.col("v"))
+    ranks = placed(rows, [], "cpm", "below__", "here__", "all__").select("cpm", (1 - (F.col("below__") + F.col("here__") * 0.5) / F.col("all__")).alias("eff"))
+    r = rows.join(known.union(without), same, "left").join(ranks, "cpm", "left")
     has, enough = F.col("percentual").isNotNull(), F.col("n") >= 3
     rarity = F.lit(RARITY_COMMON)
     for most, value in reversed(RARITY):
