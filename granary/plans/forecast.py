@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.operators.graph import written
 from granary.plans.quality import TEMPORAL, temporal
 from granary.registry import query, using
 from granary.sources.tables import AS_OF, as_of, half_up, ledger, round_to
@@ -27,11 +28,28 @@ EPSILON = 3
 FORECAST = {"min_samples": 2, "samples_alta": 4, "samples_media": 3, "cv_alta": 0.35, "cv_media": 0.6, "min_waves": 5, "long_days": 365, "extreme_days": 540, "horizon_days": 180}
 PREDICT = {"min_samples": 3, "samples_media": 6, "samples_alta": 10, "cv_media": 0.6, "cv_alta": 0.35, "half_life": 4, "backtest_min": 3}
 HORIZONS = (7, 15, 30, 60, 90, 180)
+# Fixed value: the gap beyond which the radar counts a critical row.
+FAR_GAP = 2200
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(origem, destino, d, percentual, n, far): rows on a route between two programmes, counted by day and percentage and written.
+
+    n are those with an admissible date, far those with a suspect year and a gap beyond FAR_GAP.
+    At most one row a route, day and percentage, however many offers there are; all that
+    is told of series is read from here, so the ledger is joined once.
+    """
+    rows = temporal(ledger(spark, sf_dir).filter("origem <> destino")).select("origem", "destino", F.col("event_date").alias("d"), "percentual", "include", ((F.col("severity") == "critical") & (F.col("gap") > FAR_GAP)).alias("far"))
+    return written(rows.groupBy("origem", "destino", "d", "percentual").agg(F.count_if("include").alias("n"), F.count_if("far").alias("far")))
 
 
 def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(origem, destino, d, percentual): rows with an admissible date on a route between two programmes."""
-    return temporal(ledger(spark, sf_dir)).filter("include AND origem <> destino").select("origem", "destino", F.col("event_date").alias("d"), "percentual")
+    """(origem, destino, d, percentual, n): n rows with an admissible date on a route between two programmes."""
+    return admissible(dated(spark, sf_dir))
+
+
+def admissible(counted: DataFrame) -> DataFrame:
+    return counted.filter("n > 0").select("origem", "destino", "d", "percentual", "n")
 
 
 def waves_of(days: Column, epsilon: int = EPSILON) -> Column:
@@ -43,8 +61,8 @@ def waves_of(days: Column, epsilon: int = EPSILON) -> Column:
 
 def series(rows: DataFrame) -> DataFrame:
     """(scope, route, waves, typical): one row a route and one a cluster; typical is the rounded median of positive percentages."""
-    both = rows.select("d", "percentual", F.explode(F.array(F.struct(F.lit("route").alias("scope"), F.concat("origem", F.lit("→"), "destino").alias("route")), F.struct(F.lit("cluster").alias("scope"), F.concat(F.lit("→"), "destino").alias("route")))).alias("s"))
-    counts = both.groupBy("s.scope", "s.route", "d", "percentual").agg(F.count("*").alias("c"))
+    both = rows.select("d", "percentual", "n", F.explode(F.array(F.struct(F.lit("route").alias("scope"), F.concat("origem", F.lit("→"), "destino").alias("route")), F.struct(F.lit("cluster").alias("scope"), F.concat(F.lit("→"), "destino").alias("route")))).alias("s"))
+    counts = both.groupBy("s.scope", "s.route", "d", "percentual").agg(F.sum("n").alias("c"))
     middle = F.percentile(F.when(F.col("percentual") > 0, F.col("percentual")), F.lit(0.5), F.col("c"))
     grouped = counts.groupBy("scope", "route").agg(F.collect_set("d").alias("days"), half_up(middle).alias("typical"))
     return grouped.select("scope", "route", waves_of(F.col("days")).alias("waves"), "typical")

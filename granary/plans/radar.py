@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.operators.graph import written
 from granary.operators.ranges import meeting, within
-from granary.plans.forecast import FORECASTS, PREDICTIONS, eligible, forecasts, predictions
-from granary.plans.quality import temporal
+from granary.plans.forecast import FORECASTS, PREDICTIONS, admissible, dated, eligible, forecasts, predictions
 from granary.registry import query, using
 from granary.sources.tables import AS_OF, as_of, half_up, ledger
 
@@ -26,11 +25,11 @@ def divergence(days: Column, overlap: Column) -> Column:
 
 def radar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a series: full outer join of both engines and left join of the counts of critical rows."""
-    rows = eligible(spark, sf_dir)
+    counted = dated(spark, sf_dir)
+    rows = admissible(counted)
     f = forecasts(rows).select("scope", "route", "samples", "confidence", "typical", "window_start", "window_end", "block_reason", "requires_review")
     p = predictions(rows)
-    crit = temporal(ledger(spark, sf_dir)).filter("origem <> destino AND severity = 'critical' AND gap > 2200")
-    crit = crit.select(F.explode(F.array(F.struct(F.lit("route").alias("scope"), F.concat("origem", F.lit("→"), "destino").alias("route")))).alias("s")).groupBy("s.scope", "s.route").agg(F.count("*").alias("critical"))
+    crit = counted.filter("far > 0").groupBy(F.lit("route").alias("scope"), F.concat("origem", F.lit("→"), "destino").alias("route")).agg(F.sum("far").alias("critical"))
     both = f.join(p, ["scope", "route"], "full_outer").join(crit, ["scope", "route"], "left").na.fill({"critical": 0})
     return written(both)
 
