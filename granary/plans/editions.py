@@ -33,10 +33,17 @@ def gates(c: str = "c") -> Column:
     return F.col(f"{c}.estado").isin(*LIVE) & (F.col(f"{c}.tier") == 1) & F.col(f"{c}.score").isNotNull()
 
 
-def _met(items: DataFrame, campaigns: DataFrame, keys: list[str]) -> DataFrame:
+_FINEST = ["origem", "destino", "tipo", "fim"]
+
+
+def _least(campaigns: DataFrame) -> DataFrame:
+    """(edition, keys of all items, c): the campaign of least id of each; sorted through once, what coarser keys ask for is taken of it."""
+    return written(campaigns.groupBy("edition", *_FINEST).agg(F.min_by(F.struct("id", "estado", "tier", "score", "verdict", "fim"), "id").alias("c")))
+
+
+def _met(items: DataFrame, least: DataFrame, keys: list[str]) -> DataFrame:
     """items with c, the campaign of least id that they name, or null; null keys are equal."""
-    what = F.struct("estado", "tier", "score", "verdict", "fim")
-    one = written(campaigns.groupBy("edition", *keys).agg(F.min_by(what, "id").alias("c")))
+    one = least if keys == _FINEST else written(least.groupBy("edition", *keys).agg(F.min_by("c", "c.id").alias("c")))
     same = items["edition"].eqNullSafe(one["edition"])
     for k in keys:
         same = same & items[k].eqNullSafe(one[k])
@@ -48,19 +55,19 @@ def _number(text: Column) -> Column:
 
 
 def edition_checks(editions: DataFrame, items: DataFrame, campaigns: DataFrame, disclaimer: str, banks: tuple[str, ...]) -> DataFrame:
-    """(edition, check, ok, failed): each check of each edition, failed being the items that break it."""
-    campaigns = written(campaigns)
+    """(edition, check, ok, failed): each check of each edition, failed being the items that break it; campaigns are read twice."""
+    least = _least(campaigns)
     day = editions.select(F.col("edition").alias("e"), "day")
     of = lambda name: items.filter(F.col("list") == name).join(day, F.col("edition").eqNullSafe(F.col("e"))).drop("e")
     known = F.col("c").isNotNull()
     reading = F.try_element_at(F.create_map(*[F.lit(x) for kv in READINGS.items() for x in kv]), F.col("c.verdict"))
     tests = [
-        (_met(of("deal"), campaigns, ["origem", "destino"]), {
+        (_met(of("deal"), least, ["origem", "destino"]), {
             "deal_found": known, "deal_gates": gates(), "deal_verdict": F.col("verdict").isin(*DESK.values()), "deal_eligible": gates() & F.col("c.verdict").isin(*DESK),
             "deal_not_expired": F.col("fim") >= F.col("day"),
         }),
-        (_met(of("offer"), campaigns, ["origem", "destino", "tipo"]), {"offer_found": known, "offer_gates": gates(), "offer_reading": reading == F.col("verdict")}),
-        (_met(of("closed"), campaigns, ["origem", "destino", "tipo", "fim"]), {
+        (_met(of("offer"), least, ["origem", "destino", "tipo"]), {"offer_found": known, "offer_gates": gates(), "offer_reading": reading == F.col("verdict")}),
+        (_met(of("closed"), least, ["origem", "destino", "tipo", "fim"]), {
             "closed_found": known,
             "closed_in_time": (F.col("c.estado") == "encerrada") & (F.col("c.tier") == 1) & F.col("c.score").isNotNull() & F.col("c.fim").between(F.date_sub("day", CLOSED_DAYS), F.col("day")),
         }),
