@@ -10,7 +10,7 @@ from granary.functions import text as X
 from granary.functions.bloom import MOST_BITS, bloom, may_hold
 from granary.operators.graph import written
 from granary.registry import query
-from granary.sources.tables import table
+from granary.sources.tables import dealt, table
 
 _FOLD = "trim(regexp_replace(translate(lower({}), '" + X.ACCENTED + "', '" + X.PLAIN + "'), '[^a-z0-9]+', ' ', 'g'))"
 _DOC = _FOLD.format("coalesce(text, '')")
@@ -87,7 +87,7 @@ def price_per_thousand(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = (F.col("p_partkey") % 5).cast("int")
     price = F.concat(F.col("p_size") + 10, F.lit(","), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"))
     text = F.get(F.array(F.concat(F.lit("Compre por R$ "), price, F.lit(" o milheiro")), F.concat(F.lit("Milheiro cai de R$ 1.999,00 para R$"), price), F.concat(F.lit("milheiro a partir de R$ "), price), F.concat(F.lit("R$ 5 de taxa e nada mais a pagar por isso aqui; milheiro a R$ ~"), price), F.concat(F.lit("pague R$ "), price, F.lit(" de taxa"))), k)
-    rows = table(spark, sf_dir, "part").select("p_partkey", O.price_per_thousand(text).alias("p"))
+    rows = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", O.price_per_thousand(text).alias("p"))
     return rows.select("p_partkey", F.col("p.value").alias("value"), F.col("p.floor").alias("is_floor"), F.col("p.approximate").alias("approximate"))
 
 

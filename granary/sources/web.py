@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as X
 from granary.registry import query
-from granary.sources.tables import table
+from granary.sources.tables import dealt, table
 
 ASSETS = r"\.(jpg|jpeg|png|gif|css|js|svg|pdf)$"
 
@@ -228,7 +228,7 @@ def campaign_page_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("<h1><b>"), name, F.lit("</b></h1>"), body),
     ), k)
     url = F.concat(F.lit("https://a.example/x/p-"), F.col("p_partkey").cast("string"), F.lit("/encerrada"))
-    return table(spark, sf_dir, "part").select("p_partkey", campaign_page(html, url).alias("x")).select("p_partkey", "x.*")
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"), "p_partkey").select("p_partkey", campaign_page(html, url).alias("x")).select("p_partkey", "x.*")
 
 
 #: Graphs within graphs that are looked into.
