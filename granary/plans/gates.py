@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions import offers as O
 from granary.functions import text as X
 from granary.functions.queries import _DOC, docs
+from granary.operators.graph import written
 from granary.registry import query, using
 from granary.sources.tables import AS_OF, LEDGER, as_of, ledger, round_to, table
 
@@ -305,7 +306,7 @@ x AS (SELECT CASE WHEN p % 11 = 0 THEN 'x' || id ELSE id END AS item, p, {_STATE
 SELECT item, CASE WHEN p % 11 = 0 THEN 'missing' WHEN st NOT IN ('ativa', 'ultimos_dias', 'detectada') THEN 'not_live' WHEN p % 5 = 0 THEN 'percentage_differs' WHEN p % 7 = 0 THEN 'validity_differs' ELSE 'ok' END AS verdict FROM x"""))
 def edition_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An edition of all offers, some of which are misprinted."""
-    rows = ledger(spark, sf_dir).select("id", "percentual", "fim", "tier", "produto").dropDuplicates(["id"])
+    rows = written(ledger(spark, sf_dir).select("id", "percentual", "fim", "tier", "produto").dropDuplicates(["id"]))  # the edition and what it is held against
     p = F.col("produto")
     printed = rows.select(F.when(p % 11 == 0, F.concat(F.lit("x"), "id")).otherwise(F.col("id")).alias("item"), (F.col("percentual") + F.when(p % 5 == 0, 1).otherwise(0)).alias("pct"), F.when(p % 7 == 0, F.date_add("fim", 1)).otherwise(F.col("fim")).alias("fim"))
     return edition_verdict(printed, rows, F.lit("2000-01-01").cast("date"))
