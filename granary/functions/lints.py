@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as X
-from granary.functions.queries import _DOC, _RUNS, _TOKENS, docs, longest_runs, overlaps
+from granary.functions.queries import _DOC, _RUNS, _TOKENS, docs, longest_runs, overlaps, shared_grams
 from granary.registry import query
 from granary.sources.tables import table
 
@@ -32,11 +32,22 @@ LEAST_CHARS, MOST_WORDS, COPY_SHARE, COPY_RUN = 40, 45, 0.35, 8
 
 _URGENT = rf"(?iu)(^|[^\p{{L}}\p{{N}}])({URGENT})($|[^\p{{L}}\p{{N}}])"
 RULES = {"emoji": EMOJI, "urgency": _URGENT, "internal": INTERNAL, "promise": "(?iu)" + "|".join(PROMISES)} | {f"jargon: {term}": pattern for term, pattern in JARGON.items()}
+#: For a pattern one that matches wherever it does and looks at the first characters of a match before anything else: most places of a long text fail there.
+_QUICK = {
+    EMOJI: rf"(?=[^\x{{0}}-\x{{25FF}}]){EMOJI}",
+    _URGENT: rf"(?iu)(?=[icgúum][moali])(?<![\p{{L}}\p{{N}}])({URGENT})(?![\p{{L}}\p{{N}}])",
+    INTERNAL: INTERNAL.replace("(?iu)", "(?iu)(?=[cdmbrn][maéehuo])", 1),
+}
+
+
+def breaks(text: Column, pattern: str) -> Column:
+    """text.rlike(pattern), which decides where its quick form matches."""
+    return text.rlike(_QUICK[pattern]) & text.rlike(pattern) if pattern in _QUICK else text.rlike(pattern)
 
 
 def lints(text: Column, rules: dict[str, str] = RULES) -> Column:
     """The names of the rules that a text breaks, in order."""
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in rules.items()]))
+    return F.array_compact(F.array(*[F.when(breaks(text, p), F.lit(n)) for n, p in rules.items()]))
 
 
 _PHRASES = (
@@ -55,13 +66,17 @@ def text_lints(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SUMMARY = {k: RULES[k] for k in ("emoji", "urgency", "internal")}
 
 
-def faults(text: Column, share: Column, run: Column) -> Column:
-    """Why a summary may not stand: too short or long, a copy of its source by share of 4-grams or by a run of words, or a banned word."""
+def own_faults(text: Column) -> Column:
+    """Why a summary may not stand by its text alone, each as a boolean: empty, too short or long, or a banned word."""
     t = F.trim(text)
-    n_words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
-    own = {"too_short": F.length(t) < LEAST_CHARS, "too_long": n_words > MOST_WORDS, "overlap": share >= COPY_SHARE, "run": run >= COPY_RUN}
-    found = F.concat(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in own.items()])), lints(t, _SUMMARY))
-    return F.when(t == "", F.array(F.lit("empty"))).otherwise(found)
+    own = {"empty": t == "", "too_short": F.length(t) < LEAST_CHARS, "too_long": t.rlike(rf"^\s*+(\S++\s++){{{MOST_WORDS}}}\S")}
+    return F.struct(*[c.alias(k) for k, c in (own | {k: breaks(t, p) for k, p in _SUMMARY.items()}).items()])
+
+
+def faults(own: Column, share: Column, run: Column) -> Column:
+    """The names of a summary's own_faults and of those of a copy of its source, by share of 4-grams or by a run of words."""
+    found = {k: own[k] for k in ("too_short", "too_long")} | {"overlap": share >= COPY_SHARE, "run": run >= COPY_RUN} | {k: own[k] for k in _SUMMARY}
+    return F.when(own["empty"], F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in found.items()])))
 
 
 _TRIM = "trim(coalesce(text, ''), ' ')"
@@ -78,9 +93,13 @@ SELECT documents.doc_id, coalesce(share, 0) AS share, coalesce(run, 0) AS run,
        CASE WHEN {_TRIM} = '' THEN 'empty' ELSE array_to_string(list_filter([{_LIST}], lambda x: x IS NOT NULL), ',') END AS faults
 FROM documents LEFT JOIN o USING (doc_id) LEFT JOIN r USING (doc_id)""")
 def anticopy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents held to the rules of a summary, with the benchmark's items as their sources."""
-    o = overlaps(spark, sf_dir).groupBy("doc_id").agg(F.max("share").alias("share"))
-    r = longest_runs(spark, sf_dir).groupBy("doc_id").agg(F.max("run").alias("run"))
-    rows = docs(spark, sf_dir).join(o, "doc_id", "left").join(r, "doc_id", "left")
+    """Documents held to the rules of a summary, with the benchmark's items as their sources.
+
+    A text is read once for its own faults and once for its n-grams; what is joined by document is short.
+    """
+    grams, held = shared_grams(spark, sf_dir)
+    o = overlaps(grams, held).groupBy("doc_id").agg(F.max("share").alias("share"))
+    r = longest_runs(grams, held).groupBy("doc_id").agg(F.max("run").alias("run"))
+    rows = docs(spark, sf_dir).select("doc_id", own_faults(F.col("text")).alias("own")).join(o, "doc_id", "left").join(r, "doc_id", "left")
     share, run = F.coalesce("share", F.lit(0.0)), F.coalesce("run", F.lit(0))
-    return rows.select("doc_id", share.alias("share"), run.alias("run"), F.array_join(faults(F.col("text"), share, run), ",").alias("faults"))
+    return rows.select("doc_id", share.alias("share"), run.alias("run"), F.array_join(faults(F.col("own"), share, run), ",").alias("faults"))

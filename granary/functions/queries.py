@@ -177,42 +177,47 @@ def item_grams(items: DataFrame, n: int) -> DataFrame:
 def source_grams(texts: DataFrame, grams: DataFrame, n: int, most_bits: int = MOST_BITS) -> DataFrame:
     """(doc_id, i, g): the n-grams of texts that may be among the items'.
 
-    Hashes are tested in the array of a text's words against a Bloom filter of the items',
-    one row of fixed size, before any n-gram becomes a row; the few that pass in vain find
-    no partner in the join by the n-gram itself.
+    Hashes are tested against a Bloom filter of the items', one row of fixed size, as
+    places and hashes are generated from a text's words: generators are compiled together
+    with the test, which a lambda over the array is not, and hold a hash that is used
+    several times. The few that pass in vain find no partner in the join by the n-gram itself.
     """
     rows = texts.select("doc_id", X.words(F.col("text")).alias("ws")).crossJoin(F.broadcast(bloom(grams, "h", most_bits)))
-    hashes = F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda i: F.struct(i.alias("i"), gram_hash(F.col("ws"), i, n).alias("h")))
-    held = F.filter(F.when(F.size("ws") >= n, hashes), lambda x: may_hold(F.col("words"), x["h"]))
-    return rows.select("doc_id", "ws", F.explode(held).alias("x")).select("doc_id", "x.i", F.array_join(F.slice("ws", F.col("x.i") + 1, n), " ").alias("g"))
+    rows = rows.select("*", F.explode(F.when(F.size("ws") >= n, F.sequence(F.lit(0), F.size("ws") - n))).alias("i"))
+    rows = rows.select("*", F.explode(F.array(gram_hash(F.col("ws"), F.col("i"), n))).alias("h")).filter(may_hold(F.col("words"), F.col("h")))
+    return rows.select("doc_id", "i", F.array_join(F.slice("ws", F.col("i") + 1, n), " ").alias("g"))
 
 
-def overlaps(spark: SparkSession, sf_dir: str, n: int = 4) -> DataFrame:
-    """(doc_id, item_id, share): the share of an item's n-grams that a document holds, where there are any.
+def shared_grams(spark: SparkSession, sf_dir: str, n: int = 4) -> tuple[DataFrame, DataFrame]:
+    """item_grams of the benchmark and source_grams of the documents; both are written, so that one pass over the texts serves several results."""
+    grams = item_grams(table(spark, sf_dir, "benchmark"), n)
+    return grams, written(source_grams(docs(spark, sf_dir), grams, n))
+
+
+def overlaps(grams: DataFrame, held: DataFrame) -> DataFrame:
+    """(doc_id, item_id, share) of shared_grams: the share of an item's n-grams that a document holds, where there are any.
 
     Only n-grams that pass the filter of the items' are shuffled; the items' side is a
     written table, so a hot n-gram is split by documents.
     """
-    grams = item_grams(table(spark, sf_dir, "benchmark"), n)
     b = written(grams.select("item_id", "g").distinct())
-    d = source_grams(docs(spark, sf_dir), grams, n).select("doc_id", "g").distinct()
+    d = held.select("doc_id", "g").distinct()
     size = b.groupBy("item_id").agg(F.count("*").alias("n"))
     return d.join(b, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("k")).join(size, "item_id").select("doc_id", "item_id", (F.col("k") / F.col("n")).alias("share"))
 
 
 @query("q_shingle_overlap", _TOKENS + "SELECT doc_id, item_id, count(*)::DOUBLE / any_value(n) AS share FROM dg JOIN bg USING (g) JOIN bn USING (item_id) GROUP BY doc_id, item_id")
 def shingle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps(spark, sf_dir)
+    return overlaps(*shared_grams(spark, sf_dir))
 
 
-def longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, item_id, run): the longest common run of four or more words.
+def longest_runs(grams: DataFrame, held: DataFrame) -> DataFrame:
+    """(doc_id, item_id, run) of shared_grams of four words: the longest common run of four or more words.
 
     Equal 4-grams on one diagonal (position in the document less position in the
     item) that follow one another form a run: islands by row_number, no quadratic table.
     """
-    b = item_grams(table(spark, sf_dir, "benchmark"), 4)
-    hits = source_grams(docs(spark, sf_dir), b, 4).join(b, "g").select("doc_id", "item_id", "i", (F.col("i") - F.col("j")).alias("diagonal"))
+    hits = held.join(grams, "g").select("doc_id", "item_id", "i", (F.col("i") - F.col("j")).alias("diagonal"))
     order = Window.partitionBy("doc_id", "item_id", "diagonal").orderBy("i")
     runs = hits.withColumn("island", F.col("i") - F.row_number().over(order)).groupBy("doc_id", "item_id", "diagonal", "island").agg((F.count("*") + 3).alias("run"))
     return runs.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
@@ -228,4 +233,4 @@ runs AS (SELECT doc_id, item_id, max(k) AS run FROM (SELECT doc_id, item_id, cou
 
 @query("q_longest_run", f"WITH {_RUNS.strip()} SELECT doc_id, item_id, run FROM runs")
 def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longest_runs(spark, sf_dir)
+    return longest_runs(*shared_grams(spark, sf_dir))
