@@ -84,6 +84,22 @@ def test_results_are_joined_without_a_broadcast_too(offers, monkeypatch):
     assert {tuple(r) for r in quality.compared(offers, 9).collect()} == few
 
 
+def test_eligibility_by_kinds(offers, plain, compared_rows):
+    """Copies used to be shuffled by id, whole."""
+    rows, links, _, best, root = plain
+    top = Counter()
+    for i, r in root.items():
+        top[r] = max(top[r], best[i])
+    n, review = Counter(), Counter()
+    for r in rows:
+        probable = top[root.get(r["id"])] >= 5
+        outcome = "placeholder_program" if r["origem"] == r["destino"] else "eligible" if r["include"] else r["status"] + "+probable_duplicate" * probable
+        n[outcome] += 1
+        review[outcome] += r["review"]
+    assert {r["outcome"]: (r["n"], r["to_review"]) for r in quality.outcomes(offers, 9).collect()} == {k: (n[k], review[k]) for k in n}
+    assert 2 * compared_rows[0] < len(rows)
+
+
 def test_rows_without_copies_keep_their_ids(spark, compared_rows):
     df = spark.createDataFrame(ledger_rows(90), LEDGER)
     twice = quality.compared(df.union(df), 9)
