@@ -106,6 +106,12 @@ def test_rows_without_copies_keep_their_ids(spark, compared_rows):
     assert {tuple(r) for r in twice.collect()} == {tuple(r) for r in quality.compared(df, 9, once=True).collect()} and compared_rows == [90, 90]
 
 
+def test_heads_of_ids_are_in_their_order(spark):
+    ids = ["", "a", "a\0", "ab", "abcdefg", "abcdefgh", "abcdefgg", "á", "zé", "z", "\U0001f600", "\uffee", "0-1", "10-1", "1-10"]
+    heads = [r["h"] for r in spark.createDataFrame([(i,) for i in sorted(ids, key=str.encode)], "id string").select(quality._head().alias("h")).collect()]
+    assert None not in heads and heads == sorted(heads) and len(set(heads)) == len(ids) - 3
+
+
 def test_rounds_go_over_roots(spark, monkeypatch):
     """Each row of a block of several tiles used to go through the rounds, with all its roots."""
     sent = []
